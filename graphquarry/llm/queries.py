@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, packing, simhash
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1,
+    "op7_swap_packing": packing.op7,
+    "op10_matrix_bpe": bpe.op10,
 }
 
 ORACLE: dict[str, str] = {}
