@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, simhash
+from . import bpe, exactdedup, linededup, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1,
+    "op2_minimax_shards": sharding.op2,
+    "op3_trigram_secrets": secrets.op3,
     "op7_swap_packing": packing.op7,
+    "op8_fuse_dedup": exactdedup.op8,
+    "op9_line_bitmaps": linededup.op9,
     "op10_matrix_bpe": bpe.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_trigram_secrets": secrets.OP3_SQL,
+    "op8_fuse_dedup": exactdedup.OP8_SQL,
+    "op9_line_bitmaps": linededup.OP9_SQL,
+}
