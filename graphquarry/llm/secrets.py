@@ -242,7 +242,7 @@ def _sql() -> str:
         parts.append(f"""
   SELECT doc_id, {i} AS number, '{k}' AS kind, {least} AS least,
          regexp_extract_all(t, '{re2(p)}', 0) AS whole, regexp_extract_all(t, '{re2(p)}', {g}) AS part,
-         list_transform(string_split_regex(t, '{re2(p)}'), x -> length(x)) AS gap
+         list_transform(string_split_regex(t, '{re2(p)}'), lambda x: length(x)) AS gap
   FROM d WHERE regexp_matches(t, '{re2(p)}')""")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -250,8 +250,8 @@ m AS ({" UNION ALL ".join(parts)}),
 e AS (
   SELECT doc_id, number, kind, least, unnest(part) AS part,
          unnest(list_transform(generate_series(1, len(whole)),
-           i -> list_sum(gap[1:i]) + coalesce(list_sum(list_transform(whole[1:i - 1], x -> length(x))), 0)))::BIGINT AS s,
-         unnest(list_transform(whole, x -> length(x)))::BIGINT AS n
+           lambda i: list_sum(gap[1:i]) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s,
+         unnest(list_transform(whole, lambda x: length(x)))::BIGINT AS n
   FROM m),
 k AS (SELECT doc_id, number, kind, s, s + n AS e FROM e WHERE length(part) >= least),
 a AS (
