@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exactdedup, linededup, packing, secrets, sharding, simhash
+from . import bpe, exactdedup, hilbert, linededup, packing, quality, secrets, sharding, simhash, warczip
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1,
     "op2_minimax_shards": sharding.op2,
     "op3_trigram_secrets": secrets.op3,
+    "op4_warc_zip": warczip.op4,
+    "op5_rule_ensemble": quality.op5,
+    "op6_hilbert_curves": hilbert.op6,
     "op7_swap_packing": packing.op7,
     "op8_fuse_dedup": exactdedup.op8,
     "op9_line_bitmaps": linededup.op9,

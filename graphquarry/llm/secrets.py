@@ -182,19 +182,20 @@ def _spans(text, kind: str, pattern: str, least: int):
     return F.aggregate(rows, empty, step, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, max_broadcast: int = 200_000) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, max_broadcast: int = 200_000, carry: bool = False) -> DataFrame:
     """``docs``' id and text with spans array<struct<start,number,end,kind>> by start and rule.
 
     start and end count code points, end exclusive; matches of one rule are leftmost and don't
     overlap, and those below the rule's length are dropped. Null text: empty. One row for each row
     of ``docs``; repeated rows return each, null doc_ids too; extra columns are ignored.
     ``max_broadcast``: up to so many candidate documents are sent to every task, beyond it the
-    candidates join by shuffle; the result is the same.
+    candidates join by shuffle; the result is the same. carry: adds a struct of all other columns.
     """
     queries = {k: trigram_query(p) for k, p, _ in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rest = [F.struct(*[c for c in docs.columns if c != text_col]).alias("carried")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *rest).withColumn("row", F.xxhash64("doc_id", "text"))
     index = stash(build_index(rows, set().union(*map(trigrams, indexed.values()))), "trigrams")
     found = small(stash(search_index(index, indexed), "candidates"), max_broadcast)
     both = rows.join(found, "row", "left")
@@ -204,7 +205,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = _spans(F.col("text"), k, pattern, least)
         wanted = F.array_contains("kinds", k) if k in indexed else F.col("text").rlike(pattern)
         spans.append(F.when(wanted, own).otherwise(none))
-    return both.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("spans"))
+    return both.select("doc_id", "text", *(["carried"] if carry else []), F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def redacted(text, spans):
@@ -219,6 +220,17 @@ def redacted(text, spans):
     return F.when(F.size(spans) > 0, joined).otherwise(text)
 
 
+def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every secret in its text replaced by MARK, and n_chars, if there, counted anew.
+
+    The other columns stay as they are, whatever their names. Null text: empty.
+    """
+    found = find_secrets(docs, text_col=text_col, carry=True)
+    found = found.select("carried", redacted(F.col("text"), F.col("spans")).alias("_text"))
+    new = {text_col: F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return found.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+
 def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
