@@ -10,11 +10,13 @@ fewer blocks, until one block holds them all or a round frees no bin.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +25,14 @@ from .common import arrow_limits, stash
 
 
 class WordTokenizer:
-    """Ids from a tokenizers file, with a bounded cache by word. Spaces and line ends never lie inside a token."""
+    """Ids from a tokenizers file, with a bounded cache by word.
 
-    def __init__(self, path: str, cache_size: int = 600_000):
+    No token of this kind of file crosses white space or the line between a letter or digit and a
+    mark after it, and case is dropped first. So texts are lower-cased (A-Z) and cut at both, and
+    only the distinct words of a batch become Python objects.
+    """
+
+    def __init__(self, path: str, cache_size: int = 300_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -33,37 +40,73 @@ class WordTokenizer:
         self.cache_size = cache_size
         added = self.model.get_added_tokens_decoder()
         self.mark_id, self.mark = next((i, t.content) for i, t in sorted(added.items()) if t.content.startswith("<|"))
-
-    def _fill(self, words: list[str], per_text: int = 1000) -> None:
-        """Encodes many words in one text, set apart by a special token, which no merge crosses."""
-        texts = [self.mark.join(words[a : a + per_text]) for a in range(0, len(words), per_text)]
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _fill(self, words: list[str], between: str, per_text: int = 1000) -> None:
+        """Encodes many words in one text: set apart by a special token, or by spaces if each is one run of letters."""
+        texts = [between.join(words[a : a + per_text]) for a in range(0, len(words), per_text)]
+        gap = 0 if between == " " else 4
         for k, e in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id) * 4
             data, a = ids.tobytes(), 0
-            for w, b in zip(words[k * per_text :], [*cuts.tolist(), len(data)]):
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4 if not gap else np.append(np.flatnonzero(ids == self.mark_id) * 4, len(data))
+            part = words[k * per_text : (k + 1) * per_text]
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer's word ends don't match the words")
+            for w, b in zip(part, ends.tolist()):
                 self.cache[w] = data[a:b]
-                a = b + 4
+                a = b + gap
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        if len(self.cache) + len(wanted) > self.cache_size:
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        missing = [w for w in words if w not in self.cache]
+        if len(self.cache) + len(missing) > self.cache_size:
             self.cache.clear()
-        missing = [w for w in wanted if w not in self.cache]
-        odd = [w for w in missing if "<|" in w]  # could hold a special token's own text
-        if odd:
-            missing = [w for w in missing if "<|" not in w]
-            for w, e in zip(odd, self.model.encode_batch(odd, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        if missing:
-            self._fill(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            missing = words
+        runs, rest, odd = [], [], []
+        for w in missing:
+            (odd if "<|" in w else runs if w.isalpha() and max(w) <= "\xff" else rest).append(w)
+        for w, e in zip(odd, self.model.encode_batch(odd, add_special_tokens=False)):  # could hold a special token's own text
+            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        self._fill(runs, " ")
+        self._fill(rest, self.mark)
+        return list(map(self.cache.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers; null: none."""
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), r"([\pL\pN])([.,;:!?|$%&*#])", r"\1 \2")
+        words = pc.split_pattern(pc.if_else(pc.match_substring(texts, "<|"), texts, cut), " ")
+        coded = words.flatten().dictionary_encode()
+        known = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        flat, since = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        out = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            w = which[a:b]
+            n = sizes[w]
+            total = np.cumsum(n, dtype=np.int32)
+            out.append(flat[np.repeat(since[w] - total + n, n) + np.arange(total[-1] if len(total) else 0, dtype=np.int32)])
+        return out
 
 
 _loaded: dict[str, WordTokenizer] = {}
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+
+def _larger(batches, enough: int = 8 << 20):
+    """Batches joined to about ``enough`` bytes, so that more of a batch's words are repeats."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= enough:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,24 +116,24 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
     ])
-    tail = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         if path not in _loaded:
             _loaded[path] = WordTokenizer(path)
-        for b in batches:
+        for b in _larger(batches):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(_loaded[path].encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += tail
-                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
+            for i, ids in enumerate(_loaded[path].encode(b.column(1))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for k, a in enumerate(range(0, len(ids), capacity)):
+                    part = ids[a : a + capacity]
                     at.append(i)
                     piece.append(k)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    start.append(a)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
             cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
+        _loaded[path].cache.clear()  # an idle worker holds no words
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
