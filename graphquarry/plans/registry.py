@@ -2,6 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "hybrid_search"
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+from graphquarry.sources.projection import Views, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "search_hybrid_files"
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of Views; oracle: DuckDB SQL over the tables and the projected views."""
+
+    def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if oracle is not None:
+            ORACLE[name] = sql(oracle)
+        return f
+
+    return put
+
+
+for _module in ("search", "filters", "graph", "etl", "access", "evaluation", "skeletons", "streams"):
+    import_module(f"graphquarry.plans.{_module}")
