@@ -1 +1,116 @@
-"""Queries."""
+"""Queries of retrieval quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphquarry.functions.vectors import similarities
+from graphquarry.operators import evaluation as e
+from graphquarry.operators import search as s
+
+from .registry import query
+
+_RANKED = """r AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, file_id) AS rank FROM sims JOIN files USING (vec_id)), ranked AS (SELECT * FROM r WHERE rank <= 10)"""
+_METRICS = f"""{_RANKED}, want AS (SELECT query_id, count(*) AS n FROM expected GROUP BY 1),
+ h AS (SELECT r.query_id, count(*) AS returned, count(*) FILTER (WHERE rank <= 5 AND x.file_id IS NOT NULL) AS top5, count(x.file_id) AS found, min(rank) FILTER (WHERE x.file_id IS NOT NULL) AS first,
+   sum(1 / log2(rank + 1)) FILTER (WHERE x.file_id IS NOT NULL) AS dcg FROM ranked r LEFT JOIN expected x ON r.query_id = x.query_id AND r.file_id = x.file_id GROUP BY 1),
+ m AS (SELECT query_id, CASE WHEN n IS NULL THEN (coalesce(returned, 0) = 0)::INT ELSE coalesce(top5 / 5, 0) END AS p5, CASE WHEN n IS NULL THEN (coalesce(returned, 0) = 0)::INT ELSE coalesce(top5 / least(5, n), 0) END AS hit5,
+   CASE WHEN n IS NULL THEN (coalesce(returned, 0) = 0)::INT ELSE coalesce(found / n, 0) END AS recall, CASE WHEN n IS NULL THEN (coalesce(returned, 0) = 0)::INT ELSE coalesce(1 / first, 0) END AS mrr,
+   CASE WHEN n IS NULL THEN (coalesce(returned, 0) = 0)::INT ELSE coalesce(dcg / list_sum(list_transform(range(1, least(10, n) + 1), lambda i: 1 / log2(i + 1))), 0) END AS ndcg10 FROM h FULL JOIN want USING (query_id))"""
+
+
+def ranked(v):
+    hits = v.files.select("file_id", "vec_id").join(similarities(v.queries, v.table("embeddings"), 64), "vec_id")
+    order = s.Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "file_id")
+    return hits.select("query_id", "file_id", F.row_number().over(order).alias("rank")).filter("rank <= 10")
+
+
+@query("eval_metrics", f"WITH {_METRICS} SELECT query_id, round(p5, 6)::DOUBLE AS p5, round(hit5, 6)::DOUBLE AS hit5, round(recall, 6)::DOUBLE AS recall, round(mrr, 6)::DOUBLE AS mrr, round(ndcg10, 6)::DOUBLE AS ndcg10 FROM m")
+def _(v):
+    return e.metrics(ranked(v), v.expected).select("query_id", *[F.round(n, 6).alias(n) for n in e.NAMES])
+
+
+@query("eval_means", f"WITH {_METRICS} SELECT round(avg(p5), 6) AS p5, round(avg(hit5), 6) AS hit5, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg10), 6) AS ndcg10, count(*) AS n_queries FROM m")
+def _(v):
+    return e.means(e.metrics(ranked(v), v.expected)).select(*[F.round(n, 6).alias(n) for n in e.NAMES], "n_queries")
+
+
+@query("eval_gates", f"WITH {_METRICS}, a AS (SELECT avg(p5) AS p, avg(mrr) AS q, avg(ndcg10) AS g FROM m) SELECT 'p5' AS gate, p >= 0.15 AS passed FROM a UNION ALL SELECT 'mrr', q >= 0.5 FROM a UNION ALL SELECT 'ndcg', g >= 0.0 - 0.02 FROM a")
+def _(v):
+    return e.gates(e.means(e.metrics(ranked(v), v.expected)), 0.0)
+
+
+@query("eval_diversity", f"WITH {_RANKED} SELECT query_id, count(DISTINCT file_id) AS n_files, count(DISTINCT dir_path) AS n_folders FROM ranked JOIN files USING (file_id) WHERE rank <= 5 GROUP BY query_id")
+def _(v):
+    return e.diversity(ranked(v), v.files)
+
+
+@query("eval_dataset_paths", "SELECT e.query_id, count(*) AS n_expected, count(f.file_id) AS n_there FROM expected e LEFT JOIN files f USING (file_id) GROUP BY e.query_id")
+def _(v):
+    f = v.files.select("file_id", F.lit(1).alias("there"))
+    return v.expected.join(f, "file_id", "left").groupBy("query_id").agg(F.count("*").alias("n_expected"), F.count("there").alias("n_there"))
+
+
+_WORDS = """w AS (SELECT query_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS l FROM queries),
+ u AS (SELECT query_id, unnest(l) AS word FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(word) DESC, word) AS rn FROM u),
+ h AS (SELECT DISTINCT file_id, unnest(regexp_split_to_array(lower(skeleton), '[^a-z0-9]+')) AS word FROM files),
+ c AS (SELECT query_id, file_id, count(*) AS n_words FROM h JOIN k USING (word) WHERE rn <= 5 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_words DESC, file_id) AS rank FROM c)"""
+
+
+@query("keyword_baseline", f"WITH {_WORDS} SELECT query_id, file_id, n_words, rank FROM r WHERE rank <= 10")
+def _(v):
+    return e.keyword_baseline(v.files, v.queries).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("longest_keywords", f"WITH {_WORDS} SELECT query_id, string_agg(word, ' ' ORDER BY rn) AS words FROM k WHERE rn <= 5 GROUP BY query_id")
+def _(v):
+    words = F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
+    longest = F.slice(F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, 5)
+    return v.queries.select("query_id", F.array_join(longest, " ").alias("words")).filter("words <> ''")
+
+
+_SWEEP = """p AS (SELECT query_id, file_id, sim, coalesce(score, 0) / max(score) OVER (PARTITION BY query_id) AS keyword FROM sims JOIN files USING (vec_id) LEFT JOIN bm25 USING (query_id, file_id)),
+ g AS (SELECT a * 3 + h AS config, a * 0.1 AS alpha, h * 0.3 AS hybrid FROM range(3) x(a), range(3) y(h)),
+ r AS (SELECT config, query_id, file_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round((1 - hybrid) * (sim + alpha * keyword) + hybrid * keyword, 6) DESC, file_id) AS rank FROM p, g),
+ t AS (SELECT r.config, r.query_id, min(r.rank) FILTER (WHERE x.file_id IS NOT NULL) AS first, count(x.file_id) FILTER (WHERE rank <= 5) AS top5 FROM r LEFT JOIN expected x ON r.query_id = x.query_id AND r.file_id = x.file_id WHERE rank <= 10 GROUP BY ALL),
+ wq AS (SELECT query_id, count(*) AS n FROM expected GROUP BY 1),
+ m AS (SELECT config, query_id, CASE WHEN n IS NULL THEN 0 ELSE coalesce(1 / first, 0) END AS mrr, CASE WHEN n IS NULL THEN 0 ELSE coalesce(top5 / 5, 0) END AS p5 FROM t LEFT JOIN wq USING (query_id))"""
+
+
+def swept(v):
+    sims = similarities(v.queries, v.table("embeddings"), 64)
+    key = s.bm25_scores(v.files, v.queries)
+    top = key.groupBy("query_id").agg(F.max("score").alias("m"))
+    parts = v.files.select("file_id", "vec_id").join(sims, "vec_id").join(key, ["query_id", "file_id"], "left").join(top, "query_id", "left")
+    k = F.coalesce(F.col("score") / F.col("m"), F.lit(0.0))
+    parts = parts.select("query_id", "file_id", "sim", k.alias("commit_boost"), F.lit(0.0).alias("parent_boost"), k.alias("keyword"))
+    ids = v.spark.range(9).select(F.col("id").alias("config"), (F.floor(F.col("id") / 3) * 0.1).alias("alpha"), F.lit(0.2).alias("beta"), (F.col("id") % 3 * 0.3).alias("hybrid"))
+    return e.metrics(e.sweep(parts, ids), v.expected, ["config"])
+
+
+@query("scoring_sweep", f"WITH {_SWEEP} SELECT config, round(avg(p5), 6) AS p5, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM m GROUP BY config")
+def _(v):
+    return e.means(swept(v), ["config"]).select("config", F.round("p5", 6).alias("p5"), F.round("mrr", 6).alias("mrr"), "n_queries")
+
+
+@query("best_config", f"WITH {_SWEEP}, a AS (SELECT config, avg(p5) + avg(mrr) AS o FROM m GROUP BY config) SELECT config, round(o, 6) AS objective FROM a ORDER BY round(o, 9) DESC, config LIMIT 1")
+def _(v):
+    return e.best_config(e.means(swept(v), ["config"]))
+
+
+@query("regression_classes", f"""WITH {_SWEEP}, b AS (SELECT query_id, mrr FROM m WHERE config = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(mrr, 9) DESC, config) AS rn FROM m WHERE config <> 0)
+ SELECT b.query_id, o.config AS best_config, CASE WHEN o.mrr - b.mrr >= 0.05 THEN 'better' WHEN o.mrr - b.mrr <= -0.05 THEN 'worse' ELSE 'same' END AS kind FROM b JOIN o USING (query_id) WHERE rn = 1""")
+def _(v):
+    return e.classify_changes(swept(v), 0)
+
+
+@query("latency_percentiles", "SELECT event_type, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS p50, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, list_sort(list(value))[floor(count(*) * 0.99)::INT + 1] AS p99, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
+def _(v):
+    c = F.col("value")
+    g = v.table("events").groupBy("event_type")
+    return g.agg(*[e.percentile(c, q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 4).alias("mean"))
+
+
+@query("model_costs", "SELECT r_name AS model, round(500 * 1000 * (r_regionkey + 1) * 0.02 / 1e6, 6)::DOUBLE AS per_1k_files FROM region")
+def _(v):
+    return v.table("region").select(F.col("r_name").alias("model"), F.round(500 * 1000 * (F.col("r_regionkey") + 1) * 0.02 / 1e6, 6).alias("per_1k_files"))

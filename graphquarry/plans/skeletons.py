@@ -1 +1,46 @@
-"""Queries."""
+"""Queries of skeletons."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphquarry.operators import skeleton as k
+
+from .registry import query
+
+
+def _marked(v):
+    """Documents with their first line as a heading."""
+    return v.table("documents").select("doc_id", F.concat(F.lit("# "), "text").alias("text"))
+
+
+@query("skeleton_prose_text", "SELECT doc_id, sha256(left(text, 4000)) AS hash FROM documents")
+def _(v):
+    return v.table("documents").select("doc_id", F.sha2(k.prose_text(F.col("text")), 256).alias("hash"))
+
+
+@query("skeleton_prose_entries", "SELECT doc_id, trim(string_split(text, chr(10))[1]) AS name, 'h1' AS kind, 1 AS start_line FROM documents WHERE regexp_matches(string_split(text, chr(10))[1], '^\\s*\\S')")
+def _(v):
+    e = _marked(v).select("doc_id", F.explode(k.prose_entries(F.col("text"))).alias("e")).filter("e.start_line = 1")
+    return e.select("doc_id", "e.name", "e.kind", "e.start_line")
+
+
+@query("skeleton_fallback", "SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[1:50], chr(10))) AS hash FROM documents")
+def _(v):
+    return v.table("documents").select("doc_id", F.sha2(k.fallback(F.col("text")), 256).alias("hash"))
+
+
+@query("skeleton_python", "SELECT doc_id, '# m' || doc_id || '.py [Python]' || chr(10) || 'imports: os' || chr(10) || chr(10) || 'class C' || doc_id || chr(10) || '  + run(x: int) -> str' || chr(10) || chr(10) || 'function f' || doc_id || '(a, b)' AS text, 3 AS n_entries FROM documents")
+def _(v):
+    d = F.col("doc_id").cast("string")
+    code = F.concat(F.lit("import os\n\nclass C"), d, F.lit(":\n    def run(self, x: int) -> str:\n        return ''\n\ndef f"), d, F.lit("(a, b):\n    pass\n"))
+    rows = v.table("documents").select("doc_id", F.concat(F.lit("src/m"), d, F.lit(".py")).alias("file_path"), code.alias("content"))
+    return k.with_skeletons(rows).select("doc_id", F.col("skeleton.text").alias("text"), F.size("skeleton.entries").alias("n_entries"))
+
+
+@query("skeleton_typescript", "SELECT doc_id, '# m' || doc_id || '.ts [TypeScript]' || chr(10) || 'imports: ./x' || chr(10) || chr(10) || 'class C' || doc_id || chr(10) || '  + run(x: number) -> string' || chr(10) || '  - hidden()' || chr(10) || chr(10) || 'function f(a: string) -> void'[:-9] AS text, 4 AS n_entries FROM documents")
+def _(v):
+    d = F.col("doc_id").cast("string")
+    code = F.concat(F.lit("import { a } from './x';\nexport class C"), d, F.lit(" {\n  run(x: number): string {\n    return a;\n  }\n  private hidden() {\n  }\n}\nexport function f(a: string): void {\n}\n"))
+    rows = v.table("documents").select("doc_id", F.concat(F.lit("src/m"), d, F.lit(".ts")).alias("file_path"), code.alias("content"))
+    return k.with_skeletons(rows).select("doc_id", F.col("skeleton.text").alias("text"), F.size("skeleton.entries").alias("n_entries"))

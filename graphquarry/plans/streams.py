@@ -1 +1,39 @@
-"""Queries."""
+"""Queries of windows and sequential state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphquarry.streaming import jobs, limits
+
+from .registry import query
+
+
+@query("rolling_cost", """WITH w AS (SELECT repo_id, cost_usd, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, created_at) - INTERVAL 50 MINUTE, time_bucket(INTERVAL 10 MINUTE, created_at), INTERVAL 10 MINUTE)) AS s FROM cost_events)
+ SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, repo_id, round(sum(cost_usd), 4) AS cost, count(*) AS n FROM w GROUP BY ALL""")
+def _(v):
+    return jobs.rolling_cost(v.cost_events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "repo_id", F.round("cost", 4).alias("cost"), "n")
+
+
+@query("call_limiter", None)
+def _(v):
+    out = limits.fold(v.table("events"), "event_type", "ts", "event_id", lambda: limits.SlidingLog(5, 3600))
+    return out.select(F.col("key").alias("event_type"), F.col("tie").alias("event_id"), "outcome")
+
+
+@query("token_bucket", None)
+def _(v):
+    out = limits.fold(v.table("events"), "user_id", "ts", "event_id", lambda: limits.TokenBucket(2, 86400))
+    return out.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "outcome")
+
+
+@query("embedding_cache", None)
+def _(v):
+    out = limits.fold(v.table("events"), "event_type", "ts", "event_id", lambda: limits.LruTtl(20, 86400), "user_id")
+    return out.select(F.col("key").alias("event_type"), F.col("tie").alias("event_id"), "outcome")
+
+
+@query("sessions_by_gap", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS s FROM events) SELECT user_id, sum(s)::BIGINT AS n_sessions FROM e GROUP BY user_id""")
+def _(v):
+    w = v.table("events").groupBy("user_id", F.session_window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return w.groupBy("user_id").agg(F.count("*").alias("n_sessions"))
