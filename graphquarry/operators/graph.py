@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions.text import like_escape
+from graphquarry.sources.scratch import stash
 
 # Import patterns by language; group 1 is the module.
 IMPORT_PATTERNS = {
@@ -142,7 +143,8 @@ def trace_imports(file_imports: DataFrame, seeds: DataFrame, max_depth: int, inw
     """(seed, file_id, depth) reachable from seeds(file_id) in at most max_depth steps, level by level.
 
     A file comes at its least depth; all_depths: at every depth that some path gives it, cycles
-    included. The loop has max_depth rounds at most, each one equi-join.
+    included. The loop has max_depth rounds at most, each one equi-join whose rows are
+    written to the shared folder, and ends early when a level is empty.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth is 1 to 10")
@@ -155,9 +157,12 @@ def trace_imports(file_imports: DataFrame, seeds: DataFrame, max_depth: int, inw
         level = level.join(edges, "file_id").select("seed", F.col("next").alias("file_id")).distinct()
         if not all_depths:
             level = level.join(seen, ["seed", "file_id"], "left_anti")
-            seen = seen.unionByName(level)
+        level = stash(level, "level")  # else each level's plan would hold all levels before it, more than once
+        seen = seen.unionByName(level)
         found = level.withColumn("depth", F.lit(depth).cast("long"))
         out = found if out is None else out.unionByName(found)
+        if level.isEmpty():
+            break
     return out
 
 
