@@ -5,8 +5,10 @@ and needs no sort. The smallest feasible capacity is found by binary search with
 The check doesn't need all groups: the driver holds a summary of bounded size, hash ranges with
 their byte sum, largest group and count. The greedy walk over it gives a lower and an upper bound
 for each cut; the ranges in which a cut may fall are split further by one aggregation, until the
-bounds meet. A group above the fair share is a shard by itself, at the front of the order, and the
-others are divided over the remaining shards.
+bounds meet. The cuts then stay within that capacity and share out the room that it leaves: each is
+the one next to an even division of the rest that the greedy walk from the other end allows. A group
+above the fair share is a shard by itself, at the front of the order, and the others are divided
+over the remaining shards.
 """
 
 from __future__ import annotations
@@ -76,13 +78,43 @@ class Ranges:
             first = bisect.bisect_right(self.before, min(a, b)) - 1
             last = bisect.bisect_left(self.before, b)
             found.update(j for j in range(first, min(last, len(self.rows))) if self.rows[j][4] > 1 and self.before[j] < b)
-        if some == all_ and all(b in self.before_set for b in high):
+        if some == all_ and set(high) <= set(self.before):
             return some, []
         return some, sorted(found)
 
-    @property
-    def before_set(self) -> set[int]:
-        return set(self.before)
+    def earliest(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """The smallest place that each cut can have if all shards after it are to fit, and ranges that must be split to be sure."""
+        at, cuts, split = self.total, [], set()
+        for _ in range(shards - 1):
+            limit = max(0, at - capacity)
+            i = bisect.bisect_left(self.before, limit)
+            if self.before[i] == limit or self.rows[i - 1][4] == 1:
+                at = self.before[i]
+            else:
+                split.add(i - 1)
+                at = limit
+            cuts.append(at)
+        return cuts[::-1], split
+
+    def even(self, capacity: int, shards: int, earliest: list[int]) -> tuple[list[int], set[int]]:
+        """Cuts near an even division of what is left, none before ``earliest`` or beyond the capacity; and ranges to split first."""
+        at, cuts, split = 0, [], set()
+        for k in range(shards - 1):
+            goal = at - (at - self.total) // (shards - k)
+            if goal >= self.total:
+                break
+            i = bisect.bisect_right(self.before, goal) - 1
+            if self.rows[i][4] == 1 or self.before[i] == goal:
+                low, high = self.before[i], self.before[i + 1] if self.before[i] < goal else goal
+                near = low if low > at and (goal - low <= high - goal or high - at > capacity) else high
+                at = max(near, earliest[k])
+            else:
+                split.add(i)
+                at = max(goal, earliest[k])
+            if at >= self.total:
+                break
+            cuts.append(at)
+        return cuts, split
 
 
 def _summary(atoms: DataFrame, bits: int) -> list[tuple[int, int, int, int, int]]:
@@ -105,16 +137,24 @@ def _split(atoms: DataFrame, rows: list) -> list:
 def minimax_cuts(atoms: DataFrame, shards: int) -> list[int]:
     """The lowest key of every shard after the first; atoms(key, w): distinct keys of KEY_BITS bits, w > 0."""
     rows = _summary(atoms, KEY_BITS - FIRST_SPLIT)
-    while rows and shards > 1:
+    if not rows or shards <= 1:
+        return []
+    capacity = 0
+    while True:
         ranges = Ranges(rows)
-        capacity, split = ranges.undecided(shards)
-        if not split:
-            at = {b: r[0] for b, r in zip(ranges.before, ranges.rows)}
-            return [at[b] for b in ranges.walk(capacity, shards, True)[0]]
-        split = split[: MAX_ROWS // 2]
+        if not capacity:
+            found, split = ranges.undecided(shards)
+            capacity = 0 if split else found
+        if capacity:
+            first, split = ranges.earliest(capacity, shards)
+            if not split:
+                cuts, split = ranges.even(capacity, shards, first)
+            if not split:
+                at = {b: r[0] for b, r in zip(ranges.before, ranges.rows)}
+                return [at[b] for b in cuts]
+        split = sorted(split)[: MAX_ROWS // 2]
         gone = set(split)
         rows = [r for j, r in enumerate(ranges.rows) if j not in gone] + _split(atoms, [ranges.rows[j] for j in split])
-    return []
 
 
 def giants(largest: list[tuple[int, int]], total: int, shards: int) -> list[int]:

@@ -143,8 +143,8 @@ def test_minimax_cuts(spark, n, shards):
         mid = (lo + hi) // 2
         lo, hi = (lo, mid) if greedy(w, mid) <= shards else (mid + 1, hi)
     part = np.searchsorted(cuts, keys, "right")
-    assert max(np.bincount(part, w)) <= lo
-    assert greedy(w, lo) == len(set(part.tolist()))
+    assert max(np.bincount(part, w)) <= lo  # the smallest capacity there is
+    assert len(set(part.tolist())) == len(cuts) + 1
 
 
 def test_shards(corpus, empty):
@@ -241,7 +241,7 @@ def test_zip_directories(limit, monkeypatch):
         z.writestr("a.txt", b"a" * 50)
         z.writestr(zipfile.ZipInfo("b/c.bin"), b"b" * 70)
         z.writestr("deflated", b"c" * 90, zipfile.ZIP_DEFLATED)
-        z.comment = b"PK\x05 a note"
+        z.comment = b"PK\x05\x06 a note that looks like an end record"
     raw = out.getvalue()
     found = warczip.members(lambda at, n: raw[at : at + n], len(raw))
     assert set(found) == {"a.txt", "b/c.bin"}
