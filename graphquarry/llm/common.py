@@ -2,52 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts can be 100 KB and more, so batches stay small.
-ARROW_ROWS = 512
-
-
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: ``spark.checkpoint.dir``.
+from graphquarry.sources.scratch import scratch_path, shared_dir, stash
 
-    Only a local session, as in tests, may fall back to a temporary folder.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphquarry-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+__all__ = ["arrow_limits", "scratch_path", "shared_dir", "shuffle_parts", "small", "stash"]
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphquarry/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back.
-
-    This cuts the lineage, so a lost executor costs a re-read and not a re-run, and the
-    statistics of the written files let the optimiser pick join sides by true size.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows per Arrow batch. Texts can be 100 KB and more, so batches stay small.
+ARROW_ROWS = 512
 
 
 def arrow_limits(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, scratch_path, small, stash
+from .common import arrow_limits, scratch_path, shuffle_parts, small, stash
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"
@@ -55,6 +55,8 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (len(tail) < end + 22 or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)  # that one was part of a comment
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
@@ -252,7 +254,9 @@ def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema.names)
 
     ranges = packages.mapInArrow(locate, "path string, at long, lengths array<long>")
-    return ranges.repartition(F.col("path"), F.col("at")).mapInArrow(fetch, schema)
+    total = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(shuffle_parts(packages.sparkSession), -(-total // (64 << 20)))  # a given number: by the size of their rows, all would go to one task
+    return ranges.repartition(parts, "path", "at").mapInArrow(fetch, schema)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
