@@ -137,13 +137,13 @@ def ingest_rows(files: DataFrame, known: DataFrame, batch: int) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, folder, body): second-level sections of a Markdown text, with review marks, ./ and a last / taken off
-    the heading and lines of file lists dropped."""
-    part = docs.select("doc_id", F.posexplode(F.split("text", "(?m)^## ")).alias("pos", "part")).filter("pos > 0")
-    head = F.trim(F.split("part", "\n")[0])
-    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"^\[REVIEW\]\s*", ""), r"^\./", ""), "/$", "")
+    """(doc_id, pos, folder, body): second-level sections of a Markdown text, with a review mark and a last / taken off the
+    heading, ./ as ., and lines of file lists dropped. A section of one line is none."""
+    part = docs.select("doc_id", F.posexplode(F.split("text", "(?m)^## ")).alias("pos", "part")).filter("pos > 0 and part like '%\n%'")
+    head = F.regexp_replace(F.trim(F.split("part", "\n")[0]), r"\s*\[REVIEW\]\s*$", "")
+    name = F.when(head.isin("./", "."), F.lit(".")).otherwise(F.regexp_replace(head, "/$", ""))
     rest = F.array_join(F.filter(F.slice(F.split("part", "\n"), F.lit(2), F.greatest(F.lit(0), F.size(F.split("part", "\n")) - 1)), lambda x: ~x.startswith("**Files:**")), "\n")
-    return part.select("doc_id", F.col("pos").cast("long").alias("pos"), name.alias("folder"), F.trim(rest).alias("body"))
+    return part.select("doc_id", F.col("pos").cast("long").alias("pos"), name.alias("folder"), F.btrim(rest, F.lit(" \t\n\r")).alias("body"))
 
 
 def git_log(lines: DataFrame) -> DataFrame:

@@ -171,9 +171,9 @@ def _(v):
     return t.ingest_rows(v.files, v.files.filter("repo_id = 3"), 25)
 
 
-@query("markdown_sections", "SELECT doc_id, 1 AS pos, source || '/x' AS folder, md5(trim(text, ' ')) AS body FROM documents")
+@query("markdown_sections", "SELECT doc_id, 1 AS pos, source || '/x' AS folder, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS body FROM documents UNION ALL SELECT doc_id, 2, '.', md5('end') FROM documents")
 def _(v):
-    text = F.concat(F.lit("intro\n## [REVIEW] ./"), "source", F.lit("/x/\n**Files:** a, b\n"), F.regexp_replace("text", "(?m)^## ", "# "))
+    text = F.concat(F.lit("intro\n## "), "source", F.lit("/x/ [REVIEW]\n**Files:** a, b\n"), F.regexp_replace("text", "(?m)^## ", "# "), F.lit("\n## ./\nend\n## none"))
     return t.sections(v.table("documents").select("doc_id", text.alias("text"))).select("doc_id", "pos", "folder", F.md5("body").alias("body"))
 
 
@@ -232,3 +232,50 @@ def _(v):
 def _(v):
     p = v.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
     return p.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_distinct"))
+
+
+def _manifests(v):
+    """Documents as package folders of five kinds."""
+    k, d = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    hash64 = F.translate(F.base64(F.unhex(F.sha2("text", 256))), "+/=", "-_")
+    return v.table("documents").select(
+        "doc_id", F.when(k == 0, F.concat(F.lit("node_modules/p"), d)).when(k == 1, F.concat(F.lit("registry/my-crate"), d, F.lit("-1.2.3"))).when(k == 2, F.concat(F.lit("site/pkg"), d, F.lit("-0.1.dist-info"))).when(k == 3, F.concat(F.lit("mod/tool"), d, F.lit("@v2"))).otherwise(F.concat(F.lit("other/x"), d)).alias("dir"),
+        F.when(k == 0, F.concat(F.lit('{"name": "@s/p'), d, F.lit('", "version": "1.0", "x": []}'))).when(k == 4, F.lit('{"name": "broken"')).alias("package_json"),
+        F.when(k == 1, F.concat(F.lit('{"files": {"src/lib.rs": "'), F.sha2("text", 256), F.lit('"}}'))).alias("cargo_checksum"),
+        F.when(k == 2, F.concat(F.lit("pkg/a.py,sha256="), hash64, F.lit(",12\npkg/RECORD,,\n"))).alias("record"), F.when(k == 2, F.lit("Name: pkg")).alias("metadata"), F.when(k == 3, F.lit("module tool")).alias("go_mod"),
+    )
+
+
+@query("detect_packages", """SELECT * FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'node_modules/p' || doc_id WHEN 1 THEN 'registry/my-crate' || doc_id || '-1.2.3' WHEN 2 THEN 'site/pkg' || doc_id || '-0.1.dist-info' WHEN 3 THEN 'mod/tool' || doc_id || '@v2' END AS dir,
+   CASE doc_id % 5 WHEN 0 THEN 'npm' WHEN 1 THEN 'cargo' WHEN 2 THEN 'python' WHEN 3 THEN 'go' END AS ecosystem, CASE doc_id % 5 WHEN 0 THEN '@s/p' || doc_id WHEN 1 THEN 'my-crate' || doc_id WHEN 2 THEN 'pkg' || doc_id ELSE 'tool' || doc_id END AS name,
+   CASE doc_id % 5 WHEN 0 THEN '1.0' WHEN 1 THEN '1.2.3' WHEN 2 THEN '0.1' ELSE 'v2' END AS version FROM documents) WHERE dir IS NOT NULL""")
+def _(v):
+    from graphquarry.sources.scan import detect_packages
+
+    return detect_packages(_manifests(v))
+
+
+@query("manifest_files", "SELECT CASE doc_id % 5 WHEN 1 THEN 'registry/my-crate' || doc_id || '-1.2.3' ELSE 'site/pkg' || doc_id || '-0.1.dist-info' END AS dir, CASE doc_id % 5 WHEN 1 THEN 'src/lib.rs' ELSE 'pkg/a.py' END AS relpath, sha256(text) AS content_hash FROM documents WHERE doc_id % 5 IN (1, 2)")
+def _(v):
+    from graphquarry.sources.scan import manifest_files
+
+    return manifest_files(_manifests(v))
+
+
+@query("folder_outline", """WITH l AS (SELECT repo_id, dir_path, string_agg(regexp_extract(file_path, '([^/]*)$', 1), ', ' ORDER BY file_path) AS names FROM files GROUP BY ALL),
+ s AS (SELECT d.repo_id, d.dir_path, CASE WHEN summary_vec IS NOT NULL THEN 'A summary of this folder in words.' END AS summary, names FROM directories d LEFT JOIN l USING (repo_id, dir_path))
+ SELECT repo_id, md5('# AGENTS.md' || chr(10) || string_agg(chr(10) || '## ' || dir_path || '/' || CASE WHEN summary IS NULL THEN ' [REVIEW]' ELSE '' END || chr(10) || coalesce(chr(10) || summary, '') || coalesce(chr(10) || chr(10) || '**Files:** ' || names, ''), chr(10) ORDER BY dir_path) || chr(10)) AS hash FROM s GROUP BY repo_id""")
+def _(v):
+    from graphquarry.sources.scan import folder_outline
+
+    d = v.directories.select("repo_id", "dir_path", F.when(F.col("summary_vec").isNotNull(), "A summary of this folder in words.").alias("summary"))
+    return folder_outline(d, v.files).select("repo_id", F.md5("markdown").alias("hash"))
+
+
+@query("repos_below", "SELECT 'w/' || source AS root, count(*) AS n_files FROM documents GROUP BY source")
+def _(v):
+    from graphquarry.sources.scan import repos_below
+
+    d = v.table("documents")
+    files = d.select(F.concat(F.lit("w/"), "source", F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return repos_below(files.unionByName(d.select(F.concat(F.lit("w/"), "source", F.lit("/.git/HEAD")).alias("path")).distinct()))

@@ -254,3 +254,43 @@ def test_prose_skeleton(spark):
     r = df.select(skeleton.prose_entries(F.col("t")).alias("e"), F.length(skeleton.prose_text(F.col("t"))).alias("n")).first()
     assert [tuple(x) for x in r["e"]] == [("Top", "h1", 1, 1), ("Sub", "h2", 3, 3)] and r["n"] == 4000
     assert skeleton.outline("a.md", "# Top\n## S")[1] == [("Top", "h1", 1, 1), ("S", "h2", 2, 2)]
+
+
+def test_walk(spark, tmp_path):
+    from graphquarry.sources import scan
+
+    for name, data in {"a.py": b"x\0y", "b/c.ts": b"ok", "node_modules/d.ts": b"no", "big.py": b"z" * 600_000, "key.pem": b"no", "b/Makefile": b"all:", "img.png": b"no", "b/gen/e.ts": b"no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / ".indexignore").write_text("# generated\n\ngen/\n")
+    rules = scan.ignore_rules(spark, str(tmp_path / ".indexignore"))
+    assert rules == ["gen/"] and scan.ignore_rules(spark, str(tmp_path / "none")) == []
+    got = rows(scan.walk(spark, str(tmp_path), rules), "file_path", "content")
+    assert got == [("a.py", "xy"), ("b/Makefile", "all:"), ("b/c.ts", "ok")]
+
+
+def test_api(spark):
+    from graphquarry import api
+    from graphquarry.sources.projection import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    index, low = api.Index.of(v), search.Scoring(min_score=0.05)
+    q = v.queries.orderBy("query_id").limit(2)
+    o = api.Options(top_n=5, scoring=low, languages=["python", "go"], scope=["src1", "src2"])
+    got = api.search_files(index, q, o).join(v.files.select("file_id", "file_type", "repo_id"), "file_id").collect()
+    assert got and {r["file_type"] for r in got} <= {".py", ".go"}
+    names = dict(rows(v.repos, "repo_id", "name"))
+    assert {names[r["repo_id"]] for r in got} <= {"src1", "src2"}
+    kinds = {r["kind"] for r in api.search(index, q, api.Options(top_n=200, scoring=low)).collect()}
+    assert kinds == {"file", "directory", "commit"}
+    assert api.search_directories(index, q, api.Options(top_n=3, scoring=low)).count() == 6
+    assert api.search_commits(index, q, api.Options(top_n=3, scoring=low, since=datetime(1995, 1, 1))).count() == 6
+    changed = api.search_changed(index, datetime(2024, 1, 1, 1), q, api.Options(scoring=low))
+    assert all(r["file_id"] >= 60 for r in changed.collect())
+    asked = q.select(F.explode(F.array(F.lit(0), F.lit(9))).alias("pos"), "query_id", "query", "vec_id")
+    assert api.batch_search(index, asked, api.Options(top_n=2, scoring=low)).count() == 8
+    with pytest.raises(ValueError):
+        api.batch_search(index, asked, most=1)
+    assert api.search_files(index, q, api.Options(scoring=low, token_repos=[])).count() == 0
+    assert api.search_files(index, q, api.Options(scoring=low, rerank=True)).count() > 0
+    assert api.get_cost_summary(index, 3).count() > 0
