@@ -16,6 +16,7 @@ from graphquarry.functions.vectors import similarities
 from graphquarry.operators import access, filters, graph
 from graphquarry.operators import search as ranking
 from graphquarry.operators.search import Scoring
+from graphquarry.sources.scratch import stash
 
 
 @dataclass
@@ -74,7 +75,8 @@ def _scored(index: Index, narrow: Index, queries: DataFrame, s: Scoring) -> tupl
     sims = similarities(queries, index.vectors, index.dim)
     dirs = ranking.directory_sims(narrow.directories, sims)
     boosts = ranking.commit_boosts(index.file_commits, index.commits, sims, s)
-    return sims, dirs, ranking.file_scores(narrow.files, sims, dirs, boosts, ranking.bm25_scores(narrow.files, queries), s)
+    keywords = stash(ranking.bm25_scores(narrow.files, queries), "keywords")
+    return sims, dirs, ranking.file_scores(narrow.files, sims, dirs, boosts, keywords, s)
 
 
 def search_files(index: Index, queries: DataFrame, o: Options = Options()) -> DataFrame:

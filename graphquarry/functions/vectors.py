@@ -1,7 +1,9 @@
-"""Vector similarity in double precision, without Python."""
+"""Vector similarity in double precision."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def unrolled_dot(a: Column, b: Column, dim: int) -> Column:
-    """The same for arrays of ``dim`` doubles, as one generated expression; far faster than the lambdas."""
-    total = F.get(a, 0) * F.get(b, 0)
-    for i in range(1, dim):
-        total = total + F.get(a, i) * F.get(b, i)
-    return total
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -36,12 +30,41 @@ def unit_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return v.withColumn("n", norm(F.col("v"))).filter("n > 0").select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("unit"))
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(query_id, vec_id, sim): every query against every distinct vector once, in blocks of the vectors' partitions.
+def similarities(queries: DataFrame, vectors: DataFrame, dim: int, max_queries: int = 20_000, few_vectors: int = 1_000_000) -> DataFrame:
+    """(query_id, vec_id, sim): the cosine of every query with every distinct vector, each pair once.
 
-    The queries are a stated set; they are the side that is sent around.
+    queries(query_id, vec_id) is a stated set. Up to ``max_queries`` it is one matrix that every task
+    gets, and a batch of vectors is scored by one matrix product; more queries go through column
+    expressions. Vectors of another length than ``dim``, with nulls, or all zero are left out.
     """
-    unit = unit_vectors(vectors)
-    q = queries.select("query_id", "vec_id").join(unit, "vec_id").select("query_id", F.col("unit").alias("q"))
-    pairs = unit.crossJoin(q)
-    return pairs.select("query_id", "vec_id", unrolled_dot(F.col("q"), F.col("unit"), dim).alias("sim"))
+    spark = vectors.sparkSession
+    good = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()))
+    good = good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.select("query_id", "vec_id").join(good, "vec_id").select("query_id", "v")
+    few = asked.limit(max_queries + 1).collect()
+    if good.limit(few_vectors + 1).count() <= few_vectors:
+        good = good.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small table can be one file, and so one task
+    if len(few) > max_queries:
+        q = unit_vectors(asked, "query_id", "v").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q"))
+        return unit_vectors(good, "vec_id", "v").crossJoin(q).select("query_id", "vec_id", dot(F.col("q"), F.col("unit")).alias("sim"))
+    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+    matrix = np.array([r["v"] for r in few], np.float64).reshape(-1, dim)
+    size = np.sqrt((matrix * matrix).sum(axis=1))
+    names = pa.array([r["query_id"] for r in few]).filter(pa.array(size > 0))
+    matrix = matrix[size > 0] / size[size > 0, None]
+
+    def run(batches):
+        step = max(1, (1 << 20) // max(1, len(matrix)))
+        for b in batches:
+            for at in range(0, len(b), step):
+                part = b.slice(at, step)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                n = np.sqrt((x * x).sum(axis=1))
+                on = np.flatnonzero(n > 0)
+                sim = (x[on] / n[on, None]) @ matrix.T
+                ids = part.column(0).take(pa.array(np.repeat(on, len(matrix))))
+                who = names.take(pa.array(np.tile(np.arange(len(matrix)), len(on))))
+                yield pa.RecordBatch.from_arrays([who.cast(wide), ids, pa.array(sim.ravel())], ["query_id", "vec_id", "sim"])
+
+    wide = pa.int64() if kinds["query_id"] == "bigint" else pa.int32() if kinds["query_id"] == "int" else pa.string()
+    return good.mapInArrow(run, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, sim double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphquarry.functions.text import code_tokens
 from graphquarry.functions.vectors import similarities
+from graphquarry.sources.scratch import spread, stash
 
 
 @dataclass(frozen=True)
@@ -61,14 +62,17 @@ def bm25_scores(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float
     """(query_id, file_id, score) over the distinct terms of each query; files with null skeletons are no documents.
 
     Terms that no query holds leave before the first shuffle; the counts that are kept are per
-    document and term.
+    document and term, and are written once, as document frequencies and scores both read them.
     """
-    docs = files.filter("skeleton is not null").select("file_id", code_tokens(F.col("skeleton")).alias("terms"))
+    texts = spread(files.filter("skeleton is not null").select("file_id", "skeleton"), "file_id")
+    docs = texts.select("file_id", code_tokens(F.col("skeleton")).alias("terms"))
     sizes = docs.select("file_id", F.size("terms").alias("dl"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
     known = wanted.select("term").distinct()
     tf = docs.select("file_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(known, "term", "left_semi")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tf = tf.groupBy("file_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = stash(tf.repartition(parts, "file_id"), "term-counts")  # by file: a frequent term is spread over all tasks
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -139,7 +143,8 @@ def hybrid_file_search(files, directories, commits, file_commits, queries, vecto
     """Batch search over files: all queries in one plan."""
     sims = similarities(queries, vectors, dim)
     dirs = directory_sims(directories, sims)
-    scored = file_scores(files, sims, dirs, commit_boosts(file_commits, commits, sims, s), bm25_scores(files, queries), s)
+    keywords = stash(bm25_scores(files, queries), "keywords")  # read for the scores and for their maxima
+    scored = file_scores(files, sims, dirs, commit_boosts(file_commits, commits, sims, s), keywords, s)
     return top_n(scored.filter(F.col("final_score") >= s.min_score), "final_score", n, "file_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphquarry.functions.vectors import similarities
 from graphquarry.operators import evaluation as e
 from graphquarry.operators import search as s
+from graphquarry.sources.scratch import stash
 
 from .registry import query
 
@@ -79,7 +80,7 @@ _SWEEP = """p AS (SELECT query_id, file_id, sim, coalesce(score, 0) / max(score)
 
 def swept(v):
     sims = similarities(v.queries, v.table("embeddings"), 64)
-    key = s.bm25_scores(v.files, v.queries)
+    key = stash(s.bm25_scores(v.files, v.queries), "keywords")
     top = key.groupBy("query_id").agg(F.max("score").alias("m"))
     parts = v.files.select("file_id", "vec_id").join(sims, "vec_id").join(key, ["query_id", "file_id"], "left").join(top, "query_id", "left")
     k = F.coalesce(F.col("score") / F.col("m"), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphquarry.functions import text as tx
 from graphquarry.functions import vectors as vx
 from graphquarry.operators import search as s
+from graphquarry.sources.scratch import stash
 
 from .registry import query
 
@@ -20,7 +21,8 @@ def sims(v):
 
 def scored(v, w=LOW):
     sm = sims(v)
-    return s.file_scores(v.files, sm, s.directory_sims(v.directories, sm), s.commit_boosts(v.file_commits, v.commits, sm, w), s.bm25_scores(v.files, v.queries), w)
+    keywords = stash(s.bm25_scores(v.files, v.queries), "keywords")
+    return s.file_scores(v.files, sm, s.directory_sims(v.directories, sm), s.commit_boosts(v.file_commits, v.commits, sm, w), keywords, w)
 
 
 BOOSTS = """boosts AS (SELECT query_id, file_id, sum(sim * pow(0.8, recency - 1)) AS commit_boost
@@ -116,7 +118,7 @@ def _(v):
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, kind, name) AS rank FROM u WHERE score >= 0.1)
  SELECT query_id, kind, name, round(score, 6) AS score, rank FROM t WHERE rank <= 20""")
 def _(v):
-    sc = scored(v)
+    sc = stash(scored(v), "scores")  # for the files and for their folders
     f = sc.select("query_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("name"), F.col("final_score").alias("score"))
     d = s.directory_scores(s.directory_sims(v.directories, sims(v)), sc, LOW)
     d = d.select("query_id", F.lit("directory").alias("kind"), F.concat(F.col("repo_id").cast("string"), F.lit(":"), "dir_path").alias("name"), F.col("dir_score").alias("score"))

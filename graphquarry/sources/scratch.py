@@ -36,3 +36,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over all cores if it comes from fewer files than there are cores; else as it is.
+
+    A small table is often one file, and then one task would do all the work on its texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if len(df._jdf.inputFiles()) < cores else df
