@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.sources.scratch import scratch_path, shared_dir, stash
+from graphquarry.sources.scratch import scratch_path, shared_dir, spread, stash
 
-__all__ = ["arrow_limits", "scratch_path", "shared_dir", "shuffle_parts", "small", "stash"]
+__all__ = ["arrow_limits", "scratch_path", "shared_dir", "shuffle_parts", "small", "spread", "stash"]
 
 #: Rows per Arrow batch. Texts can be 100 KB and more, so batches stay small.
 ARROW_ROWS = 512

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, small, stash
+from .common import arrow_limits, small, spread, stash
 
 _WHITE = b" \t\n\x0b\x0c\r"
 WHITE = "[\\x20\\x09-\\x0D]"
@@ -104,7 +104,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), b.column(2)], schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.length(text).cast("long").alias("n_cp")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.length(text).cast("long").alias("n_cp")), "doc_id").mapInArrow(run, schema)
 
 
 def _shard(shards: int):

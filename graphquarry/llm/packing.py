@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, stash
+from .common import arrow_limits, spread, stash
 
 
 class WordTokenizer:
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             yield pa.RecordBatch.from_arrays(cols, schema.names)
         _loaded[path].cache.clear()  # an idle worker holds no words
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
 
 
 class _BySize:

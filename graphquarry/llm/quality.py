@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, stash
+from .common import arrow_limits, spread, stash
 
 STATS = [
     "log_bytes", "upper", "digit", "blank", "line_end", "pipe", "bang", "symbol", "stop", "other_mark", "non_ascii",
@@ -75,7 +75,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T)], schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
 
 
 # -- trees and rules ------------------------------------------------------------------------------
