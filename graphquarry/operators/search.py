@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +61,82 @@ def vector_top_k(sims: DataFrame, k: int, min_score: float | None = None) -> Dat
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_scores(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, max_pairs: int = 200_000) -> DataFrame:
     """(query_id, file_id, score) over the distinct terms of each query; files with null skeletons are no documents.
 
     Terms that no query holds leave before the first shuffle; the counts that are kept are per
-    document and term, and are written once, as document frequencies and scores both read them.
+    document and term, and are written once, as document frequencies and scores both read them. A
+    common term meets most queries in most documents, so its contributions are added up document by
+    document in arrays while they stream by, if the queries, a stated set, have ``max_pairs`` terms
+    at most; beyond that by a join and an aggregation.
     """
+    spark = files.sparkSession
     texts = spread(files.filter("skeleton is not null").select("file_id", "skeleton"), "file_id")
     docs = texts.select("file_id", code_tokens(F.col("skeleton")).alias("terms"))
     sizes = docs.select("file_id", F.size("terms").alias("dl"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
     known = wanted.select("term").distinct()
     tf = docs.select("file_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(known, "term", "left_semi")
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tf = tf.groupBy("file_id", "dl", "term").agg(F.count("*").alias("tf"))
     tf = stash(tf.repartition(parts, "file_id"), "term-counts")  # by file: a frequent term is spread over all tasks
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(corpus)).select("term", "file_id", part.alias("part"))  # corpus: one row
-    return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
+    scored = tf.join(df, "term").crossJoin(F.broadcast(corpus)).select("file_id", "term", part.alias("part"))  # corpus: one row
+    pairs = wanted.orderBy("term", "query_id").limit(max_pairs + 1).collect()
+    if len(pairs) > max_pairs:
+        return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
+    return _add_up(scored.repartition(parts, "file_id").sortWithinPartitions("file_id"), pairs, dict(queries.dtypes)["query_id"])
+
+
+def _add_up(scored: DataFrame, pairs: list, query_type: str) -> DataFrame:
+    """(query_id, file_id, score) of scored(file_id, term, part), sorted by file within partitions; pairs: (query_id, term) by term."""
+    terms = pa.array([r["term"] for r in pairs], pa.string())
+    names = sorted({r["query_id"] for r in pairs})
+    place = {q: i for i, q in enumerate(names)}
+    asks = np.array([place[r["query_id"]] for r in pairs], np.int64)
+    vocabulary = terms.unique()
+    n_asks = np.bincount(pc.index_in(terms, vocabulary).to_numpy(zero_copy_only=False), minlength=len(vocabulary)) if len(pairs) else np.zeros(0, np.int64)
+    since = np.cumsum(n_asks) - n_asks
+    width = max(1, len(names))
+    file_type = dict(scored.dtypes)["file_id"]
+
+    def sums(table: pa.Table):
+        ids = table.column("file_id").to_numpy()
+        code = pc.index_in(table.column("term"), vocabulary).to_numpy()
+        value = table.column("part").to_numpy()
+        cuts = np.flatnonzero(np.diff(ids)) + 1
+        firsts = np.concatenate(([0], cuts))
+        step = max(1, (1 << 21) // width)  # files whose sums are held at once
+        for at in range(0, len(firsts), step):
+            lo = firsts[at]
+            hi = firsts[at + step] if at + step < len(firsts) else len(ids)
+            own = np.searchsorted(firsts, np.arange(lo, hi), "right") - 1 - at
+            n = n_asks[code[lo:hi]]
+            row = np.repeat(np.arange(hi - lo), n)
+            ask = asks[np.repeat(since[code[lo:hi]] - np.cumsum(n) + n, n) + np.arange(len(row))]
+            total = np.bincount(own[row] * width + ask, value[lo:hi][row], minlength=width * (min(at + step, len(firsts)) - at))
+            hit = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(hit % width)), pa.array(ids[firsts[at + hit // width]]), pa.array(total[hit])], ["query_id", "file_id", "score"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            held = now if held is None else pa.concat_tables([held, now])
+            if len(held) < 1 << 17:
+                continue
+            ids = held.column("file_id").to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last file may go on
+            if cut:
+                yield from sums(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield from sums(held)
+
+    return scored.mapInArrow(run, f"query_id {query_type}, file_id {file_type}, score double")
 
 
 def commit_boosts(file_commits: DataFrame, commits: DataFrame, sims: DataFrame, s: Scoring) -> DataFrame:
