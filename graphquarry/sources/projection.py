@@ -46,7 +46,7 @@ class Views:
         d = self.table("documents")
         ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
         folder = F.concat(F.col("lang"), F.lit("/d"), (F.col("doc_id") % 10).cast("string"))
-        rows = d.join(F.broadcast(self.repos.select("repo_id", F.col("name").alias("source"))), "source")
+        rows = d.join(self.repos.select("repo_id", F.col("name").alias("source")), "source")
         return rows.select(
             F.col("doc_id").alias("file_id"), "repo_id", folder.alias("dir_path"),
             F.concat(folder, F.lit("/doc_"), F.col("doc_id").cast("string"), ext).alias("file_path"), ext.alias("file_type"),

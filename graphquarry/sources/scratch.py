@@ -26,6 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphquarry/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables; call it when no result that reads them is needed any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphquarry")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 

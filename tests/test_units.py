@@ -294,3 +294,12 @@ def test_api(spark):
     assert api.search_files(index, q, api.Options(scoring=low, token_repos=[])).count() == 0
     assert api.search_files(index, q, api.Options(scoring=low, rerank=True)).count() > 0
     assert api.get_cost_summary(index, 3).count() > 0
+
+
+def test_scratch_tables(spark):
+    from graphquarry.sources import scratch
+
+    df = scratch.stash(spark.createDataFrame([(1, None)], "a int, b string"), "t")
+    assert [tuple(r) for r in df.collect()] == [(1, None)]
+    scratch.clear(spark)
+    assert scratch.stash(spark.range(3).toDF("a"), "t").count() == 3
