@@ -279,3 +279,20 @@ def _(v):
     d = v.table("documents")
     files = d.select(F.concat(F.lit("w/"), "source", F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
     return repos_below(files.unionByName(d.select(F.concat(F.lit("w/"), "source", F.lit("/.git/HEAD")).alias("path")).distinct()))
+
+
+@query("incremental_update", """SELECT repo_id, file_path, CASE WHEN file_id IN (SELECT file_id FROM expected) THEN 'changed' ELSE content_hash END AS content_hash FROM files WHERE repo_id <> 6""")
+def _(v):
+    """One update of an index: deleted paths go, changed files replace, the rest stays."""
+    index = v.files.select("repo_id", "file_path", "content_hash")
+    deleted = v.files.filter("repo_id = 6").select("repo_id", "file_path")
+    changed = v.files.filter("repo_id <> 6").join(v.expected, "file_id", "left_semi").select("repo_id", "file_path", F.lit("changed").alias("content_hash"))
+    return t.merge(t.stale(index, deleted, ["repo_id", "file_path"]), changed, ["repo_id", "file_path"])
+
+
+@query("manifest_classes", "SELECT file_id, CASE WHEN strlen(skeleton) > 20000 THEN 'too_large' WHEN file_type = '.java' THEN 'not_indexed' WHEN b.blob_id IS NOT NULL THEN 'indexed' ELSE 'new' END AS class FROM files LEFT JOIN (SELECT * FROM blobs WHERE blob_id IN (SELECT file_id FROM expected)) b USING (content_hash)")
+def _(v):
+    known = v.blobs.join(v.expected.select(F.col("file_id").alias("blob_id")), "blob_id", "left_semi").select("content_hash", F.lit(True).alias("known"))
+    rows = v.files.join(known, "content_hash", "left")
+    kind = F.when(F.octet_length("skeleton") > 20_000, "too_large").when(F.col("file_type") == ".java", "not_indexed").when(F.col("known"), "indexed").otherwise("new")
+    return rows.select("file_id", kind.alias("class"))

@@ -145,3 +145,18 @@ def _(v):
 
     fresh = v.expected.select(F.col("file_id").alias("source_file_id")).distinct().withColumn("imported_module", F.concat(F.lit("fresh_"), F.col("source_file_id").cast("string")))
     return replace_by_key(v.file_imports.select("source_file_id", "imported_module"), fresh, ["source_file_id"])
+
+
+@query("repo_graph_mermaid", "SELECT 'graph LR' || chr(10) || string_agg('  r' || source_repo || ' -->|' || n || '| r' || target_repo, chr(10) ORDER BY source_repo, target_repo) AS mermaid FROM (SELECT source_repo, target_repo, count(*) AS n FROM cross_repo_edges GROUP BY ALL)")
+def _(v):
+    line = F.concat(F.lit("  r"), F.col("source_repo").cast("string"), F.lit(" -->|"), F.col("n_edges").cast("string"), F.lit("| r"), F.col("target_repo").cast("string"))
+    e = g.repo_graph(v.cross_repo_edges).agg(F.array_sort(F.collect_list(F.struct("source_repo", "target_repo", line.alias("line")))).alias("a"))  # pairs of repositories, not files
+    return e.select(F.concat(F.lit("graph LR\n"), F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("mermaid"))
+
+
+@query("results_with_repo_neighbours", """WITH p AS (SELECT DISTINCT source_repo AS s, target_repo AS t FROM cross_repo_edges), a AS (SELECT s AS repo_id, string_agg(t, ',' ORDER BY t) AS depends_on FROM p GROUP BY s)
+ SELECT f.file_id, f.repo_id, coalesce(a.depends_on, '') AS depends_on FROM files f LEFT JOIN a USING (repo_id) WHERE f.file_id IN (SELECT file_id FROM expected)""")
+def _(v):
+    near = g.repo_neighbours(v.cross_repo_edges).select("repo_id", "depends_on")
+    hits = v.files.join(v.expected, "file_id", "left_semi").select("file_id", "repo_id")
+    return hits.join(near, "repo_id", "left").select("file_id", "repo_id", F.coalesce("depends_on", F.lit("")).alias("depends_on"))

@@ -224,3 +224,32 @@ def _(v):
     rows = rows.join(e.select(F.col("vec_id").alias("summary_vec"), F.col("v").alias("b")), "summary_vec", "left").withColumn("drift", 1 - vx.cosine(F.col("a"), F.col("b")))
     status = F.when(F.col("drift").isNull(), "missing").when(F.col("drift") > 0.9, "stale").otherwise("ok")
     return rows.select("file_id", F.round("drift", 6).alias("drift"), status.alias("status"))
+
+
+@query("knn_then_filter", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, file_id) AS rank FROM sims JOIN files USING (vec_id))
+ SELECT query_id, file_id, rank FROM k WHERE rank <= 200 AND file_type = '.py'""")
+def _(v):
+    near = v.files.select("file_id", "file_type", "vec_id").join(sims(v), "vec_id")
+    order = s.Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "file_id")
+    most = max(10 * 3, 200)  # the over-fetch is the feature: a filter after it can return fewer
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).filter("file_type = '.py'").select("query_id", "file_id", "rank")
+
+
+@query("results_with_index_time", "SELECT e.query_id, e.file_id, strftime(f.indexed_at, '%Y-%m-%dT%H:%M:%S') AS indexed_at, CASE WHEN f.file_id IS NULL THEN NULL ELSE f.file_path END AS file_path FROM expected e LEFT JOIN files f ON e.file_id = f.file_id AND f.repo_id <= 10")
+def _(v):
+    f = v.files.filter("repo_id <= 10").select("file_id", "file_path", F.date_format("indexed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("indexed_at"))
+    return v.expected.join(f, "file_id", "left").select("query_id", "file_id", "indexed_at", "file_path")
+
+
+@query("results_as_json", "SELECT query_id, '{\"query_id\":' || query_id || ',\"n\":' || count(*) || ',\"first\":' || min(file_id) || '}' AS line FROM expected GROUP BY query_id")
+def _(v):
+    g = v.expected.groupBy("query_id").agg(F.count("*").alias("n"), F.min("file_id").alias("first"))
+    return g.select("query_id", F.to_json(F.struct("query_id", "n", "first")).alias("line"))
+
+
+@query("entries_json", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'n' || doc_id END AS name FROM documents")
+def _(v):
+    d = F.col("doc_id").cast("string")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit("[{broken")).otherwise(F.concat(F.lit('[{"name": "n'), d, F.lit('", "kind": "class", "startLine": 1, "endLine": 2}]')))
+    entries = F.from_json(raw, "array<struct<name:string,kind:string,startLine:int,endLine:int>>")
+    return v.table("documents").select("doc_id", F.get(entries, 0)["name"].alias("name"))
