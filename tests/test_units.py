@@ -303,3 +303,18 @@ def test_scratch_tables(spark):
     assert [tuple(r) for r in df.collect()] == [(1, None)]
     scratch.clear(spark)
     assert scratch.stash(spark.range(3).toDF("a"), "t").count() == 3
+
+
+def test_limiter_as_a_stream(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    ev = [(rng.randint(1, 4), float(rng.randint(0, 300))) for _ in range(120)]
+    spark.createDataFrame(ev, "key long, t double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("key long, t double").parquet(str(tmp_path / "in"))
+    q = limits.limit_stream(s, 3, 60).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    want, state = [], {}
+    for k, t in sorted(ev, key=lambda e: e[1]):
+        want.append((k, t, state.setdefault(k, limits.SlidingLog(3, 60))(t)))
+    assert rows(spark.table("limited"), "key", "t", "outcome") == sorted(want)
