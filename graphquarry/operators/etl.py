@@ -112,12 +112,21 @@ def embed_plan(files: DataFrame, blobs: DataFrame) -> DataFrame:
     return files.select("file_id", "content_hash").join(blobs.select("content_hash", "vec_id"), "content_hash", "left").select("file_id", F.col("vec_id").isNotNull().alias("cached"), "vec_id")
 
 
-def lru_evict(entries: DataFrame, capacity: float) -> DataFrame:
-    """entries(name, size, last_access): the oldest that must go until the rest fits."""
-    total = entries.agg(F.sum("size").alias("total"))
-    before = Window.orderBy("last_access", "name").rowsBetween(Window.unboundedPreceding, -1)
-    run = entries.withColumn("freed", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    return run.crossJoin(F.broadcast(total)).filter(F.col("total") - F.col("freed") > capacity).select("name", "size", "last_access")  # total: one row
+def lru_evict(entries: DataFrame, capacity: float, ranges: int = 1024) -> DataFrame:
+    """entries(name, size, last_access): the oldest that must go until the rest fits; a null access is the oldest.
+
+    The running sum is taken in two steps, over ranges of access and within each, so no task orders
+    all entries.
+    """
+    at = F.col("last_access").cast("double")
+    all_ = entries.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.sum("size").alias("total"))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.coalesce(at, F.col("lo")) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (ranges - 1))).otherwise(F.lit(0)).cast("int")
+    rows = entries.crossJoin(F.broadcast(all_)).withColumn("part", part)  # all_: one row
+    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy("part").agg(F.sum("size").alias("size"))
+    sums = sums.select("part", before(Window.orderBy("part")).alias("since"))
+    own = rows.withColumn("own", before(Window.partitionBy("part").orderBy("last_access", "name"))).join(sums, "part")
+    return own.filter(F.col("total") - F.col("since") - F.col("own") > capacity).select("name", "size", "last_access")
 
 
 def export(files: DataFrame, file_commits: DataFrame, excluded: Column, with_vectors: bool = False, with_commits: bool = True) -> tuple[DataFrame, DataFrame | None]:
