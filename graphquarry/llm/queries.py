@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_warc_zip": warczip.OP4_SQL,
     "op3_trigram_secrets": secrets.OP3_SQL,
     "op8_fuse_dedup": exactdedup.OP8_SQL,
     "op9_line_bitmaps": linededup.OP9_SQL,

@@ -276,3 +276,19 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     out = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32(hex_text: str) -> str:
+    """SQL for the base-32 form of 40 hex digits: four runs of 40 bits, eight letters each."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr({h}, {at}, 10))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
+    return " || ".join(letter.format(h=hex_text, at=10 * run + 1, shift=35 - 5 * i) for run in range(4) for i in range(8))
+
+
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_base32('x')} AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM b
+"""
