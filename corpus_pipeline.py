@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import exactdedup, packing, quality, secrets, simhash
+from graphquarry.llm import exactdedup, jaccard, packing, quality, secrets
 from graphquarry.llm.common import stash
 
 
@@ -24,8 +24,8 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near SimHash fingerprints, the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each component of documents that share 0.8 or more of their five-word shingles, the smallest doc_id stays."""
+    return jaccard.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
