@@ -138,8 +138,7 @@ def _(v):
 def _(v):
     from graphquarry.functions.vectors import similarities
 
-    q = v.queries.orderBy("query_id").limit(3)  # three queries are the request
-    per_blob = v.blobs.join(similarities(q, v.table("embeddings"), 64), "vec_id")  # each unique content is scored once
+    per_blob = v.blobs.join(similarities(v.queries, v.table("embeddings"), 64), "vec_id")  # each unique content is scored once
     return v.files.select("file_id", "content_hash").join(per_blob, "content_hash").select("file_id", "query_id", F.round("sim", 6).alias("sim"))
 
 
