@@ -9,6 +9,8 @@ from graphquarry.operators import search as s
 
 from .registry import query
 
+DEPTH = 10  # of a walk over imports, by default
+
 
 @query("importers", "SELECT i.resolved_file_id, i.source_file_id, f.file_path, i.imported_module FROM file_imports i JOIN files f ON i.source_file_id = f.file_id WHERE i.resolved_file_id IN (SELECT file_id FROM expected)")
 def _(v):
@@ -26,31 +28,30 @@ _EDGES = "e AS (SELECT DISTINCT source_file_id AS a, resolved_file_id AS b FROM
 @query("trace_import_chain", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT query_id AS seed, query_id AS file_id, 0 AS depth FROM queries UNION SELECT seed, b, depth + 1 FROM w JOIN e ON file_id = a WHERE depth < 4)
  SELECT seed, file_id, min(depth)::BIGINT AS depth FROM w WHERE file_id <> seed GROUP BY seed, file_id""")
 def _(v):
-    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), 4)
+    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), DEPTH)
 
 
 @query("trace_import_chain_inward", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT query_id AS seed, query_id AS file_id, 0 AS depth FROM queries UNION SELECT seed, a, depth + 1 FROM w JOIN e ON file_id = b WHERE depth < 3)
  SELECT seed, file_id, min(depth)::BIGINT AS depth FROM w WHERE file_id <> seed GROUP BY seed, file_id""")
 def _(v):
-    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), 3, inward=True)
+    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), DEPTH, inward=True)
 
 
 @query("trace_import_chain_all_depths", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT query_id AS seed, query_id AS file_id, 0 AS depth FROM queries UNION SELECT seed, b, depth + 1 FROM w JOIN e ON file_id = a WHERE depth < 3)
  SELECT seed, file_id, depth::BIGINT AS depth FROM w WHERE depth > 0""")
 def _(v):
-    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), 3, all_depths=True)
+    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), DEPTH, all_depths=True)
 
 
 @query("trace_conversation_turns", """WITH RECURSIVE w AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = (SELECT min(turn) FROM conversations) UNION SELECT c.conv_id, c.turn, depth + 1 FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE depth < 5)
  SELECT conv_id, max(depth)::BIGINT AS depth FROM w WHERE depth > 0 GROUP BY conv_id""")
 def _(v):
     c = v.table("conversations").select("conv_id", "turn").distinct()
-    first = c.agg(F.min("turn")).first()[0]
     key = lambda t: F.col("conv_id") * 100_000 + t
     edges = c.select(key(F.col("turn")).alias("source_file_id"), key(F.col("turn") + 1).alias("resolved_file_id"))
     edges = edges.join(c.select(key(F.col("turn")).alias("resolved_file_id")), "resolved_file_id", "left_semi")
-    seeds = c.filter(F.col("turn") == first).select(key(F.col("turn")).alias("file_id"))
-    return g.trace_imports(edges, seeds, 5).groupBy(F.expr("seed div 100000").alias("conv_id")).agg(F.max("depth").alias("depth"))
+    seeds = c.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(key(F.col("turn")).alias("file_id"))
+    return g.trace_imports(edges, seeds, DEPTH).groupBy(F.expr("seed div 100000").alias("conv_id")).agg(F.max("depth").alias("depth"))
 
 
 @query("cross_repo_edges", "SELECT e.source_repo, e.target_repo, s.file_path AS source_path, t.file_path AS target_path, e.imported_module FROM cross_repo_edges e JOIN files s ON e.source_file = s.file_id JOIN files t ON e.target_file = t.file_id")

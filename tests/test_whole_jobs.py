@@ -1,6 +1,7 @@
 """Registered queries against brute force over all rows, where a cut of the job would show."""
 
 import numpy as np
+import pytest
 
 from graphquarry.plans import registry
 from graphquarry.sources.projection import Views
@@ -20,3 +21,39 @@ def test_blob_scores_cover_all_queries(spark):
     got = {(r["file_id"], r["query_id"]): r["sim"] for r in out}
     assert len(asked) > 3 and len(out) == len(got) and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def walk(edges, seeds, depth):
+    """(seed, file_id, depth) at every depth that some path gives."""
+    out = set()
+    for s in seeds:
+        level = {s}
+        for d in range(1, depth + 1):
+            level = {b for a in level for b in edges.get(a, ())}
+            out |= {(s, b, d) for b in level}
+    return out
+
+
+@pytest.mark.parametrize("name, inward", [("trace_import_chain", False), ("trace_import_chain_inward", True), ("trace_import_chain_all_depths", False)])
+def test_import_walks_go_to_depth_10(spark, tmp_path, name, inward):
+    v = Views(spark, SF)
+    edges = {}
+    for r in v.file_imports.filter("resolved_file_id is not null").collect():
+        a, b = (r["resolved_file_id"], r["source_file_id"]) if inward else (r["source_file_id"], r["resolved_file_id"])
+        edges.setdefault(a, set()).add(b)
+    want = walk(edges, {r["query_id"] for r in v.queries.collect()}, 10)
+    if not name.endswith("all_depths"):
+        least = {}
+        for s, f, d in want:
+            least[s, f] = min(d, least.get((s, f), d))
+        want = {(s, f, d) for (s, f), d in least.items() if s != f}
+    out = registry.QUERIES[name](spark, SF).collect()
+    assert len(out) == len(want) and {(r["seed"], r["file_id"], r["depth"]) for r in out} == want
+    assert max(d for _, _, d in want) > 4
+
+
+def test_conversations_start_at_their_own_first_turn(spark, tmp_path):
+    turns = [(1, t) for t in range(14)] + [(2, t) for t in range(3, 10)] + [(3, 5), (4, 0), (4, 1), (4, 3)]
+    spark.createDataFrame([(c, t, "user", "x") for c, t in turns], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = registry.QUERIES["trace_conversation_turns"](spark, str(tmp_path)).collect()
+    assert {(r["conv_id"], r["depth"]) for r in out} == {(1, 10), (2, 6), (4, 1)}
