@@ -166,22 +166,52 @@ def trace_imports(file_imports: DataFrame, seeds: DataFrame, max_depth: int, inw
     return out
 
 
+# Where another repository's module, subpath or entry is looked for, in this order.
+CROSS_ENDINGS = [".ts", ".tsx", ".js", ".jsx"]
+CROSS_PYTHON = [("", ".py"), ("", "/__init__.py"), ("src/", ".py"), ("src/", "/__init__.py")]
+
+
+def _cross_paths(module: Column) -> Column:
+    forms = [(p, i + e) for e in CROSS_ENDINGS for i in ("", "/index") for p in ("", "src/")]
+    return F.array(*[F.concat(F.lit(p), module, F.lit(e)) for p, e in forms])
+
+
 def cross_repo_edges(unresolved: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
     """Edges from unresolved imports to other repositories.
 
-    unresolved(repo_id, source_file, imported_module), packages(repo_id, package, entry), files(repo_id,
-    file_path). A module is a package's name, or its name and a path below; then the entry file, or
-    the path as given or with an ending. Of several repositories the lowest id wins.
+    unresolved(repo_id, source_file, imported_module, and language; without that column all are
+    typescript), packages(repo_id, package, entry), files(repo_id, file_path). TypeScript and JavaScript:
+    a module is a package's name (then the entry file), its name and a path below, or a path in a
+    repository of another name; paths are tried with four endings, plain, below src/, and as index
+    files. Python: the dotted path as a file or a package, plain or below src/. Relative and absolute
+    modules have no edge. Of several repositories that have the file the lowest id wins; if none has it,
+    a package of that name gives an edge without a target file.
     """
+    if "language" not in unresolved.columns:
+        unresolved = unresolved.withColumn("language", F.lit("typescript"))
+    key = ["repo_id", "source_file", "imported_module"]
+    module = F.col("imported_module")
     parts = F.split("imported_module", "/")
-    scoped = F.when(F.col("imported_module").startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(parts[0])
-    rows = unresolved.withColumn("package", scoped).withColumn("sub", F.when(F.length("imported_module") > F.length("package"), F.substring("imported_module", F.length("package") + 2, F.length("imported_module"))))
-    both = rows.join(packages.withColumnRenamed("repo_id", "target_repo"), "package").filter("repo_id <> target_repo")
-    tries = F.when(F.col("sub").isNull(), F.array("entry")).otherwise(F.array(*[F.concat("sub", F.lit(e)) for e in ("", ".ts", ".js", "/index.ts", "/index.js")]))
-    tried = both.select("*", F.posexplode(tries).alias("pos", "file_path"))
+    scoped = F.when(module.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(parts[0])
+    ts = unresolved.filter(F.col("language").isin("typescript", "javascript") & ~module.startswith(".") & ~module.startswith("/"))
+    rows = ts.withColumn("package", scoped).withColumn("sub", F.when(F.length("imported_module") > F.length("package") + 1, F.substring("imported_module", F.length("package") + 2, F.length("imported_module"))))
+    named = packages.withColumnRenamed("repo_id", "target_repo")
+    both = rows.join(named, "package").filter("repo_id <> target_repo")
+    tries = F.when(F.col("sub").isNull(), F.array("entry")).otherwise(F.concat(F.array("sub"), _cross_paths(F.col("sub"))))
+    tried = both.select(*key, "target_repo", F.posexplode(tries).alias("pos", "file_path"))
     there = files.select(F.col("repo_id").alias("target_repo"), "file_path", F.col("file_path").alias("target_file"))
-    hit = tried.join(there, ["target_repo", "file_path"], "left")
-    order = Window.partitionBy("repo_id", "source_file", "imported_module").orderBy("target_repo", F.col("target_file").isNull(), "pos")
+    by_name = tried.join(there, ["target_repo", "file_path"], "left").select(*key, "target_repo", "pos", "target_file")
+
+    # Paths match in any repository but one whose package the module names: there only the package counts.
+    python = unresolved.filter(F.col("language") == "python")
+    dotted = F.translate(module, ".", "/")
+    choice = F.array(*[F.concat(F.lit(p), dotted, F.lit(e)) for p, e in CROSS_PYTHON])
+    paths = ts.select(*key, scoped.alias("package"), F.posexplode(_cross_paths(module)).alias("pos", "file_path"))
+    paths = paths.unionByName(python.select(*key, F.lit(None).cast("string").alias("package"), F.posexplode(choice).alias("pos", "file_path")))
+    by_path = paths.join(there, "file_path").filter("repo_id <> target_repo").join(named.select("target_repo", "package"), ["target_repo", "package"], "left_anti")
+
+    hit = by_name.unionByName(by_path.select(*key, "target_repo", "pos", "target_file"))
+    order = Window.partitionBy(*key).orderBy(F.col("target_file").isNull(), "target_repo", "pos")
     best = hit.withColumn("r", F.row_number().over(order)).filter("r = 1")
     return best.select(F.col("repo_id").alias("source_repo"), "target_repo", "source_file", "imported_module", "target_file")
 

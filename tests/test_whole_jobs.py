@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from graphquarry.operators import graph
 from graphquarry.plans import registry
 from graphquarry.sources.projection import Views
 
@@ -57,3 +58,23 @@ def test_conversations_start_at_their_own_first_turn(spark, tmp_path):
     spark.createDataFrame([(c, t, "user", "x") for c, t in turns], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     out = registry.QUERIES["trace_conversation_turns"](spark, str(tmp_path)).collect()
     assert {(r["conv_id"], r["depth"]) for r in out} == {(1, 10), (2, 6), (4, 1)}
+
+
+def test_cross_repo_paths_and_python(spark):
+    files = [(2, "lib/a.jsx"), (2, "src/lib/b.tsx"), (3, "lib/b.ts"), (2, "lib/c/index.jsx"), (3, "src/lib/d/index.ts"), (3, "lib/d/index.js"), (2, "src/deep/e.tsx"), (2, "src/deep/f/index.jsx")]
+    files += [(4, "tools/run.py"), (3, "src/tools/run.py"), (4, "tools/kit/__init__.py"), (5, "src/tools/sub/__init__.py"), (1, "own/x.ts"), (4, "pkg/only.ts"), (2, "index.ts"), (7, "@s/p/z.ts")]
+    packages = [(2, "pkg", "index.ts"), (6, "@s/p", "index.js")]
+    asked = {
+        ("lib/a", "typescript"): (2, "lib/a.jsx"), ("lib/b", "javascript"): (2, "src/lib/b.tsx"), ("lib/c", "typescript"): (2, "lib/c/index.jsx"), ("lib/d", "typescript"): (3, "src/lib/d/index.ts"),
+        ("pkg/deep/e", "typescript"): (2, "src/deep/e.tsx"), ("pkg/deep/f", "typescript"): (2, "src/deep/f/index.jsx"), ("pkg", "typescript"): (2, "index.ts"),
+        ("tools.run", "python"): (3, "src/tools/run.py"), ("tools.kit", "python"): (4, "tools/kit/__init__.py"), ("tools.sub", "python"): (5, "src/tools/sub/__init__.py"),
+        ("@s/p/z", "typescript"): (7, "@s/p/z.ts"), ("@s/p", "typescript"): (6, None),
+        ("own/x", "typescript"): None, ("./lib/a", "typescript"): None, ("lib.a", "python"): None, ("pkg", "go"): None,
+    }
+    rows = [(1, k, m, lang) for k, (m, lang) in enumerate(asked)]
+    out = graph.cross_repo_edges(
+        spark.createDataFrame(rows, "repo_id long, source_file long, imported_module string, language string"),
+        spark.createDataFrame(packages, "repo_id long, package string, entry string"), spark.createDataFrame(files, "repo_id long, file_path string"),
+    ).collect()
+    want = {k: t for k, t in enumerate(asked.values()) if t}
+    assert len(out) == len(want) and {r["source_file"]: (r["target_repo"], r["target_file"]) for r in out} == want
