@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphquarry.sources.scratch import scratch_path, shared_dir, spread, stash
 
-__all__ = ["arrow_limits", "scratch_path", "shared_dir", "shuffle_parts", "small", "spread", "stash"]
+__all__ = ["arrow_limits", "keep_rows", "scratch_path", "shared_dir", "shuffle_parts", "small", "spread", "stash", "text_hash"]
 
 #: Rows per Arrow batch. Texts can be 100 KB and more, so batches stay small.
 ARROW_ROWS = 512
@@ -20,9 +20,33 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if, counted, it has at most ``max_rows`` rows; else as it is."""
+    """``df`` with a broadcast hint if, counted, it has at most ``max_rows`` rows; else as it is. For rows of bounded width."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """With the doc_id, what tells a row from others; null and empty texts are the same."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame, once: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    verdict(doc_id, text_hash, stays): at least one row for each such pair of ``docs``; a null doc_id is
+    an id like any other. Rows are told apart by both, so texts that share a doc_id have verdicts of
+    their own. once: of rows that agree in both and stay, one stays, that with the smallest JSON.
+    """
+    agreed = verdict.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    odd = stash(agreed.filter(~F.col("stays") | (F.lit(once) & (F.col("n") > 1))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "verdict")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), text_hash().alias("_text"))
+    same = lambda d: F.col("_doc").eqNullSafe(d["_id"]) & (F.col("_text") == d["_hash"])
+    out = rows.join(odd, same(odd), "left_anti").select("row.*")
+    repeated = odd.filter("stays")
+    if repeated.isEmpty():
+        return out
+    one = rows.join(repeated, same(repeated), "left_semi").groupBy("_doc", "_text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))

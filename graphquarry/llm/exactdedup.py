@@ -1,16 +1,17 @@
 """Exact dedup screened by static binary-fuse filters.
 
-The rows are taken as immutable snapshots followed by incoming ones. Every snapshot's distinct
-digests are dealt to shards by digest, and each shard gets a 3-wise binary-fuse filter of 8-bit
-fingerprints, built once. The digests of later rows meet the filters of all earlier snapshots in
-their shard. A miss is certain: that text is new, and its copies are only grouped among its own
-batch. A hit joins the exact bucket (the full SHA-256) of the snapshot, and the two texts are
-compared byte for byte before the groups become one.
+Rows come in batches. ``build_snapshot`` turns a batch into an immutable snapshot, a folder with the
+batch's buckets (one row for each SHA-256 of a text without white space) and, for each shard of the
+digests, a 3-wise binary-fuse filter of 8-bit fingerprints, built once. ``screen_batch`` lets the
+digests of an incoming batch meet the filters of stored snapshots. A miss is certain: that text is
+new, and its copies are only grouped among its own batch. A hit joins the snapshot's exact bucket,
+and the two texts are compared byte for byte before the groups become one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, small, spread, stash
+from .common import arrow_limits, keep_rows, scratch_path, small, spread, stash, text_hash
 
 _WHITE = b" \t\n\x0b\x0c\r"
 WHITE = "[\\x20\\x09-\\x0D]"
@@ -93,102 +94,169 @@ def may_hold(keys: np.ndarray, seed: int, length: int, count: int, table: bytes)
 
 # -- the operator -------------------------------------------------------------------------------
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, n_cp): SHA-256 of the text without white space, and the code points of the whole text."""
+    """(doc_id, text_hash, sha, n_cp): SHA-256 of the text without white space, and the code points of the whole text."""
     arrow_limits(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("sha", T.BinaryType()), T.StructField("n_cp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("sha", T.BinaryType()), T.StructField("n_cp", T.LongType())])
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary()).to_pylist()
+            texts = b.column(3).cast(pa.large_binary()).to_pylist()
             sha = [hashlib.sha256(t.translate(None, _WHITE)).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), b.column(2)], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.binary()), b.column(2)], schema.names)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.length(text).cast("long").alias("n_cp")), "doc_id").mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.length(text).cast("long").alias("n_cp"), text.alias("text"))
+    return spread(rows, "doc_id").mapInArrow(run, schema)
 
 
 def _shard(shards: int):
     return F.pmod(F.xxhash64("sha"), F.lit(shards)).cast("int")
 
 
-def build_filters(groups: DataFrame, snapshots: int, shards: int) -> DataFrame:
-    """(shard, snapshot, seed, length, count, table): one static filter for each snapshot and shard."""
+def _key():
+    return F.xxhash64(F.lit(1), "sha").alias("key")
+
+
+def _first():
+    """The row that stays: most code points, then the smallest doc_id, null last."""
+    return F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+
+
+def buckets(marks: DataFrame) -> DataFrame:
+    """(sha, best, n): one row for each digest of a batch."""
+    return marks.groupBy("sha").agg(_first(), F.count("*").alias("n"))
+
+
+def build_filters(groups: DataFrame, shards: int) -> DataFrame:
+    """(shard, seed, length, count, table): one static filter for each shard of groups(sha)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = build_filter(pdf["key"].to_numpy().view(np.uint64))
-        return pd.DataFrame([(pdf["shard"].iloc[0], pdf["snapshot"].iloc[0], *made)], columns=["shard", "snapshot", "seed", "length", "count", "table"])
+        return pd.DataFrame([(pdf["shard"].iloc[0], *made)], columns=["shard", "seed", "length", "count", "table"])
 
-    keyed = groups.filter(F.col("batch") < snapshots).select(_shard(shards).alias("shard"), F.col("batch").alias("snapshot"), F.xxhash64(F.lit(1), "sha").alias("key"))
-    return keyed.groupBy("shard", "snapshot").applyInPandas(run, "shard int, snapshot int, seed long, length long, count long, table binary")
+    return groups.select(_shard(shards).alias("shard"), _key()).groupBy("shard").applyInPandas(run, "shard int, seed long, length long, count long, table binary")
 
 
-def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """(sha, batch, snapshot): the digests that an earlier snapshot's filter may hold."""
+def build_snapshot(marks: DataFrame, folder: str | None = None, shard_rows: int = 500_000) -> str:
+    """Writes the buckets and filters of marks, a batch's ``digests``, below ``folder`` and returns it.
+
+    Without a folder: one in the shared scratch space. ``shard_rows`` bounds what one filter holds.
+    """
+    spark = marks.sparkSession
+    folder = folder or scratch_path(spark, "snapshot")
+    buckets(marks).write.parquet(f"{folder}/buckets")
+    groups = spark.read.parquet(f"{folder}/buckets")
+    shards = max(16, -(-groups.count() // shard_rows))
+    build_filters(groups, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{folder}/filters")
+    return folder
+
+
+FILTER = "shard int, seed long, length long, count long, table binary, shards int"
+
+
+def screen(groups: DataFrame, folder: str, shard_rows: int = 500_000) -> DataFrame:
+    """(sha): those of groups(sha) that a snapshot's filters may hold.
+
+    Each filter meets ``shard_rows`` digests at once or so; where more come, the filter is sent several times.
+    """
+    filters = groups.sparkSession.read.schema(FILTER).parquet(f"{folder}/filters")
+    shards = (filters.agg(F.max("shards")).first()[0]) or 1
+    parts = max(1, -(-groups.count() // (shards * shard_rows)))
 
     def run(rows: pd.DataFrame, filt: pd.DataFrame) -> pd.DataFrame:
-        keys, batch, found = rows["key"].to_numpy().view(np.uint64), rows["batch"].to_numpy(), []
-        for f in filt.itertuples():
-            late = np.flatnonzero(batch > f.snapshot)
-            if len(late):
-                hit = late[may_hold(keys[late], f.seed, f.length, f.count, f.table)]
-                found.append(pd.DataFrame({"sha": rows["sha"].to_numpy()[hit], "batch": batch[hit], "snapshot": np.full(len(hit), f.snapshot, np.int32)}))
-        return pd.concat(found) if found else pd.DataFrame({"sha": [], "batch": [], "snapshot": []})
-
-    rows = groups.filter(F.col("batch") > 0).select(_shard(shards).alias("shard"), "sha", "batch", F.xxhash64(F.lit(1), "sha").alias("key"))
-    return rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(run, "sha binary, batch int, snapshot int")
-
-
-def _byte_equal(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
-    """pairs(sha, batch, snapshot, a, b) whose documents a and b hold the same bytes but for white space."""
-    wanted = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    wanted = small(stash(wanted, "compared"), max_broadcast)
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, "")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(wanted, "_id", "left_semi")
-    texts = texts.select("_id", norm.alias("_norm")).withColumn("_sha", F.unhex(F.sha2("_norm", 256)))
-    left = texts.select(F.col("_id").alias("a"), F.col("_sha").alias("sha"), F.col("_norm").alias("_x"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_sha").alias("sha"), F.col("_norm").alias("_y"))
-    both = pairs.join(left, ["a", "sha"]).join(right, ["b", "sha"]).filter(F.col("_x") == F.col("_y"))
-    return both.select("sha", "batch", "snapshot").distinct()
+        hit = np.zeros(len(rows), bool)
+        if len(rows):
+            for f in filt.itertuples():
+                hit |= may_hold(rows["key"].to_numpy().view(np.uint64), f.seed, f.length, f.count, f.table)
+        return pd.DataFrame({"sha": rows["sha"].to_numpy()[hit]})
+
+    part = F.pmod(F.xxhash64(F.lit(2), "sha"), F.lit(parts)).cast("int").alias("part")
+    rows = groups.select(_shard(shards).alias("shard"), part, "sha", _key())
+    sent = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInPandas(run, "sha binary")
+
+
+def screen_batch(folders: list[str], groups: DataFrame) -> DataFrame:
+    """(sha, snapshot, best): the exact buckets of stored snapshots that digests of an incoming batch fall into.
+
+    groups: the batch's ``buckets``; snapshot: the place of the folder in the list. Bytes aren't compared yet.
+    """
+    spark = groups.sparkSession
+    found = None
+    for k, folder in enumerate(folders):
+        kept = spark.read.parquet(f"{folder}/buckets")
+        one = screen(groups, folder).join(kept, "sha").select("sha", F.lit(k).alias("snapshot"), "best")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _classes(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
+    """(sha, batch, root): for each wanted(sha, batch, best) the first batch whose text has the same bytes.
+
+    The rows are grouped by the very bytes of the text without white space, which are read once.
+    """
+    asked = wanted.select("sha", "batch", F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    asked = small(asked, max_broadcast)
+    rows = docs.select(F.col(id_col).alias("_doc"), text_hash(text_col).alias("_own"), F.col(text_col).alias("_raw"))
+    rows = rows.join(asked, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    texts = rows.select("sha", "batch", F.regexp_replace(F.coalesce("_raw", F.lit("")), WHITE, "").alias("bytes"))
+    # repeated rows are one by now: the bytes of a group are an aggregation's key
+    same = texts.groupBy("sha", "bytes").agg(F.collect_set("batch").alias("batches"))
+    return same.select("sha", F.explode("batches").alias("batch"), F.array_min("batches").alias("root"))
 
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", snapshots: int = 2, shard_rows: int = 500_000, max_broadcast: int = 100_000
 ) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, sha): one row for each row of ``docs``.
+    """(doc_id, text_hash, keep_id, group_size, kept, sha): one row for each row of ``docs``.
 
     Of texts that are equal without white space, the one with the most code points stays, then the
-    one with the smallest doc_id. Null texts are empty; empty texts are equal. A repeated row (the
-    same doc_id and text) counts in group_size and is the same document, so both say the same of
-    kept. A null doc_id is last to stay; its row is kept only if all of its group are null. Extra
-    columns are ignored. The result doesn't depend on ``snapshots`` (the rows are dealt by a hash of
-    doc_id; the last batch is the incoming one), on ``shard_rows``, which bounds a filter, or on
-    ``max_broadcast``, up to which the ids of compared texts are sent to every task.
+    one with the smallest doc_id, then, where an id has several such texts, the one with the smallest
+    hash. Null texts are empty; empty texts are equal. A repeated row (the same doc_id and text) counts
+    in group_size and is the same document, so all its copies say the same of kept. A null doc_id is
+    last to stay. Ids may be of any type that has an order. Extra columns are ignored.
+
+    The rows are dealt to batches by a hash of doc_id; each batch but the last becomes a snapshot after
+    it has been screened. The result doesn't depend on ``snapshots``, on ``shard_rows``, which bounds a
+    filter, or on ``max_broadcast``, up to which the names of compared texts are sent to every task.
     """
-    marks = stash(digests(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(snapshots + 1)).cast("int")), "digests")
-    best = F.max(F.struct("n_cp", F.negate("doc_id").alias("neg"))).alias("best")
-    groups = stash(marks.groupBy("sha", "batch").agg(best, F.count("*").alias("n")), "groups")
-    shards = max(64, -(-groups.count() // shard_rows))
-    filters = stash(build_filters(groups, snapshots, shards), "filters")
-    hits = screen(groups, filters, shards)
-    rep = lambda batch, name: groups.select("sha", F.col("batch").alias(batch), F.negate("best.neg").alias(name))
-    pairs = stash(hits.join(rep("batch", "a"), ["sha", "batch"]).join(rep("snapshot", "b"), ["sha", "snapshot"]), "pairs")
-    named = pairs.filter("a is not null and b is not null")
-    equal = _byte_equal(named, docs, id_col, text_col, max_broadcast)
-    equal = equal.unionByName(pairs.filter("a is null or b is null").select("sha", "batch", "snapshot"))  # no id to fetch the text by
-    first = equal.groupBy("sha", "batch").agg(F.min("snapshot").alias("snapshot"))
-    rooted = groups.join(first, ["sha", "batch"], "left").withColumn("root", F.coalesce("snapshot", "batch"))
-    rooted = stash(rooted, "rooted")
-    final = rooted.groupBy("sha", "root").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-    verdict = rooted.select("sha", "batch", "root").join(final, ["sha", "root"])
-    verdict = verdict.select("sha", "batch", F.negate("best.neg").alias("keep_id"), "group_size")
-    out = marks.join(verdict, ["sha", "batch"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
+    spark = docs.sparkSession
+    marks = digests(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(snapshots + 1)).cast("int"))
+    marks = stash(marks, "digests")
+    folders: list[str] = []
+    every, wanted = [], []
+    for k in range(snapshots + 1):
+        batch = marks.filter(F.col("batch") == k)
+        if k < snapshots:
+            own = build_snapshot(batch, shard_rows=shard_rows)
+            groups = spark.read.parquet(f"{own}/buckets")
+        else:
+            own, groups = "", stash(buckets(batch), "incoming")
+        every.append(groups.withColumn("batch", F.lit(k)))
+        if folders:
+            hits = stash(screen_batch(folders, groups), "hits")
+            wanted += [hits.select("sha", F.col("snapshot").alias("batch"), "best"), groups.join(hits.select("sha").distinct(), "sha", "left_semi").select("sha", F.lit(k).alias("batch"), "best")]
+        folders.append(own)
+    groups = reduce(DataFrame.unionByName, every).select("sha", "batch", "best", "n")
+    if wanted:
+        met = stash(reduce(DataFrame.unionByName, wanted).distinct(), "compared")
+        classes = stash(_classes(met, docs, id_col, text_col, max_broadcast), "classes")
+        rooted = groups.join(classes, ["sha", "batch"])
+        final = rooted.groupBy("sha", "root").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        merged = classes.join(final, ["sha", "root"]).select("sha", "batch", "best", "n")
+        groups = groups.join(classes, ["sha", "batch"], "left_anti").unionByName(merged)
+    out = marks.join(groups, ["sha", "batch"])
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return out.select("doc_id", "text_hash", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "sha")
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` doesn't keep."""
-    gone = exact_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(stash(gone, "copies"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each group of equal texts, the one that ``exact_groups`` keeps.
+
+    Rows are judged by id and text, so another text of the same doc_id is judged apart; of repeated rows
+    one stays; rows with a null doc_id are judged as any other.
+    """
+    return keep_rows(docs, exact_groups(docs).select("doc_id", "text_hash", F.col("kept").alias("stays")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
-"""Near copies by exact similarity of five-word shingles, for the pipeline.
-
-Two documents are linked if the Jaccard similarity of their sets of shingles is SIMILARITY or more.
-A SimHash radius can't find these pairs: at 0.8 they differ in 7 bits of 64 on average, and the pivot
-tables' keys for a radius that holds nearly all of them (12 and more) are too short to tell
-documents apart. So pairs are sought by MinHash: BANDS bands of ROWS minima each, and a pair at
-similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS, which is 0.999997 at 0.8 and
-more above. Every pair is then verified on its whole sets, so nothing below SIMILARITY is linked.
-
-Equal sets are one node, so copies never pair up. Inside a bucket only nodes of different components
-are compared: first all with one member (STAR_ROUNDS times, another member each time), which joins
-a large group of near copies in linear time; then those outside the bucket's largest component with
-all others. No bucket and no pair is left out.
+"""Near copies of documents: SimHash pivot tables, widened to a similarity of five-word shingles.
+
+Two documents are linked if the Jaccard similarity of their sets of shingles is 0.8 or more. The
+pivot tables of ``simhash`` give the pairs whose fingerprints differ in two bits or fewer. Pairs at
+0.8 differ in 9 bits of 64 on average and in 18 at most here; pivot tables for so wide a radius have
+keys too short to tell documents apart. So what lies beyond the radius is sought by MinHash: BANDS
+bands of ROWS minima, and a pair at similarity s shares a band with probability
+1 - (1 - s^ROWS)^BANDS, which is 0.999997 at 0.8 and more above. Every candidate is verified on its
+whole set, so nothing below 0.8 is linked.
+
+Equal sets are one node, so copies never pair up. In a bucket all are first compared with one member,
+the one with the fewest shingles that no other set has, so a large group of near copies is joined in
+linear time. What is left are buckets that hold several components; pairs across these are sought by
+an exact prefix join: with a set's shingles in order of their rarity, two sets can share ``least`` of
+them only if they share one among the first ``size - least + 1`` of both. Sets that lack a link
+mostly have their own rare shingles there and meet nobody. No bucket and no pair is left out.
 """
 
 from __future__ import annotations
@@ -22,32 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, spread, stash
+from .common import arrow_limits, keep_rows, spread, stash, text_hash
 from .components import connected_components
+from .simhash import groups_for, majority, pivot_links, shingle_hashes
 
-SHINGLE, BANDS, ROWS, STAR_ROUNDS = 5, 32, 5, 2
-#: Similarity as a fraction, so that verification is exact: 4 / 5.
-NUMERATOR, DENOMINATOR = 4, 5
-_LOWER = bytes(range(256)).lower()
+SHINGLE, BANDS, ROWS = 5, 32, 5
 _rng = np.random.default_rng(42)
 _MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, no words: none."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - SHINGLE + 1)
-    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    stops = (ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
-
-
 def band_keys(hashes: np.ndarray) -> list[int]:
     """The bucket of a set in each band, as signed longs."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -59,96 +46,152 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(bands, np.uint64).view(np.int64).tolist()
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, keys, hashes): one row for each row of ``docs``; node names the set."""
+def prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, fp, size, keys): one row for each row of ``docs``; node names the set of shingles."""
+    arrow_limits(docs.sparkSession)
+    fields = [
+        ("doc_id", docs.schema["doc_id"].dataType), ("text_hash", T.LongType()), ("node", T.LongType()), ("fp", T.LongType()),
+        ("size", T.IntegerType()), ("keys", T.ArrayType(T.LongType())),
+    ]
+
+    def run(batches):
+        for b in batches:
+            node, fp, size, keys = [], [], [], []
+            for t in b.column(2).to_pylist():
+                every = shingle_hashes(t, SHINGLE)
+                own = np.unique(every)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                fp.append(majority(every))
+                size.append(len(own))
+                keys.append(band_keys(own) if len(own) else [])
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            cols = [b.column(0), b.column(1), long(node), long(fp), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, [f for f, _ in fields])
+
+    return spread(docs.select("doc_id", text_hash().alias("text_hash"), "text"), "doc_id").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes array<long>) of wanted(node, rep struct<none, doc_id, text_hash>): one row for each."""
     arrow_limits(docs.sparkSession)
-    longs = pa.list_(pa.int64())
+    asked = wanted.select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+    rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s) if len(s) else [] for s in sets], longs)
+            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in b.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), keys, hashes], ["doc_id", "node", "keys", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "hashes"])
 
-    many = T.ArrayType(T.LongType())
-    fields = [("doc_id", docs.schema["doc_id"].dataType), ("node", T.LongType()), ("keys", many), ("hashes", many)]
-    return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+    return rows.mapInArrow(run, "node long, hashes array<long>")
 
 
 def _pairs(a, b):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
+def _may_reach(n, m):
+    """Sets of such sizes can reach 0.8."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(u, v) whose sets reach the similarity."""
+    """The pairs(u, v) whose sets reach a similarity of 0.8."""
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", shared.alias("n"), (F.size("a") + F.size("b")).alias("total"))
-    return both.filter(DENOMINATOR * F.col("n") >= NUMERATOR * (F.col("total") - F.col("n"))).select("u", "v")
-
-
-def _may_reach(n, m):
-    """Sets of such sizes can have the similarity."""
-    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """(u, v): pairs of nodes at the similarity or more, enough to span every linked set. prints: written shingle_sets."""
-    keyed = prints.select("node", F.size("hashes").alias("size"), F.explode("keys").alias("key")).distinct()
+    return both.filter(5 * F.col("n") >= 4 * (F.col("total") - F.col("n"))).select("u", "v")
+
+
+def _seeds(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes whose fingerprints are equal or linked by the pivot tables."""
+    of = stash(nodes.groupBy("fp").agg(F.min("node").alias("m")), "prints-of-nodes")
+    near = pivot_links(of.select("fp"), groups_for(of.count()))
+    a, b = of.select(F.col("fp").alias("u"), F.col("m").alias("x")), of.select(F.col("fp").alias("v"), F.col("m").alias("y"))
+    across = near.distinct().join(a, "u").join(b, "v").select(*_pairs(F.col("x"), F.col("y")))
+    equal = nodes.join(of, "fp").filter("node <> m").select(*_pairs(F.col("m"), F.col("node")))
+    return across.unionByName(equal).filter("u <> v").distinct()
+
+
+def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the pairs of rest(node, root, size) in different components that the prefix join leaves."""
+    tokens = sets.join(rest, "node").select("node", "root", "size", F.explode("hashes").alias("token"))
+    many = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1")
+    held = tokens.join(many, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("t"))
+    # those that no other set has come first and meet nobody
+    alone = F.col("size") - F.size("t")
+    longest = F.expr("size + cast((-4 * size) div 5 as int) + 1")
+    heads = held.select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("t", 1, F.greatest(longest - alone, F.lit(0)))).alias("i", "x"))
+    heads = stash(heads.filter("x.mixed").select("node", "root", "size", (F.col("alone") + F.col("i")).alias("at"), "x.token"), "prefixes")
+    counts = heads.groupBy("token", "root").agg(F.count("*").alias("n"))
+    major = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+    few = heads.join(major, "token").filter("root <> major")
+    few = few.select(F.col("token").alias("tok"), F.col("node").alias("w"), F.col("root").alias("other"), F.col("size").alias("m"), F.col("at").alias("place"))
+    least = F.expr("cast(-((-4 * (size + m)) div 9) as int)")
+    meet = (F.col("root") != F.col("other")) & _may_reach(F.col("size"), F.col("m")) & (F.col("at") <= F.col("size") - least) & (F.col("place") <= F.col("m") - least)
+    both = heads.join(few, (F.col("token") == F.col("tok")) & meet)
+    return both.select(*_pairs(F.col("node"), F.col("w"))).distinct()
+
+
+def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the components of linked nodes; single nodes and roots may be missing. nodes: written, one row for each set."""
+    seeds = stash(_seeds(nodes), "seeds")
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    held = stash(keyed.join(shared, "key"), "set-buckets")
-    sets = prints.select("node", "hashes").join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = stash(sets, "sets")
-    found = tested = None
-    for k in range(STAR_ROUNDS + 1):
-        if found is None:
-            rooted = held.withColumn("root", F.col("node"))
-        else:
-            stars = connected_components(found)
-            rooted = held.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-            rooted = stash(rooted.join(mixed, "key", "left_semi"), "mixed-buckets")
-        if k < STAR_ROUNDS:
-            first = rooted.groupBy("key").agg(F.min_by(F.struct("node", "size", "root"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("c"))
-            pairs = rooted.join(first, "key").filter((F.col("c.root") != F.col("root")) & _may_reach(F.col("c.size"), F.col("size")))
-            pairs = pairs.select(*_pairs(F.col("c.node"), F.col("node")))
-        else:
-            counts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-            major = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-            few = rooted.join(major, "key").filter("root <> major").select("key", F.col("node").alias("w"), F.col("size").alias("m"), F.col("root").alias("other"))
-            pairs = rooted.join(few, "key").filter((F.col("root") != F.col("other")) & _may_reach(F.col("size"), F.col("m")))
-            pairs = pairs.select(*_pairs(F.col("node"), F.col("w")))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stash(pairs, "set-pairs")
-        new = stash(_similar(pairs, sets), "similar")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-    return found
+    held = stash(keyed.join(shared, "key"), "buckets-of-sets")
+    met = held.select("node").union(seeds.select("u")).union(seeds.select("v")).distinct()
+    sets = stash(sets_of(docs, nodes.select("node", "rep").join(met, "node", "left_semi")), "sets")
+    own = sets.select("node", F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    own = stash(own.groupBy("node").agg(F.count("*").cast("int").alias("own")), "own-shingles")
+    # a set can't share what no other has
+    held = held.join(own, "node", "left").withColumn("core", F.col("size") - F.coalesce("own", F.lit(0))).filter("5 * core >= 4 * size")
+    held = stash(held.select("node", "size", "core", "key"), "open-buckets")
+    order = F.struct((F.col("size") - F.col("core")) / F.col("size"), F.xxhash64("node"))
+    first = held.groupBy("key").agg(F.min_by(F.struct("node", "size", "core"), order).alias("c"))
+    may = _may_reach(F.col("c.size"), F.col("size")) & (9 * F.least(F.col("c.core"), F.col("core")) >= 4 * (F.col("c.size") + F.col("size")))
+    stars = held.join(first, "key").filter((F.col("c.node") != F.col("node")) & may).select(*_pairs(F.col("c.node"), F.col("node")))
+    found = stash(_similar(seeds.unionByName(stars).distinct(), sets), "similar")
+    roots = stash(connected_components(found), "roots")
+    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    rest = stash(rooted.join(mixed, "key", "left_semi").select("node", "root", "size").distinct(), "open-nodes")
+    more = stash(_similar(_across(rest, sets), sets), "similar-across")
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prints(docs), and (node, best) with the row that stands for the node's component."""
+    found = stash(prints(docs), "shingle-prints")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = found.groupBy("node").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = stash(nodes, "nodes-of-sets")
+    linked = nodes.select("node", "rep").join(components(docs, nodes), "node", "left")
+    linked = stash(linked.select("node", "rep", F.coalesce("root", "node").alias("root")), "set-roots")
+    best = linked.groupBy("root").agg(F.min("rep").alias("best"))
+    return found, linked.join(best, "root").select("node", "best")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): one row for each row of ``docs``; component_id: the smallest doc_id reachable over links.
 
     Null and empty texts and texts of white space have the same, empty set. Rows with a null doc_id
-    keep it and never name a component.
+    keep it and name a component only if all its ids are null.
     """
-    prints = stash(shingle_sets(docs), "shingle-sets")
-    stars = connected_components(links(prints))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    rooted = stash(nodes.join(stars, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "set-roots")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    found, best = _rooted(docs)
+    return found.select("doc_id", "node").join(best, "node").select("doc_id", F.col("best.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id. Rows with a null doc_id stay."""
-    gone = near_copies(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(stash(gone.distinct(), "near-copies"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: the one with the smallest doc_id.
+
+    A null doc_id comes after all others. Of different texts that share the smallest doc_id, one stays;
+    so does one of rows that are repeated. Texts that share a doc_id but no component are judged apart.
+    """
+    found, best = _rooted(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return keep_rows(docs, found.select("doc_id", "text_hash", "node").join(best, "node").select("doc_id", "text_hash", same.alias("stays")))

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, spread, stash
+from .common import arrow_limits, keep_rows, spread, stash, text_hash
 
 STATS = [
     "log_bytes", "upper", "digit", "blank", "line_end", "pipe", "bang", "symbol", "stop", "other_mark", "non_ascii",
     "log_words", "word_bytes", "unique_words", "mark_words", "upper_words", "symbol_words", "log_lines", "line_bytes", "repeated_lines", "top_word",
 ]
-#: Rows that the model is fitted on at most: those with the smallest hashes of doc_id.
+#: Rows that the model is fitted on at most: those with the smallest hashes of id, label and statistics.
 MAX_TRAIN_ROWS = 20_000
 
 _CLASS = np.full(256, 255, np.uint8)
@@ -66,16 +66,16 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, the STATS): one row for each row of ``docs``."""
+    """(doc_id, text_hash, the STATS): one row for each row of ``docs``."""
     arrow_limits(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(s, T.DoubleType()) for s in STATS)])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), *(T.StructField(s, T.DoubleType()) for s in STATS)])
 
     def run(batches):
         for b in batches:
-            rows = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.T)], schema.names)
+            rows = np.array([statistics(t) for t in b.column(2).to_pylist()], np.float64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in rows.T)], schema.names)
 
-    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
 
 
 # -- trees and rules ------------------------------------------------------------------------------
@@ -223,31 +223,59 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _bound(rows: DataFrame, most: int) -> int:
+    """A bound on rows(at), 63-bit numbers, with ``most`` distinct ones at or below it, or all if fewer; twice as many at most.
+
+    Counts by 12 more bits of the number each time, so 4096 rows reach the driver at once.
+    """
+    low, bits, taken = 0, 63, 0
+    while True:
+        step = min(12, bits)
+        part = rows.filter((F.col("at") >= low) & (F.col("at") <= low + (1 << bits) - 1))
+        counts = part.groupBy(F.shiftright(F.col("at") - low, bits - step).alias("k")).agg(F.countDistinct("at").alias("n")).collect()
+        for k, n in sorted((r["k"], r["n"]) for r in counts):
+            if taken + n >= most:
+                break
+            taken += n
+        else:
+            return low + (1 << bits) - 1
+        low, bits = low + (k << (bits - step)), bits - step
+        if n <= most or not bits:
+            return low + (1 << bits) - 1
+
+
 def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
-    """Fits on ``max_rows`` labelled rows that aren't held out; null labels and doc_ids are left out."""
-    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    """Fits on ``max_rows`` labelled rows that aren't held out; null labels and doc_ids are left out, repeated rows count once.
+
+    Which rows these are depends on their values alone, and twice as many at most reach the driver.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality")).distinct()
     rows = stats.filter(~held_out(F.col("doc_id"))).join(known, "doc_id")
-    order = F.xxhash64("doc_id")
-    # the order by all columns makes the fit the same whatever the order of the files
-    got = rows.orderBy(order, "doc_id", "quality", *STATS).limit(max_rows).select("quality", *STATS).toPandas()
+    rows = rows.select(F.shiftrightunsigned(F.xxhash64("doc_id", "quality", *STATS), 1).alias("at"), "quality", *STATS)
+    got = rows.filter(F.col("at") <= _bound(rows.select("at"), max_rows)).dropDuplicates(["at"]).toPandas()
+    got = got.sort_values("at").head(max_rows)
     return fit_rules(got[STATS].to_numpy(float), (got["quality"].to_numpy(float) > 0.5).astype(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score): one row for each row of ``docs``; the fit runs when this is called.
+    """(doc_id, text_hash, score): one row for each row of ``docs``; the fit runs when this is called.
 
     score: 0 to 1, higher: label 1 likelier. Null and empty texts have statistics 0 and get a score
     too. Without usable labels the score is a constant. Repeated rows return each, null doc_ids too
     (they are never learnt from); extra columns are ignored.
     """
     stats = stash(with_statistics(docs), "statistics")
-    return stats.select("doc_id", train(stats, labels, max_rows).score().alias("score"))
+    return stats.select("doc_id", "text_hash", train(stats, labels, max_rows).score().alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the documents that score below the threshold. Rows with a null doc_id stay."""
-    bad = score_documents(docs, labels).filter(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(stash(bad, "rejected"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text scores below the threshold.
+
+    Each row is judged by its own text, rows that share a doc_id and rows with a null one too; repeated
+    rows all stay or all go.
+    """
+    scores = score_documents(docs, labels)
+    return keep_rows(docs, scores.select("doc_id", "text_hash", (F.col("score") >= threshold).alias("stays")), once=False)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -50,23 +50,36 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned 64-bit fingerprint of one text; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The unsigned 64-bit hash of every shingle of one text, repeats included, in their order.
+
+    Words are A-Z in lower case, split at ASCII white space. Fewer words than a shingle: one shingle of
+    them all; no words: none.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     stops = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint: a bit is 1 if set in over half the hashes; no hashes: 0."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):  # a very long text is counted in pieces
-        part = zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])
-        h = np.array([digest(joined[a:b], seed) for a, b in part], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 16):  # a very long text is counted in pieces
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The unsigned 64-bit fingerprint of one text; no words: 0."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -194,9 +207,9 @@ def pivot_links(nodes: DataFrame, groups: int, bucket_cap: int = 512, radius: in
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket_cap: int = 512
 ) -> DataFrame:
-    """(doc_id, fp, component_id, n_links): one row for each row of ``docs``.
+    """(doc_id, fp, component_id, distinct_prints): one row for each row of ``docs``.
 
-    component_id: the smallest doc_id reachable over links of RADIUS or fewer differing bits, the
+    distinct_prints: how many different fingerprints the component holds. component_id: the smallest doc_id reachable over links of RADIUS or fewer differing bits, the
     row's own included. Null and empty texts, and texts of white space, have fingerprint 0 and are
     linked like any other. Rows with a null doc_id keep it; they never name a component (null only
     if the whole component has null ids). Repeated rows each return. Extra columns are ignored.
@@ -212,12 +225,6 @@ def near_duplicates(
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "distinct_prints")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(stash(gone.distinct(), "near-copies"), "doc_id", "left_anti").select(docs.columns)
-
-
 def op1(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -113,11 +113,6 @@ def test_pivot_links_are_all_found(spark, groups):
         assert len(set(zip(comp, want))) == len(set(comp)) == len(set(want))
 
 
-def test_simhash_keeps_one(corpus):
-    kept = {r["doc_id"] for r in simhash.keep_one(corpus).collect()}
-    assert None in kept and 0 in kept and 1 not in kept and 12 not in kept and 5 in kept
-
-
 # -- 2 --------------------------------------------------------------------------------------------
 def greedy(sizes, cap):
     n, at = 1, 0
@@ -414,6 +409,36 @@ def test_exact_groups(corpus, empty, snapshots, bound):
     assert exactdedup.exact_groups(empty).count() == 0
 
 
+def test_copies_of_rows_that_share_ids_join_linearly(spark):
+    """400 copies of each of two texts of one id: no pairs of rows, and one verdict for each text."""
+    rows = spark.range(400).select(F.explode(F.array(*[F.struct(F.lit(i).alias("doc_id"), F.lit(t).alias("text")) for i in range(6) for t in ("one text", f"another text {i}")])).alias("e")).select("e.*")
+    out = exactdedup.exact_groups(rows, snapshots=2)
+    got = {(r["doc_id"], bytes(r["sha"])): (r["keep_id"], r["group_size"], r["kept"], r["n"]) for r in out.groupBy("doc_id", "sha", "keep_id", "group_size", "kept").agg(F.count("*").alias("n")).collect()}
+    sha = lambda t: hashlib.sha256(t.replace(" ", "").encode()).digest()
+    assert got == {(i, sha("one text")): (0, 2400, i == 0, 400) for i in range(6)} | {(i, sha(f"another text {i}")): (i, 400, True, 400) for i in range(6)}
+
+
+def test_a_stored_snapshot_and_an_incoming_batch(spark, corpus, tmp_path):
+    """Screening a batch against a stored snapshot finds what both hold, as grouping the whole does."""
+    old, new = (corpus.filter(F.col("doc_id") % 2 == k) for k in (0, 1))
+    folder = exactdedup.build_snapshot(exactdedup.digests(old), str(tmp_path / "snapshot"))
+    batch = exactdedup.buckets(exactdedup.digests(new))
+    hits = {bytes(r["sha"]): r["best"]["doc_id"] for r in exactdedup.screen_batch([folder], batch).collect()}
+    want = {}
+    norm = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t).encode()).digest()
+    both = {norm(t) for _, t in as_is(old)} & {norm(t) for _, t in as_is(new)}
+    for d, t in as_is(old):
+        if norm(t) in both:
+            want[norm(t)] = min(want.get(norm(t), (0, d)), (-len(t), d))
+    assert hits == {k: v[1] for k, v in want.items()} and hits
+
+
+def test_string_ids(spark):
+    rows = spark.createDataFrame([("b", "same text"), ("a", "same  text"), ("c", "other"), (None, "other")], "doc_id string, text string")
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exactdedup.exact_groups(rows).collect()}
+    assert got == {("b", "a", False), ("a", "a", True), ("c", "c", True), (None, "c", False)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 50_000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)
