@@ -173,8 +173,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, id_co
 
     Law: bytes. size: the UTF-8 bytes of the text (null: none) plus ``overhead``. Equal texts share
     a shard (null texts with empty ones), so no shard is larger than the larger of the minimax
-    capacity and the largest group. slot: 0, 1, ... within each shard, by a hash of the row, so a
-    hot group's rows are numbered in many tasks, about ``piece_rows`` rows each. Repeated rows and
+    capacity and the largest group. slot: 0, 1, ... within each shard, by a hash of the row's place, so a
+    hot group's rows, repeated ones too, are numbered in many tasks, about ``piece_rows`` rows each. Repeated rows and
     null doc_ids are rows as any other; extra columns are ignored; an empty table gives no rows;
     shards beyond the number of groups stay empty. Two texts whose 63-bit hashes collide count as
     one group.
@@ -182,7 +182,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, id_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     facts = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("key"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("key"), F.monotonically_increasing_id().alias("_row"),
     )
     facts = stash(facts, "sizes")
     atoms = stash(facts.groupBy("key").agg(F.sum("size").alias("w")), "atoms")
@@ -197,11 +197,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, id_co
         shard = F.when(F.col("key") == F.lit(key), F.lit(k)).otherwise(shard)
     placed = facts.withColumn("shard", shard.cast("int"))
     pieces = max(32, -(-facts.count() // (shards * piece_rows)))
-    placed = placed.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "key", "size"), F.lit(pieces)).cast("int"))
+    placed = placed.withColumn("_piece", F.pmod(F.xxhash64("_row"), F.lit(pieces)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     units = placed.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
     units = units.withColumn("_since", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = Window.partitionBy("shard", "_piece").orderBy("doc_id", "key")
+    own = Window.partitionBy("shard", "_piece").orderBy("doc_id", "_row")
     numbered = placed.join(units, ["shard", "_piece"]).withColumn("slot", F.col("_since") + F.row_number().over(own) - 1)
     return numbered.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
