@@ -163,23 +163,68 @@ def search_index(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     return flat.groupBy("row").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bind(value, body):
+    """body(value), with the value worked out once and not wherever the body's lambdas name it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(values, block: int):
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda c: F.slice(values, c * block + 1, block))
+
+
+def _running_in(values, before, join):
+    """The running values of a short array after ``before``."""
+    zero = F.struct(before.alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        now = join(acc["last"], x)
+        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+
+def running(values, join, block: int = 64):
+    """The running values of array<int> under ``join``, which is associative and has 0 as its zero.
+
+    An array can't grow in place, so appending to one is quadratic: the values are taken in blocks, and
+    the blocks' totals in blocks again.
+    """
+
+    def levels(first, second):
+        def down(chunks, above):
+            return F.flatten(F.transform(chunks, lambda c, i: _running_in(c, F.when(i > 0, F.get(above, i - 1)).otherwise(F.lit(0)), join)))
+
+        top = _running_in(_totals(second, join), F.lit(0), join)
+        return _bind(top, lambda t: _bind(down(second, t), lambda u: down(first, u)))
+
+    def whole(v):
+        first = _chunks(v, block)
+        return _bind(first, lambda f: _bind(_totals(f, join), lambda t: _bind(_chunks(t, block), lambda s: levels(f, s))))
+
+    return _bind(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(v))
+
+
+def _totals(chunks, join):
+    return F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, b: join(a, b)))
+
+
 def _spans(text, kind: str, pattern: str, least: int):
-    """array<struct<start,kind number,end,kind>> of one rule: positions from what lies between the matches."""
+    """array<struct<start,number,end,kind>> of one rule: positions from what lies between the matches, in linear time."""
     number = [k for k, _, _ in RULES].index(kind)
     group = 2 if kind == "assign" else 0
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>").alias("out"))
+    lengths = lambda x: F.transform(x, lambda y: F.length(y))
+    found = F.struct(
+        lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("whole"), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("part"),
+        lengths(F.split(text, pattern, -1)).alias("gap"),
+    )
 
-    def step(acc, r):
-        start = acc["at"] + r["gap"]
-        end = start + F.length(r["whole"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(kind).alias("kind"))
-        out = F.when(F.length(r["part"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, start).alias("at"), out.alias("out"))
+    def placed(m):
+        moves = F.zip_with(F.slice(m["gap"], 1, F.size(m["whole"])), m["whole"], lambda g, w: g + w)
+        ends = F.zip_with(running(moves, lambda x, y: x + y), m["whole"], lambda e, w: F.struct((e - w).alias("start"), e.alias("end")))
+        spans = F.zip_with(ends, m["part"], lambda s, n: F.when(n >= least, F.struct(s["start"].alias("start"), F.lit(number).alias("number"), s["end"].alias("end"), F.lit(kind).alias("kind"))))
+        return F.filter(spans, lambda s: s.isNotNull())
 
-    return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+    return _bind(found, placed)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, max_broadcast: int = 200_000, carry: bool = False) -> DataFrame:
@@ -208,16 +253,30 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.select("doc_id", "text", *(["carried"] if carry else []), F.array_sort(F.concat(*spans)).alias("spans"))
 
 
-def redacted(text, spans):
-    """The text with every span, joined where they overlap, replaced by MARK."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def redacted(text, spans, block: int = 256):
+    """The text with every span, joined where they overlap, replaced by MARK.
+
+    The text is cut into blocks first, as finding a place in a text means walking to it.
+    """
+    parts = F.struct(
+        F.transform(spans, lambda s: s["start"]).alias("start"), running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("end"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("size"),
+    )
+
+    def build(p):
+        # a span that begins before all those so far have ended belongs to the one before
+        begins = F.transform(p["start"], lambda s, i: F.when((i == 0) | (s >= F.get(p["end"], i - 1)), s))
+        ends = F.transform(p["end"], lambda e, i: F.when((i == F.size(p["start"]) - 1) | (F.get(p["start"], i + 1) >= e), e))
+        present = lambda x: F.filter(x, lambda y: y.isNotNull())
+
+        def piece(a, z):
+            one = F.floor(a / block).cast("int")
+            held = F.array_join(F.slice(p["blocks"], one + 1, F.floor((z - 1) / block).cast("int") - one + 1), "")
+            return F.when(z > a, F.substring(held, a - one * block + 1, z - a)).otherwise(F.lit(""))
 
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise(acc["out"])
-        return F.struct(gap.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        return F.array_join(F.zip_with(F.concat(F.array(F.lit(0)), present(ends)), F.concat(present(begins), F.array(p["size"])), piece), MARK)
 
-    joined = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    return F.when(F.size(spans) > 0, _bind(parts, build)).otherwise(text)
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
