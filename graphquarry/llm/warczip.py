@@ -152,7 +152,7 @@ class PackageWriter:
         z = zlib.compressobj(3, zlib.DEFLATED, 31)
         packed, at = z.compress(raw) + z.flush(), self.data.tell()
         self.data.write(packed)
-        self.lines.append(f"{url.replace(' ', '%20')} {_DATE} " + json.dumps({"offset": at, "length": len(packed), "filename": "data.warc.gz"}))
+        self.lines.append(f"{url.replace(' ', '%20')} {_DATE} " + json.dumps({"offset": at, "length": len(packed), "plain": len(raw), "filename": "data.warc.gz"}))
 
     def close(self, out) -> int:
         """Writes to a binary file object; returns the records."""
@@ -209,11 +209,30 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, max_bytes:
     return stash(rows.mapInArrow(run, "path string, bytes long, records long"), "packages")
 
 
-def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20) -> DataFrame:
+#: Plain bytes that a compressed byte can stand for at most.
+MOST_PLAIN = 1032
+
+
+def _ranges(index: list[dict], chunk: int) -> list[list[dict]]:
+    """Adjacent records together, ``chunk`` plain bytes at most, or one larger record. Where an index lacks the plain size, its upper bound counts."""
+    out: list[list[dict]] = []
+    held = 0
+    for x in index:
+        own = max(x["length"], x.get("plain", MOST_PLAIN * x["length"]))
+        if not out or held + own > chunk or x["offset"] != out[-1][-1]["offset"] + out[-1][-1]["length"]:
+            out.append([])
+            held = 0
+        out[-1].append(x)
+        held += own
+    return out
+
+
+def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20, payloads: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all records.
 
     First each package's directory and index are read and the records are joined to ranges of about
-    ``chunk`` bytes; then the ranges, dealt anew over all tasks, are read and parsed.
+    ``chunk`` plain bytes at most; then the ranges, dealt anew over all tasks, are read and parsed, so a
+    task holds the records of one range. Without payloads, that column stays in the worker.
     """
     arrow_limits(packages.sparkSession)
 
@@ -227,14 +246,7 @@ def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20) -> Dat
                     base, _ = found[ARCHIVE]
                     at, n = found[INDEX]
                     index = [json.loads(x[x.index("{") :]) for x in f.read_at(n, at).decode().splitlines()]
-                part: list[dict] = []
-                for x in index:
-                    if part and (x["offset"] + x["length"] - part[0]["offset"] > chunk or x["offset"] != part[-1]["offset"] + part[-1]["length"]):
-                        rows.append((path, base + part[0]["offset"], [y["length"] for y in part]))
-                        part = []
-                    part.append(x)
-                if part:
-                    rows.append((path, base + part[0]["offset"], [y["length"] for y in part]))
+                rows += [(path, base + part[0]["offset"], [x["length"] for x in part]) for part in _ranges(index, chunk)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["path", "at", "lengths"])
 
     schema = T.StructType([
@@ -242,6 +254,8 @@ def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20) -> Dat
         T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()),
     ])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    if not payloads:
+        schema = T.StructType(schema.fields[:-1])
 
     def fetch(batches):
         store, _ = pafs.FileSystem.from_uri(folder)
@@ -251,7 +265,7 @@ def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20) -> Dat
                     raw = f.read_at(sum(lengths), at)
                 ends = np.cumsum(lengths).tolist()
                 rows = [parse_record(zlib.decompress(raw[a:e], 31)) for a, e in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(zip(*rows), kinds, schema.names)], schema.names)
 
     ranges = packages.mapInArrow(locate, "path string, at long, lengths array<long>")
     total = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -259,9 +273,11 @@ def read_packages(packages: DataFrame, folder: str, chunk: int = 2 << 20) -> Dat
     return ranges.repartition(parts, "path", "at").mapInArrow(fetch, schema)
 
 
-def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def archive_round_trip(pages: DataFrame, min_bytes: int = 0, payloads: bool = True) -> DataFrame:
     """The records of ``pages`` after a trip through packages; one row for each row of ``pages``.
 
+    page_id is a 64-bit integer, as record ids are made from it.
+
     Null html: an empty payload. Equal payloads: the row with the largest page_id is the response
     and the others revisit it; repeated rows of that page_id are responses all; null page_ids are
     smaller than any other. Null or odd urls: empty, or with control characters percent-encoded.
@@ -270,11 +286,11 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = scratch_path(pages.sparkSession, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = "file://" + folder
-    return read_packages(write_packages(pages, folder, min_bytes), folder)
+    return read_packages(write_packages(pages, folder, min_bytes), folder, payloads=payloads)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    out = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
