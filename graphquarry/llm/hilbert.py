@@ -2,13 +2,16 @@
 
 Each curve projects the unit vectors to a few random orthogonal directions, shifts them, and orders
 them along a Hilbert curve. Spark range-partitions and sorts each ordering, which gives every vector
-a rank. A query looks at the window of ranks around its own on every curve; what the windows hold is
-scored with the true cosine, and the curves' results are merged and ranked again.
-
-A curve's ranks are cut into data blocks and query chunks of bounded size; a window is the pairs of
-blocks and chunks that it touches. Equal vectors are one node with their smallest ids, so a vector
-that a third of all rows share is one point on each curve. The window is a share of all ranks: in 64
-independent dimensions nothing narrower reaches the recall that is asked for at every size.
+a rank on every curve; only keys and names travel for that. A query's candidates are what its windows
+of ranks hold on any curve. The windows are merged before anything is scored: a vector carries its
+ranks, so one test says whether some window holds it, and each pair is scored once with the true
+cosine, however many windows it is in.
+
+Vectors are dealt to blocks and queries to chunks of bounded size, and each block meets each chunk
+once. Equal vectors are one node with their smallest ids, so a vector that a third of all rows share
+is one point on each curve. The window is a share of all ranks: in 64 independent dimensions nothing
+narrower reaches the recall that is asked for at every size, and at that share the merged windows
+hold most of the table.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import arrow_limits, stash
 
@@ -66,10 +68,6 @@ def curve_keys(unit: np.ndarray, curves: int, seed: int) -> np.ndarray:
     return out
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f8").reshape(-1, dim)
-
-
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """(vec_id, vec as doubles), and the dimension: the most common length, then the smallest.
 
@@ -83,9 +81,41 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     return good.filter(F.size("vec") == dim), dim
 
 
+def _nearest(x: np.ndarray, ranks: np.ndarray, low: np.ndarray, y: np.ndarray, asked: np.ndarray, half: int, take: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (places in x, scores) of the ``take`` nearest inside some window; ties: the smaller ``low``.
+
+    The windows are looked up for the best few first, and for all only where these don't settle it.
+    """
+    norm, own = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+    inside = lambda d, q: (np.abs(ranks[d] - asked[q]) <= half).any(axis=-1)
+    m, out = min(4 * take, len(x)), []
+    for at in range(0, len(y), 256):
+        part = y[at : at + 256]
+        rough = (part @ x.T) / (own[at : at + 256, None] * norm[None, :])
+        best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+        value = np.take_along_axis(rough, best, axis=1)
+        floor = value.min(axis=1)
+        held = inside(best, np.arange(at, at + len(part))[:, None])
+        masked = np.where(held, value, -np.inf)
+        last = -np.sort(-masked, axis=1)[:, min(take, m) - 1]
+        for i in range(len(part)):
+            near = best[i][masked[i] >= last[i] - 1e-12] if np.isfinite(last[i]) else None
+            if m < len(x) and (near is None or floor[i] >= last[i] - 1e-12):  # what settles it may lie beyond
+                near = np.flatnonzero(inside(slice(None), at + i))
+                if len(near) > take:
+                    cut = np.partition(rough[i][near], len(near) - take)[len(near) - take]
+                    near = near[rough[i][near] >= cut - 1e-12]
+            elif near is None:
+                near = best[i][held[i]]
+            exact = (x[near] * part[i]).sum(axis=1) / (own[at + i] * norm[near])
+            order = np.lexsort((low[near], -exact))[:take]
+            out.append((near[order], exact[order]))
+    return out
+
+
 def search(
     rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-    curves: int = 10, share: float = 0.2, block: int = 2048, chunk: int = 65536, seed: int = 11,
+    curves: int = 10, share: float = 0.2, block: int = 8192, chunk: int = 16384, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``.
 
@@ -108,23 +138,22 @@ def search(
     facts = marked.groupBy(*key).agg(F.min("vec_id").alias("low"), F.max(F.col("vec_id") % every == 0).alias("asks"))
     firsts = facts.join(ids, key)
     texts = marked.join(firsts.select(F.col("low").alias("vec_id"), *key), ["vec_id", *key]).dropDuplicates(["vec_id", *key]).select("h1", "h2", "vec")
-    nodes = stash(firsts.join(texts, key).withColumn("node", F.col("h1")), "nodes")  # not the id: one id can have several vectors
+    nodes = stash(firsts.join(texts, key), "nodes")
     n = nodes.count()
 
-    # ranks: the row's place on each curve
+    # ranks: a node's place on each curve
     def keyed(batches):
         for b in batches:
-            vec = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            vec = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             unit = vec / np.sqrt((vec * vec).sum(axis=1, keepdims=True))
             keys = curve_keys(unit, curves, seed)
             m = len(vec)
-            packed = pa.array([v.astype("<f8").tobytes() for v in vec], pa.binary())
             at = pa.array(np.repeat(np.arange(m), curves))
-            cols = [pa.array(np.tile(np.arange(curves, dtype=np.int32), m)), pa.array(keys.ravel()), *(c.take(at) for c in (b.column(0), b.column(1), b.column(2), packed))]
-            yield pa.RecordBatch.from_arrays(cols, ["curve", "place", "node", "asks", "ids", "vec"])
+            cols = [pa.array(np.tile(np.arange(curves, dtype=np.int32), m)), pa.array(keys.ravel()), b.column(0).take(at), b.column(1).take(at)]
+            yield pa.RecordBatch.from_arrays(cols, ["curve", "place", *key])
 
-    row_schema = "curve int, place long, node long, asks boolean, ids array<long>, vec binary"
-    placed = nodes.select("node", "asks", "ids", "vec").mapInArrow(keyed, row_schema).repartitionByRange("curve", "place", "node").sortWithinPartitions("curve", "place", "node")
+    placed = nodes.select(*key, "vec").mapInArrow(keyed, "curve int, place long, h1 long, h2 long")
+    placed = placed.repartitionByRange("curve", "place", *key).sortWithinPartitions("curve", "place", *key)
 
     def numbered(batches):
         part, seen = TaskContext.get().partitionId(), {}
@@ -135,47 +164,39 @@ def search(
                 on = curve == c
                 own[on] = np.arange(seen.get(c, 0), seen.get(c, 0) + on.sum())
                 seen[c] = seen.get(c, 0) + int(on.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(curve), part, np.int32)), pa.array(own), *b.columns[2:]], ["curve", "part", "own", "node", "asks", "ids", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(curve), part, np.int32)), pa.array(own), *b.columns[2:]], ["curve", "part", "own", *key])
 
-    line = stash(placed.mapInArrow(numbered, "curve int, part int, own long, node long, asks boolean, ids array<long>, vec binary"), "curves")
+    line = stash(placed.mapInArrow(numbered, "curve int, part int, own long, h1 long, h2 long"), "curves")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     since = line.groupBy("curve", "part").agg(F.count("*").alias("m")).withColumn("since", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    ranked = line.join(since, ["curve", "part"]).withColumn("rank", F.col("since") + F.col("own")).select("curve", "rank", "node", "asks", "ids", "vec")
+    ranked = line.join(since, ["curve", "part"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("curve", (F.col("since") + F.col("own")).alias("rank")))).alias("places"))
+    whole = stash(nodes.join(ranked, key).select(*key, "asks", "ids", "vec", F.col("places.rank").alias("ranks")), "ranked")
 
     half = max(k, int(np.ceil(n * share / 2)))
-    lo, hi = F.greatest(F.lit(0), F.col("rank") - half), F.least(F.lit(n - 1), F.col("rank") + half)
-    over = lambda size: F.explode(F.sequence(F.floor(lo / size).cast("int"), F.floor(hi / size).cast("int")))
-    data = ranked.select("curve", F.floor(F.col("rank") / block).cast("int").alias("block"), over(chunk).alias("chunk"), "rank", "node", "ids", "vec")
-    asked = ranked.filter("asks").select("curve", over(block).alias("block"), F.floor(F.col("rank") / chunk).cast("int").alias("chunk"), "rank", "node", "vec")
+    blocks, chunks = -(-n // block), max(1, -(-whole.filter("asks").count() // chunk))
+    dealt = lambda parts: F.pmod(F.col("h1"), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    data = whole.select(dealt(blocks).alias("block"), each(chunks).alias("chunk"), "ids", "vec", "ranks")
+    asked = whole.filter("asks").select(each(blocks).alias("block"), dealt(chunks).alias("chunk"), *key, "vec", "ranks")
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of their own, apart from data's
 
     def nearest(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
-        if len(d) and len(q):
-            x, d_rank, d_ids = _matrix(d["vec"], dim), d["rank"].to_numpy(), d["ids"].tolist()
-            d_low = np.array([v[0] for v in d_ids])
-            norm = np.sqrt((x * x).sum(axis=1))
-            take = min(k + 1, len(d))
-            for at in range(0, len(q), 512):
-                part = q.iloc[at : at + 512]
-                y, q_rank = _matrix(part["vec"], dim), part["rank"].to_numpy()
-                rough = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * norm[None, :])
-                rough[np.abs(d_rank[None, :] - q_rank[:, None]) > half] = -np.inf
-                cut = np.partition(rough, rough.shape[1] - take, axis=1)[:, -take]
-                for i, name in enumerate(part["node"].tolist()):
-                    near = np.flatnonzero((rough[i] >= cut[i] - 1e-12) & np.isfinite(rough[i]))
-                    exact = (x[near] * y[i]).sum(axis=1) / (np.sqrt((y[i] * y[i]).sum()) * norm[near])
-                    for j in np.lexsort((d_low[near], -exact))[:take]:
-                        found += [(name, v, float(exact[j])) for v in d_ids[near[j]]]
-        return pd.DataFrame(found, columns=["node", "vec_id", "score"])
-
-    pair = ["curve", "block", "chunk"]
-    got = data.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInPandas(nearest, T.StructType([T.StructField("node", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
-    merged = got.groupBy("node", "vec_id").agg(F.max("score").alias("score"))
-    best = merged.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
-    best = stash(best.groupBy("node").agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "nearest")
+        columns = [*key, "vec_id", "score"]
+        if not len(d) or not len(q):
+            return pd.DataFrame([], columns=columns)
+        ids = d["ids"].tolist()
+        matrix = lambda column: np.array(column.tolist(), np.float64)
+        ranks = lambda column: np.array(column.tolist(), np.int64)
+        got = _nearest(matrix(d["vec"]), ranks(d["ranks"]), np.array([v[0] for v in ids]), matrix(q["vec"]), ranks(q["ranks"]), half, min(k + 1, len(d)))
+        found = [(a, b, v, s) for a, b, (near, score) in zip(q["h1"].tolist(), q["h2"].tolist(), got) for j, s in zip(near.tolist(), score.tolist()) for v in ids[j]]
+        return pd.DataFrame(found, columns=columns)
+
+    pair = ["block", "chunk"]
+    got = data.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInPandas(nearest, "h1 long, h2 long, vec_id long, score double")
+    best = got.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
+    best = stash(best.groupBy(*key).agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "nearest")
     queries = marked.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), *key).distinct()
-    asked_of = queries.withColumn("node", F.col("h1")).join(best, "node").select("query_id", F.explode("near").alias("e")).select("query_id", "e.vec_id", "e.score")
+    asked_of = queries.join(best, key).select("query_id", F.explode("near").alias("e")).select("query_id", "e.vec_id", "e.score")
     final = asked_of.filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return final.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
