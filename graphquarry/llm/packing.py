@@ -5,11 +5,12 @@ rest is dealt at random into blocks of bounded size; a block is packed by best f
 lengths and then improved: between underfull bins, a document moves, or one is exchanged for one or
 two others, whenever that increases the sum of squared fills, so fuller bins fill up while emptier
 ones shrink until they are gone. Bins that remain underfull give their pieces to another round over
-fewer blocks, until one block holds them all or a round frees no bin.
+fewer blocks, until one block holds them all or a round leaves no fewer bins open.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -24,12 +25,23 @@ from pyspark.sql import types as T
 from .common import arrow_limits, spread, stash
 
 
+#: The normaliser and the pattern of the files whose texts may be cut into words.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters and digits after which a text may be cut before a mark, if the file's own rules agree: Latin, Greek, Cyrillic.
+CUT_AFTER = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x386, 0x482), *range(0x48A, 0x530)]
+CUT_BEFORE = ".,;:!?|$%&*#"
+
+
 class WordTokenizer:
     """Ids from a tokenizers file, with a bounded cache by word.
 
-    No token of this kind of file crosses white space or the line between a letter or digit and a
-    mark after it, and case is dropped first. So texts are lower-cased (A-Z) and cut at both, and
-    only the distinct words of a batch become Python objects.
+    Files with NORMALISERS and WORD_PATTERN have no token that crosses white space or the line between
+    a letter or digit and a mark after it, and they drop case. Their texts are lower-cased (A-Z) and cut
+    at both, and only the distinct words of a batch become Python objects. A cut before a mark is made
+    only after those characters for which the file itself gives the same ids with and without it
+    (``I`` with a dot becomes a letter and a combining mark, which joins the mark after it). Texts for
+    any other file are encoded whole.
     """
 
     def __init__(self, path: str, cache_size: int = 300_000):
@@ -39,16 +51,38 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
         added = self.model.get_added_tokens_decoder()
+        self.words = self._cuts_words(path) and any(t.content.startswith("<|") for t in added.values()) and all("<|" in t.content for t in added.values())
+        if not self.words:
+            return
         self.mark_id, self.mark = next((i, t.content) for i, t in sorted(added.items()) if t.content.startswith("<|"))
         vocabulary = self.model.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        letters = [chr(c) for c in CUT_AFTER]
+        ids = lambda texts: [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        dots = ids(list(CUT_BEFORE))
+        alone, safe = ids(letters), set(letters)
+        for mark, dot in zip(CUT_BEFORE, dots):
+            safe &= {c for c, own, both in zip(letters, alone, ids([c + mark for c in letters])) if own + dot == both}
+        self.cut = f"([{''.join(sorted(safe))}])([{''.join(chr(92) + m for m in CUT_BEFORE)}])"
+
+    @staticmethod
+    def _cuts_words(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        steps = (rules["pre_tokenizer"] or {}).get("pretokenizers") or []
+        return (
+            (rules["normalizer"] or {}).get("normalizers") == NORMALISERS and len(steps) == 2 and steps[0] == split
+            and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and rules["model"].get("end_of_word_suffix") == "</w>" and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
+        )
 
     def _fill(self, words: list[str], between: str, per_text: int = 1000) -> None:
         """Encodes many words in one text: set apart by a special token, or by spaces if each is one run of letters."""
         texts = [between.join(words[a : a + per_text]) for a in range(0, len(words), per_text)]
         gap = 0 if between == " " else 4
-        for k, e in enumerate(self.model.encode_batch_fast(texts, add_special_tokens=False)):
+        for k, e in enumerate(e for a in range(0, len(texts), 8) for e in self.model.encode_batch_fast(texts[a : a + 8], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             data, a = ids.tobytes(), 0
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4 if not gap else np.append(np.flatnonzero(ids == self.mark_id) * 4, len(data))
@@ -75,8 +109,11 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers; null: none."""
+        if not self.words:
+            whole = [t or "" for t in texts.to_pylist()]
+            return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(whole, add_special_tokens=False)]
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
-        cut = pc.replace_substring_regex(pc.ascii_lower(texts), r"([\pL\pN])([.,;:!?|$%&*#])", r"\1 \2")
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), self.cut, r"\1 \2")
         words = pc.split_pattern(pc.if_else(pc.match_substring(texts, "<|"), texts, cut), " ")
         coded = words.flatten().dictionary_encode()
         known = self._ids_of(coded.dictionary.to_pylist())
@@ -97,7 +134,7 @@ _loaded: dict[str, WordTokenizer] = {}
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 
-def _larger(batches, enough: int = 8 << 20):
+def _larger(batches, enough: int = 4 << 20):
     """Batches joined to about ``enough`` bytes, so that more of a batch's words are repeats."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -186,94 +223,98 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, passes: int = 6) -> list[list[int]]:
-    """Local search: every step raises the sum of squared fills; bins that end empty go.
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search: every step raises the sum of squared fills; bins that end empty go. Passes go on while they gain.
 
     Bins are taken by falling fill. A bin with room gains from emptier ones: it takes a document
     (move), swaps one of its own for a larger one, two of its own for one larger than both, or one
-    of its own for two of one bin that are larger together.
+    of its own for two of one bin that are larger together. Documents of one size are alike, so a
+    bin's choices are as many as its different sizes, which are about a hundred at most.
     """
     bins = [list(b) for b in bins]
-    for _ in range(passes):
+    while True:
         fill = [sum(sizes[i] for i in b) for b in bins]
         before = sum(f * f for f in fill)
         order = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: -fill[k])
-        home = {i: k for k in order for i in bins[k]}
-        index = _BySize()
-        for i in home:
-            index.add(i, sizes[i])
+        home: dict[int, int] = {}
+        index, held = _BySize(), {k: _BySize() for k in order}
         for k in order:
-            if not bins[k]:
-                continue
             for i in bins[k]:
-                index.remove(i, sizes[i])
-            while (room := capacity - fill[k]) > 0:
-                best = (index.most(room), (), 0)  # gain, own items out, size in
-                own = bins[k]
-                for x, i in enumerate(own):
-                    if best[0] == room:
-                        break
-                    s = index.most(sizes[i] + room)
-                    if s - sizes[i] > best[0]:
-                        best = (s - sizes[i], (i,), s)
-                    for j in own[x + 1 :]:
-                        both = sizes[i] + sizes[j]
-                        s = index.most(min(both + room, capacity))
-                        if s - both > best[0]:
-                            best = (s - both, (i, j), s)
-                gain, out, size = best
-                pair = None
-                if 0 < gain < room or not gain:
-                    pair = _two_for_one(own, sizes, index, home, bins, room, gain)
-                if pair:
-                    i, (b1, b2) = pair
-                    out, taken = (i,), (b1, b2)
-                elif gain:
-                    taken = (index.any(size or gain),)
-                else:
+                home[i] = k
+                index.add(i, sizes[i])
+                held[k].add(i, sizes[i])
+        for k in order:
+            own = held[k]
+            for size, some in own.of.items():
+                for i in some:
+                    index.remove(i, size)
+            while own.mask and index.mask and (room := capacity - fill[k]) > 0:
+                out, taken, gain = _best_step(own, index, held, home, sizes, room, capacity)
+                if not taken:
                     break
                 donor = home[taken[0]]
                 for i in taken:
                     index.remove(i, sizes[i])
-                    bins[donor].remove(i)
-                    own.append(i)
+                    held[donor].remove(i, sizes[i])
+                    own.add(i, sizes[i])
                     home[i] = k
                 for i in out:
-                    own.remove(i)
-                    bins[donor].append(i)
+                    own.remove(i, sizes[i])
+                    held[donor].add(i, sizes[i])
                     home[i] = donor
                     index.add(i, sizes[i])
-                fill[k] = sum(sizes[i] for i in own)
-                fill[donor] = sum(sizes[i] for i in bins[donor])
+                fill[k] += gain
+                fill[donor] -= gain
+        for k in order:
+            bins[k] = [i for some in held[k].of.values() for i in some]
         bins = [b for b in bins if b]
         if sum(sum(sizes[i] for i in b) ** 2 for b in bins) <= before:
-            break
-    return bins
+            return bins
 
 
-def _two_for_one(own, sizes, index, home, bins, room, gain):
-    """(own item, two items of one emptier bin) that close the room exactly, sought by a first item next below."""
-    for i in own:
-        want = sizes[i] + room
-        first = index.most(want - 1)
-        if not first:
-            continue
-        b1 = index.any(first)
-        rest = want - first
-        for b2 in bins[home[b1]]:
-            if b2 != b1 and gain < first + sizes[b2] - sizes[i] and sizes[b2] <= rest:
-                return i, (b1, b2)
-    return None
+def _best_step(own: _BySize, index: _BySize, held: dict[int, _BySize], home: dict[int, int], sizes: list[int], room: int, capacity: int) -> tuple[tuple, tuple, int]:
+    """(own items out, items in, gain) of the step that fills the most of the room."""
+    gain, out, size = index.most(room), (), 0
+    kinds = sorted(own.of)
+    for x, s1 in enumerate(kinds):
+        if gain == room:
+            break
+        s = index.most(s1 + room)
+        if s - s1 > gain:
+            gain, out, size = s - s1, (s1,), s
+        for s2 in kinds[x + (len(own.of[s1]) < 2) :]:
+            s = index.most(min(s1 + s2 + room, capacity))
+            if s - s1 - s2 > gain:
+                gain, out, size = s - s1 - s2, (s1, s2), s
+    if gain < room:
+        for s1 in kinds:
+            first = index.most(s1 + room - 1)
+            if not first:
+                continue
+            b1 = index.any(first)
+            other = held[home[b1]]
+            other.remove(b1, first)
+            second = other.most(s1 + room - first)
+            b2 = other.any(second) if second else None
+            other.add(b1, first)
+            if second and first + second - s1 > gain:
+                return (own.any(s1),), (b1, b2), first + second - s1
+    if not gain:
+        return (), (), 0
+    leave = () if not out else (own.any(out[0]),) if len(out) == 1 else tuple(list(own.of[out[0]])[:2]) if out[0] == out[1] else (own.any(out[0]), own.any(out[1]))
+    return leave, (index.any(size or gain),), gain
 
 
 def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
     return improve(best_fit(sizes, capacity), sizes, capacity)
 
 
-def pack(items: DataFrame, capacity: int, block: int = 4096, rounds: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int, block: int = 4096) -> DataFrame:
     """``items`` (with a long column length of 1 to capacity) plus sequence_id and offset (offsets gapless from 0).
 
-    Row for row: repeated rows are packed each. ``block`` bounds the rows that one task holds.
+    Row for row: repeated rows are packed each. ``block`` bounds the rows that one task holds. A round
+    deals the rows of bins that are still open to fewer blocks; the last is the one with one block, or
+    the one that ends with no fewer open bins than the round before.
     """
     spark = items.sparkSession
     items = stash(items.withColumn("_row", F.monotonically_increasing_id()), "pieces")
@@ -296,21 +337,19 @@ def pack(items: DataFrame, capacity: int, block: int = 4096, rounds: int = 4) ->
             fill[b] = at
         return pdf.assign(sequence_id=seq, offset=off, _fill=fill)
 
-    n = rest.count()
-    for k in range(rounds):
-        blocks = max(1, -(-n // block))
+    n, k, before = rest.count(), 0, None
+    while n:
+        blocks = -(-n // block)
         dealt = rest.withColumn("_block", F.pmod(F.xxhash64(F.lit(k), "_row"), F.lit(blocks)).cast("int"))
         packed = stash(dealt.groupBy("_block").applyInPandas(run, out_schema), "packed")
-        if blocks == 1 or k == rounds - 1:
+        closed = F.col("_fill") >= capacity - capacity // 512
+        n, bins = packed.filter(~closed).agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if blocks == 1 or (before is not None and bins >= before):
             done.append(packed.drop("_fill"))
             break
-        closed = F.col("_fill") >= capacity - capacity // 512
         done.append(packed.filter(closed).drop("_fill"))
         rest = packed.filter(~closed).select(*names)
-        left = rest.count()
-        if not left:
-            break
-        n = left
+        k, before = k + 1, bins
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
