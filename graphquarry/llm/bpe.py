@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, spread
+from .common import arrow_limits, settle, spread
 
 LONG = 512
 NONE = np.int32(2**31 - 1)
@@ -251,6 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             else:
                 cols = [pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names)
+        settle()
 
     return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, keep_rows, scratch_path, small, spread, stash, text_hash
+from .common import arrow_limits, keep_rows, scratch_path, settle, small, spread, stash, text_hash
 
 _WHITE = b" \t\n\x0b\x0c\r"
 WHITE = "[\\x20\\x09-\\x0D]"
@@ -103,6 +103,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             texts = b.column(3).cast(pa.large_binary()).to_pylist()
             sha = [hashlib.sha256(t.translate(None, _WHITE)).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.binary()), b.column(2)], schema.names)
+        settle()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.length(text).cast("long").alias("n_cp"), text.alias("text"))

@@ -21,15 +21,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, keep_rows, spread, stash, text_hash
+from .common import MAX_NAMES, arrow_limits, keep_rows, settle, small, spread, stash, text_hash
 from .components import connected_components
 from .simhash import groups_for, majority, pivot_links, shingle_hashes
 
-SHINGLE, BANDS, ROWS = 5, 32, 5
+SHINGLE, BANDS, ROWS = 5, 24, 4
 _rng = np.random.default_rng(42)
 _MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -67,6 +67,7 @@ def prints(docs: DataFrame) -> DataFrame:
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             cols = [b.column(0), b.column(1), long(node), long(fp), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [f for f, _ in fields])
+        settle()
 
     return spread(docs.select("doc_id", text_hash().alias("text_hash"), "text"), "doc_id").mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
@@ -75,6 +76,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes array<long>) of wanted(node, rep struct<none, doc_id, text_hash>): one row for each."""
     arrow_limits(docs.sparkSession)
     asked = wanted.select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
+    asked = small(asked, MAX_NAMES)
     rows = docs.select("doc_id", text_hash().alias("text_hash"), "text")
     rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
 
@@ -84,6 +86,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "hashes"])
+        settle()
 
     return rows.mapInArrow(run, "node long, hashes array<long>")
 
@@ -116,21 +119,28 @@ def _seeds(nodes: DataFrame) -> DataFrame:
     return across.unionByName(equal).filter("u <> v").distinct()
 
 
-def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): the pairs of rest(node, root, size) in different components that the prefix join leaves."""
-    tokens = sets.join(rest, "node").select("node", "root", "size", F.explode("hashes").alias("token"))
-    many = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1")
-    held = tokens.join(many, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("t"))
-    # those that no other set has come first and meet nobody
-    alone = F.col("size") - F.size("t")
-    longest = F.expr("size + cast((-4 * size) div 5 as int) + 1")
-    heads = held.select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("t", 1, F.greatest(longest - alone, F.lit(0)))).alias("i", "x"))
-    heads = stash(heads.filter("x.mixed").select("node", "root", "size", (F.col("alone") + F.col("i")).alias("at"), "x.token"), "prefixes")
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(node, size, core, at, token): the shingles by which a set can still be found, in order of their rarity.
+
+    core: how many of its shingles another set has too; a set with fewer than four fifths of these can't be
+    linked and has no row. at: the place in the order, in which those that no other set has come first.
+    """
+    tokens = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
+    many = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    own = Window.partitionBy("node")
+    placed = tokens.join(many, "token").withColumn("core", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("n", "token")))
+    placed = placed.select("node", "size", F.col("core").cast("int").alias("core"), (F.col("size") - F.col("core") + F.col("i") - 1).cast("int").alias("at"), "token")
+    return placed.filter(F.expr("at <= size div 5"))
+
+
+def _across(rest: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(u, v): the pairs of rest(node, root) in different components that the prefix join leaves."""
+    heads = stash(prefixes.join(rest, "node").select("node", "root", "size", "at", "token"), "open-prefixes")
     counts = heads.groupBy("token", "root").agg(F.count("*").alias("n"))
-    major = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+    major = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1")
     few = heads.join(major, "token").filter("root <> major")
     few = few.select(F.col("token").alias("tok"), F.col("node").alias("w"), F.col("root").alias("other"), F.col("size").alias("m"), F.col("at").alias("place"))
-    least = F.expr("cast(-((-4 * (size + m)) div 9) as int)")
+    least = F.expr("(4 * (size + m) + 8) div 9")
     meet = (F.col("root") != F.col("other")) & _may_reach(F.col("size"), F.col("m")) & (F.col("at") <= F.col("size") - least) & (F.col("place") <= F.col("m") - least)
     both = heads.join(few, (F.col("token") == F.col("tok")) & meet)
     return both.select(*_pairs(F.col("node"), F.col("w"))).distinct()
@@ -139,26 +149,24 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): the components of linked nodes; single nodes and roots may be missing. nodes: written, one row for each set."""
     seeds = stash(_seeds(nodes), "seeds")
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     held = stash(keyed.join(shared, "key"), "buckets-of-sets")
     met = held.select("node").union(seeds.select("u")).union(seeds.select("v")).distinct()
     sets = stash(sets_of(docs, nodes.select("node", "rep").join(met, "node", "left_semi")), "sets")
-    own = sets.select("node", F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    own = stash(own.groupBy("node").agg(F.count("*").cast("int").alias("own")), "own-shingles")
-    # a set can't share what no other has
-    held = held.join(own, "node", "left").withColumn("core", F.col("size") - F.coalesce("own", F.lit(0))).filter("5 * core >= 4 * size")
-    held = stash(held.select("node", "size", "core", "key"), "open-buckets")
+    prefixes = stash(_prefixes(sets), "prefixes")
+    alive = prefixes.select("node", "size", "core").distinct()
+    held = stash(held.join(alive, "node"), "open-buckets")
     order = F.struct((F.col("size") - F.col("core")) / F.col("size"), F.xxhash64("node"))
     first = held.groupBy("key").agg(F.min_by(F.struct("node", "size", "core"), order).alias("c"))
     may = _may_reach(F.col("c.size"), F.col("size")) & (9 * F.least(F.col("c.core"), F.col("core")) >= 4 * (F.col("c.size") + F.col("size")))
     stars = held.join(first, "key").filter((F.col("c.node") != F.col("node")) & may).select(*_pairs(F.col("c.node"), F.col("node")))
     found = stash(_similar(seeds.unionByName(stars).distinct(), sets), "similar")
     roots = stash(connected_components(found), "roots")
-    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = held.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = stash(rooted.join(mixed, "key", "left_semi").select("node", "root", "size").distinct(), "open-nodes")
-    more = stash(_similar(_across(rest, sets), sets), "similar-across")
+    rest = rooted.join(mixed, "key", "left_semi").select("node", "root").distinct()
+    more = stash(_similar(_across(rest, prefixes), sets), "similar-across")
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, spread, stash
+from .common import arrow_limits, settle, spread, stash
 
 
 #: The normaliser and the pattern of the files whose texts may be cut into words.
@@ -171,6 +171,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
             cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
         _loaded[path].cache.clear()  # an idle worker holds no words
+        settle()
 
     return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
 

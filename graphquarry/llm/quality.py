@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, keep_rows, spread, stash, text_hash
+from .common import arrow_limits, spread, stash, text_hash
 
 STATS = [
     "log_bytes", "upper", "digit", "blank", "line_end", "pipe", "bang", "symbol", "stop", "other_mark", "non_ascii",
     "log_words", "word_bytes", "unique_words", "mark_words", "upper_words", "symbol_words", "log_lines", "line_bytes", "repeated_lines", "top_word",
 ]
-#: Rows that the model is fitted on at most: those with the smallest hashes of id, label and statistics.
+#: Rows that the model is fitted on at most: those with the smallest hashes of id and text.
 MAX_TRAIN_ROWS = 20_000
 
 _CLASS = np.full(256, 255, np.uint8)
@@ -65,17 +65,11 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, the STATS): one row for each row of ``docs``."""
-    arrow_limits(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), *(T.StructField(s, T.DoubleType()) for s in STATS)])
-
-    def run(batches):
-        for b in batches:
-            rows = np.array([statistics(t) for t in b.column(2).to_pylist()], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in rows.T)], schema.names)
-
-    return spread(docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")), "doc_id").mapInArrow(run, schema)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def measured(texts: pa.Array) -> pa.Array:
+    """The STATS of each text."""
+    rows = np.array([statistics(t) for t in texts.to_pylist()], np.float64).reshape(-1)
+    return pa.ListArray.from_arrays(np.arange(0, len(rows) + 1, len(STATS), dtype=np.int32), rows)
 
 
 # -- trees and rules ------------------------------------------------------------------------------
@@ -96,17 +90,17 @@ class RuleModel:
             out += w * np.clip(x[:, j], a, b)
         return out
 
-    def score(self) -> Column:
-        """The score as an expression over the STATS columns."""
+    def score(self, stats: Column) -> Column:
+        """The score as an expression over an array of the STATS."""
         total = F.lit(self.bias)
         for conds, w in self.rules:
             test = None
             for j, above, bound in conds:
-                one = F.col(STATS[j]) > bound if above else F.col(STATS[j]) <= bound
+                one = stats[j] > bound if above else stats[j] <= bound
                 test = one if test is None else test & one
             total = total + F.when(test, F.lit(w)).otherwise(F.lit(0.0))
         for j, a, b, w in self.linear:
-            total = total + F.greatest(F.lit(a), F.least(F.lit(b), F.col(STATS[j]))) * F.lit(w)
+            total = total + F.greatest(F.lit(a), F.least(F.lit(b), stats[j])) * F.lit(w)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -244,38 +238,45 @@ def _bound(rows: DataFrame, most: int) -> int:
             return low + (1 << bits) - 1
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Fits on ``max_rows`` labelled rows that aren't held out; null labels and doc_ids are left out, repeated rows count once.
 
-    Which rows these are depends on their values alone, and twice as many at most reach the driver.
+    Which rows these are depends on a hash of id and text alone. Only their statistics are worked out,
+    and about twice as many at most reach the driver.
     """
     known = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality")).distinct()
-    rows = stats.filter(~held_out(F.col("doc_id"))).join(known, "doc_id")
-    rows = rows.select(F.shiftrightunsigned(F.xxhash64("doc_id", "quality", *STATS), 1).alias("at"), "quality", *STATS)
-    got = rows.filter(F.col("at") <= _bound(rows.select("at"), max_rows)).dropDuplicates(["at"]).toPandas()
-    got = got.sort_values("at").head(max_rows)
-    return fit_rules(got[STATS].to_numpy(float), (got["quality"].to_numpy(float) > 0.5).astype(float))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")).filter(~held_out(F.col("doc_id")))
+    at = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 1).alias("at")
+    names = stash(rows.select("doc_id", "text_hash", at).join(known, "doc_id"), "labelled")
+    few = names.filter(F.col("at") <= _bound(names.select("at"), max_rows)).distinct()
+    got = rows.join(F.broadcast(few), ["doc_id", "text_hash"]).dropDuplicates(["at", "quality"])  # few: bounded by max_rows
+    got = got.select("at", "quality", measured("text").alias("stats")).toPandas().sort_values(["at", "quality"]).head(max_rows)
+    x = np.array(got["stats"].tolist(), float).reshape(-1, len(STATS))
+    return fit_rules(x, (got["quality"].to_numpy(float) > 0.5).astype(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text_hash, score): one row for each row of ``docs``; the fit runs when this is called.
+    """(doc_id, score): one row for each row of ``docs``; the fit runs when this is called.
 
     score: 0 to 1, higher: label 1 likelier. Null and empty texts have statistics 0 and get a score
     too. Without usable labels the score is a constant. Repeated rows return each, null doc_ids too
     (they are never learnt from); extra columns are ignored.
     """
-    stats = stash(with_statistics(docs), "statistics")
-    return stats.select("doc_id", "text_hash", train(stats, labels, max_rows).score().alias("score"))
+    arrow_limits(docs.sparkSession)
+    model = train(docs, labels, max_rows)
+    return spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", measured("text").alias("stats")).select("doc_id", model.score(F.col("stats")).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows whose text scores below the threshold.
 
     Each row is judged by its own text, rows that share a doc_id and rows with a null one too; repeated
-    rows all stay or all go.
+    rows all stay or all go. No join brings the verdict back: the score is a filter on the row.
     """
-    scores = score_documents(docs, labels)
-    return keep_rows(docs, scores.select("doc_id", "text_hash", (F.col("score") >= threshold).alias("stays")), once=False)
+    arrow_limits(docs.sparkSession)
+    model = train(docs, labels)
+    rows = spread(docs, "doc_id").select(F.struct(*docs.columns).alias("row"), measured("text").alias("stats"))
+    return rows.filter(model.score(F.col("stats")) >= threshold).select("row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

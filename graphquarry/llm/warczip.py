@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, scratch_path, shuffle_parts, small, stash
+from .common import arrow_limits, scratch_path, settle, shuffle_parts, small, stash
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2024-01-01T00:00:00Z"
@@ -204,6 +204,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, max_bytes:
                     own = PackageWriter()
         if own.lines:
             close()
+        settle()
         yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in written], pa.string()), pa.array([w[1] for w in written], pa.int64()), pa.array([w[2] for w in written], pa.int64())], ["path", "bytes", "records"])
 
     return stash(rows.mapInArrow(run, "path string, bytes long, records long"), "packages")

@@ -298,7 +298,7 @@ def test_rules_as_columns_equal_the_model(spark):
     m = quality.fit_rules(x, y)
     assert len(m.rules) < 200 and ((m.margin(x) > 0) == y).mean() > 0.97
     df = spark.createDataFrame([list(map(float, r)) for r in x], quality.STATS)
-    got = [r[0] for r in df.select(m.score().alias("s")).collect()]
+    got = [r[0] for r in df.select(m.score(F.array(*quality.STATS)).alias("s")).collect()]
     assert np.allclose(sorted(got), sorted(1 / (1 + np.exp(-m.margin(x)))))
     assert quality.statistics(None) == quality.statistics("") and not any(quality.statistics(""))
 
