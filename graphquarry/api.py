@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.functions.vectors import similarities
+from graphquarry.functions.vectors import ask, best_pairs, good_vectors
 from graphquarry.operators import access, filters, graph
 from graphquarry.operators import search as ranking
 from graphquarry.operators.search import Scoring
@@ -71,43 +71,44 @@ def _narrow(index: Index, o: Options) -> Index:
     return Index(index.repos, files, dirs, commits, index.file_commits, index.file_imports, index.cross_repo_edges, index.cost_events, index.vectors, index.dim)
 
 
-def _scored(index: Index, narrow: Index, queries: DataFrame, s: Scoring) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sims = similarities(queries, index.vectors, index.dim)
-    dirs = ranking.directory_sims(narrow.directories, sims)
-    boosts = ranking.commit_boosts(index.file_commits, index.commits, sims, s)
-    keywords = stash(ranking.bm25_scores(narrow.files, queries), "keywords")
-    return sims, dirs, ranking.file_scores(narrow.files, sims, dirs, boosts, keywords, s)
+def _batches(index: Index, narrow: Index, queries: DataFrame, s: Scoring) -> ranking.FileBatches:
+    return ranking.file_batches(narrow.files, narrow.directories, index.commits, index.file_commits, queries, index.vectors, index.dim, s)
+
+
+def _commits(index: Index, narrow: Index, asked: list, o: Options) -> DataFrame:
+    rows = narrow.commits.select("commit_id", "repo_id", "vec_id").join(good_vectors(index.vectors, index.dim), "vec_id").drop("vec_id")
+    return best_pairs(rows, asked, o.top_n or 1 << 62, index.dim, o.scoring.min_score).filter(F.col("sim") >= o.scoring.min_score)
 
 
 def search_files(index: Index, queries: DataFrame, o: Options = Options()) -> DataFrame:
     """(query_id, file_id, final_score, rank), with re-ranking by neighbours if asked for."""
-    _, _, scored = _scored(index, _narrow(index, o), queries, o.scoring)
-    kept = scored.filter(F.col("final_score") >= o.scoring.min_score).select("query_id", "file_id", "final_score")
+    batches = _batches(index, _narrow(index, o), queries, o.scoring)
+    kept = batches.best(o.scoring, 0 if o.rerank else o.top_n).select("query_id", "file_id", "final_score")
     if o.rerank:
-        kept = ranking.rerank(ranking.top_n(kept, "final_score", 0, "file_id"), index.file_imports, index.cross_repo_edges, index.file_commits, o.scoring)
+        kept = stash(ranking.top_n(kept, "final_score", 0, "file_id"), "ranked")
+        kept = ranking.rerank(kept, index.file_imports, index.cross_repo_edges, index.file_commits, o.scoring)
     return ranking.top_n(kept, "final_score", o.top_n, "file_id")
 
 
 def search_directories(index: Index, queries: DataFrame, o: Options = Options()) -> DataFrame:
-    _, dirs, scored = _scored(index, _narrow(index, o), queries, o.scoring)
-    found = ranking.directory_scores(dirs, scored, o.scoring).filter(F.col("dir_score") >= o.scoring.min_score)
-    return ranking.top_n(found, "dir_score", o.top_n, "repo_id", "dir_path")
+    narrow = _narrow(index, o)
+    found = ranking.folder_scores(narrow.directories, _batches(index, narrow, queries, o.scoring), index.vectors, o.scoring)
+    return ranking.top_n(found.filter(F.col("dir_score") >= o.scoring.min_score), "dir_score", o.top_n, "repo_id", "dir_path")
 
 
 def search_commits(index: Index, queries: DataFrame, o: Options = Options()) -> DataFrame:
-    sims = similarities(queries, index.vectors, index.dim).filter(F.col("sim") >= o.scoring.min_score)
-    found = _narrow(index, o).commits.select("commit_id", "repo_id", "vec_id").join(sims, "vec_id")
+    found = _commits(index, _narrow(index, o), ask(queries, index.vectors, index.dim), o)
     return ranking.top_n(found, "sim", o.top_n, "commit_id")
 
 
 def search(index: Index, queries: DataFrame, o: Options = Options()) -> DataFrame:
     """(query_id, kind, name, score, rank) over files, folders and commits together."""
     narrow = _narrow(index, o)
-    sims, dirs, scored = _scored(index, narrow, queries, o.scoring)
-    f = scored.select("query_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("name"), F.col("final_score").alias("score"))
-    d = ranking.directory_scores(dirs, scored, o.scoring)
+    batches = _batches(index, narrow, queries, o.scoring)
+    f = batches.best(o.scoring, o.top_n).select("query_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("name"), F.col("final_score").alias("score"))
+    d = ranking.folder_scores(narrow.directories, batches, index.vectors, o.scoring)
     d = d.select("query_id", F.lit("directory").alias("kind"), F.concat(F.col("repo_id").cast("string"), F.lit(":"), "dir_path").alias("name"), F.col("dir_score").alias("score"))
-    c = narrow.commits.select("commit_id", "vec_id").join(sims, "vec_id").select("query_id", F.lit("commit").alias("kind"), F.col("commit_id").cast("string").alias("name"), F.col("sim").alias("score"))
+    c = _commits(index, narrow, batches.asked, o).select("query_id", F.lit("commit").alias("kind"), F.col("commit_id").cast("string").alias("name"), F.col("sim").alias("score"))
     every = f.unionByName(d).unionByName(c).filter(F.col("score") >= o.scoring.min_score)
     return ranking.top_n(every, "score", o.top_n, "kind", "name")
 

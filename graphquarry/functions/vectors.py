@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,41 +32,100 @@ def unit_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return v.withColumn("n", norm(F.col("v"))).filter("n > 0").select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("unit"))
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, dim: int, max_queries: int = 20_000, few_vectors: int = 1_000_000) -> DataFrame:
+@dataclass(frozen=True)
+class Asked:
+    """A chunk of a stated query set: names, and their vectors as one matrix."""
+
+    names: pa.Array
+    matrix: np.ndarray
+
+    @property
+    def units(self) -> np.ndarray:
+        return self.matrix / np.sqrt((self.matrix * self.matrix).sum(axis=1, keepdims=True))
+
+
+def good_vectors(vectors: DataFrame, dim: int) -> DataFrame:
+    """(vec_id, v array<double>) of the vectors of length ``dim`` that have no null and aren't all zero."""
+    good = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()) & F.exists("embedding", lambda x: x != 0))
+    return good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def ask(queries: DataFrame, vectors: DataFrame, dim: int, max_queries: int = 20_000) -> list[Asked]:
+    """queries(query_id, vec_id), a stated set, as matrices of ``max_queries`` rows at most; queries without a usable vector are left out."""
+    rows = queries.select("query_id", "vec_id").join(good_vectors(vectors, dim), "vec_id").select("query_id", "v").orderBy("query_id").toArrow()
+    out = []
+    for at in range(0, max(1, len(rows)), max_queries):
+        part = rows.slice(at, max_queries)
+        out.append(Asked(part.column("query_id").combine_chunks(), np.array(part.column("v").to_pylist(), np.float64).reshape(-1, dim)))
+    return out
+
+
+def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of an array<double> column; a null row is all zero."""
+    here = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), dim))
+    out[here] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def spread_rows(rows: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """A small table can be one file, and so one task: then its rows are dealt over all."""
+    if rows.limit(few + 1).count() > few:
+        return rows
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def best_pairs(rows: DataFrame, asked: list[Asked], n: int, dim: int, least: float | None = None, metric: str = "cosine") -> DataFrame:
+    """(query_id, the columns of ``rows`` but v, sim or distance): what can be among each query's ``n`` best, and little else.
+
+    rows(v array<double>, ...): a batch is scored by one matrix product, and only its ``n`` best for each
+    query, with whatever ties with them, leave the worker; the caller ranks. least: pairs below it stay out.
+    """
+    keys = [c for c in rows.columns if c != "v"]
+    kind = asked[0].names.type
+    name = {pa.int64(): "bigint", pa.int32(): "int"}.get(kind, "string")
+    value = "sim" if metric == "cosine" else "distance"
+    schema = ", ".join([f"query_id {name}", *[f"`{c}` {dict(rows.dtypes)[c]}" for c in keys], f"{value} double"])
+    out = None
+    for a in asked:
+
+        def run(batches, a=a):
+            queries = a.units if metric == "cosine" else a.matrix
+            step = max(1, (1 << 21) // max(1, len(queries)))
+            for b in batches:
+                for at in range(0, len(b), step):
+                    part = b.slice(at, step)
+                    x = matrix_of(part.column("v"), dim)
+                    if not len(queries):
+                        continue
+                    if metric == "cosine":
+                        score = queries @ unit_rows(x).T
+                    else:
+                        score = 2 * queries @ x.T - (x * x).sum(axis=1)[None, :]
+                    keep = np.ones(score.shape, bool) if least is None else score >= least - 1e-9
+                    if len(part) > n:
+                        keep &= score >= np.partition(score, len(part) - n, axis=1)[:, len(part) - n, None] - 1e-7
+                    q, r = np.nonzero(keep)
+                    got = score[q, r] if metric == "cosine" else np.sqrt(((queries[q] - x[r]) ** 2).sum(axis=1))
+                    cols = [part.column(c).take(pa.array(r)) for c in keys]
+                    yield pa.RecordBatch.from_arrays([a.names.take(pa.array(q)), *cols, pa.array(got)], ["query_id", *keys, value])
+
+        one = rows.mapInArrow(run, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def similarities(queries: DataFrame, vectors: DataFrame, dim: int, max_queries: int = 20_000) -> DataFrame:
     """(query_id, vec_id, sim): the cosine of every query with every distinct vector, each pair once.
 
-    queries(query_id, vec_id) is a stated set. Up to ``max_queries`` it is one matrix that every task
-    gets, and a batch of vectors is scored by one matrix product; more queries go through column
-    expressions. Vectors of another length than ``dim``, with nulls, or all zero are left out.
+    For results that need all pairs; ``best_pairs`` is for the best of them. queries(query_id, vec_id) is a
+    stated set, taken in matrices of ``max_queries`` rows. Vectors of another length than ``dim``, with
+    nulls, or all zero are left out.
     """
-    spark = vectors.sparkSession
-    good = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()))
-    good = good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.select("query_id", "vec_id").join(good, "vec_id").select("query_id", "v")
-    few = asked.limit(max_queries + 1).collect()
-    if good.limit(few_vectors + 1).count() <= few_vectors:
-        good = good.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small table can be one file, and so one task
-    if len(few) > max_queries:
-        q = unit_vectors(asked, "query_id", "v").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q"))
-        return unit_vectors(good, "vec_id", "v").crossJoin(q).select("query_id", "vec_id", dot(F.col("q"), F.col("unit")).alias("sim"))
-    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
-    matrix = np.array([r["v"] for r in few], np.float64).reshape(-1, dim)
-    size = np.sqrt((matrix * matrix).sum(axis=1))
-    names = pa.array([r["query_id"] for r in few]).filter(pa.array(size > 0))
-    matrix = matrix[size > 0] / size[size > 0, None]
-
-    def run(batches):
-        step = max(1, (1 << 20) // max(1, len(matrix)))
-        for b in batches:
-            for at in range(0, len(b), step):
-                part = b.slice(at, step)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                n = np.sqrt((x * x).sum(axis=1))
-                on = np.flatnonzero(n > 0)
-                sim = (x[on] / n[on, None]) @ matrix.T
-                ids = part.column(0).take(pa.array(np.repeat(on, len(matrix))))
-                who = names.take(pa.array(np.tile(np.arange(len(matrix)), len(on))))
-                yield pa.RecordBatch.from_arrays([who.cast(wide), ids, pa.array(sim.ravel())], ["query_id", "vec_id", "sim"])
-
-    wide = pa.int64() if kinds["query_id"] == "bigint" else pa.int32() if kinds["query_id"] == "int" else pa.string()
-    return good.mapInArrow(run, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, sim double")
+    rows = spread_rows(good_vectors(vectors, dim))
+    return best_pairs(rows, ask(queries, vectors, dim, max_queries), 1 << 62, dim)

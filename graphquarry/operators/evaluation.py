@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metrics(ranked: DataFrame, expected: DataFrame, by: list[str] | None = None) -> DataFrame:
+def metrics(ranked: DataFrame, expected: DataFrame, by: list[str] | None = None, every: DataFrame | None = None) -> DataFrame:
     """Per query of ranked(query_id, file_id, rank): p5, hit5, recall, mrr, ndcg10.
 
     A query without expected files scores 1 in everything if nothing was returned, else 0. by: more
-    key columns of ``ranked``, such as a configuration. Queries are those of either side.
+    key columns of ``ranked``, such as a configuration; every: all values of those, also ones that return
+    nothing. Queries are those of either side.
     """
     by = by or []
     want = expected.groupBy("query_id").agg(F.count("*").alias("n_expected"))
@@ -21,7 +24,7 @@ def metrics(ranked: DataFrame, expected: DataFrame, by: list[str] | None = None)
         F.min(F.when(F.col("_hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when((F.col("_hit") == 1) & (F.col("rank") <= 10), gain)).alias("dcg"),
     )
     if by:
-        keys = ranked.select(*by).distinct().crossJoin(want.select("query_id"))  # configurations times queries
+        keys = (ranked.select(*by).distinct() if every is None else every).crossJoin(want.select("query_id"))  # configurations times queries
         both = keys.join(per, [*by, "query_id"], "full").join(want, "query_id", "left")
     else:
         both = per.join(want, "query_id", "full")
@@ -48,30 +51,43 @@ def gates(mean: DataFrame, baseline_ndcg: float, least_p5: float = 0.15, least_m
     return mean.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), t.alias("passed")) for n, t in tests])).alias("g")).select("g.*")
 
 
-def sweep(parts: DataFrame, configs: DataFrame, n: int = 10) -> DataFrame:
-    """(config, query_id, file_id, rank) for every configuration at once.
+# The ablations, the grid and the forensic profiles, each in its order.
+ABLATIONS = {
+    "baseline": {}, "no-commit-boost": {"alpha": 0.0}, "no-parent-boost": {"beta": 0.0}, "no-child-boost": {"gamma": 0.0}, "pure-cosine": {"alpha": 0.0, "beta": 0.0, "gamma": 0.0},
+    "high-parent": {"beta": 0.4, "parent_multiplier": 0.5}, "hybrid-0.3": {"hybrid": 0.3}, "hybrid-0.5": {"hybrid": 0.5}, "semantic-only": {"hybrid": 0.0}, "length-penalty": {"length_weight": 0.05},
+}
+GRID = {"alpha": [0.1, 0.15, 0.2, 0.25], "beta": [0.15, 0.2, 0.25], "hybrid": [0.2, 0.3, 0.4, 0.5], "length_weight": [0.0, 0.03, 0.05, 0.08], "min_score": [0.2, 0.25, 0.3]}
+FORENSICS = {
+    "baseline": {}, "no-hybrid": {"hybrid": 0.0}, "no-length-penalty": {"length_weight": 0.0}, "no-parent-boost": {"beta": 0.0, "parent_multiplier": 0.0}, "no-commit-boost": {"alpha": 0.0},
+    "semantic-only": {"hybrid": 0.0, "length_weight": 0.0, "alpha": 0.0, "beta": 0.0, "parent_multiplier": 0.0},
+}
+CAUSES = {"no-hybrid": "hybrid-dilution", "no-length-penalty": "length-penalty", "no-parent-boost": "parent-boost-interference", "no-commit-boost": "commit-boost-noise", "semantic-only": "multi-factor-interference"}
 
-    parts(query_id, file_id, sim, commit_boost, parent_boost, keyword), configs(config, alpha, beta,
-    hybrid): a stated, small set. Ties: the smaller file_id.
-    """
-    both = parts.crossJoin(F.broadcast(configs))
-    score = (1 - F.col("hybrid")) * (F.col("sim") + F.col("alpha") * F.col("commit_boost") + F.col("beta") * F.col("parent_boost")) + F.col("hybrid") * F.col("keyword")
-    order = Window.partitionBy("config", "query_id").orderBy(F.desc(F.round(score, 6)), "file_id")
-    return both.select("config", "query_id", "file_id", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= n)
+
+def grid() -> dict[str, dict[str, float]]:
+    """Every combination of GRID by its number, the last parameter changing fastest."""
+    return {f"{i:04d}": dict(zip(GRID, values)) for i, values in enumerate(product(*GRID.values()))}
 
 
 def best_config(mean: DataFrame) -> DataFrame:
-    """The configuration with the largest p5 + mrr; ties: the smaller name."""
-    return mean.groupBy().agg(F.max_by("config", F.struct(F.round(F.col("p5") + F.col("mrr"), 9), F.negate("config"))).alias("config"), F.round(F.max(F.col("p5") + F.col("mrr")), 6).alias("objective"))
+    """(config, objective): the largest p5 + mrr; ties: the smaller name."""
+    goal = F.round(F.col("p5") + F.col("mrr"), 9)
+    return mean.select("config", goal.alias("objective")).orderBy(F.desc("objective"), "config").limit(1).select("config", F.round("objective", 6).alias("objective"))
 
 
-def classify_changes(per_query: DataFrame, baseline: int, delta: float = 0.05) -> DataFrame:
-    """(query_id, best_config, kind): better, worse or same by mrr of the best other configuration against the baseline."""
+def classify_changes(per_query: DataFrame, order: list[str], baseline: str = "baseline", delta: float = 0.05) -> DataFrame:
+    """(query_id, best_config, cause, delta): queries whose mrr some other configuration betters by ``delta`` or more.
+
+    Of equally good configurations the first in ``order`` counts.
+    """
     base = per_query.filter(F.col("config") == baseline).select("query_id", F.col("mrr").alias("base"))
-    other = per_query.filter(F.col("config") != baseline).groupBy("query_id").agg(F.max("mrr").alias("best"), F.max_by("config", F.struct(F.round("mrr", 9), F.negate("config"))).alias("best_config"))
-    d = F.col("best") - F.col("base")
-    kind = F.when(d >= delta, "better").when(d <= -delta, "worse").otherwise("same")
-    return base.join(other, "query_id").select("query_id", "best_config", kind.alias("kind"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("config"))
+    best = per_query.filter(F.col("config") != baseline).groupBy("query_id").agg(F.max_by(F.struct("config", "mrr"), F.struct(F.round("mrr", 9), -place)).alias("b"))
+    cause = F.lit("unknown")
+    for name, why in CAUSES.items():
+        cause = F.when(F.col("b.config") == name, F.lit(why)).otherwise(cause)
+    both = base.join(best, "query_id").withColumn("delta", F.round(F.col("b.mrr") - F.col("base"), 9)).filter(F.col("delta") >= delta)
+    return both.select("query_id", F.col("b.config").alias("best_config"), cause.alias("cause"), F.round("delta", 6).alias("delta"))
 
 
 def percentile(values: Column, share: float) -> Column:

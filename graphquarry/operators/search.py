@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions.text import code_tokens
-from graphquarry.functions.vectors import similarities
+from graphquarry.functions.vectors import Asked, ask, best_pairs, good_vectors, matrix_of, spread_rows, unit_rows
 from graphquarry.sources.scratch import spread, stash
 
 
@@ -54,15 +54,47 @@ def by_profile(ext: Column, which: int, default: float) -> Column:
     return out
 
 
-def vector_top_k(sims: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """The k most similar vectors of every query; ties: the smaller vec_id."""
-    kept = sims if min_score is None else sims.filter(F.col("sim") >= min_score)
+def vector_top_k(vectors: DataFrame, asked: list[Asked], k: int, dim: int, min_score: float | None = None) -> DataFrame:
+    """(query_id, vec_id, sim, rank): the k most similar of vectors(vec_id, v) for every query; ties: the smaller vec_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "vec_id")
+    kept = best_pairs(vectors, asked, k, dim, min_score)
+    kept = kept if min_score is None else kept.filter(F.col("sim") >= min_score)
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def nearest_l2(vectors: DataFrame, asked: list[Asked], k: int, dim: int) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the k vectors at the least distance; ties: the smaller vec_id."""
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id")
+    return best_pairs(vectors, asked, k, dim, metric="l2").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def bm25_scores(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, max_pairs: int = 200_000) -> DataFrame:
-    """(query_id, file_id, score) over the distinct terms of each query; files with null skeletons are no documents.
+    """(query_id, file_id, score) over the distinct terms of each query; files with null skeletons are no documents."""
+    scored, wanted, pairs = _term_parts(files, queries, k1, b, max_pairs)
+    if pairs is None:
+        return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
+    names = sorted({r["query_id"] for r in pairs})
+    lists = _add_up(scored, pairs, {q: i for i, q in enumerate(names)})
+    both = lists.select("file_id", F.explode(F.arrays_zip("asks", "scores")).alias("x"))
+    kind = dict(queries.dtypes)["query_id"]
+    if names == list(range(len(names))):
+        return both.select(F.col("x.asks").cast(kind).alias("query_id"), "file_id", F.col("x.scores").alias("score"))
+    return both.select(F.array(*map(F.lit, names))[F.col("x.asks")].cast(kind).alias("query_id"), "file_id", F.col("x.scores").alias("score"))
+
+
+def keyword_lists(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, max_pairs: int = 200_000) -> DataFrame:
+    """(file_id, asks array<int>, scores array<double>): bm25 of each file that holds a term; asks: places among the sorted query ids."""
+    scored, wanted, pairs = _term_parts(files, queries, k1, b, max_pairs)
+    if pairs is not None:
+        names = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set
+        return _add_up(scored, pairs, {q: i for i, q in enumerate(names)})
+    places = queries.select("query_id").distinct().withColumn("ask", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("int"))  # the stated set
+    sums = scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score")).join(places, "query_id")
+    return sums.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ask", "score"))).alias("x")).select("file_id", F.col("x.ask").alias("asks"), F.col("x.score").alias("scores"))
+
+
+def _term_parts(files: DataFrame, queries: DataFrame, k1: float, b: float, max_pairs: int) -> tuple[DataFrame, DataFrame, list | None]:
+    """scored(file_id, term, part), the queries' terms, and these as a list if they number ``max_pairs`` at most.
 
     Terms that no query holds leave before the first shuffle; the counts that are kept are per
     document and term, and are written once, as document frequencies and scores both read them. A
@@ -87,20 +119,18 @@ def bm25_scores(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float
     scored = tf.join(df, "term").crossJoin(F.broadcast(corpus)).select("file_id", "term", part.alias("part"))  # corpus: one row
     pairs = wanted.orderBy("term", "query_id").limit(max_pairs + 1).collect()
     if len(pairs) > max_pairs:
-        return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
-    return _add_up(scored.repartition(parts, "file_id").sortWithinPartitions("file_id"), pairs, dict(queries.dtypes)["query_id"])
+        return scored, wanted, None
+    return scored.repartition(parts, "file_id").sortWithinPartitions("file_id"), wanted, pairs
 
 
-def _add_up(scored: DataFrame, pairs: list, query_type: str) -> DataFrame:
-    """(query_id, file_id, score) of scored(file_id, term, part), sorted by file within partitions; pairs: (query_id, term) by term."""
+def _add_up(scored: DataFrame, pairs: list, place: dict) -> DataFrame:
+    """(file_id, asks, scores) of scored(file_id, term, part), sorted by file within partitions; pairs: (query_id, term) by term."""
     terms = pa.array([r["term"] for r in pairs], pa.string())
-    names = sorted({r["query_id"] for r in pairs})
-    place = {q: i for i, q in enumerate(names)}
     asks = np.array([place[r["query_id"]] for r in pairs], np.int64)
     vocabulary = terms.unique()
     n_asks = np.bincount(pc.index_in(terms, vocabulary).to_numpy(zero_copy_only=False), minlength=len(vocabulary)) if len(pairs) else np.zeros(0, np.int64)
     since = np.cumsum(n_asks) - n_asks
-    width = max(1, len(names))
+    width = max(1, len(place))
     file_type = dict(scored.dtypes)["file_id"]
 
     def sums(table: pa.Table):
@@ -119,7 +149,10 @@ def _add_up(scored: DataFrame, pairs: list, query_type: str) -> DataFrame:
             ask = asks[np.repeat(since[code[lo:hi]] - np.cumsum(n) + n, n) + np.arange(len(row))]
             total = np.bincount(own[row] * width + ask, value[lo:hi][row], minlength=width * (min(at + step, len(firsts)) - at))
             hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(hit % width)), pa.array(ids[firsts[at + hit // width]]), pa.array(total[hit])], ["query_id", "file_id", "score"])
+            held = np.bincount(hit // width, minlength=min(at + step, len(firsts)) - at)
+            ends = pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32))
+            some = [pa.ListArray.from_arrays(ends, pa.array((hit % width).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(total[hit]))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[firsts[at : at + len(held)]]), *some], ["file_id", "asks", "scores"])
 
     def run(batches):
         held = None
@@ -136,7 +169,7 @@ def _add_up(scored: DataFrame, pairs: list, query_type: str) -> DataFrame:
         if held is not None and len(held):
             yield from sums(held)
 
-    return scored.mapInArrow(run, f"query_id {query_type}, file_id {file_type}, score double")
+    return scored.mapInArrow(run, f"file_id {file_type}, asks array<int>, scores array<double>")
 
 
 def commit_boosts(file_commits: DataFrame, commits: DataFrame, sims: DataFrame, s: Scoring) -> DataFrame:
@@ -186,6 +219,11 @@ def file_scores(files: DataFrame, sims: DataFrame, dir_sims: DataFrame, boosts:
 def directory_scores(dir_sims: DataFrame, scored_files: DataFrame, s: Scoring) -> DataFrame:
     """(query_id, repo_id, dir_path, dir_score): similarity plus gamma times the mean of two or more children that pass min_score."""
     children = scored_files.filter(F.col("final_score") >= s.min_score).groupBy("query_id", "repo_id", "dir_path").agg(F.avg("final_score").alias("mean"), F.count("*").alias("n"))
+    return with_children(dir_sims, children, s)
+
+
+def with_children(dir_sims: DataFrame, children: DataFrame, s: Scoring) -> DataFrame:
+    """``directory_scores`` from children(query_id, repo_id, dir_path, mean, n)."""
     both = dir_sims.join(children, ["query_id", "repo_id", "dir_path"], "left")
     score = F.col("dir_sim") + F.when(F.col("n") >= 2, s.gamma * F.col("mean")).otherwise(F.lit(0.0))
     return both.select("query_id", "repo_id", "dir_path", score.alias("dir_score"))
@@ -197,13 +235,228 @@ def top_n(rows: DataFrame, score: str, n: int, *ties: str) -> DataFrame:
     return ranked if n == 0 else ranked.filter(F.col("rank") <= n)
 
 
+def commit_vectors(file_commits: DataFrame, commits: DataFrame, vectors: DataFrame, dim: int, s: Scoring) -> DataFrame:
+    """(file_id, boost array<double>): the decayed sum of the unit vectors of each file's recent commits.
+
+    A query's commit boost of a file is the dot product of its unit vector with this sum.
+    """
+    recent = file_commits.filter(F.col("recency") <= s.depth).join(commits.select("commit_id", "vec_id"), "commit_id")
+    units = vectors.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).select("vec_id", "n", "v")
+    w = recent.join(units, "vec_id").select("file_id", (F.pow(F.lit(1 - s.decay), F.col("recency") - 1) / F.col("n")).alias("w"), "v")
+    sums = w.groupBy("file_id").agg(*[F.sum(F.col("w") * F.col("v")[i]).alias(f"c{i}") for i in range(dim)])
+    return sums.select("file_id", F.array(*[f"c{i}" for i in range(dim)]).alias("boost"))
+
+
+def commit_scores(file_commits: DataFrame, commits: DataFrame, asked: list[Asked], vectors: DataFrame, dim: int, s: Scoring) -> DataFrame:
+    """(query_id, file_id, commit_boost) of every file that has a recent commit with a usable vector."""
+    sums = commit_vectors(file_commits, commits, good_vectors(vectors, dim), dim, s)
+
+    def run(batches, a):
+        for b in batches:
+            got = matrix_of(b.column("boost"), dim) @ a.units.T
+            ids, names = b.column("file_id").take(pa.array(np.repeat(np.arange(len(b)), len(a.names)))), a.names.take(pa.array(np.tile(np.arange(len(a.names)), len(b))))
+            yield pa.RecordBatch.from_arrays([names, ids, pa.array(got.ravel())], ["query_id", "file_id", "commit_boost"])
+
+    kind = {pa.int64(): "bigint", pa.int32(): "int"}.get(asked[0].names.type, "string")
+    out = None
+    for a in asked:
+        one = spread_rows(sums).mapInArrow(lambda batches, a=a: run(batches, a), f"query_id {kind}, file_id {dict(sums.dtypes)['file_id']}, commit_boost double")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def directory_vectors(directories: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(repo_id, dir_path, concat, summary): the vectors of each folder whose concat vector is usable."""
+    first = directories.join(vectors.select(F.col("vec_id").alias("concat_vec"), F.col("v").alias("concat")), "concat_vec")
+    return first.join(vectors.select(F.col("vec_id").alias("summary_vec"), F.col("v").alias("summary")), "summary_vec", "left").select("repo_id", "dir_path", "concat", "summary")
+
+
+PARTS = ["sim", "commit_boost", "parent_boost", "length_penalty", "keyword"]
+
+
+@dataclass(frozen=True)
+class FileScorer:
+    """Scores batches of files for chunks of queries; top: the largest keyword score of each query, in the order of asked."""
+
+    asked: list[Asked]
+    top: list[np.ndarray]
+    dim: int
+
+    def raw(self, b: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
+        """sim, commit_boost, folder, log_length and keyword as matrices, a row for each file of the batch and a column for each query of chunk k."""
+        units, n = self.asked[k].units, len(b)
+        dot = lambda c: unit_rows(matrix_of(b.column(c), self.dim)) @ units.T
+        keyword = np.zeros((n, len(units)))
+        counts = pc.fill_null(pc.list_value_length(b.column("asks")), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), counts)
+        ask_, score = b.column("asks").flatten().to_numpy(zero_copy_only=False), b.column("scores").flatten().to_numpy(zero_copy_only=False)
+        at = np.cumsum([0, *[len(a.names) for a in self.asked]])
+        own = (ask_ >= at[k]) & (ask_ < at[k + 1])
+        place = ask_[own] - at[k]
+        keyword[row[own], place] = score[own] / self.top[k][place]
+        return {
+            "sim": dot("v"), "commit_boost": matrix_of(b.column("boost"), self.dim) @ units.T, "folder": np.maximum(np.maximum(dot("concat"), dot("summary")), 0.0),
+            "log_length": np.repeat(b.column("log_length").to_numpy(zero_copy_only=False)[:, None], len(units), axis=1), "keyword": keyword,
+        }
+
+    @staticmethod
+    def parts(b: pa.RecordBatch, raw: dict[str, np.ndarray], s: Scoring) -> dict[str, np.ndarray]:
+        """The PARTS of the scores under the weights ``s``."""
+        times = profile_values(b.column("file_type").to_numpy(zero_copy_only=False), 1, s.parent_multiplier)
+        parent = np.where(raw["folder"] > s.min_score, raw["folder"] * times[:, None], 0.0)
+        return {"sim": raw["sim"], "commit_boost": raw["commit_boost"], "parent_boost": parent, "length_penalty": raw["log_length"] * s.length_weight, "keyword": raw["keyword"]}
+
+    @staticmethod
+    def final(b: pa.RecordBatch, parts: dict[str, np.ndarray], s: Scoring) -> np.ndarray:
+        beta = profile_values(b.column("file_type").to_numpy(zero_copy_only=False), 0, s.beta)
+        semantic = parts["sim"] + s.alpha * parts["commit_boost"] + beta[:, None] * parts["parent_boost"] - parts["length_penalty"]
+        return (1 - s.hybrid) * semantic + s.hybrid * parts["keyword"] if s.hybrid > 0 else semantic
+
+    def scores(self, b: pa.RecordBatch, k: int, s: Scoring) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        parts = self.parts(b, self.raw(b, k), s)
+        return parts, self.final(b, parts, s)
+
+    def names(self, k: int, at: np.ndarray) -> pa.Array:
+        return self.asked[k].names.take(pa.array(at))
+
+
+@dataclass(frozen=True)
+class FileBatches:
+    """The rows that a batch search over files scores, one for each file, with all that its scores need.
+
+    rows(file_id, repo_id, dir_path, file_type, v, boost, concat, summary, log_length, asks, scores).
+    """
+
+    rows: DataFrame
+    scorer: FileScorer
+
+    @property
+    def asked(self) -> list[Asked]:
+        return self.scorer.asked
+
+    def _map(self, run, schema: str) -> DataFrame:
+        """run(scorer, batch, chunk) over all batches and chunks of queries."""
+        scorer, out = self.scorer, None
+        kind = {pa.int64(): "bigint", pa.int32(): "int"}.get(self.asked[0].names.type, "string")
+        for k, a in enumerate(self.asked):
+            one = self.rows.mapInArrow(lambda batches, k=k, width=len(a.names): (x for b in batches for part in _slices(b, width) for x in run(scorer, part, k)), f"query_id {kind}, {schema}")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def best(self, s: Scoring, n: int) -> DataFrame:
+        """(query_id, file_id, repo_id, dir_path, file_type, PARTS, final_score): every pair that passes min_score and can be among a query's n best (0: all)."""
+        keys = ["file_id", "repo_id", "dir_path", "file_type"]
+        kinds = dict(self.rows.dtypes)
+
+        def run(scorer, b, k):
+            parts, score = scorer.scores(b, k, s)
+            r, q = np.nonzero(_passing(score, s.min_score, n))
+            cols = [scorer.names(k, q), *[b.column(c).take(pa.array(r)) for c in keys], *[pa.array(parts[p][r, q]) for p in PARTS], pa.array(score[r, q])]
+            yield pa.RecordBatch.from_arrays(cols, ["query_id", *keys, *PARTS, "final_score"])
+
+        return self._map(run, ", ".join([*[f"{c} {kinds[c]}" for c in keys], *[f"{p} double" for p in PARTS], "final_score double"]))
+
+    def sweep(self, configs: list[tuple[str, Scoring]], n: int = 10) -> DataFrame:
+        """(config, query_id, file_id, rank): the n best of every query under each configuration, a stated list.
+
+        The raw parts are worked out once for a batch, whatever the number of configurations, and a
+        batch's n best for each leave the worker. Ties: the smaller file_id.
+        """
+        kind = dict(self.rows.dtypes)["file_id"]
+        names = pa.array([c for c, _ in configs], pa.string())
+
+        def run(scorer, b, k):
+            raw = scorer.raw(b, k)
+            for i, (_, s) in enumerate(configs):
+                score = scorer.final(b, scorer.parts(b, raw, s), s)
+                r, q = np.nonzero(_passing(score, s.min_score, n))
+                cols = [scorer.names(k, q), names.take(pa.array(np.full(len(r), i))), b.column("file_id").take(pa.array(r)), pa.array(score[r, q])]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "config", "file_id", "final_score"])
+
+        found = self._map(run, f"config string, file_id {kind}, final_score double")
+        order = Window.partitionBy("config", "query_id").orderBy(F.desc(F.round("final_score", 6)), "file_id")
+        return found.select("config", "query_id", "file_id", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= n)
+
+    def children(self, s: Scoring) -> DataFrame:
+        """(query_id, repo_id, dir_path, mean, n): over the files of a folder that pass min_score, added up batch by batch."""
+        kinds = dict(self.rows.dtypes)
+
+        def run(scorer, b, k):
+            _, score = scorer.scores(b, k, s)
+            seen: dict = {}
+            code = np.array([seen.setdefault(x, len(seen)) for x in zip(b.column("repo_id").to_pylist(), b.column("dir_path").to_pylist())], np.int64)
+            passed = score >= s.min_score
+            total, count = np.zeros((len(seen), score.shape[1])), np.zeros((len(seen), score.shape[1]), np.int64)
+            np.add.at(total, code, np.where(passed, score, 0.0))
+            np.add.at(count, code, passed)
+            r, q = np.nonzero(count)
+            first = np.zeros(len(seen), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            at = pa.array(first[r])
+            cols = [scorer.names(k, q), b.column("repo_id").take(at), b.column("dir_path").take(at), pa.array(total[r, q]), pa.array(count[r, q])]
+            yield pa.RecordBatch.from_arrays(cols, ["query_id", "repo_id", "dir_path", "total", "n"])
+
+        parts = self._map(run, f"repo_id {kinds['repo_id']}, dir_path string, total double, n long")
+        return parts.groupBy("query_id", "repo_id", "dir_path").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+
+
+def _passing(score: np.ndarray, least: float, n: int) -> np.ndarray:
+    """What is at ``least`` or above and can be among a column's n largest; scores that round alike tie."""
+    keep = score >= least
+    if n and len(score) > n:
+        keep &= score >= np.partition(score, len(score) - n, axis=0)[len(score) - n][None, :] - 2e-6
+    return keep
+
+
+def _slices(b: pa.RecordBatch, width: int, cells: int = 1 << 20) -> list[pa.RecordBatch]:
+    step = max(1, cells // max(1, width))
+    return [b.slice(at, step) for at in range(0, len(b), step)]
+
+
+def profile_values(ext: np.ndarray, which: int, default: float) -> np.ndarray:
+    """``by_profile`` for an array of extensions."""
+    return np.array([default if (v := PROFILES.get(e, (None, None))[which]) is None else v for e in ext], float)
+
+
+def file_batches(files: DataFrame, directories: DataFrame, commits: DataFrame, file_commits: DataFrame, queries: DataFrame, vectors: DataFrame, dim: int, s: Scoring = Scoring()) -> FileBatches:
+    """Brings together, once for each file, what the scores of any query need; written, so that several results can read it."""
+    asked = ask(queries, vectors, dim)
+    good = good_vectors(vectors, dim)
+    words = stash(keyword_lists(files, queries), "keyword-lists")
+    names = [x for a in asked for x in a.names.to_pylist()]
+    place = {x: i for i, x in enumerate(names)}
+    every = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set
+    peak = {r["ask"]: r["top"] for r in words.select(F.explode(F.arrays_zip(F.col("asks").alias("ask"), F.col("scores").alias("score"))).alias("x")).groupBy("x.ask").agg(F.max("x.score").alias("top")).collect()}
+    top = np.array([peak.get(i, 1.0) for i, x in enumerate(every) if x in place])
+    moved = np.array([place.get(x, -1) for x in every], np.int64)  # a query without a vector finds nothing
+    renumbered = F.transform("asks", lambda i: F.array(*map(F.lit, moved.tolist()))[i]) if (moved != np.arange(len(every))).any() else F.col("asks")
+    avg = average_tokens(files)
+    base = files.crossJoin(F.broadcast(avg)).select(  # avg: one row
+        "file_id", "repo_id", "dir_path", "file_type", "vec_id", length_penalty(F.col("skeleton"), F.col("file_type"), F.col("avg_tokens"), 1.0).alias("log_length")
+    )
+    rows = base.join(good, "vec_id").join(commit_vectors(file_commits, commits, good, dim, s), "file_id", "left")
+    rows = rows.join(directory_vectors(directories, good), ["repo_id", "dir_path"], "left").join(words.select("file_id", renumbered.alias("asks"), "scores"), "file_id", "left")
+    rows = rows.select("file_id", "repo_id", "dir_path", "file_type", "v", "boost", "concat", "summary", "log_length", "asks", "scores")
+    cuts = np.cumsum([0, *[len(a.names) for a in asked]])
+    return FileBatches(spread_rows(stash(rows, "file-batches")), FileScorer(asked, [top[a:b] for a, b in zip(cuts, cuts[1:])], dim))
+
+
+def folder_scores(directories: DataFrame, batches: FileBatches, vectors: DataFrame, s: Scoring) -> DataFrame:
+    """(query_id, repo_id, dir_path, dir_score) of every folder and query, from one matrix product for each batch of folders."""
+    return with_children(folder_sims(directories, batches.asked, vectors, batches.scorer.dim), batches.children(s), s)
+
+
+def folder_sims(directories: DataFrame, asked: list[Asked], vectors: DataFrame, dim: int) -> DataFrame:
+    """(query_id, repo_id, dir_path, dir_sim): the larger similarity of both vectors; a missing summary counts as 0."""
+    both = directory_vectors(directories, good_vectors(vectors, dim))
+    sims = best_pairs(both.select("repo_id", "dir_path", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("concat").alias("v")), F.struct(F.lit(False).alias("first"), F.col("summary").alias("v")))).alias("x")).select("repo_id", "dir_path", "x.v"), asked, 1 << 62, dim)
+    return sims.groupBy("query_id", "repo_id", "dir_path").agg(F.greatest(F.lit(0.0), F.max("sim")).alias("dir_sim"))
+
+
 def hybrid_file_search(files, directories, commits, file_commits, queries, vectors, dim: int, s: Scoring = Scoring(), n: int = 10) -> DataFrame:
-    """Batch search over files: all queries in one plan."""
-    sims = similarities(queries, vectors, dim)
-    dirs = directory_sims(directories, sims)
-    keywords = stash(bm25_scores(files, queries), "keywords")  # read for the scores and for their maxima
-    scored = file_scores(files, sims, dirs, commit_boosts(file_commits, commits, sims, s), keywords, s)
-    return top_n(scored.filter(F.col("final_score") >= s.min_score), "final_score", n, "file_id")
+    """Batch search over files: one matrix product for each batch of files; a batch's n best for each query leave the worker."""
+    batches = file_batches(files, directories, commits, file_commits, queries, vectors, dim, s)
+    return top_n(batches.best(s, n), "final_score", n, "file_id")
 
 
 def rerank(results: DataFrame, file_imports: DataFrame, cross_edges: DataFrame, file_commits: DataFrame, s: Scoring = Scoring(), seeds: int = 50, exclude_top: bool = True) -> DataFrame:

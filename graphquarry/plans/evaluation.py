@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from graphquarry.functions.vectors import similarities
+from graphquarry.functions import vectors as vx
 from graphquarry.operators import evaluation as e
 from graphquarry.operators import search as s
-from graphquarry.sources.scratch import stash
 
 from .registry import query
 
@@ -21,7 +22,8 @@ _METRICS = f"""{_RANKED}, want AS (SELECT query_id, count(*) AS n FROM expected
 
 
 def ranked(v):
-    hits = v.files.select("file_id", "vec_id").join(similarities(v.queries, v.table("embeddings"), 64), "vec_id")
+    rows = v.files.select("file_id", "vec_id").join(vx.good_vectors(v.table("embeddings"), 64), "vec_id").drop("vec_id")
+    hits = vx.best_pairs(vx.spread_rows(rows), vx.ask(v.queries, v.table("embeddings"), 64), 10, 64)
     order = s.Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "file_id")
     return hits.select("query_id", "file_id", F.row_number().over(order).alias("rank")).filter("rank <= 10")
 
@@ -70,39 +72,53 @@ def _(v):
     return v.queries.select("query_id", F.array_join(longest, " ").alias("words")).filter("words <> ''")
 
 
-_SWEEP = """p AS (SELECT query_id, file_id, sim, coalesce(score, 0) / max(score) OVER (PARTITION BY query_id) AS keyword FROM sims JOIN files USING (vec_id) LEFT JOIN bm25 USING (query_id, file_id)),
- g AS (SELECT a * 3 + h AS config, a * 0.1 AS alpha, h * 0.3 AS hybrid FROM range(3) x(a), range(3) y(h)),
- r AS (SELECT config, query_id, file_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round((1 - hybrid) * (sim + alpha * keyword) + hybrid * keyword, 6) DESC, file_id) AS rank FROM p, g),
- t AS (SELECT r.config, r.query_id, min(r.rank) FILTER (WHERE x.file_id IS NOT NULL) AS first, count(x.file_id) FILTER (WHERE rank <= 5) AS top5 FROM r LEFT JOIN expected x ON r.query_id = x.query_id AND r.file_id = x.file_id WHERE rank <= 10 GROUP BY ALL),
- wq AS (SELECT query_id, count(*) AS n FROM expected GROUP BY 1),
- m AS (SELECT config, query_id, CASE WHEN n IS NULL THEN 0 ELSE coalesce(1 / first, 0) END AS mrr, CASE WHEN n IS NULL THEN 0 ELSE coalesce(top5 / 5, 0) END AS p5 FROM t LEFT JOIN wq USING (query_id))"""
+def _sweep_sql(configs: dict) -> str:
+    """The engine's scores under each configuration, their ranks and metrics; the weights are those of LOW unless a configuration has its own."""
+    from .search import BOOSTS, DIRS, LOW
+
+    fields = ("alpha", "beta", "parent_multiplier", "hybrid", "length_weight", "min_score")
+    rows = ", ".join(f"('{name}', {', '.join(str(float(c.get(f, getattr(LOW, f)))) + '::DOUBLE' for f in fields)})" for name, c in configs.items())
+    return f"""{BOOSTS}, {DIRS}, cfg(config, alpha, beta, times, hybrid, weight, least) AS (VALUES {rows}),
+ base AS (SELECT *, CASE WHEN file_type = '.md' THEN 0 ELSE greatest(0, ln(length(skeleton) / 4.0 / (SELECT avg(length(skeleton) / 4.0) FROM files WHERE length(skeleton) > 0))) END AS long FROM files),
+ parts AS MATERIALIZED (SELECT m.query_id, f.file_id, f.file_type, m.sim, coalesce(b.commit_boost, 0) AS commit_boost, coalesce(d.dir_sim, 0) AS folder, f.long, coalesce(k.score / max(k.score) OVER (PARTITION BY m.query_id), 0) AS keyword
+   FROM base f JOIN sims m ON f.vec_id = m.vec_id LEFT JOIN dirs d ON d.query_id = m.query_id AND d.repo_id = f.repo_id AND d.dir_path = f.dir_path
+   LEFT JOIN boosts b ON b.query_id = m.query_id AND b.file_id = f.file_id LEFT JOIN bm25 k ON k.query_id = m.query_id AND k.file_id = f.file_id),
+ sc AS (SELECT config, query_id, file_id, least, (1 - hybrid) * (sim + alpha * commit_boost - weight * long
+     + CASE file_type WHEN '.go' THEN 0.35 WHEN '.java' THEN 0.1 WHEN '.py' THEN 0.25 ELSE beta END * CASE WHEN folder > least THEN folder * CASE file_type WHEN '.go' THEN 0.4 WHEN '.java' THEN 0.15 ELSE times END ELSE 0 END) + hybrid * keyword AS score FROM parts, cfg),
+ r AS (SELECT config, query_id, file_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round(score, 6) DESC, file_id) AS rank FROM sc WHERE score >= least),
+ h AS (SELECT r.config, r.query_id, min(r.rank) FILTER (WHERE x.file_id IS NOT NULL) AS first, count(x.file_id) FILTER (WHERE rank <= 5) AS top5, count(x.file_id) AS found
+   FROM r LEFT JOIN expected x ON r.query_id = x.query_id AND r.file_id = x.file_id WHERE rank <= 10 GROUP BY ALL),
+ wq AS (SELECT config, query_id, n FROM cfg, (SELECT query_id, count(*) AS n FROM expected GROUP BY 1)),
+ m AS (SELECT config, query_id, CASE WHEN n IS NULL THEN 0 ELSE coalesce(1 / first, 0) END AS mrr, CASE WHEN n IS NULL THEN 0 ELSE coalesce(top5 / 5, 0) END AS p5, CASE WHEN n IS NULL THEN 0 ELSE coalesce(found / n, 0) END AS recall FROM h FULL JOIN wq USING (config, query_id))"""
+
 
+def swept(v, configs: dict):
+    """The metrics of every query under each configuration."""
+    from .search import LOW, batches
 
-def swept(v):
-    sims = similarities(v.queries, v.table("embeddings"), 64)
-    key = stash(s.bm25_scores(v.files, v.queries), "keywords")
-    top = key.groupBy("query_id").agg(F.max("score").alias("m"))
-    parts = v.files.select("file_id", "vec_id").join(sims, "vec_id").join(key, ["query_id", "file_id"], "left").join(top, "query_id", "left")
-    k = F.coalesce(F.col("score") / F.col("m"), F.lit(0.0))
-    parts = parts.select("query_id", "file_id", "sim", k.alias("commit_boost"), F.lit(0.0).alias("parent_boost"), k.alias("keyword"))
-    ids = v.spark.range(9).select(F.col("id").alias("config"), (F.floor(F.col("id") / 3) * 0.1).alias("alpha"), F.lit(0.2).alias("beta"), (F.col("id") % 3 * 0.3).alias("hybrid"))
-    return e.metrics(e.sweep(parts, ids), v.expected, ["config"])
+    every = [(name, replace(LOW, **c)) for name, c in configs.items()]
+    names = v.spark.sql(f"SELECT explode(array({', '.join(repr(n) for n in configs)})) AS config")
+    return e.metrics(batches(v).sweep(every), v.expected, ["config"], names)
 
 
-@query("scoring_sweep", f"WITH {_SWEEP} SELECT config, round(avg(p5), 6) AS p5, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM m GROUP BY config")
+@query("scoring_sweep", f"WITH {_sweep_sql(e.ABLATIONS)} SELECT config, round(avg(p5), 6) AS p5, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM m GROUP BY config")
 def _(v):
-    return e.means(swept(v), ["config"]).select("config", F.round("p5", 6).alias("p5"), F.round("mrr", 6).alias("mrr"), "n_queries")
+    return e.means(swept(v, e.ABLATIONS), ["config"]).select("config", *[F.round(c, 6).alias(c) for c in ("p5", "recall", "mrr")], "n_queries")
 
 
-@query("best_config", f"WITH {_SWEEP}, a AS (SELECT config, avg(p5) + avg(mrr) AS o FROM m GROUP BY config) SELECT config, round(o, 6) AS objective FROM a ORDER BY round(o, 9) DESC, config LIMIT 1")
+@query("best_config", f"WITH {_sweep_sql(e.grid())}, a AS (SELECT config, round(avg(p5) + avg(mrr), 9) AS o FROM m GROUP BY config) SELECT config, round(o, 6) AS objective FROM a ORDER BY o DESC, config LIMIT 1")
 def _(v):
-    return e.best_config(e.means(swept(v), ["config"]))
+    return e.best_config(e.means(swept(v, e.grid()), ["config"]))
+
+
+_CAUSE = "CASE best_config " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in e.CAUSES.items()) + " END"
 
 
-@query("regression_classes", f"""WITH {_SWEEP}, b AS (SELECT query_id, mrr FROM m WHERE config = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(mrr, 9) DESC, config) AS rn FROM m WHERE config <> 0)
- SELECT b.query_id, o.config AS best_config, CASE WHEN o.mrr - b.mrr >= 0.05 THEN 'better' WHEN o.mrr - b.mrr <= -0.05 THEN 'worse' ELSE 'same' END AS kind FROM b JOIN o USING (query_id) WHERE rn = 1""")
+@query("regression_classes", f"""WITH {_sweep_sql(e.FORENSICS)}, b AS (SELECT query_id, mrr FROM m WHERE config = 'baseline'),
+ o AS (SELECT query_id, config AS best_config, mrr, row_number() OVER (PARTITION BY query_id ORDER BY round(mrr, 9) DESC, list_position({list(e.FORENSICS)}, config)) AS rn FROM m WHERE config <> 'baseline')
+ SELECT query_id, best_config, {_CAUSE} AS cause, round(o.mrr - b.mrr, 6) AS delta FROM b JOIN o USING (query_id) WHERE rn = 1 AND round(o.mrr - b.mrr, 9) >= 0.05""")
 def _(v):
-    return e.classify_changes(swept(v), 0)
+    return e.classify_changes(swept(v, e.FORENSICS), list(e.FORENSICS))
 
 
 @query("latency_percentiles", "SELECT event_type, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS p50, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, list_sort(list(value))[floor(count(*) * 0.99)::INT + 1] AS p99, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM events GROUP BY event_type")

@@ -19,10 +19,22 @@ def sims(v):
     return vx.similarities(v.queries, v.table("embeddings"), DIM)
 
 
-def scored(v, w=LOW):
-    sm = sims(v)
-    keywords = stash(s.bm25_scores(v.files, v.queries), "keywords")
-    return s.file_scores(v.files, sm, s.directory_sims(v.directories, sm), s.commit_boosts(v.file_commits, v.commits, sm, w), keywords, w)
+def asked(v):
+    return vx.ask(v.queries, v.table("embeddings"), DIM)
+
+
+def vectors(v):
+    return vx.spread_rows(vx.good_vectors(v.table("embeddings"), DIM))
+
+
+def batches(v, w=LOW):
+    return s.file_batches(v.files, v.directories, v.commits, v.file_commits, v.queries, v.table("embeddings"), DIM, w)
+
+
+def commits_of(v, b, n):
+    """The n best commits of each query, and what ties with them."""
+    rows = v.commits.select("commit_id", "vec_id").join(vectors(v), "vec_id").select("commit_id", "v")
+    return vx.best_pairs(rows, b, n, DIM, LOW.min_score).filter(F.col("sim") >= LOW.min_score)
 
 
 BOOSTS = """boosts AS (SELECT query_id, file_id, sum(sim * pow(0.8, recency - 1)) AS commit_boost
@@ -47,18 +59,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin
 
 @query("vector_top_k", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM sims) SELECT query_id, vec_id, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10")
 def _(v):
-    return s.vector_top_k(sims(v), 10).select("query_id", "vec_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    return s.vector_top_k(vectors(v), asked(v), 10, DIM).select("query_id", "vec_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_l2_top_k", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
  d AS (SELECT q.query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(a.v, e.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM queries q JOIN e a ON q.vec_id = a.vec_id, e),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def _(v):
-    e = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = v.queries.select("query_id", "vec_id").join(e, "vec_id").select("query_id", F.col("v").alias("q"))
-    d = e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", vx.l2(F.col("q"), F.col("v")).alias("d"))  # the queries are a stated set
-    r = s.Window.partitionBy("query_id").orderBy(F.round("d", 9), "vec_id")
-    return d.withColumn("rank", F.row_number().over(r)).filter("rank <= 5").select("query_id", "vec_id", F.round("d", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    near = s.nearest_l2(vectors(v), asked(v), 5, DIM)
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("bm25_scores", "SELECT query_id, file_id, round(score, 6) AS score FROM bm25")
@@ -75,12 +84,12 @@ def _(v):
 
 @query("commit_boosts", f"WITH {BOOSTS} SELECT query_id, file_id, round(commit_boost, 6) AS commit_boost FROM boosts")
 def _(v):
-    return s.commit_boosts(v.file_commits, v.commits, sims(v), LOW).select("query_id", "file_id", F.round("commit_boost", 6).alias("commit_boost"))
+    return s.commit_scores(v.file_commits, v.commits, asked(v), v.table("embeddings"), DIM, LOW).select("query_id", "file_id", F.round("commit_boost", 6).alias("commit_boost"))
 
 
 @query("directory_similarity", f"WITH {DIRS} SELECT query_id, repo_id, dir_path, round(dir_sim, 6) AS dir_sim FROM dirs")
 def _(v):
-    return s.directory_sims(v.directories, sims(v)).select("query_id", "repo_id", "dir_path", F.round("dir_sim", 6).alias("dir_sim"))
+    return s.folder_sims(v.directories, asked(v), v.table("embeddings"), DIM).select("query_id", "repo_id", "dir_path", F.round("dir_sim", 6).alias("dir_sim"))
 
 
 @query("average_skeleton_tokens", "SELECT round(avg(length(skeleton) / 4.0), 6) AS avg_tokens FROM files WHERE length(skeleton) > 0")
@@ -100,15 +109,14 @@ def _(v):
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, repo_id, dir_path) AS rank FROM ds WHERE score >= 0.1)
  SELECT query_id, repo_id, dir_path, round(score, 6) AS score, rank FROM t WHERE rank <= 10""")
 def _(v):
-    d = s.directory_scores(s.directory_sims(v.directories, sims(v)), scored(v), LOW).filter(F.col("dir_score") >= LOW.min_score)
+    d = s.folder_scores(v.directories, batches(v), v.table("embeddings"), LOW).filter(F.col("dir_score") >= LOW.min_score)
     return s.top_n(d, "dir_score", 10, "repo_id", "dir_path").select("query_id", "repo_id", "dir_path", F.round("dir_score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("search_commits", """WITH m AS (SELECT query_id, commit_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, commit_id) AS rank FROM commits JOIN sims USING (vec_id) WHERE sim >= 0.1)
  SELECT query_id, commit_id, round(sim, 6) AS sim, rank FROM m WHERE rank <= 10""")
 def _(v):
-    c = v.commits.select("commit_id", "vec_id").join(sims(v).filter("sim >= 0.1"), "vec_id")
-    return s.top_n(c, "sim", 10, "commit_id").select("query_id", "commit_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    return s.top_n(commits_of(v, asked(v), 10), "sim", 10, "commit_id").select("query_id", "commit_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("search_all_kinds", f"""WITH {SCORED}, ch AS (SELECT query_id, repo_id, dir_path, avg(final_score) AS mean, count(*) AS n FROM scored WHERE final_score >= 0.1 GROUP BY ALL),
@@ -118,18 +126,18 @@ def _(v):
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, kind, name) AS rank FROM u WHERE score >= 0.1)
  SELECT query_id, kind, name, round(score, 6) AS score, rank FROM t WHERE rank <= 20""")
 def _(v):
-    sc = stash(scored(v), "scores")  # for the files and for their folders
-    f = sc.select("query_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("name"), F.col("final_score").alias("score"))
-    d = s.directory_scores(s.directory_sims(v.directories, sims(v)), sc, LOW)
+    b = batches(v)
+    f = b.best(LOW, 20).select("query_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("name"), F.col("final_score").alias("score"))
+    d = s.folder_scores(v.directories, b, v.table("embeddings"), LOW)
     d = d.select("query_id", F.lit("directory").alias("kind"), F.concat(F.col("repo_id").cast("string"), F.lit(":"), "dir_path").alias("name"), F.col("dir_score").alias("score"))
-    c = v.commits.select("commit_id", "vec_id").join(sims(v), "vec_id").select("query_id", F.lit("commit").alias("kind"), F.col("commit_id").cast("string").alias("name"), F.col("sim").alias("score"))
+    c = commits_of(v, b.asked, 20).select("query_id", F.lit("commit").alias("kind"), F.col("commit_id").cast("string").alias("name"), F.col("sim").alias("score"))
     u = f.unionByName(d).unionByName(c).filter(F.col("score") >= LOW.min_score)
     return s.top_n(u, "score", 20, "kind", "name").select("query_id", "kind", "name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("explain_scores", f"""WITH {SCORED} SELECT query_id, file_id, printf('score=%.3f sim=%.3f', round(final_score, 6), round(sim, 6)) AS explained FROM ranked WHERE rank <= 3""")
 def _(v):
-    r = s.top_n(scored(v).filter(F.col("final_score") >= LOW.min_score), "final_score", 3, "file_id")
+    r = s.top_n(batches(v).best(LOW, 3), "final_score", 3, "file_id")
     return r.select("query_id", "file_id", F.format_string("score=%.3f sim=%.3f", F.round("final_score", 6), F.round("sim", 6)).alias("explained"))
 
 
@@ -141,7 +149,7 @@ def _(v):
  SELECT query_id, file_id, round(final_score + CASE WHEN rank > 5 THEN 0.05 * (ih.file_id IS NOT NULL)::INT + 0.03 * (ch.file_id IS NOT NULL)::INT + 0.04 * coalesce(1.0 / (1 + best), 0) ELSE 0 END, 6) AS final_score
  FROM base LEFT JOIN ih USING (query_id, file_id) LEFT JOIN ch USING (query_id, file_id) LEFT JOIN co USING (query_id, file_id)""".replace("base AS (SELECT query_id", "top50 AS (SELECT query_id").replace("FROM base WHERE rank <= 5)", "FROM top50 WHERE rank <= 5)").replace("FROM base LEFT JOIN ih", "FROM top50 LEFT JOIN ih"))
 def _(v):
-    r = s.top_n(scored(v).filter(F.col("final_score") >= LOW.min_score), "final_score", 50, "file_id").select("query_id", "file_id", "final_score", "rank")
+    r = stash(s.top_n(batches(v).best(LOW, 50), "final_score", 50, "file_id").select("query_id", "file_id", "final_score", "rank"), "top")  # read by each kind of neighbour
     return s.rerank(r, v.file_imports, v.cross_repo_edges, v.file_commits, LOW, seeds=5).select("query_id", "file_id", F.round("final_score", 6).alias("final_score"))
 
 
@@ -181,9 +189,9 @@ def _(v):
 @query("batch_search_in_order", """WITH b AS (SELECT query_id, 2 * query_id AS pos FROM queries UNION ALL SELECT query_id, 2 * query_id + 1 FROM queries),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM sims) SELECT pos, query_id, vec_id, rank FROM b JOIN r USING (query_id) WHERE rank <= 3""")
 def _(v):
-    asked = v.queries.select("query_id", F.explode(F.array(F.col("query_id") * 2, F.col("query_id") * 2 + 1)).alias("pos"))
-    best = s.vector_top_k(sims(v), 3)  # each distinct query is scored once
-    return asked.join(best, "query_id").select("pos", "query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+    rows = v.queries.select("query_id", F.explode(F.array(F.col("query_id") * 2, F.col("query_id") * 2 + 1)).alias("pos"))
+    best = s.vector_top_k(vectors(v), asked(v), 3, DIM)  # each distinct query is scored once
+    return rows.join(best, "query_id").select("pos", "query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("best_entries", """WITH w AS (SELECT query_id AS key, generate_subscripts(list, 1) AS pos, unnest(list) AS name FROM (SELECT query_id, regexp_split_to_array(query, '\\s+') AS list FROM queries)),
@@ -229,15 +237,15 @@ def _(v):
 @query("knn_then_filter", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, file_id) AS rank FROM sims JOIN files USING (vec_id))
  SELECT query_id, file_id, rank FROM k WHERE rank <= 200 AND file_type = '.py'""")
 def _(v):
-    near = v.files.select("file_id", "file_type", "vec_id").join(sims(v), "vec_id")
-    order = s.Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "file_id")
     most = max(10 * 3, 200)  # the over-fetch is the feature: a filter after it can return fewer
+    near = vx.best_pairs(v.files.select("file_id", "file_type", "vec_id").join(vectors(v), "vec_id").drop("vec_id"), asked(v), most, DIM)
+    order = s.Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "file_id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).filter("file_type = '.py'").select("query_id", "file_id", "rank")
 
 
-@query("results_with_index_time", "SELECT e.query_id, e.file_id, strftime(f.indexed_at, '%Y-%m-%dT%H:%M:%S') AS indexed_at, CASE WHEN f.file_id IS NULL THEN NULL ELSE f.file_path END AS file_path FROM expected e LEFT JOIN files f ON e.file_id = f.file_id AND f.repo_id <= 10")
+@query("results_with_index_time", "SELECT e.query_id, e.file_id, strftime(f.indexed_at, '%Y-%m-%dT%H:%M:%S') AS indexed_at, CASE WHEN f.file_id IS NULL THEN NULL ELSE f.file_path END AS file_path FROM expected e LEFT JOIN files f ON e.file_id = f.file_id")
 def _(v):
-    f = v.files.filter("repo_id <= 10").select("file_id", "file_path", F.date_format("indexed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("indexed_at"))
+    f = v.files.select("file_id", "file_path", F.date_format("indexed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("indexed_at"))
     return v.expected.join(f, "file_id", "left").select("query_id", "file_id", "indexed_at", "file_path")
 
 

@@ -175,6 +175,7 @@ SQL = {
         GROUP BY query_id, file_id""",
 }
 _ORDER = list(SQL)
+LARGE = ("sims", "bm25", "file_commits")  # worked out once, however often the SQL names them
 
 
 def sql(body: str) -> str:
@@ -188,7 +189,7 @@ def sql(body: str) -> str:
                 add(SQL[name])
 
     add(body)
-    views = [f"{n} AS ({SQL[n]})" for n in _ORDER if n in need]
+    views = [f"{n} AS {'MATERIALIZED ' if n in LARGE else ''}({SQL[n]})" for n in _ORDER if n in need]
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
     if own:
         return f"WITH {own[1] or ''}" + ", ".join([*views, body[own.end() :]])
