@@ -159,3 +159,30 @@ def git_log(lines: DataFrame) -> DataFrame:
     """Records of three lines (hash, subject, date): lines(log, pos, line) with pos from 0."""
     rec = lines.groupBy("log", F.expr("pos div 3").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos") % 3, "line"))).alias("m"))
     return rec.select("log", "n", F.element_at("m", F.lit(0).cast(rec.schema["m"].dataType.keyType)).alias("commit_hash"), F.element_at("m", F.lit(1).cast(rec.schema["m"].dataType.keyType)).alias("message"), F.element_at("m", F.lit(2).cast(rec.schema["m"].dataType.keyType)).alias("date"))
+
+
+def live_hashes(repo_files: DataFrame, package_files: DataFrame) -> DataFrame:
+    """(content_hash): what repositories and packages hold, each once."""
+    return repo_files.select("content_hash").union(package_files.select("content_hash")).distinct()
+
+
+def first_modules(file_imports: DataFrame) -> DataFrame:
+    """(source_file_id, imported_module): each module of a file once."""
+    return file_imports.select("source_file_id", "imported_module").distinct()
+
+
+def delete_file(file_imports: DataFrame, gone: DataFrame) -> DataFrame:
+    """``file_imports`` without those of the files gone(file_id); imports of such a file by others lose their target."""
+    left = file_imports.join(gone.select(F.col("file_id").alias("source_file_id")), "source_file_id", "left_anti")
+    both = left.join(gone.select(F.col("file_id").alias("resolved_file_id"), F.lit(True).alias("_gone")), "resolved_file_id", "left")
+    return both.withColumn("resolved_file_id", F.when(F.col("_gone").isNull(), F.col("resolved_file_id"))).select(*file_imports.columns)
+
+
+def paragraph_starts(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, starts) of every line of docs(doc_id, text): whether it isn't blank and the line before is, or there is none.
+
+    A text's own lines lie in one array, so no window over rows is needed.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    starts = F.zip_with(lines, F.concat(F.array(F.lit(False)), F.slice(lines, 1, F.size(lines) - 1)), lambda a, b: a & ~b)
+    return docs.select("doc_id", F.posexplode(starts).alias("pos", "starts"))

@@ -176,15 +176,38 @@ def _block_end(lines: list[str], at: int, block: str) -> int:
     return len(lines)
 
 
+_QUOTED = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*")
+_GOES_ON = ("{", "throws ", "->", "where ", "const ", "noexcept", "override", ": ")
+MOST_LINES = 40
+
+
+def _declaration(lines: list[str], at: int, braces: bool) -> str:
+    """The line ``at`` with the lines on which its list of parameters or of imported names goes on, and where its body begins."""
+    text, k = lines[at], at
+    bare = _QUOTED.sub("", text)
+    close = "}" if re.match(r"\s*(?:import|export)\s+(?:type\s+)?\{[^}]*$", text) else ")"
+    opened = "{" if close == "}" else "("
+    if bare.count(opened) <= bare.count(close) and not (braces and bare.rstrip().endswith(")")):
+        return text
+    while bare.count(opened) > bare.count(close) and k + 1 < len(lines) and k - at < MOST_LINES:
+        k += 1
+        text, bare = f"{text.rstrip()} {lines[k].strip()}", f"{bare.rstrip()} {_QUOTED.sub('', lines[k]).strip()}"
+    while braces and bare.rstrip().endswith(")") and k + 1 < len(lines) and lines[k + 1].strip().startswith(_GOES_ON):
+        k += 1
+        text, bare = f"{text.rstrip()} {lines[k].strip()}", f"{bare.rstrip()} {_QUOTED.sub('', lines[k]).strip()}"
+    return text
+
+
 def _by_lines(name: str, text: str, key: str) -> tuple[str, list]:
     lang = LANGUAGES[key]
     if key not in _COMPILED:
         _COMPILED[key] = ([re.compile(p) for p in lang.imports], [(k, re.compile(p)) for k, p in lang.items], re.compile(lang.private))
     imports, items, private = _COMPILED[key]
     lines = text.split("\n")
-    modules = [m[1].strip() for line in lines for p in imports if (m := p.search(line))]
+    whole = [_declaration(lines, i, lang.block == "{") for i in range(len(lines))]
+    modules = [m[1].strip() for line in whole for p in imports if (m := p.search(line))]
     entries, out, open_ = [], [], []
-    for i, line in enumerate(lines):
+    for i, line in enumerate(whole):
         open_ = [o for o in open_ if o > i]
         hit = next(((k, m) for k, p in items if (m := p.match(line)) and m["name"] not in lang.skip), None)
         if hit is None or line.lstrip().startswith(("//", "*", "#!", "return ")):

@@ -130,10 +130,10 @@ def _(v):
     return q.select("query_id", F.coalesce("local", "cache", "remote", F.lit("relay")).alias("found"))
 
 
-@query("repo_names_with_fallback", "SELECT DISTINCT c.repo_id, coalesce(r.name, 'repo:' || c.repo_id) AS name FROM commits c LEFT JOIN (SELECT * FROM repos WHERE repo_id <= 15) r USING (repo_id)")
+@query("repo_names_with_fallback", "SELECT DISTINCT c.repo_id, coalesce(r.name, 'repo:' || c.repo_id) AS name FROM (SELECT repo_id FROM commits UNION SELECT -1 - query_id FROM queries) c LEFT JOIN repos r USING (repo_id)")
 def _(v):
-    ids = v.commits.select("repo_id").distinct()
-    return ids.join(v.repos.filter("repo_id <= 15"), "repo_id", "left").select("repo_id", F.coalesce("name", F.concat(F.lit("repo:"), F.col("repo_id").cast("string"))).alias("name"))
+    ids = v.commits.select("repo_id").union(v.queries.select(-1 - F.col("query_id"))).distinct()  # the latter have no name
+    return ids.join(v.repos, "repo_id", "left").select("repo_id", F.coalesce("name", F.concat(F.lit("repo:"), F.col("repo_id").cast("string"))).alias("name"))
 
 
 @query("remove_repo", "SELECT f.repo_id, count(*) AS n FROM files f WHERE repo_id <> 4 GROUP BY f.repo_id")

@@ -108,14 +108,25 @@ def _(v):
     return t.package_warm(p.withColumnRenamed("repo_id", "package"), p.filter("repo_id % 2 = 0"))
 
 
-@query("orphan_blobs", "SELECT content_hash, blob_id FROM blobs b WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.content_hash = b.content_hash AND f.repo_id <= 10) AND NOT EXISTS (SELECT 1 FROM files f WHERE f.content_hash = b.content_hash AND f.repo_id = 15)")
+_PAGES = "SELECT sha256(html) AS content_hash, -1 - page_id AS blob_id FROM pages"
+
+
+def _stores(v):
+    """Blobs of files and of pages, and the pages that packages hold: those that queries are named after."""
+    pages = v.table("pages").select(F.sha2("html", 256).alias("content_hash"), (-1 - F.col("page_id")).alias("blob_id"))
+    held = v.table("pages").join(v.queries.select(F.col("query_id").alias("page_id")), "page_id", "left_semi").select(F.sha2("html", 256).alias("content_hash"))
+    return v.blobs.select("content_hash", "blob_id").unionByName(pages), held
+
+
+@query("orphan_blobs", f"SELECT content_hash, blob_id FROM (SELECT content_hash, blob_id FROM blobs UNION ALL {_PAGES}) WHERE content_hash NOT IN (SELECT content_hash FROM files) AND content_hash NOT IN (SELECT sha256(html) FROM pages WHERE page_id IN (SELECT query_id FROM queries))")
 def _(v):
-    return t.orphan_blobs(v.blobs, v.repo_files.filter("repo_id <= 10"), v.repo_files.filter("repo_id = 15")).select("content_hash", "blob_id")
+    blobs, packages = _stores(v)
+    return t.orphan_blobs(blobs, v.repo_files, packages).select("content_hash", "blob_id")
 
 
-@query("live_hashes", "SELECT content_hash FROM files WHERE repo_id <= 5 UNION SELECT content_hash FROM files WHERE repo_id >= 18")
+@query("live_hashes", "SELECT content_hash FROM files UNION SELECT sha256(html) FROM pages WHERE page_id IN (SELECT query_id FROM queries)")
 def _(v):
-    return v.repo_files.filter("repo_id <= 5").select("content_hash").union(v.repo_files.filter("repo_id >= 18").select("content_hash")).distinct()
+    return t.live_hashes(v.repo_files, _stores(v)[1])
 
 
 @query("orphan_imports", "SELECT source_file_id, imported_module FROM file_imports WHERE resolved_file_id NOT IN (SELECT file_id FROM expected)")
@@ -124,9 +135,9 @@ def _(v):
     return gone.select("source_file_id", "imported_module")
 
 
-@query("orphan_commits", "SELECT commit_id FROM commits WHERE commit_id NOT IN (SELECT commit_id FROM file_commits WHERE recency <= 3)")
+@query("orphan_commits", "SELECT commit_id FROM commits WHERE commit_id NOT IN (SELECT commit_id FROM file_commits)")
 def _(v):
-    return v.commits.select("commit_id").join(v.file_commits.filter("recency <= 3"), "commit_id", "left_anti")
+    return v.commits.select("commit_id").join(v.file_commits, "commit_id", "left_anti")
 
 
 @query("embed_plan", "SELECT file_id, blob_id IS NOT NULL AS cached, b.vec_id FROM files f LEFT JOIN (SELECT * FROM blobs WHERE blob_id IN (SELECT file_id FROM expected)) b USING (content_hash)")
@@ -134,7 +145,7 @@ def _(v):
     return t.embed_plan(v.files, v.blobs.join(v.expected.select(F.col("file_id").alias("blob_id")), "blob_id", "left_semi"))
 
 
-@query("blob_scores_to_files", "SELECT f.file_id, q.query_id, round(m.sim, 6) AS sim FROM (SELECT * FROM queries ORDER BY query_id LIMIT 3) q JOIN sims m USING (query_id) JOIN blobs b ON b.vec_id = m.vec_id JOIN files f USING (content_hash)")
+@query("blob_scores_to_files", "SELECT f.file_id, q.query_id, round(m.sim, 6) AS sim FROM queries q JOIN sims m USING (query_id) JOIN blobs b ON b.vec_id = m.vec_id JOIN files f USING (content_hash)")
 def _(v):
     from graphquarry.functions.vectors import similarities
 
@@ -183,28 +194,14 @@ def _(v):
     return t.git_log(lines)
 
 
-@query("diff_tree_paths", "SELECT l_orderkey, 'p' || l_partkey AS path, count(*) AS n FROM lineitem GROUP BY ALL")
-def _(v):
-    raw = v.table("lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))), "\0").alias("raw"))
-    return raw.select("l_orderkey", F.explode(F.split("raw", "\0")).alias("path")).groupBy("l_orderkey", "path").agg(F.count("*").alias("n"))
-
-
-@query("dependency_paths", "SELECT p_name AS realpath, min(p_partkey) AS first_root FROM part GROUP BY p_name")
-def _(v):
-    return v.table("part").groupBy(F.col("p_name").alias("realpath")).agg(F.min("p_partkey").alias("first_root"))
-
-
 @query("first_module_kept", "SELECT source_file_id, imported_module FROM (SELECT DISTINCT source_file_id, imported_module FROM file_imports)")
 def _(v):
-    return v.file_imports.groupBy("source_file_id").agg(F.array_distinct(F.collect_list("imported_module")).alias("m")).select("source_file_id", F.explode("m").alias("imported_module"))
+    return t.first_modules(v.file_imports)
 
 
 @query("delete_file_nulls_imports", "SELECT source_file_id, CASE WHEN resolved_file_id IN (SELECT file_id FROM expected) THEN NULL ELSE resolved_file_id END AS resolved_file_id FROM file_imports WHERE source_file_id NOT IN (SELECT file_id FROM expected)")
 def _(v):
-    gone = v.expected.select("file_id").distinct()
-    left = v.file_imports.join(gone.select(F.col("file_id").alias("source_file_id")), "source_file_id", "left_anti")
-    both = left.join(gone.select(F.col("file_id").alias("resolved_file_id"), F.lit(True).alias("gone")), "resolved_file_id", "left")
-    return both.select("source_file_id", F.when(F.col("gone").isNull(), F.col("resolved_file_id")).alias("resolved_file_id"))
+    return t.delete_file(v.file_imports, v.expected.select("file_id").distinct()).select("source_file_id", "resolved_file_id")
 
 
 @query("changed_since_files", "SELECT file_id FROM files WHERE indexed_at >= TIMESTAMP '2024-01-01 10:00:00'")
@@ -214,12 +211,7 @@ def _(v):
 
 @query("paragraph_starts", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM l) SELECT doc_id, count(*) FILTER (WHERE trim(line) <> '' AND (prev IS NULL OR trim(prev) = '')) AS n_paragraphs FROM p GROUP BY doc_id")
 def _(v):
-    from pyspark.sql import Window
-
-    lines = v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    prev = F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))
-    p = lines.withColumn("prev", prev)
-    return p.groupBy("doc_id").agg(F.count_if((F.trim("line") != "") & (F.col("prev").isNull() | (F.trim("prev") == ""))).alias("n_paragraphs"))
+    return t.paragraph_starts(v.table("documents")).groupBy("doc_id").agg(F.count_if("starts").alias("n_paragraphs"))
 
 
 @query("content_hashes", "SELECT doc_id, sha256(text) AS hash, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")

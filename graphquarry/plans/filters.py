@@ -69,10 +69,10 @@ def _(v):
     return v.files.filter(F.col("skeleton").ilike("%licensed under%")).select("file_id")
 
 
-@query("contains_escaped", "SELECT page_id FROM pages WHERE html LIKE '%100\\%%' ESCAPE '\\' OR html LIKE '%\\_%' ESCAPE '\\'")
+@query("contains_escaped", "SELECT page_id FROM pages WHERE html LIKE '%\\%\\%\\%%' ESCAPE '\\' OR url LIKE '%\\_%' ESCAPE '\\'")
 def _(v):
-    e = lambda x: F.expr(f"html LIKE '%{tx.like_escape(x)}%' ESCAPE '\\\\'".replace("\\%", "\\\\%").replace("\\_", "\\\\_"))
-    return v.table("pages").filter(e("100%") | e("_")).select("page_id")
+    e = lambda c, x: F.col(c).like(f"%{tx.like_escape(x)}%")
+    return v.table("pages").filter(e("html", "%%%") | e("url", "_")).select("page_id")
 
 
 @query("changed_and_found", "SELECT file_id FROM files WHERE indexed_at >= TIMESTAMP '2024-01-01 05:00:00' AND file_id IN (SELECT file_id FROM expected)")
