@@ -28,5 +28,5 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-for _module in ("search", "filters", "graph", "etl", "access", "evaluation", "skeletons", "streams", "build"):
+for _module in ("search", "filters", "graph", "etl", "access", "evaluation", "skeletons", "streams", "build", "languages"):
     import_module(f"graphquarry.plans.{_module}")

@@ -15,19 +15,35 @@ def _(v):
     return jobs.rolling_cost(v.cost_events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "repo_id", F.round("cost", 4).alias("cost"), "n")
 
 
-@query("call_limiter", None)
+def _folded(key: str, value: str, state: str, first: str, step: str, outcome: str) -> str:
+    """SQL for a fold over each key's events by time and event_id: state columns s, their first values and their next."""
+    return f"""WITH RECURSIVE e AS (SELECT {key} AS k, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, {value} AS x, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+ f AS (SELECT k, event_id, t, x, rn, {first} FROM e WHERE rn = 1 UNION ALL SELECT k, event_id, t, x, rn, {step} FROM (SELECT e.*, {state} FROM f JOIN e ON e.k = f.k AND e.rn = f.rn + 1))
+ SELECT k AS {key}, event_id, {outcome} AS outcome FROM f"""
+
+
+_ACCEPTED = "CASE WHEN ok THEN 'accepted' ELSE 'rejected' END"
+
+
+@query("call_limiter", _folded("event_type", "NULL", "list_filter(f.log, lambda y: e.t - y < 3600) AS held", "[t] AS log, true AS ok", "CASE WHEN len(held) >= 5 THEN held ELSE list_append(held, t) END, len(held) < 5", _ACCEPTED))
 def _(v):
     out = limits.fold(v.table("events"), "event_type", "ts", "event_id", lambda: limits.SlidingLog(5, 3600))
     return out.select(F.col("key").alias("event_type"), F.col("tie").alias("event_id"), "outcome")
 
 
-@query("token_bucket", None)
+@query("token_bucket", _folded(
+    "user_id", "NULL", "CASE WHEN e.t - f.since > 172800 THEN 2 ELSE f.tokens END AS n, CASE WHEN e.t - f.since > 172800 THEN e.t ELSE f.since END AS z", "1 AS tokens, t AS since, true AS ok",
+    "CASE WHEN floor((t - z) / 86400 * 2) > 0 THEN least(2, n + floor((t - z) / 86400 * 2)::INT) ELSE n END - (CASE WHEN floor((t - z) / 86400 * 2) > 0 THEN least(2, n + floor((t - z) / 86400 * 2)::INT) ELSE n END > 0)::INT,"
+    " CASE WHEN floor((t - z) / 86400 * 2) > 0 THEN t ELSE z END, CASE WHEN floor((t - z) / 86400 * 2) > 0 THEN least(2, n + floor((t - z) / 86400 * 2)::INT) ELSE n END > 0", _ACCEPTED))
 def _(v):
     out = limits.fold(v.table("events"), "user_id", "ts", "event_id", lambda: limits.TokenBucket(2, 86400))
     return out.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "outcome")
 
 
-@query("embedding_cache", None)
+@query("embedding_cache", _folded(
+    "event_type", "user_id::VARCHAR", "list_filter(f.held, lambda y: y.v = e.x AND e.t - y.m <= 86400) AS found, list_filter(f.held, lambda y: y.v <> e.x) AS rest", "[{'v': x, 'm': t}] AS held, false AS ok",
+    "CASE WHEN len(rest) >= 20 THEN list_append(rest, {'v': x, 'm': CASE WHEN len(found) > 0 THEN found[1].m ELSE t END})[2:] ELSE list_append(rest, {'v': x, 'm': CASE WHEN len(found) > 0 THEN found[1].m ELSE t END}) END, len(found) > 0",
+    "CASE WHEN ok THEN 'hit' ELSE 'miss' END"))
 def _(v):
     out = limits.fold(v.table("events"), "event_type", "ts", "event_id", lambda: limits.LruTtl(20, 86400), "user_id")
     return out.select(F.col("key").alias("event_type"), F.col("tie").alias("event_id"), "outcome")
