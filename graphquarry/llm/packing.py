@@ -134,7 +134,7 @@ _loaded: dict[str, WordTokenizer] = {}
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 
-def _larger(batches, enough: int = 4 << 20):
+def _larger(batches, enough: int = 2 << 20):
     """Batches joined to about ``enough`` bytes, so that more of a batch's words are repeats."""
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -170,6 +170,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
                     crc.append(zlib.crc32(part.tobytes()))
             cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
+            settle()
         _loaded[path].cache.clear()  # an idle worker holds no words
         settle()
 
