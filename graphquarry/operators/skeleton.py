@@ -1,20 +1,20 @@
 """Skeletons: the outline of a source text, with entries (name, kind, start and end line).
 
-Prose is outlined in the JVM. Python goes through its own parser. The other languages are read by
-line patterns with a table for each language; blocks end by braces, by ``end``, or by indentation.
-Any failure falls back to the first lines of the text.
+Prose is outlined in the JVM. Python goes through its own parser, the other languages through the
+writers of ``outlines``. Any failure falls back to the first lines of the text.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.operators.outlines import outlined
+
 FALLBACK_LINES = 50
 PROSE_CHARS = 4000
 ENTRY = "array<struct<name:string,kind:string,start_line:int,end_line:int>>"
@@ -73,7 +73,7 @@ def _python(name: str, text: str) -> tuple[str, list]:
             lines = [*(f"@{ast.unparse(d)}" for d in node.decorator_list), f"class {node.name}", *doc(node, "  ")]
             for m in node.body:
                 if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    entries.append((m.name, "method", m.lineno, m.end_lineno))
+                    entries.append((m.name, "function" if m.decorator_list else "method", m.lineno, m.end_lineno))  # decorated ones count as functions
                     own = m.name.startswith("_") and not m.name.startswith("__")
                     lines += [f"  @{ast.unparse(d)}" for d in m.decorator_list]
                     lines += [f"  {'-' if own else '+'} {m.name}{_signature(m)}", *doc(m, "    ")]
@@ -85,147 +85,7 @@ def _python(name: str, text: str) -> tuple[str, list]:
     return "\n\n".join("\n".join(b) for b in [head + top, *blocks]).rstrip(), entries
 
 
-# -- other languages, by line patterns ------------------------------------------------------------
-@dataclass(frozen=True)
-class Language:
-    """label; imports: patterns with the module as group 1; items: (kind, pattern with named groups name, params, ret)."""
-
-    label: str
-    imports: tuple[str, ...] = ()
-    items: tuple[tuple[str, str], ...] = ()
-    block: str = "{"  # {: braces; end: a line "end" at the item's indent; none
-    private: str = r"\bprivate\b"
-    skip: tuple[str, ...] = field(default=("if", "for", "while", "switch", "return", "catch", "else", "new", "throw", "match", "do", "try", "with", "using", "lock", "await", "guard", "when"))
-
-
-_P = r"\((?P<params>[^)]*)\)"
-_RET = r"(?:\s*(?:->|:)\s*(?P<ret>[\w<>\[\]?.,*&: ]+?))?"
-_MOD = r"(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|sealed|partial|open|readonly|export|default|suspend|inline|const|unsafe|extern|lazy|implicit|case|data|mutating|fileprivate|synchronized|pub(?:\([a-z]+\))?)\s+)*"
-LANGUAGES: dict[str, Language] = {
-    "ts": Language("TypeScript", (r"^\s*import\b.*?from\s+[\"']([^\"']+)", r"^\s*import\s+[\"']([^\"']+)"), (
-        ("class", rf"^\s*{_MOD}class\s+(?P<name>\w+)"), ("interface", rf"^\s*{_MOD}interface\s+(?P<name>\w+)"), ("type", rf"^\s*{_MOD}type\s+(?P<name>\w+)\s*(?:<[^>]*>)?\s*="),
-        ("enum", rf"^\s*{_MOD}enum\s+(?P<name>\w+)"), ("function", rf"^\s*{_MOD}function\*?\s+(?P<name>\w+)\s*(?:<[^>]*>)?{_P}{_RET}\s*\{{"),
-        ("function", rf"^\s*{_MOD}(?:const|let)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?{_P}{_RET}\s*=>"), ("method", rf"^\s+{_MOD}(?:get\s+|set\s+)?(?P<name>\w+)\s*(?:<[^>]*>)?{_P}{_RET}\s*\{{"))),
-    "go": Language("Go", (r"^\s*import\s+\"([^\"]+)\"", r"^\s+(?:\w+\s+)?\"([^\"]+)\"\s*$"), (
-        ("struct", r"^type\s+(?P<name>\w+)\s+struct\b"), ("interface", r"^type\s+(?P<name>\w+)\s+interface\b"), ("method", rf"^func\s+\([^)]*\)\s*(?P<name>\w+){_P}\s*(?P<ret>[^{{]*?)\s*\{{"),
-        ("function", rf"^func\s+(?P<name>\w+)(?:\[[^\]]*\])?{_P}\s*(?P<ret>[^{{]*?)\s*\{{"), ("const", r"^const\s+(?P<name>\w+)"), ("var", r"^var\s+(?P<name>\w+)"))),
-    "rs": Language("Rust", (r"^\s*use\s+([\w:]+)",), (
-        ("struct", rf"^\s*{_MOD}struct\s+(?P<name>\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(?P<name>\w+)"), ("trait", rf"^\s*{_MOD}trait\s+(?P<name>\w+)"), ("impl", r"^\s*impl(?:<[^>]*>)?\s+(?P<name>[\w<>:, ]+?)\s*\{"),
-        ("function", rf"^\s*{_MOD}fn\s+(?P<name>\w+)(?:<[^>]*>)?{_P}{_RET}\s*(?:\{{|;|where)"))),
-    "java": Language("Java", (r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;",), (
-        ("class", rf"^\s*{_MOD}(?:class|record)\s+(?P<name>\w+)"), ("interface", rf"^\s*{_MOD}@?interface\s+(?P<name>\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(?P<name>\w+)"),
-        ("method", rf"^\s+{_MOD}(?:<[^>]*>\s*)?(?P<ret>[\w<>\[\], ?.]+?)\s+(?P<name>\w+)\s*{_P}[^;={{]*[{{;]"), ("method", rf"^\s+{_MOD}(?P<name>[A-Z]\w*)\s*{_P}\s*\{{"))),
-    "kt": Language("Kotlin", (r"^\s*import\s+([\w.*]+)",), (
-        ("class", rf"^\s*{_MOD}class\s+(?P<name>\w+)"), ("interface", rf"^\s*{_MOD}interface\s+(?P<name>\w+)"), ("object", rf"^\s*{_MOD}(?:companion\s+)?object\s*(?P<name>\w*)"),
-        ("function", rf"^\s*{_MOD}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<name>\w+)\s*{_P}{_RET}\s*[{{=]?"), ("val", rf"^\s*{_MOD}va[lr]\s+(?P<name>\w+)"))),
-    "c": Language("C", (r"^\s*#\s*include\s*[<\"]([^>\"]+)",), (
-        ("typedef", r"^\s*typedef\s+struct\s+(?P<name>\w+)"), ("struct", r"^\s*struct\s+(?P<name>\w+)\s*\{"), ("enum", r"^\s*enum\s+(?P<name>\w+)\s*\{"),
-        ("function", rf"^(?P<ret>[\w*& ]+?[\s*&])(?P<name>\w+)\s*{_P}\s*\{{"))),
-    "cpp": Language("C++", (r"^\s*#\s*include\s*[<\"]([^>\"]+)",), (
-        ("namespace", r"^\s*namespace\s+(?P<name>\w+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(?P<name>\w+)[^;]*$"), ("struct", r"^\s*struct\s+(?P<name>\w+)[^;]*$"),
-        ("function", rf"^\s*(?:virtual\s+|static\s+|inline\s+|constexpr\s+)*(?P<ret>[\w:<>*& ]+?[\s*&])(?P<name>~?\w+)\s*{_P}[^;{{=]*\{{"))),
-    "cs": Language("C#", (r"^\s*using\s+([\w.]+)\s*;",), (
-        ("namespace", r"^\s*namespace\s+(?P<name>[\w.]+)"), ("class", rf"^\s*{_MOD}(?:class|record)\s+(?P<name>\w+)"), ("interface", rf"^\s*{_MOD}interface\s+(?P<name>\w+)"), ("struct", rf"^\s*{_MOD}struct\s+(?P<name>\w+)"),
-        ("enum", rf"^\s*{_MOD}enum\s+(?P<name>\w+)"), ("method", rf"^\s+{_MOD}(?P<ret>[\w<>\[\], ?.]+?)\s+(?P<name>\w+)\s*(?:<[^>]*>)?{_P}[^;=]*$"), ("property", rf"^\s+{_MOD}(?P<ret>[\w<>\[\]?]+)\s+(?P<name>\w+)\s*\{{\s*(?:get|set)"))),
-    "swift": Language("Swift", (r"^\s*import\s+(\w+)",), (
-        ("protocol", rf"^\s*{_MOD}protocol\s+(?P<name>\w+)"), ("struct", rf"^\s*{_MOD}struct\s+(?P<name>\w+)"), ("class", rf"^\s*{_MOD}class\s+(?P<name>\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(?P<name>\w+)"),
-        ("extension", rf"^\s*{_MOD}extension\s+(?P<name>\w+)"), ("function", rf"^\s*{_MOD}func\s+(?P<name>\w+)(?:<[^>]*>)?{_P}(?:\s*throws)?{_RET}\s*\{{?"), ("init", rf"^\s*{_MOD}(?P<name>init)\??\s*{_P}"), ("typealias", r"^\s*typealias\s+(?P<name>\w+)"))),
-    "rb": Language("Ruby", (r"^\s*require(?:_relative)?\s+[\"']([^\"']+)",), (
-        ("module", r"^\s*module\s+(?P<name>[\w:]+)"), ("class", r"^\s*class\s+(?P<name>[\w:]+)"), ("method", r"^\s*def\s+(?P<name>(?:self\.)?\w+[?!=]?)\s*(?:\((?P<params>[^)]*)\))?")), "end"),
-    "php": Language("PHP", (r"^\s*use\s+([\w\\]+)",), (
-        ("namespace", r"^\s*namespace\s+(?P<name>[\w\\]+)"), ("class", rf"^\s*{_MOD}class\s+(?P<name>\w+)"), ("interface", r"^\s*interface\s+(?P<name>\w+)"), ("trait", r"^\s*trait\s+(?P<name>\w+)"), ("enum", r"^\s*enum\s+(?P<name>\w+)"),
-        ("function", rf"^\s*{_MOD}function\s+(?P<name>\w+)\s*{_P}{_RET}"))),
-    "lua": Language("Lua", (r"require\s*\(?\s*[\"']([^\"']+)",), (("function", r"^\s*(?:local\s+)?function\s+(?P<name>[\w.:]+)\s*\((?P<params>[^)]*)\)"), ("function", r"^\s*(?:local\s+)?(?P<name>[\w.]+)\s*=\s*function\s*\((?P<params>[^)]*)\)")), "end"),
-    "scala": Language("Scala", (r"^\s*import\s+([\w.{}, ]+)",), (
-        ("object", rf"^\s*{_MOD}object\s+(?P<name>\w+)"), ("class", rf"^\s*{_MOD}class\s+(?P<name>\w+)"), ("trait", rf"^\s*{_MOD}trait\s+(?P<name>\w+)"), ("function", rf"^\s*{_MOD}def\s+(?P<name>\w+)(?:\[[^\]]*\])?(?:{_P})?{_RET}\s*=?"),
-        ("val", rf"^\s*{_MOD}va[lr]\s+(?P<name>\w+)"), ("type", r"^\s*type\s+(?P<name>\w+)"))),
-    "zig": Language("Zig", (r"@import\(\"([^\"]+)\"\)",), (
-        ("struct", r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)\s*=\s*(?:packed\s+|extern\s+)?struct\b"), ("enum", r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)\s*=\s*enum\b"), ("union", r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)\s*=\s*union\b"),
-        ("error", r"^\s*(?:pub\s+)?const\s+(?P<name>\w+)\s*=\s*error\b"), ("function", r"^\s*(?:pub\s+)?fn\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?P<ret>[^{]*?)\s*\{"), ("test", r"^\s*test\s+\"(?P<name>[^\"]+)\""))),
-    "ex": Language("Elixir", (r"^\s*(?:alias|import|use|require)\s+([\w.]+)",), (
-        ("module", r"^\s*defmodule\s+(?P<name>[\w.]+)"), ("protocol", r"^\s*defprotocol\s+(?P<name>[\w.]+)"), ("impl", r"^\s*defimpl\s+(?P<name>[\w.]+)"), ("function", r"^\s*defp?\s+(?P<name>\w+[?!]?)\s*(?:\((?P<params>[^)]*)\))?"),
-        ("macro", r"^\s*defmacrop?\s+(?P<name>\w+)"), ("struct", r"^\s*(?P<name>defstruct)\b")), "end", r"\bdefp\b"),
-}
-BY_EXTENSION = {
-    ".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".go": "go", ".rs": "rs", ".java": "java", ".kt": "kt", ".kts": "kt", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp",
-    ".cs": "cs", ".swift": "swift", ".rb": "rb", ".php": "php", ".lua": "lua", ".scala": "scala", ".zig": "zig", ".ex": "ex", ".exs": "ex",
-}
 PROSE_EXTENSIONS = (".md", ".mdx", ".rst", ".txt", ".adoc")
-_COMPILED: dict[str, tuple] = {}
-
-
-def _block_end(lines: list[str], at: int, block: str) -> int:
-    """The last line, from 1, of the item that begins at line number ``at``, from 0."""
-    if block == "end":
-        pad = len(lines[at]) - len(lines[at].lstrip())
-        for k in range(at + 1, len(lines)):
-            s = lines[k]
-            if s.strip() and len(s) - len(s.lstrip()) <= pad:
-                return k + 1 if s.strip().startswith("end") else k
-        return len(lines)
-    depth, seen = 0, False
-    for k in range(at, len(lines)):
-        bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*", "", lines[k])
-        for c in bare:
-            if c == "{":
-                depth, seen = depth + 1, True
-            elif c == "}":
-                depth -= 1
-        if seen and depth <= 0 or not seen and (bare.rstrip().endswith(";") or k > at + 3):
-            return k + 1 if seen or bare.rstrip().endswith(";") else at + 1
-    return len(lines)
-
-
-_QUOTED = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*")
-_GOES_ON = ("{", "throws ", "->", "where ", "const ", "noexcept", "override", ": ")
-MOST_LINES = 40
-
-
-def _declaration(lines: list[str], at: int, braces: bool) -> str:
-    """The line ``at`` with the lines on which its list of parameters or of imported names goes on, and where its body begins."""
-    text, k = lines[at], at
-    bare = _QUOTED.sub("", text)
-    close = "}" if re.match(r"\s*(?:import|export)\s+(?:type\s+)?\{[^}]*$", text) else ")"
-    opened = "{" if close == "}" else "("
-    if bare.count(opened) <= bare.count(close) and not (braces and bare.rstrip().endswith(")")):
-        return text
-    while bare.count(opened) > bare.count(close) and k + 1 < len(lines) and k - at < MOST_LINES:
-        k += 1
-        text, bare = f"{text.rstrip()} {lines[k].strip()}", f"{bare.rstrip()} {_QUOTED.sub('', lines[k]).strip()}"
-    while braces and bare.rstrip().endswith(")") and k + 1 < len(lines) and lines[k + 1].strip().startswith(_GOES_ON):
-        k += 1
-        text, bare = f"{text.rstrip()} {lines[k].strip()}", f"{bare.rstrip()} {_QUOTED.sub('', lines[k]).strip()}"
-    return text
-
-
-def _by_lines(name: str, text: str, key: str) -> tuple[str, list]:
-    lang = LANGUAGES[key]
-    if key not in _COMPILED:
-        _COMPILED[key] = ([re.compile(p) for p in lang.imports], [(k, re.compile(p)) for k, p in lang.items], re.compile(lang.private))
-    imports, items, private = _COMPILED[key]
-    lines = text.split("\n")
-    whole = [_declaration(lines, i, lang.block == "{") for i in range(len(lines))]
-    modules = [m[1].strip() for line in whole for p in imports if (m := p.search(line))]
-    entries, out, open_ = [], [], []
-    for i, line in enumerate(whole):
-        open_ = [o for o in open_ if o > i]
-        hit = next(((k, m) for k, p in items if (m := p.match(line)) and m["name"] not in lang.skip), None)
-        if hit is None or line.lstrip().startswith(("//", "*", "#!", "return ")):
-            continue
-        kind, m = hit
-        groups = m.groupdict()
-        end = _block_end(lines, i, lang.block)
-        entries.append((m["name"], kind, i + 1, end))
-        params = groups.get("params")
-        ret = (groups.get("ret") or "").strip()
-        shown = m["name"] + (f"({' '.join(params.split())})" if params is not None else "") + (f" -> {ret}" if ret and ret != "void" else "")
-        depth = len(open_)
-        mark = "-" if private.search(line) else "+"
-        out.append(("\n" if depth == 0 else "") + "  " * depth + (f"{mark} {shown}" if depth and kind in ("method", "function", "init") else f"{kind} {shown}"))
-        if kind not in ("function", "method", "val", "var", "const", "property", "type", "typealias"):
-            open_.append(end)
-    head = f"# {name} [{lang.label}]" + ("\nimports: " + ", ".join(dict.fromkeys(modules)) if modules else "")
-    return "\n".join([head, *out]).rstrip(), entries
 
 
 def outline(path: str, text: str, fallback_lines: int = FALLBACK_LINES) -> tuple[str, list[tuple[str, str, int, int]]]:
@@ -238,8 +98,8 @@ def outline(path: str, text: str, fallback_lines: int = FALLBACK_LINES) -> tuple
             return text[:PROSE_CHARS], [(m[2].strip(), f"h{len(m[1])}", i, i) for i, m in heads]
         if ext == ".py":
             return _python(name, text)
-        if ext in BY_EXTENSION:
-            return _by_lines(name, text, BY_EXTENSION[ext])
+        if got := outlined(name, text, ext):
+            return got
     except (SyntaxError, ValueError, RecursionError):
         pass
     return "\n".join(text.split("\n")[:fallback_lines]), []
