@@ -1,7 +1,9 @@
-"""Text functions that stay in the JVM."""
+"""Text functions as columns."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+_HUMP, _TOKEN = re.compile("(?<=[a-z0-9])(?=[A-Z])"), re.compile("[a-z0-9]+")
+
+
+def plain_tokens(text: str) -> list[str]:
+    """``code_tokens`` of one text in a Python worker."""
+    return _TOKEN.findall(_HUMP.sub(" ", text).lower())
+
+
 def query_words(text: Column) -> Column:
     """Lower-case words of more than two characters."""
     return F.filter(F.split(F.lower(text), "\\s+"), lambda w: F.length(w) > 2)

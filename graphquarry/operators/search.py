@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.functions.text import code_tokens
+from graphquarry.functions.text import code_tokens, plain_tokens
 from graphquarry.functions.vectors import Asked, ask, best_pairs, good_vectors, matrix_of, spread_rows, unit_rows
 from graphquarry.sources.scratch import spread, stash
 
@@ -70,106 +70,103 @@ def nearest_l2(vectors: DataFrame, asked: list[Asked], k: int, dim: int) -> Data
 
 def bm25_scores(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, max_pairs: int = 200_000) -> DataFrame:
     """(query_id, file_id, score) over the distinct terms of each query; files with null skeletons are no documents."""
-    scored, wanted, pairs = _term_parts(files, queries, k1, b, max_pairs)
+    wanted, pairs = _asked_terms(queries, max_pairs)
     if pairs is None:
-        return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
+        return _bm25_by_join(files, wanted, k1, b)
     names = sorted({r["query_id"] for r in pairs})
-    lists = _add_up(scored, pairs, {q: i for i, q in enumerate(names)})
-    both = lists.select("file_id", F.explode(F.arrays_zip("asks", "scores")).alias("x"))
+    both = _bm25_lists(files, pairs, names, k1, b).select("file_id", F.explode(F.arrays_zip("asks", "scores")).alias("x"))
     kind = dict(queries.dtypes)["query_id"]
-    if names == list(range(len(names))):
-        return both.select(F.col("x.asks").cast(kind).alias("query_id"), "file_id", F.col("x.scores").alias("score"))
-    return both.select(F.array(*map(F.lit, names))[F.col("x.asks")].cast(kind).alias("query_id"), "file_id", F.col("x.scores").alias("score"))
+    own = F.col("x.asks") if names == list(range(len(names))) else F.array(*map(F.lit, names))[F.col("x.asks")]
+    return both.select(own.cast(kind).alias("query_id"), "file_id", F.col("x.scores").alias("score"))
 
 
 def keyword_lists(files: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, max_pairs: int = 200_000) -> DataFrame:
     """(file_id, asks array<int>, scores array<double>): bm25 of each file that holds a term; asks: places among the sorted query ids."""
-    scored, wanted, pairs = _term_parts(files, queries, k1, b, max_pairs)
+    wanted, pairs = _asked_terms(queries, max_pairs)
     if pairs is not None:
-        names = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set
-        return _add_up(scored, pairs, {q: i for i, q in enumerate(names)})
+        return _bm25_lists(files, pairs, [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()], k1, b)  # the stated set
     places = queries.select("query_id").distinct().withColumn("ask", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("int"))  # the stated set
-    sums = scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score")).join(places, "query_id")
+    sums = _bm25_by_join(files, wanted, k1, b).join(places, "query_id")
     return sums.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ask", "score"))).alias("x")).select("file_id", F.col("x.ask").alias("asks"), F.col("x.score").alias("scores"))
 
 
-def _term_parts(files: DataFrame, queries: DataFrame, k1: float, b: float, max_pairs: int) -> tuple[DataFrame, DataFrame, list | None]:
-    """scored(file_id, term, part), the queries' terms, and these as a list if they number ``max_pairs`` at most.
+def _asked_terms(queries: DataFrame, max_pairs: int) -> tuple[DataFrame, list | None]:
+    """(query_id, term), and the same as a list by term if the queries, a stated set, have ``max_pairs`` at most."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
+    pairs = wanted.orderBy("term", "query_id").limit(max_pairs + 1).collect()
+    return wanted, pairs if len(pairs) <= max_pairs else None
 
-    Terms that no query holds leave before the first shuffle; the counts that are kept are per
-    document and term, and are written once, as document frequencies and scores both read them. A
-    common term meets most queries in most documents, so its contributions are added up document by
-    document in arrays while they stream by, if the queries, a stated set, have ``max_pairs`` terms
-    at most; beyond that by a join and an aggregation.
-    """
-    spark = files.sparkSession
+
+def _bm25_by_join(files: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:
+    """The scores for more terms than a task can hold: terms that no query has leave before the first shuffle, the rest is joined."""
     texts = spread(files.filter("skeleton is not null").select("file_id", "skeleton"), "file_id")
     docs = texts.select("file_id", code_tokens(F.col("skeleton")).alias("terms"))
-    sizes = docs.select("file_id", F.size("terms").alias("dl"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("query")))).alias("term"))
-    known = wanted.select("term").distinct()
-    tf = docs.select("file_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(known, "term", "left_semi")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tf = tf.groupBy("file_id", "dl", "term").agg(F.count("*").alias("tf"))
-    tf = stash(tf.repartition(parts, "file_id"), "term-counts")  # by file: a frequent term is spread over all tasks
+    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    tf = docs.select("file_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    tf = stash(tf.groupBy("file_id", "dl", "term").agg(F.count("*").alias("tf")), "term-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(corpus)).select("file_id", "term", part.alias("part"))  # corpus: one row
-    pairs = wanted.orderBy("term", "query_id").limit(max_pairs + 1).collect()
-    if len(pairs) > max_pairs:
-        return scored, wanted, None
-    return scored.repartition(parts, "file_id").sortWithinPartitions("file_id"), wanted, pairs
+    return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
+
 
+def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float) -> DataFrame:
+    """(file_id, asks, scores): a document's terms are counted where it is read, so nothing is shuffled but the terms' frequencies.
 
-def _add_up(scored: DataFrame, pairs: list, place: dict) -> DataFrame:
-    """(file_id, asks, scores) of scored(file_id, term, part), sorted by file within partitions; pairs: (query_id, term) by term."""
-    terms = pa.array([r["term"] for r in pairs], pa.string())
+    pairs: (query_id, term) by term; asks: places in names. The counts are written once, as the
+    frequencies and the scores both read them; a document's scores are added up in an array.
+    """
+    place = {q: i for i, q in enumerate(names)}
+    known = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in pairs))}
     asks = np.array([place[r["query_id"]] for r in pairs], np.int64)
-    vocabulary = terms.unique()
-    n_asks = np.bincount(pc.index_in(terms, vocabulary).to_numpy(zero_copy_only=False), minlength=len(vocabulary)) if len(pairs) else np.zeros(0, np.int64)
+    n_asks = np.bincount(np.array([known[r["term"]] for r in pairs], np.int64), minlength=len(known)) if pairs else np.zeros(0, np.int64)
     since = np.cumsum(n_asks) - n_asks
-    width = max(1, len(place))
-    file_type = dict(scored.dtypes)["file_id"]
-
-    def sums(table: pa.Table):
-        ids = table.column("file_id").to_numpy()
-        code = pc.index_in(table.column("term"), vocabulary).to_numpy()
-        value = table.column("part").to_numpy()
-        cuts = np.flatnonzero(np.diff(ids)) + 1
-        firsts = np.concatenate(([0], cuts))
-        step = max(1, (1 << 21) // width)  # files whose sums are held at once
-        for at in range(0, len(firsts), step):
-            lo = firsts[at]
-            hi = firsts[at + step] if at + step < len(firsts) else len(ids)
-            own = np.searchsorted(firsts, np.arange(lo, hi), "right") - 1 - at
-            n = n_asks[code[lo:hi]]
-            row = np.repeat(np.arange(hi - lo), n)
-            ask = asks[np.repeat(since[code[lo:hi]] - np.cumsum(n) + n, n) + np.arange(len(row))]
-            total = np.bincount(own[row] * width + ask, value[lo:hi][row], minlength=width * (min(at + step, len(firsts)) - at))
-            hit = np.flatnonzero(total)
-            held = np.bincount(hit // width, minlength=min(at + step, len(firsts)) - at)
-            ends = pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32))
-            some = [pa.ListArray.from_arrays(ends, pa.array((hit % width).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(total[hit]))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[firsts[at : at + len(held)]]), *some], ["file_id", "asks", "scores"])
-
-    def run(batches):
-        held = None
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            held = now if held is None else pa.concat_tables([held, now])
-            if len(held) < 1 << 17:
-                continue
-            ids = held.column("file_id").to_numpy()
-            cut = int(np.searchsorted(ids, ids[-1]))  # the last file may go on
-            if cut:
-                yield from sums(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield from sums(held)
-
-    return scored.mapInArrow(run, f"file_id {file_type}, asks array<int>, scores array<double>")
+    texts = spread(files.filter("skeleton is not null").select("file_id", "skeleton"), "file_id")
+    kind = dict(files.dtypes)["file_id"]
+
+    def lists(values: list[np.ndarray], of: type) -> pa.ListArray:
+        ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, of), *values]).astype(of)))
+
+    def count(batches):
+        for x in batches:
+            sizes, terms, counts = [], [], []
+            for text in x.column(1).to_pylist():
+                tokens = plain_tokens(text)
+                sizes.append(len(tokens))
+                got = np.unique(np.array([i for t in tokens if (i := known.get(t)) is not None], np.int32), return_counts=True)
+                terms.append(got[0])
+                counts.append(got[1])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sizes, pa.int32()), lists(terms, np.int32), lists(counts, np.int32)], ["file_id", "dl", "terms", "counts"])
+
+    held = stash(texts.mapInArrow(count, f"file_id {kind}, dl int, terms array<int>, counts array<int>"), "term-counts")
+    corpus = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = np.zeros(len(known))
+    for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # the queries' terms
+        df[r["term"]] = r["df"]
+    idf, mean, width = np.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5)), corpus["avgdl"] or 1.0, max(1, len(names))
+
+    def add_up(batches):
+        step = max(1, (1 << 21) // width)  # documents whose sums are held at once
+        for x in batches:
+            for at in range(0, len(x), step):
+                part = x.slice(at, step)
+                n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False)
+                term, tf = part.column("terms").flatten().to_numpy(zero_copy_only=False), part.column("counts").flatten().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(part)), n)
+                dl = part.column("dl").to_numpy(zero_copy_only=False)[doc]
+                value = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+                m = n_asks[term]
+                row = np.repeat(np.arange(len(term)), m)
+                ask_ = asks[np.repeat(since[term] - np.cumsum(m) + m, m) + np.arange(len(row))] if len(row) else np.zeros(0, np.int64)
+                total = np.bincount(doc[row] * width + ask_, value[row], minlength=width * len(part))
+                hit = np.flatnonzero(total)
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(hit // width, minlength=len(part))))).astype(np.int32))
+                some = [pa.ListArray.from_arrays(ends, pa.array((hit % width).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(total[hit]))]
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), *some], ["file_id", "asks", "scores"])
+
+    return held.filter(F.size("terms") > 0).mapInArrow(add_up, f"file_id {kind}, asks array<int>, scores array<double>")
 
 
 def commit_boosts(file_commits: DataFrame, commits: DataFrame, sims: DataFrame, s: Scoring) -> DataFrame:
