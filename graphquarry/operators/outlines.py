@@ -16,8 +16,8 @@ Entry = tuple[str, str, int, int]
 _OPEN, _CLOSE = "([{", ")]}"
 
 
-def blanked(text: str, line: tuple[str, ...] = ("//",), block: tuple[str, str] | None = ("/*", "*/"), quotes: str = "\"'`", triple: bool = False) -> str:
-    """The text with comments and the insides of strings as spaces; lines and lengths stay."""
+def blanked(text: str, line: tuple[str, ...] = ("//",), block: tuple[str, str] | None = ("/*", "*/"), quotes: str = "\"'`", triple: bool = False, strings: bool = True) -> str:
+    """The text with comments and, if asked for, the insides of strings as spaces; lines and lengths stay."""
     out, i, n = list(text), 0, len(text)
 
     def wipe(a: int, b: int) -> None:
@@ -39,13 +39,13 @@ def blanked(text: str, line: tuple[str, ...] = ("//",), block: tuple[str, str] |
         elif triple and text.startswith('"""', i):
             end = text.find('"""', i + 3)
             end = n if end < 0 else end + 3
-            wipe(i, end)
+            wipe(i, end if strings else i)
             i = end
         elif text[i] in quotes:
             q, k = text[i], i + 1
             while k < n and text[k] != q and (q == "`" or text[k] != "\n"):
                 k += 2 if text[k] == "\\" else 1
-            wipe(i + 1, k)
+            wipe(i + 1, k if strings else 0)
             i = k + 1
         else:
             i += 1
@@ -149,7 +149,7 @@ def call(head: str) -> tuple[str, str, str] | None:
     if at < 0:
         return None
     end = matching(head, at)
-    return head[:at].strip(), " ".join(head[at + 1 : end].split()), head[end + 1 :].strip()
+    return head[:at].strip(), " ".join(head[at + 1 : end].split()).rstrip(", "), head[end + 1 :].strip()
 
 
 class Writer:
@@ -161,11 +161,11 @@ class Writer:
 
     def __init__(self, text: str):
         self.text = text
-        self.src = Source(text, self.mask(text))
+        self.src = Source(self.mask(text, False), self.mask(text))
         self.entries: list[Entry] = []
 
-    def mask(self, text: str) -> str:
-        return blanked(text)
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(text, strings=strings)
 
     def imports(self) -> list[str]:
         return []
@@ -208,8 +208,8 @@ class C(Writer):
     def imports(self) -> list[str]:
         return _found(self.text, r"^[ \t]*#\s*include\s*[<\"]([^>\"]+)")
 
-    def mask(self, text: str) -> str:
-        m = blanked(text, quotes="\"'")
+    def mask(self, text: str, strings: bool = True) -> str:
+        m = blanked(text, quotes="\"'", strings=strings)
         return re.sub(r"^[ \t]*#.*?(?<!\\)$", lambda x: " " * len(x[0]), m, flags=re.M)
 
     @staticmethod
@@ -424,7 +424,7 @@ class CSharp(Java):
         parts = call(head.split("=>")[0])
         if not parts or "=" in parts[0]:
             body = self.src.masked[slice(*u.body)] if u.body else ""
-            p = re.match(rf"((?:{_JAVA_MODS}\s+)*)(.*\S)\s+(\w+)(?:\s*=>.*)?$", head)
+            p = re.match(rf"((?:{_JAVA_MODS}\s+)*)(.*\S)\s+(\w+)$", head.split("=>")[0].strip())
             if p and (re.search(r"\b(?:get|set|init)\b", body) or "=>" in head and "=" not in head.split("=>")[0]):
                 return [*notes, f"{'-' if 'private' in p[1].split() else '+'} {p[3]}: {p[2]}"]
             return []
@@ -507,8 +507,8 @@ class Kotlin(Writer):
     label, newline = "Kotlin", True
     MODS = r"(?:public|private|protected|internal|override|open|abstract|final|suspend|inline|lateinit|const|operator|infix|tailrec|external|data|sealed|enum|annotation|inner|value|companion|actual|expect)"
 
-    def mask(self, text: str) -> str:
-        return blanked(text, quotes="\"'", triple=True)
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(text, quotes="\"'", triple=True, strings=strings)
 
     def imports(self) -> list[str]:
         return _found(self.text, r"^[ \t]*import\s+([\w.*]+)")
@@ -545,8 +545,8 @@ class Kotlin(Writer):
 class Rust(Writer):
     label = "Rust"
 
-    def mask(self, text: str) -> str:
-        return re.sub(r"'(?:\\.|[^'\\\n])'", lambda m: "'" + " " * (len(m[0]) - 2) + "'", blanked(text, quotes='"'))
+    def mask(self, text: str, strings: bool = True) -> str:
+        return re.sub(r"'(?:\\.|[^'\\\n])'", lambda m: "'" + " " * (len(m[0]) - 2) + "'" if strings else m[0], blanked(text, quotes='"', strings=strings))
 
     def imports(self) -> list[str]:
         return _found(self.text, r"^[ \t]*(?:pub\s+)?use\s+([^;{]+?)(?:::\{[^;]*)?\s*;")
@@ -611,8 +611,8 @@ class Php(Writer):
     label = "PHP"
     MODS = r"(?:public|private|protected|static|final|abstract|readonly|var)"
 
-    def mask(self, text: str) -> str:
-        return blanked(re.sub(r"<\?php|\?>|<\?=", lambda m: " " * len(m[0]), text).replace("#[", "\0["), line=("//", "#"), quotes="\"'").replace("\0[", "#[")
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(re.sub(r"<\?php|\?>|<\?=", lambda m: " " * len(m[0]), text).replace("#[", "\0["), line=("//", "#"), quotes="\"'", strings=strings).replace("\0[", "#[")
 
     def imports(self) -> list[str]:
         return _found(self.text, r"^use\s+(?:function\s+|const\s+)?([\w\\]+)(?:\s+as\s+\w+)?\s*;")
@@ -666,8 +666,8 @@ class Scala(Writer):
     label, newline, loose = "Scala", True, False
     MODS = r"(?:private(?:\[\w+\])?|protected(?:\[\w+\])?|override|implicit|lazy|final|abstract|sealed|case|inline|given)"
 
-    def mask(self, text: str) -> str:
-        return blanked(text, quotes='"', triple=True)
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(text, quotes='"', triple=True, strings=strings)
 
     def imports(self) -> list[str]:
         return _found(self.text, r"^[ \t]*import\s+([\w.{}, _=>]+)")
@@ -705,8 +705,8 @@ class Swift(Writer):
     label, newline, loose = "Swift", True, False
     MODS = r"(?:public|private|fileprivate|internal|open|static|class|final|override|mutating|nonmutating|lazy|weak|unowned|required|convenience|indirect|async|nonisolated|dynamic)"
 
-    def mask(self, text: str) -> str:
-        return blanked(text, quotes='"', triple=True)
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(text, quotes='"', triple=True, strings=strings)
 
     def imports(self) -> list[str]:
         return _found(self.text, r"^[ \t]*import\s+(\w+)")
@@ -748,8 +748,8 @@ class Swift(Writer):
 class Zig(Writer):
     label = "Zig"
 
-    def mask(self, text: str) -> str:
-        return blanked(text, block=None, quotes='"')
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(text, block=None, quotes='"', strings=strings)
 
     def imports(self) -> list[str]:
         return _found(self.text, r"@import\(\"([^\"]+)\"\)")
@@ -790,8 +790,8 @@ class Zig(Writer):
 class Lua(Writer):
     label, loose = "Lua", False
 
-    def mask(self, text: str) -> str:
-        return blanked(text, line=("--",), block=("--[[", "]]"), quotes="\"'")
+    def mask(self, text: str, strings: bool = True) -> str:
+        return blanked(text, line=("--",), block=("--[[", "]]"), quotes="\"'", strings=strings)
 
     def imports(self) -> list[str]:
         return _found(self.text, r"\brequire\s*\(?\s*[\"']([^\"']+)")
@@ -864,7 +864,7 @@ class Ruby(Writer):
                 given = params[1] if params else (m[3] or "").strip()
                 put(f"+ {m[1]}({given})")
                 entry = (m[1].removeprefix("self."), "method", i + 1, 0)
-                if one or re.search(r"\)\s*=\s*\S", s):
+                if one or re.match(r"def\s+[^\s(]+\s*(?:\([^)]*\))?\s*=\s", s):
                     self.entries.append((*entry[:3], i + 1))
                 else:
                     stack.append((i, "def", entry, None))

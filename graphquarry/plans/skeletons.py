@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphquarry.operators import skeleton as k
 
 from .registry import query
+from .samples import SAMPLES
 
 
 def _marked(v):
@@ -38,9 +39,17 @@ def _(v):
     return k.with_skeletons(rows).select("doc_id", F.col("skeleton.text").alias("text"), F.size("skeleton.entries").alias("n_entries"))
 
 
-@query("skeleton_typescript", "SELECT doc_id, '# m' || doc_id || '.ts [TypeScript]' || chr(10) || 'imports: ./x' || chr(10) || chr(10) || 'class C' || doc_id || chr(10) || '  + run(x: number) -> string' || chr(10) || '  - hidden()' || chr(10) || chr(10) || 'function f(a: string) -> void'[:-9] AS text, 4 AS n_entries FROM documents")
-def _(v):
-    d = F.col("doc_id").cast("string")
-    code = F.concat(F.lit("import { a } from './x';\nexport class C"), d, F.lit(" {\n  run(x: number): string {\n    return a;\n  }\n  private hidden() {\n  }\n}\nexport function f(a: string): void {\n}\n"))
-    rows = v.table("documents").select("doc_id", F.concat(F.lit("src/m"), d, F.lit(".ts")).alias("file_path"), code.alias("content"))
-    return k.with_skeletons(rows).select("doc_id", F.col("skeleton.text").alias("text"), F.size("skeleton.entries").alias("n_entries"))
+def _literal(text: str) -> str:
+    return "replace('" + text.replace("'", "''") + "', '§', doc_id::VARCHAR)"
+
+
+for _ext, _samples in SAMPLES.items():
+    _n = len(_samples)
+    _case = lambda k: f"CASE doc_id % {_n} " + " ".join(f"WHEN {i} THEN {_literal(x[k])}" for i, x in enumerate(_samples)) + " END"  # noqa: B023, E731
+
+    @query(f"skeleton_{_ext}", f"SELECT doc_id, {_case(1)} AS text, {_case(2)} AS entries FROM documents")
+    def _(v, ext=_ext, samples=_samples):
+        code = F.element_at(F.array(*[F.lit(t) for t, _, _ in samples]), (F.col("doc_id") % len(samples) + 1).cast("int"))
+        rows = v.table("documents").select("doc_id", F.lit(f"src/m.{ext}").alias("file_path"), F.replace(code, F.lit("§"), F.col("doc_id").cast("string")).alias("content"))
+        shown = F.transform("skeleton.entries", lambda e: F.concat(e["name"], F.lit(":"), e["kind"], F.lit(":"), e["start_line"].cast("string"), F.lit("-"), e["end_line"].cast("string")))
+        return k.with_skeletons(rows).select("doc_id", F.col("skeleton.text").alias("text"), F.array_join(shown, ", ").alias("entries"))

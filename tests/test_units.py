@@ -228,14 +228,14 @@ CODE = [
     ("a.go", 'package a\nimport "fmt"\ntype S struct {\n x int\n}\nfunc F(a int) string {\n return ""\n}', [("S", "struct", 3, 5), ("F", "function", 6, 8)]),
     ("a.rs", "use std::io;\npub struct S {\n}\nimpl S {\n    pub fn go(&self) -> u8 {\n        1\n    }\n}", [("S", "struct", 2, 3), ("S", "impl", 4, 8), ("go", "function", 5, 7)]),
     ("A.java", "import a.B;\npublic class A {\n    private int f(String s) {\n        return 1;\n    }\n}", [("A", "class", 2, 6), ("f", "method", 3, 5)]),
-    ("a.rb", "module M\n  class C\n    def go(x)\n      x\n    end\n  end\nend", [("M", "module", 1, 7), ("C", "class", 2, 6), ("go", "method", 3, 5)]),
-    ("a.kt", "import a.b\nclass C {\n    fun f(x: Int): Int {\n        return x\n    }\n}", [("C", "class", 2, 6), ("f", "function", 3, 5)]),
+    ("a.rb", "module M\n  class C\n    def go(x)\n      x\n    end\n  end\nend", [("M", "class", 1, 7), ("C", "class", 2, 6), ("go", "method", 3, 5)]),
+    ("a.kt", "import a.b\nclass C {\n    fun f(x: Int): Int {\n        return x\n    }\n}", [("C", "class", 2, 6), ("f", "method", 3, 5)]),
     ("a.c", '#include <stdio.h>\nint add(int a, int b) {\n    return a + b;\n}', [("add", "function", 2, 4)]),
-    ("a.php", "<?php\nclass C {\n    public function f(int $a): int {\n        return $a;\n    }\n}", [("C", "class", 2, 6), ("f", "function", 3, 5)]),
+    ("a.php", "<?php\nclass C {\n    public function f(int $a): int {\n        return $a;\n    }\n}", [("C", "class", 2, 6), ("f", "method", 3, 5)]),
     ("a.lua", "local M = {}\nfunction M.go(a, b)\n  return a\nend", [("M.go", "function", 2, 4)]),
-    ("a.swift", "import UIKit\nstruct S {\n    func f(x: Int) -> Int {\n        return x\n    }\n}", [("S", "struct", 2, 6), ("f", "function", 3, 5)]),
+    ("a.swift", "import UIKit\nstruct S {\n    func f(x: Int) -> Int {\n        return x\n    }\n}", [("S", "struct", 2, 6), ("f", "method", 3, 5)]),
     ("a.zig", 'const std = @import("std");\npub fn add(a: i32) i32 {\n    return a;\n}', [("add", "function", 2, 4)]),
-    ("a.ex", "defmodule A do\n  def f(x) do\n    x\n  end\nend", [("A", "module", 1, 5), ("f", "function", 2, 4)]),
+    ("a.ex", "defmodule A do\n  def f(x) do\n    x\n  end\nend", [("A", "class", 1, 5), ("f", "function", 2, 4)]),
     ("a.scala", "object A {\n  def f(x: Int): Int = {\n    x\n  }\n}", [("A", "object", 1, 5), ("f", "function", 2, 4)]),
     ("a.cs", "using System;\nclass A {\n    public int F(int x)\n    {\n        return x;\n    }\n}", [("A", "class", 2, 7), ("F", "method", 3, 6)]),
     ("a.cpp", "#include <v>\nnamespace n {\nint f(int x) {\n    return x;\n}\n}", [("n", "namespace", 2, 6), ("f", "function", 3, 5)]),
@@ -249,6 +249,16 @@ def test_line_skeletons(path, code, want):
     assert text.startswith(f"# {path} [")
 
 
+def test_outlines_of_broken_and_large_sources_end_soon():
+    import time
+
+    t = time.time()
+    for path, _, _ in CODE:
+        for text in ("(" * 100_000, "{" * 50_000, "a\n" * 50_000, "\n" * 50_000 + "}", '"' * 9999, "def x\n" * 2000, "class A {\n" * 900):
+            assert skeleton.outline(path, text)[0].startswith(("# ", text[:1]))
+    assert time.time() - t < 60
+
+
 def test_prose_skeleton(spark):
     df = spark.createDataFrame([("# Top\nx\n## Sub \n#no\n" + "y" * 5000,)], "t string")
     r = df.select(skeleton.prose_entries(F.col("t")).alias("e"), F.length(skeleton.prose_text(F.col("t"))).alias("n")).first()
