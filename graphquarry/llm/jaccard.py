@@ -14,6 +14,9 @@ linear time. What is left are buckets that hold several components; pairs across
 an exact prefix join: with a set's shingles in order of their rarity, two sets can share ``least`` of
 them only if they share one among the first ``size - least + 1`` of both. Sets that lack a link
 mostly have their own rare shingles there and meet nobody. No bucket and no pair is left out.
+
+What is aggregated for a key is written before it is joined back: a small table can then be sent to
+every task, and a join of two plain exchanges can split a key that many sets share.
 """
 
 from __future__ import annotations
@@ -126,7 +129,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     linked and has no row. at: the place in the order, in which those that no other set has come first.
     """
     tokens = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
-    many = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    many = stash(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "shared-shingles")
     own = Window.partitionBy("node")
     placed = tokens.join(many, "token").withColumn("core", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("n", "token")))
     placed = placed.select("node", "size", F.col("core").cast("int").alias("core"), (F.col("size") - F.col("core") + F.col("i") - 1).cast("int").alias("at"), "token")
@@ -137,7 +140,7 @@ def _across(rest: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(u, v): the pairs of rest(node, root) in different components that the prefix join leaves."""
     heads = stash(prefixes.join(rest, "node").select("node", "root", "size", "at", "token"), "open-prefixes")
     counts = heads.groupBy("token", "root").agg(F.count("*").alias("n"))
-    major = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1")
+    major = stash(counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1"), "mixed-shingles")
     few = heads.join(major, "token").filter("root <> major")
     few = few.select(F.col("token").alias("tok"), F.col("node").alias("w"), F.col("root").alias("other"), F.col("size").alias("m"), F.col("at").alias("place"))
     least = F.expr("(4 * (size + m) + 8) div 9")
@@ -150,7 +153,7 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root): the components of linked nodes; single nodes and roots may be missing. nodes: written, one row for each set."""
     seeds = stash(_seeds(nodes), "seeds")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = stash(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-buckets")
     held = stash(keyed.join(shared, "key"), "buckets-of-sets")
     met = held.select("node").union(seeds.select("u")).union(seeds.select("v")).distinct()
     sets = stash(sets_of(docs, nodes.select("node", "rep").join(met, "node", "left_semi")), "sets")
@@ -158,13 +161,14 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     alive = prefixes.select("node", "size", "core").distinct()
     held = stash(held.join(alive, "node"), "open-buckets")
     order = F.struct((F.col("size") - F.col("core")) / F.col("size"), F.xxhash64("node"))
-    first = held.groupBy("key").agg(F.min_by(F.struct("node", "size", "core"), order).alias("c"))
+    first = stash(held.groupBy("key").agg(F.min_by(F.struct("node", "size", "core"), order).alias("c")), "centres")
     may = _may_reach(F.col("c.size"), F.col("size")) & (9 * F.least(F.col("c.core"), F.col("core")) >= 4 * (F.col("c.size") + F.col("size")))
     stars = held.join(first, "key").filter((F.col("c.node") != F.col("node")) & may).select(*_pairs(F.col("c.node"), F.col("node")))
     found = stash(_similar(seeds.unionByName(stars).distinct(), sets), "similar")
     roots = stash(connected_components(found), "roots")
     rooted = held.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    mixed = stash(mixed, "mixed-buckets")
     rest = rooted.join(mixed, "key", "left_semi").select("node", "root").distinct()
     more = stash(_similar(_across(rest, prefixes), sets), "similar-across")
     if more.isEmpty():

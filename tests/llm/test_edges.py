@@ -291,6 +291,20 @@ def test_quality(spark, corpus, empty):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(150))
 
 
+def test_statistics_by_hand():
+    t = "The cat!! sat |\nTHE cat é 42\nThe cat!! sat |\n"
+    words, lines, n = t.split(), t.split("\n"), len(t.encode())
+    share = lambda chars: sum(c in chars for c in t) / n
+    want = {
+        "log_bytes": np.log(n + 1), "upper": share("TEH"), "digit": 2 / n, "blank": t.count(" ") / n, "line_end": 3 / n, "pipe": 2 / n, "bang": 4 / n, "symbol": 0, "stop": 0, "other_mark": 0, "non_ascii": 2 / n,
+        "log_words": np.log(len(words) + 1), "word_bytes": (n - len(words)) / len(words), "unique_words": len(set(words)) / len(words), "mark_words": sum(w[-1] in "!|" for w in words) / len(words),
+        "upper_words": 1 / len(words), "symbol_words": 2 / len(words), "log_lines": np.log(5), "line_bytes": n / 4, "repeated_lines": 1 / 4, "top_word": 2 / len(words),
+    }
+    got = dict(zip(quality.STATS, quality.statistics(t)))
+    assert lines[0] == lines[2] and got.keys() == want.keys()
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(float(v), 9) for k, v in want.items()}
+
+
 def test_rules_as_columns_equal_the_model(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, len(quality.STATS)))
