@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.operators.etl import numbered
 from graphquarry.operators.filters import secret_names
 from graphquarry.sources.scratch import stash
 
@@ -88,10 +89,12 @@ def embed_files(collected: DataFrame, fresh: DataFrame, spent: Column, cap: floa
     spent: a column of ``collected``, the repository's recent cost. At the cap or above, a repository with any
     file to embed keeps none at all. Order columns of ``collected`` stay as they are.
     """
-    own = Window.partitionBy("repo_id")
-    rows = collected.withColumn("_spent", spent).withColumn("_asks", F.max((~F.col("cached")).cast("int")).over(own))
+    rows = collected.withColumn("_spent", spent)
     if cap is not None:
-        rows = rows.filter((F.col("_asks") == 0) | (F.coalesce("_spent", F.lit(0.0)) < cap))
+        rows = stash(rows, "collected")
+        asks = rows.filter("not cached").select(F.col("repo_id").alias("_repo"), F.lit(True).alias("_asks")).distinct()
+        rows = rows.join(asks, F.col("repo_id").eqNullSafe(F.col("_repo")), "left")
+        rows = rows.filter(F.col("_asks").isNull() | (F.coalesce("_spent", F.lit(0.0)) < cap))
     made = fresh.filter("vec is not null and size(vec) > 0").select("content_hash", F.col("vec").alias("_new"))
     rows = rows.join(made, "content_hash", "left").withColumn("vec", F.coalesce("vec", "_new")).filter("vec is not null")
     return rows.select(*collected.columns)
@@ -195,8 +198,8 @@ def matches_by_repo(matches: DataFrame, files: DataFrame, repos: DataFrame) -> D
 
 def migration_rows(files: DataFrame, batch: int) -> DataFrame:
     """(repo_id, file_path, content_hash, file_type, skeleton, batch): all files of an index, numbered in batches for an upload; no vectors."""
-    number = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path")) - 1
-    return files.select("repo_id", "file_path", "content_hash", "file_type", F.coalesce("skeleton", F.lit("")).alias("skeleton"), F.floor(number / batch).cast("long").alias("batch"))
+    rows = files.select("repo_id", "file_path", "content_hash", "file_type", F.coalesce("skeleton", F.lit("")).alias("skeleton"))
+    return numbered(rows, ["repo_id"], ["file_path"], "_n").withColumn("batch", F.floor(F.col("_n") / batch).cast("long")).drop("_n")
 
 
 def pending(rows: DataFrame, acked: DataFrame) -> DataFrame:

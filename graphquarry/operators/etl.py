@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphquarry.sources.scratch import stash
+
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` without the rows of any key in ``new``, and all of ``new``."""
@@ -136,13 +138,31 @@ def export(files: DataFrame, file_commits: DataFrame, excluded: Column, with_vec
     return kept, file_commits.join(kept.select("file_id"), "file_id", "left_semi") if with_commits else None
 
 
+def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place among those of their key, from 0, by ``order``.
+
+    The rows are sorted into ranges of key and order together, so a key that holds a third of all rows is
+    numbered in many tasks; only the counts of (key, range) are then summed up. Rows that are equal in
+    both take places in any order; a null key is a key like any other.
+    """
+    placed = stash(rows.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    until = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*key, "_part").agg(F.count("*").alias("_m"))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_part").alias("_of"), F.coalesce(F.sum("_m").over(until), F.lit(0)).alias("_since"))
+    own = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)) - 1
+    same = F.col("_part") == F.col("_of")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = placed.withColumn("_own", own).join(counts, same)
+    return out.select(*rows.columns, (F.col("_since") + F.col("_own")).alias(name))
+
+
 def ingest_rows(files: DataFrame, known: DataFrame, batch: int) -> DataFrame:
     """What leaves for a remote store: no content and no absolute path, only unknown hashes, numbered in batches."""
     fresh = files.join(known.select("content_hash"), "content_hash", "left_anti")
     size = F.octet_length("skeleton").cast("long").alias("size_bytes")
     rows = fresh.select("repo_id", "file_path", "file_type", "content_hash", size)
-    number = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path")) - 1
-    return rows.withColumn("batch", F.floor(number / batch).cast("long"))
+    return numbered(rows, ["repo_id"], ["file_path"], "_n").withColumn("batch", F.floor(F.col("_n") / batch).cast("long")).drop("_n")
 
 
 def sections(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphquarry.operators import graph
 from graphquarry.plans import registry
@@ -78,3 +79,32 @@ def test_cross_repo_paths_and_python(spark):
     ).collect()
     want = {k: t for k, t in enumerate(asked.values()) if t}
     assert len(out) == len(want) and {r["source_file"]: (r["target_repo"], r["target_file"]) for r in out} == want
+
+
+def test_a_hot_key_is_numbered_over_many_ranges(spark):
+    from graphquarry.operators import etl
+
+    rows = [(1, f"f{k:04d}") for k in range(900)] + [(k % 7 + 2, f"g{k}") for k in range(60)] + [(None, f"h{k}") for k in range(5)] + [(9, "same")] * 3
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "repo_id long, file_path string")
+        out = etl.numbered(df, ["repo_id"], ["file_path"], "n").collect()
+        empty = etl.numbered(df.limit(0), ["repo_id"], ["file_path"], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for key in {r for r, _ in rows}:
+        want += [(key, p, n) for n, p in enumerate(sorted(p for r, p in rows if r == key))]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr) and not empty
+
+
+def test_a_capped_repository_embeds_nothing(spark):
+    from graphquarry.operators import build
+
+    rows = spark.createDataFrame(
+        [(1, "a", "h1", None, False, 9.0), (1, "b", "h2", [1.0], True, 9.0), (2, "c", "h3", [1.0], True, 9.0), (3, "d", "h4", None, False, None), (3, "e", "h5", None, False, None), (None, "f", "h1", None, False, 9.0)],
+        "repo_id long, file_path string, content_hash string, vec array<double>, cached boolean, cost double",
+    )
+    fresh = spark.createDataFrame([("h1", [2.0]), ("h4", [3.0]), ("h5", [])], "content_hash string, vec array<double>")
+    left = lambda cap: {r["file_path"] for r in build.embed_files(rows, fresh, F.col("cost"), cap).collect()}
+    assert left(5.0) == {"c", "d"} and left(None) == {"a", "b", "c", "d", "f"}
