@@ -32,7 +32,7 @@ def clear(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     This cuts the lineage, so a lost executor costs a re-read and not a re-run, and the
@@ -40,7 +40,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
