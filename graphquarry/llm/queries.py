@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exactdedup, hilbert, linededup, packing, quality, secrets, sharding, simhash, warczip
+from . import bpe, exactdedup, hilbert, linededup, packing, periodic, phrases, quality, secrets, sharding, simhash, warczip, windows
 
 QUERIES = {
     "op1_simhash_pivots": simhash.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_fuse_dedup": exactdedup.op8,
     "op9_line_bitmaps": linededup.op9,
     "op10_matrix_bpe": bpe.op10,
+    "op11_window_hashes": windows.op11,
+    "op12_periodic_runs": periodic.op12,
+    "op13_collocations": phrases.op13,
 }
 
 ORACLE = {
@@ -22,4 +25,7 @@ ORACLE = {
     "op3_trigram_secrets": secrets.OP3_SQL,
     "op8_fuse_dedup": exactdedup.OP8_SQL,
     "op9_line_bitmaps": linededup.OP9_SQL,
+    "op11_window_hashes": windows.OP11_SQL,
+    "op12_periodic_runs": periodic.OP12_SQL,
+    "op13_collocations": phrases.OP13_SQL,
 }
