@@ -2,7 +2,7 @@
 
 Texts are cut into pieces, and identical pieces of a language become one with a multiplicity. Each task
 turns its pieces into n-grams, adds up the multiplicities of equal ones by integer keys of its own word
-list, and packs the n-grams of a hash bucket as one compressed Arrow stream. A bucket's streams are read
+list, and packs the n-grams of a hash bucket and a language as one compressed text. A bucket's texts are read
 one after the other and added up by duckdb, which goes to disk beyond its memory limit. Only n-grams that
 are frequent enough come back: a phrase's parts occur wherever it does, so they are among them.
 
@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, settle, shuffle_parts, spread, stash
 
 #: Characters of pieces that a task turns into n-grams at once, and of all pieces for each bucket.
-PACK_CHARS, BUCKET_CHARS = 4 << 20, 8 << 20
-DUCK_MEMORY = "200MB"
+PACK_CHARS, BUCKET_CHARS = 4 << 20, 4 << 20
+DUCK_MEMORY = "256MB"
 _GRAMS = pa.schema([("lang", pa.string()), ("n", pa.int8()), ("gram", pa.string()), ("weight", pa.int64())])
 
 
@@ -73,11 +74,22 @@ def grams(lang: pa.Array, piece: pa.Array, times: np.ndarray, most: int) -> tupl
     return pa.concat_tables(out), np.concatenate(hashes)
 
 
-def _stream(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _planes(a: np.ndarray) -> bytes:
+    """Integers as eight planes of bytes; most weights are 1, so this compresses to little."""
+    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def pack(table: pa.Table) -> tuple[bytes, bytes]:
+    """(n-grams, weights) of a part of one language, compressed; no n-gram holds a line end, which ends a piece."""
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table.column("gram").combine_chunks()), "\n")
+    return zstandard.compress(text[0].as_py().encode(), 3), zstandard.compress(_planes(table.column("weight").to_numpy()), 3)
+
+
+def unpack(lang: str, text: bytes, weights: bytes) -> pa.RecordBatch:
+    gram = pc.split_pattern(pa.array([zstandard.decompress(text).decode()]), "\n").flatten()
+    n = pc.cast(pc.add(pc.count_substring(gram, " "), 1), pa.int8())
+    weight = np.ascontiguousarray(np.frombuffer(zstandard.decompress(weights), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(gram)), n, gram, pa.array(weight)], schema=_GRAMS)
 
 
 def frequent(found: DataFrame, most: int, least: int, buckets: int, pack_chars: int = PACK_CHARS) -> DataFrame:
@@ -92,11 +104,14 @@ def frequent(found: DataFrame, most: int, least: int, buckets: int, pack_chars:
             lang, piece, times = (t.column(k).combine_chunks() for k in range(3))
             table, h = grams(lang, piece, times.to_numpy(), most)
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")  # within a bucket as sorted by key, so like ones are neighbours
-            table, cut = table.take(pa.array(by)), np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                part = table.slice(cut[k], cut[k + 1] - cut[k])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_stream(part)], pa.binary())], ["bucket", "grams"])
+            tongue = table.column("lang").combine_chunks().dictionary_encode()
+            place = bucket * len(tongue.dictionary) + tongue.indices.to_numpy()
+            by = np.argsort(place, kind="stable")  # otherwise as they were sorted by key, so like ones are neighbours
+            table, place = table.take(pa.array(by)), place[by]
+            start = np.flatnonzero(np.diff(place, prepend=-1))
+            for at, end in zip(start.tolist(), [*start[1:].tolist(), len(place)]):
+                row = [int(bucket[by[at]]), table.column("lang")[at].as_py(), *pack(table.slice(at, end - at))]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "lang", "grams", "weights"])
 
         for b in batches:
             held.append(b)
@@ -109,8 +124,7 @@ def frequent(found: DataFrame, most: int, least: int, buckets: int, pack_chars:
         settle()
 
     def counted(batches):
-        streams = (s for b in batches for s in b.column(1))
-        parts = (r for s in streams for r in pa.ipc.open_stream(s.as_buffer()))
+        parts = (unpack(*row) for b in batches for row in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))))
         with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"memory_limit": DUCK_MEMORY, "threads": 1, "temp_directory": spill}) as con:
             con.execute("SET preserve_insertion_order = false")
             reader = pa.RecordBatchReader.from_batches(_GRAMS, parts)  # noqa: F841  read by name
@@ -119,7 +133,7 @@ def frequent(found: DataFrame, most: int, least: int, buckets: int, pack_chars:
             yield from con.sql("SELECT lang, 0 AS n, '' AS gram, sum(f)::BIGINT AS f FROM counts WHERE n = 1 GROUP BY lang").to_arrow_reader(4096)
         settle()
 
-    sent = found.mapInArrow(packed, "bucket int, grams binary")
+    sent = found.mapInArrow(packed, "bucket int, lang string, grams binary, weights binary")
     parts = max(shuffle_parts(found.sparkSession), buckets)
     return sent.repartition(parts, "bucket").mapInArrow(counted, "lang string, n int, gram string, f long")
 
