@@ -50,8 +50,18 @@ def good_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
+#: A stated query set is scored by matrices that every task holds, so it has a bound; larger sets go through ``VectorIndex.search``.
+MAX_ASKED = 100_000
+
+
 def ask(queries: DataFrame, vectors: DataFrame, dim: int, max_queries: int = 20_000) -> list[Asked]:
-    """queries(query_id, vec_id), a stated set, as matrices of ``max_queries`` rows at most; queries without a usable vector are left out."""
+    """queries(query_id, vec_id), a stated set, as matrices of ``max_queries`` rows at most; queries without a usable vector are left out.
+
+    More than MAX_ASKED of them are refused, before anything reaches the driver.
+    """
+    n = queries.limit(MAX_ASKED + 1).count()
+    if n > MAX_ASKED:
+        raise ValueError(f"more than {MAX_ASKED} queries at once; ask in parts, or a stored index")
     rows = queries.select("query_id", "vec_id").join(good_vectors(vectors, dim), "vec_id").select("query_id", "v").orderBy("query_id").toArrow()
     out = []
     for at in range(0, max(1, len(rows)), max_queries):

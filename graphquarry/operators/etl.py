@@ -38,9 +38,9 @@ def prune(files: DataFrame, on_disk: DataFrame, file_imports: DataFrame, file_co
 
 
 def recency(links: DataFrame) -> DataFrame:
-    """links(file_id, commit_id, authored_at): 1 is the newest commit of a file."""
-    order = Window.partitionBy("file_id").orderBy(F.desc("authored_at"), "commit_id")
-    return links.distinct().select("file_id", "commit_id", F.row_number().over(order).cast("long").alias("recency"))
+    """links(file_id, commit_id, authored_at): 1 is the newest commit of a file. A file that a third of all commits touch is numbered in many tasks."""
+    placed = numbered(links.distinct(), ["file_id"], [F.desc("authored_at"), "commit_id"], "n")
+    return placed.select("file_id", "commit_id", (F.col("n") + 1).cast("long").alias("recency"))
 
 
 def shift_recency(file_commits: DataFrame, new_links: DataFrame) -> DataFrame:
@@ -109,9 +109,13 @@ def orphan_blobs(blobs: DataFrame, repo_files: DataFrame, package_files: DataFra
     return blobs.join(repo_files.select("content_hash"), "content_hash", "left_anti").join(package_files.select("content_hash"), "content_hash", "left_anti")
 
 
-def embed_plan(files: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(file_id, cached, vec_id): content that the store holds reuses its vector; the rest is to be embedded once for each hash."""
-    return files.select("file_id", "content_hash").join(blobs.select("content_hash", "vec_id"), "content_hash", "left").select("file_id", F.col("vec_id").isNotNull().alias("cached"), "vec_id")
+def embed_plan(files: DataFrame, blobs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(file_id, cached, vec_id): content that the store holds reuses its vector; the rest is to be embedded once for each hash.
+
+    key: what names a blob, by default content_hash; where blobs of several models are kept it is ``store.BLOB``.
+    """
+    key = key or ["content_hash"]
+    return files.select("file_id", *key).join(blobs.select(*key, "vec_id"), key, "left").select("file_id", F.col("vec_id").isNotNull().alias("cached"), "vec_id")
 
 
 def lru_evict(entries: DataFrame, capacity: float, ranges: int = 1024) -> DataFrame:
@@ -138,7 +142,7 @@ def export(files: DataFrame, file_commits: DataFrame, excluded: Column, with_vec
     return kept, file_commits.join(kept.select("file_id"), "file_id", "left_semi") if with_commits else None
 
 
-def numbered(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, key: list[str], order: list[str | Column], name: str) -> DataFrame:
     """``rows`` with their place among those of their key, from 0, by ``order``.
 
     The rows are sorted into ranges of key and order together, so a key that holds a third of all rows is

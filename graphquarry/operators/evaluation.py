@@ -90,12 +90,6 @@ def classify_changes(per_query: DataFrame, order: list[str], baseline: str = "ba
     return both.select("query_id", F.col("b.config").alias("best_config"), cause.alias("cause"), F.round("delta", 6).alias("delta"))
 
 
-def percentile(values: Column, share: float) -> Column:
-    """The aggregate sorted[floor(n * share)], the last one at most; for bounded groups such as runs of a benchmark."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.least(F.floor(F.size(s) * share) + 1, F.size(s)).cast("int"))
-
-
 def keyword_baseline(files: DataFrame, queries: DataFrame, most: int = 5, n: int = 10) -> DataFrame:
     """(query_id, file_id, rank): files by the number of the query's longest keywords that they hold."""
     words = F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: F.length(w) > 2))

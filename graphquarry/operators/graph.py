@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions.text import like_escape
+from graphquarry.operators.etl import numbered
 from graphquarry.sources.scratch import stash
 
 # Import patterns by language; group 1 is the module.
@@ -139,31 +140,41 @@ def dependencies(file_imports: DataFrame, files: DataFrame, sources: DataFrame)
     return own.join(files.select(F.col("file_id").alias("resolved_file_id"), "file_path"), "resolved_file_id", "left").select("source_file_id", "imported_module", "resolved_file_id", "file_path")
 
 
-def trace_imports(file_imports: DataFrame, seeds: DataFrame, max_depth: int, inward: bool = False, all_depths: bool = False) -> DataFrame:
+def trace_imports(file_imports: DataFrame, seeds: DataFrame, max_depth: int, inward: bool = False, all_depths: bool = False, scope: DataFrame | None = None) -> DataFrame:
     """(seed, file_id, depth) reachable from seeds(file_id) in at most max_depth steps, level by level.
 
     A file comes at its least depth; all_depths: at every depth that some path gives it, cycles
-    included. The loop has max_depth rounds at most, each one equi-join whose rows are
-    written to the shared folder, and ends early when a level is empty.
+    included. scope(file_id): the files that may be seen; others are left out before they are expanded, so
+    nothing behind them is reached through them. Seeds count as given. The loop has max_depth rounds at most and
+    ends early when a level is empty.
+
+    Seeds travel as bits: a file has one row for every 64 seeds that have reached it, whatever paths led there.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth is 1 to 10")
     a, b = ("resolved_file_id", "source_file_id") if inward else ("source_file_id", "resolved_file_id")
-    edges = file_imports.filter("resolved_file_id is not null").select(F.col(a).alias("file_id"), F.col(b).alias("next")).distinct()
-    level = seeds.select(F.col("file_id").alias("seed"), "file_id").distinct()
-    seen = level
-    out = None
+    edges = file_imports.filter("resolved_file_id is not null").select(F.col(a).alias("file_id"), F.col(b).alias("next"))
+    if scope is not None:
+        edges = edges.join(scope.select(F.col("file_id").alias("next")), "next", "left_semi")
+    edges = stash(edges.distinct(), "edges")
+    named = stash(numbered(seeds.select("file_id").distinct(), [], ["file_id"], "n").select(F.expr("cast(n div 64 as int)").alias("word"), F.expr("cast(n % 64 as int)").alias("bit"), F.col("file_id").alias("seed")), "seeds")
+    level = named.select(F.col("seed").alias("file_id"), "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    seen, out = level, None
     for depth in range(1, max_depth + 1):
-        level = level.join(edges, "file_id").select("seed", F.col("next").alias("file_id")).distinct()
-        if not all_depths:
-            level = level.join(seen, ["seed", "file_id"], "left_anti")
-        level = stash(level, "level")  # else each level's plan would hold all levels before it, more than once
-        seen = seen.unionByName(level)
+        reached = edges.join(level, "file_id").groupBy(F.col("next").alias("file_id"), "word").agg(F.bit_or("bits").alias("bits"))
+        if all_depths:
+            level = stash(reached, "level")
+        else:
+            both = reached.select("file_id", "word", "bits", F.lit(0).cast("long").alias("old")).unionByName(seen.select("file_id", "word", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("old")))
+            both = stash(both.groupBy("file_id", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old")), "level")
+            level = both.select("file_id", "word", F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits")).filter("bits <> 0")
+            seen = both.select("file_id", "word", F.col("bits").bitwiseOR(F.col("old")).alias("bits"))
         found = level.withColumn("depth", F.lit(depth).cast("long"))
         out = found if out is None else out.unionByName(found)
         if level.isEmpty():
             break
-    return out
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    return out.select("file_id", "depth", "word", F.explode(places).alias("bit")).join(named, ["word", "bit"]).select("seed", "file_id", "depth")
 
 
 # Where another repository's module, subpath or entry is looked for, in this order.
@@ -176,6 +187,33 @@ def _cross_paths(module: Column) -> Column:
     return F.array(*[F.concat(F.lit(p), module, F.lit(e)) for p, e in forms])
 
 
+def _lowest_by_path(paths: DataFrame, there: DataFrame, named: DataFrame, most: int = 8) -> DataFrame:
+    """``paths``(file_path, repo_id, package, ...) with target_repo and target_file: the lowest repository of there(target_repo,
+    file_path) that has the path, isn't the row's own, and has no package of named(target_repo, package) that the row names.
+
+    Each path is one row with its ``most`` lowest repositories before it meets the imports, so a path that a
+    third of the repositories have costs no more than another. Only where all of these are ruled out and there
+    are more are the rest looked at one by one.
+    """
+    paths = stash(paths, "cross-paths")
+    asked = there.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("target_repo", "file_path").distinct()
+    lowest = Window.partitionBy("file_path").orderBy("target_repo")
+    few = stash(asked.withColumn("i", F.row_number().over(lowest)).filter(F.col("i") <= most).drop("i"), "lowest-repos")  # cut before the shuffle, too
+    own = named.join(few.select("target_repo").distinct(), "target_repo", "left_semi").groupBy("target_repo").agg(F.collect_set("package").alias("own"))
+    held = few.join(own, "target_repo", "left").select("file_path", "target_repo", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
+    tops = held.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("target_repo", "own"))).alias("top"))
+    tops = stash(tops.join(asked.groupBy("file_path").agg(F.count("*").alias("n")), "file_path"), "repos-of-paths")
+    free = F.filter("top", lambda t: (t["target_repo"] != F.col("repo_id")) & ~F.coalesce(F.array_contains(t["own"], F.col("package")), F.lit(False)))
+    both = paths.join(tops, "file_path").withColumn("target_repo", F.get(free, 0)["target_repo"])
+    done = both.filter("target_repo is not null").select(*paths.columns, "target_repo")
+    open_ = stash(both.filter(F.col("target_repo").isNull() & (F.col("n") > most)).select(*paths.columns), "open-paths")
+    if not open_.isEmpty():
+        rest = open_.join(there.select("target_repo", "file_path"), "file_path").filter("repo_id <> target_repo")
+        rest = rest.join(named.select("target_repo", "package"), ["target_repo", "package"], "left_anti")
+        done = done.unionByName(rest.groupBy(*paths.columns).agg(F.min("target_repo").alias("target_repo")))
+    return done.withColumn("target_file", F.col("file_path"))
+
+
 def cross_repo_edges(unresolved: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
     """Edges from unresolved imports to other repositories.
 
@@ -208,7 +246,7 @@ def cross_repo_edges(unresolved: DataFrame, packages: DataFrame, files: DataFram
     choice = F.array(*[F.concat(F.lit(p), dotted, F.lit(e)) for p, e in CROSS_PYTHON])
     paths = ts.select(*key, scoped.alias("package"), F.posexplode(_cross_paths(module)).alias("pos", "file_path"))
     paths = paths.unionByName(python.select(*key, F.lit(None).cast("string").alias("package"), F.posexplode(choice).alias("pos", "file_path")))
-    by_path = paths.join(there, "file_path").filter("repo_id <> target_repo").join(named.select("target_repo", "package"), ["target_repo", "package"], "left_anti")
+    by_path = _lowest_by_path(paths, there, named)
 
     hit = by_name.unionByName(by_path.select(*key, "target_repo", "pos", "target_file"))
     order = Window.partitionBy(*key).orderBy(F.col("target_file").isNull(), "target_repo", "pos")

@@ -169,22 +169,6 @@ def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float)
     return held.filter(F.size("terms") > 0).mapInArrow(add_up, f"file_id {kind}, asks array<int>, scores array<double>")
 
 
-def commit_boosts(file_commits: DataFrame, commits: DataFrame, sims: DataFrame, s: Scoring) -> DataFrame:
-    """(query_id, file_id, commit_boost): the sum of sim * (1 - decay)^(recency - 1) over the recent commits."""
-    recent = file_commits.filter(F.col("recency") <= s.depth).join(commits.select("commit_id", "vec_id"), "commit_id")
-    part = recent.join(sims, "vec_id").withColumn("w", F.col("sim") * F.pow(F.lit(1 - s.decay), F.col("recency") - 1))
-    return part.groupBy("query_id", "file_id").agg(F.sum("w").alias("commit_boost"))
-
-
-def directory_sims(directories: DataFrame, sims: DataFrame) -> DataFrame:
-    """(query_id, repo_id, dir_path, dir_sim): the larger of both similarities; a missing vector counts as 0."""
-    a = directories.join(sims.select(F.col("vec_id").alias("concat_vec"), "query_id", F.col("sim").alias("concat_sim")), "concat_vec")
-    summary = sims.select(F.col("vec_id").alias("summary_vec"), "query_id", F.col("sim").alias("summary_sim"))
-    both = a.join(summary, ["summary_vec", "query_id"], "left")
-    sim = F.greatest(F.coalesce("concat_sim", F.lit(0.0)), F.coalesce("summary_sim", F.lit(0.0)))
-    return both.select("query_id", "repo_id", "dir_path", sim.alias("dir_sim"))
-
-
 def average_tokens(files: DataFrame) -> DataFrame:
     """One row: the mean of length / 4 over non-empty skeletons; none: 1."""
     return files.agg(F.coalesce(F.avg(F.when(F.length("skeleton") > 0, F.length("skeleton") / 4)), F.lit(1.0)).alias("avg_tokens"))
@@ -196,31 +180,8 @@ def length_penalty(skeleton: Column, ext: Column, avg: Column, weight: float) ->
     return F.when(ext.isin(PROSE), F.lit(0.0)).otherwise(log * weight)
 
 
-def file_scores(files: DataFrame, sims: DataFrame, dir_sims: DataFrame, boosts: DataFrame, keywords: DataFrame, s: Scoring) -> DataFrame:
-    """(query_id, file_id, repo_id, dir_path, ..., final_score): every candidate, before min_score."""
-    avg = average_tokens(files)
-    base = files.crossJoin(F.broadcast(avg)).select(  # avg: one row
-        "file_id", "repo_id", "dir_path", "file_type", "vec_id", length_penalty(F.col("skeleton"), F.col("file_type"), F.col("avg_tokens"), s.length_weight).alias("length_penalty")
-    )
-    top = keywords.groupBy("query_id").agg(F.max("score").alias("max_score"))
-    rows = base.join(sims, "vec_id").join(dir_sims, ["query_id", "repo_id", "dir_path"], "left").join(boosts, ["query_id", "file_id"], "left")
-    rows = rows.join(keywords, ["query_id", "file_id"], "left").join(top, "query_id", "left")
-    parent = F.when(F.col("dir_sim") > s.min_score, by_profile(F.col("file_type"), 1, s.parent_multiplier) * F.col("dir_sim")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("parent_boost", parent).withColumn("commit_boost", F.coalesce("commit_boost", F.lit(0.0)))
-    rows = rows.withColumn("keyword", F.when(F.col("max_score") > 0, F.coalesce("score", F.lit(0.0)) / F.col("max_score")).otherwise(F.lit(0.0)))
-    semantic = F.col("sim") + s.alpha * F.col("commit_boost") + by_profile(F.col("file_type"), 0, s.beta) * F.col("parent_boost") - F.col("length_penalty")
-    final = (1 - s.hybrid) * semantic + s.hybrid * F.col("keyword") if s.hybrid > 0 else semantic
-    return rows.select("query_id", "file_id", "repo_id", "dir_path", "file_type", "sim", "commit_boost", "parent_boost", "length_penalty", "keyword", final.alias("final_score"))
-
-
-def directory_scores(dir_sims: DataFrame, scored_files: DataFrame, s: Scoring) -> DataFrame:
-    """(query_id, repo_id, dir_path, dir_score): similarity plus gamma times the mean of two or more children that pass min_score."""
-    children = scored_files.filter(F.col("final_score") >= s.min_score).groupBy("query_id", "repo_id", "dir_path").agg(F.avg("final_score").alias("mean"), F.count("*").alias("n"))
-    return with_children(dir_sims, children, s)
-
-
 def with_children(dir_sims: DataFrame, children: DataFrame, s: Scoring) -> DataFrame:
-    """``directory_scores`` from children(query_id, repo_id, dir_path, mean, n)."""
+    """(query_id, repo_id, dir_path, dir_score): similarity plus gamma times the mean of two or more children(query_id, repo_id, dir_path, mean, n) that pass min_score."""
     both = dir_sims.join(children, ["query_id", "repo_id", "dir_path"], "left")
     score = F.col("dir_sim") + F.when(F.col("n") >= 2, s.gamma * F.col("mean")).otherwise(F.lit(0.0))
     return both.select("query_id", "repo_id", "dir_path", score.alias("dir_score"))
@@ -415,11 +376,14 @@ def profile_values(ext: np.ndarray, which: int, default: float) -> np.ndarray:
     return np.array([default if (v := PROFILES.get(e, (None, None))[which]) is None else v for e in ext], float)
 
 
-def file_batches(files: DataFrame, directories: DataFrame, commits: DataFrame, file_commits: DataFrame, queries: DataFrame, vectors: DataFrame, dim: int, s: Scoring = Scoring()) -> FileBatches:
-    """Brings together, once for each file, what the scores of any query need; written, so that several results can read it."""
-    asked = ask(queries, vectors, dim)
+def file_batches(files: DataFrame, directories: DataFrame, commits: DataFrame, file_commits: DataFrame, queries: DataFrame, vectors: DataFrame, dim: int, s: Scoring = Scoring(), index=None) -> FileBatches:
+    """Brings together, once for each file, what the scores of any query need; written, so that several results can read it.
+
+    index: a stored ``postings.KeywordIndex`` of the files; with it, no text is cut into words.
+    """
+    asked = ask(queries, vectors, dim)  # at most MAX_ASKED queries, so what is collected below is bounded too
     good = good_vectors(vectors, dim)
-    words = stash(keyword_lists(files, queries), "keyword-lists")
+    words = stash(keyword_lists(files, queries) if index is None else index.lists(queries), "keyword-lists")
     names = [x for a in asked for x in a.names.to_pylist()]
     place = {x: i for i, x in enumerate(names)}
     every = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set
@@ -450,9 +414,9 @@ def folder_sims(directories: DataFrame, asked: list[Asked], vectors: DataFrame,
     return sims.groupBy("query_id", "repo_id", "dir_path").agg(F.greatest(F.lit(0.0), F.max("sim")).alias("dir_sim"))
 
 
-def hybrid_file_search(files, directories, commits, file_commits, queries, vectors, dim: int, s: Scoring = Scoring(), n: int = 10) -> DataFrame:
+def hybrid_file_search(files, directories, commits, file_commits, queries, vectors, dim: int, s: Scoring = Scoring(), n: int = 10, index=None) -> DataFrame:
     """Batch search over files: one matrix product for each batch of files; a batch's n best for each query leave the worker."""
-    batches = file_batches(files, directories, commits, file_commits, queries, vectors, dim, s)
+    batches = file_batches(files, directories, commits, file_commits, queries, vectors, dim, s, index)
     return top_n(batches.best(s, n), "final_score", n, "file_id")
 
 

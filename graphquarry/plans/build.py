@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from graphquarry.operators import build as b
 from graphquarry.operators import graph as g
 from graphquarry.operators import search as s
+from graphquarry.operators import store as st
+from graphquarry.operators.etl import embed_plan, tree_hash
 
 from .filters import _SQL_SECRETS
 from .registry import query
@@ -152,3 +154,75 @@ def _(v):
     rows = b.migration_rows(v.files, 10).select("repo_id", "file_path", "batch")
     done = v.files.join(v.expected, "file_id", "left_semi").select("repo_id", "file_path")
     return b.pending(rows, rows.join(done, ["repo_id", "file_path"], "left_semi"))
+
+
+def _blob(c):
+    """The model that a content was embedded with, by its first digit, in two sizes."""
+    digit = F.substring(c, 1, 1)
+    return [F.lit("local").alias("provider"), F.when(digit < "8", "small").otherwise("large").alias("model"), F.when(digit < "8", 64).otherwise(128).alias("dimensions")]
+
+
+_KEY = "'local' AS provider, CASE WHEN substr(content_hash, 1, 1) < '8' THEN 'small' ELSE 'large' END AS model, CASE WHEN substr(content_hash, 1, 1) < '8' THEN 64 ELSE 128 END AS dimensions"
+
+
+@query("embed_plan_by_model", f"""WITH w AS (SELECT file_id, content_hash, 'local' AS provider, CASE file_id % 2 WHEN 0 THEN 'small' ELSE 'large' END AS model, CASE file_id % 2 WHEN 0 THEN 64 ELSE 128 END AS dimensions FROM files),
+ b AS (SELECT content_hash, vec_id, {_KEY} FROM blobs) SELECT file_id, b.vec_id IS NOT NULL AS cached, b.vec_id FROM w LEFT JOIN b USING (content_hash, provider, model, dimensions)""")
+def _(v):
+    even = F.col("file_id") % 2 == 0
+    files = v.files.select("file_id", "content_hash", F.lit("local").alias("provider"), F.when(even, "small").otherwise("large").alias("model"), F.when(even, 64).otherwise(128).alias("dimensions"))
+    return embed_plan(files, v.blobs.select("content_hash", "vec_id", *_blob(F.col("content_hash"))), st.BLOB)
+
+
+_STORED = f"""old AS (SELECT * FROM files WHERE file_id % 3 > 0),
+ batch AS (SELECT repo_id, file_path, file_id AS was, dir_path, CASE WHEN file_id % 3 = 0 THEN content_hash ELSE sha256(content_hash) END AS content_hash FROM files WHERE file_id % 3 = 0 OR file_id % 5 = 0),
+ fresh AS (SELECT repo_id, file_path, (SELECT max(file_id) FROM old) + row_number() OVER (ORDER BY repo_id, file_path) AS file_id FROM batch WHERE (repo_id, file_path) NOT IN (SELECT (repo_id, file_path) FROM old)),
+ after AS (SELECT o.repo_id, o.file_path, o.file_id, coalesce(b.content_hash, o.content_hash) AS content_hash, b.was, o.dir_path FROM old o LEFT JOIN batch b USING (repo_id, file_path)
+   UNION ALL SELECT repo_id, file_path, f.file_id, content_hash, was, dir_path FROM fresh f JOIN batch USING (repo_id, file_path))"""
+
+
+def stored(v):
+    """A store of two thirds of the files after a batch of the others and of changed ones, whose texts import a neighbour."""
+    old = v.files.filter("file_id % 3 > 0")
+    key = _blob(F.col("content_hash"))
+    blobs = old.groupBy("content_hash").agg(F.min_by("skeleton", "file_id").alias("skeleton")).select("content_hash", *key, "skeleton", F.array().cast("array<double>").alias("vec"))
+    imports = v.file_imports.join(old.select(F.col("file_id").alias("source_file_id")), "source_file_id").join(old.select(F.col("file_id").alias("resolved_file_id")), "resolved_file_id", "left_semi")
+    before = st.Store(
+        old.select("file_id", "repo_id", "file_path", "file_type", "content_hash", "skeleton"), blobs, old.select("repo_id", "file_path", "content_hash", *key),
+        imports.select("source_file_id", "imported_module", "resolved_file_id", F.lit("typescript").alias("language")),
+    )
+    new = v.files.filter("file_id % 3 = 0 or file_id % 5 = 0").withColumn("content_hash", F.when(F.col("file_id") % 3 == 0, F.col("content_hash")).otherwise(F.sha2("content_hash", 256)))
+    batch = new.select("repo_id", "file_path", "file_type", "skeleton", "content_hash", *key, F.array(F.lit(1.0)).alias("vec"))
+    module = F.concat(F.lit("./doc_"), (F.col("file_id") + 10).cast("string"))
+    edges = new.select("repo_id", F.col("file_path").alias("source_path"), module.alias("imported_module"), F.lit("typescript").alias("language"))
+    return st.store_files(before, batch, edges)
+
+
+@query("store_batch", f"""WITH {_STORED},
+ imp AS (SELECT a.file_id AS source_file_id, t.file_id AS resolved_file_id FROM after a LEFT JOIN after t ON t.repo_id = a.repo_id AND t.file_path = a.dir_path || '/doc_' || (a.was + 10) || '.ts' WHERE a.was IS NOT NULL
+   UNION ALL SELECT i.source_file_id, i.resolved_file_id FROM file_imports i JOIN old s ON s.file_id = i.source_file_id JOIN old t ON t.file_id = i.resolved_file_id WHERE i.source_file_id NOT IN (SELECT file_id FROM after WHERE was IS NOT NULL))
+ SELECT a.repo_id, a.file_path, a.file_id, a.content_hash, count(source_file_id) AS n_imports, count(resolved_file_id) AS n_resolved FROM after a LEFT JOIN imp ON imp.source_file_id = a.file_id GROUP BY ALL""")
+def _(v):
+    s = stored(v)
+    n = s.file_imports.groupBy(F.col("source_file_id").alias("file_id")).agg(F.count("*").alias("n_imports"), F.count("resolved_file_id").alias("n_resolved"))
+    rows = s.repo_files.join(s.file_blobs.select(*st.BLOB), st.BLOB).join(s.files.select("repo_id", "file_path", "file_id"), ["repo_id", "file_path"]).join(n, "file_id", "left")
+    return rows.select("repo_id", "file_path", "file_id", "content_hash", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_imports", "n_resolved")])
+
+
+@query("store_leaves_nothing_dangling", "SELECT kind, 0::BIGINT AS n FROM (VALUES ('repo_files without file'), ('repo_files without blob'), ('imports without source'), ('imports without target')) t(kind)")
+def _(v):
+    return st.dangling(stored(v))
+
+
+@query("package_warm_write", f"""WITH k AS (SELECT f.repo_id, f.file_id, f.content_hash, f.file_id IN (SELECT file_id FROM expected) AND substr(content_hash, 1, 1) < '8' AS own, length(skeleton) % 5 <> 0 AS made FROM files f WHERE file_type <> '.md' AND strlen(skeleton) <= 20000),
+ b AS (SELECT DISTINCT content_hash FROM k WHERE own),
+ c AS (SELECT repo_id, count(*) FILTER (WHERE b.content_hash IS NOT NULL) AS reused, count(*) FILTER (WHERE b.content_hash IS NULL AND made) AS embedded, count(*) FILTER (WHERE b.content_hash IS NULL AND NOT made) AS failed FROM k LEFT JOIN b USING (content_hash) WHERE repo_id % 2 > 0 GROUP BY repo_id)
+ SELECT r.repo_id AS package, r.repo_id % 2 = 0 AS hit, coalesce(reused, 0) AS reused, coalesce(embedded, 0) AS embedded, coalesce(failed, 0) AS failed FROM repos r LEFT JOIN c USING (repo_id)""")
+def _(v):
+    entries = v.files.select(F.col("repo_id").alias("package"), F.col("file_path").alias("relpath"), "content_hash", "file_type", F.octet_length("skeleton").alias("size"))
+    key = [F.lit("local").alias("provider"), F.lit("small").alias("model"), F.lit(64).alias("dimensions")]
+    other = [F.lit("local").alias("provider"), F.lit("large").alias("model"), F.lit(64).alias("dimensions")]
+    trees = tree_hash(entries, ["package"])
+    known = trees.filter("package % 2 = 0").select("tree_hash", *key).unionByName(trees.select("tree_hash", *other))  # another model's don't count
+    held = v.files.filter("file_type <> '.md' and octet_length(skeleton) <= 20000").join(v.expected.select("file_id").distinct(), "file_id", "left_semi").select("content_hash", *_blob(F.col("content_hash"))).distinct()
+    fresh = v.files.groupBy("content_hash").agg(F.when(F.length(F.min("skeleton")) % 5 != 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("vec"))
+    return st.warm_packages(entries, known, held, fresh, ("local", "small", 64), [".ts", ".py", ".go", ".java"], 20_000).stats

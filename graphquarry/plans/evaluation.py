@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphquarry.functions import vectors as vx
 from graphquarry.operators import evaluation as e
+from graphquarry.operators import statistics as st
 from graphquarry.operators import search as s
 
 from .registry import query
@@ -124,8 +125,17 @@ def _(v):
 @query("latency_percentiles", "SELECT event_type, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS p50, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, list_sort(list(value))[floor(count(*) * 0.99)::INT + 1] AS p99, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
 def _(v):
     c = F.col("value")
-    g = v.table("events").groupBy("event_type")
-    return g.agg(*[e.percentile(c, q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 4).alias("mean"))
+    g = v.table("events").groupBy("event_type").agg(F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 4).alias("mean"))
+    p = st.percentiles(v.table("events"), ["event_type"], "value", [0.5, 0.95, 0.99])
+    p = p.groupBy("event_type").agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return g.join(p, "event_type").select("event_type", "p50", "p95", "p99", "low", "high", "mean")
+
+
+@query("price_percentiles", """SELECT l_returnflag, l_linestatus, share, list_sort(list(l_extendedprice))[least(floor(count(*) * any_value(share))::BIGINT, count(*) - 1) + 1]::DOUBLE AS price, count(*) AS n
+ FROM lineitem, (VALUES (0.0), (0.1), (0.5), (0.9), (0.99), (1.0)) AS s(share) GROUP BY ALL""")
+def _(v):
+    p = st.percentiles(v.table("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.1, 0.5, 0.9, 0.99, 1.0])
+    return p.select("l_returnflag", "l_linestatus", "share", F.col("value").alias("price"), "n")
 
 
 @query("model_costs", "SELECT r_name AS model, round(500 * 1000 * (r_regionkey + 1) * 0.02 / 1e6, 6)::DOUBLE AS per_1k_files FROM region")

@@ -43,6 +43,23 @@ def _(v):
     return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), DEPTH, all_depths=True)
 
 
+_SCOPED = "sc AS (SELECT file_id FROM files WHERE repo_id % 3 > 0), " + _EDGES
+
+
+@query("trace_import_chain_scoped", f"""WITH RECURSIVE {_SCOPED}, w AS (SELECT query_id AS seed, query_id AS file_id, 0 AS depth FROM queries UNION SELECT seed, b, depth + 1 FROM w JOIN e ON file_id = a JOIN sc ON sc.file_id = b WHERE depth < 10)
+ SELECT seed, file_id, min(depth)::BIGINT AS depth FROM w WHERE file_id <> seed GROUP BY seed, file_id""")
+def _(v):
+    scope = v.files.filter("repo_id % 3 > 0").select("file_id")
+    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), DEPTH, scope=scope)
+
+
+@query("trace_import_chain_scoped_inward", f"""WITH RECURSIVE {_SCOPED}, w AS (SELECT query_id AS seed, query_id AS file_id, 0 AS depth FROM queries UNION SELECT seed, a, depth + 1 FROM w JOIN e ON file_id = b JOIN sc ON sc.file_id = a WHERE depth < 10)
+ SELECT seed, file_id, depth::BIGINT AS depth FROM w WHERE depth > 0""")
+def _(v):
+    scope = v.files.filter("repo_id % 3 > 0").select("file_id")
+    return g.trace_imports(v.file_imports, v.queries.select(F.col("query_id").alias("file_id")), DEPTH, inward=True, all_depths=True, scope=scope)
+
+
 @query("trace_conversation_turns", """WITH RECURSIVE w AS (SELECT conv_id, min(turn) AS turn, 0 AS depth FROM conversations GROUP BY conv_id UNION SELECT c.conv_id, c.turn, depth + 1 FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE depth < 10)
  SELECT conv_id, max(depth)::BIGINT AS depth FROM w WHERE depth > 0 GROUP BY conv_id""")
 def _(v):
@@ -83,11 +100,16 @@ def _(v):
 _DECLARED = "CASE file_id % 4 WHEN 0 THEN skeleton || chr(10) || 'class A' || file_id || ' extends my_base' WHEN 1 THEN skeleton || chr(10) || 'mybase extends nothing' ELSE skeleton END"
 
 
-@query("implementors", f"SELECT repo_id, file_path, file_id FROM (SELECT repo_id, file_path, file_id, {_DECLARED} AS s FROM files) WHERE s LIKE '%my\\_base%' ESCAPE '\\' AND (s LIKE '%implements%' OR s LIKE '%extends%' OR s LIKE '%: %' OR s LIKE '%conform%') ORDER BY repo_id, file_path LIMIT 100")
-def _(v):
+def declared(v):
+    """The files, some with a line that extends a class, some with one that is close to it."""
     k, d = F.col("file_id") % 4, F.col("file_id").cast("string")
     more = F.when(k == 0, F.concat(F.lit("\nclass A"), d, F.lit(" extends my_base"))).when(k == 1, F.lit("\nmybase extends nothing")).otherwise(F.lit(""))
-    return g.implementors(v.files.withColumn("skeleton", F.concat("skeleton", more)), "my_base")
+    return v.files.withColumn("skeleton", F.concat("skeleton", more))
+
+
+@query("implementors", f"SELECT repo_id, file_path, file_id FROM (SELECT repo_id, file_path, file_id, {_DECLARED} AS s FROM files) WHERE s LIKE '%my\\_base%' ESCAPE '\\' AND (s LIKE '%implements%' OR s LIKE '%extends%' OR s LIKE '%: %' OR s LIKE '%conform%') ORDER BY repo_id, file_path LIMIT 100")
+def _(v):
+    return g.implementors(declared(v), "my_base")
 
 
 @query("callers", "SELECT DISTINCT repo_id, file_path, file_id FROM files JOIN file_imports ON file_id = source_file_id WHERE imported_module LIKE '%pkg\\_1%' ESCAPE '\\' ORDER BY repo_id, file_path LIMIT 100")

@@ -220,7 +220,8 @@ def _(v):
 @query("formatted_results", "SELECT vec_id, query_id || ':' || vec_id || ' ' || printf('%.2f', round(sim, 6)) AS line FROM sims WHERE sim >= 0.25")
 def _(v):
     line = F.concat(F.col("query_id").cast("string"), F.lit(":"), F.col("vec_id").cast("string"), F.lit(" "), F.format_string("%.2f", F.round("sim", 6)))
-    return sims(v).filter("sim >= 0.25").select("vec_id", line.alias("line"))
+    near = vx.best_pairs(vectors(v), asked(v), 1 << 62, DIM, least=0.25).filter("sim >= 0.25")  # other pairs don't leave the worker
+    return near.select("vec_id", line.alias("line"))
 
 
 @query("drift", """WITH d AS (SELECT f.file_id, 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS drift

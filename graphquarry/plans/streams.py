@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphquarry.streaming import jobs, limits
+from graphquarry.sources.scratch import scratch_path, stash
+from graphquarry.streaming import jobs, limits, references, tables
 
 from .registry import query
 
@@ -53,3 +54,69 @@ def _(v):
 def _(v):
     w = v.table("events").groupBy("user_id", F.session_window("ts", "1 day")).agg(F.count("*").alias("n"))
     return w.groupBy("user_id").agg(F.count("*").alias("n_sessions"))
+
+
+@query("incremental_upserts", """SELECT user_id, event_id, event_type, value FROM events
+ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'""")
+def _(v):
+    e = v.table("events").select("user_id", "event_id", "event_type", "value", "ts")
+    t = tables.KeyedTable(v.spark, scratch_path(v.spark, "upserts"), e.schema, ["user_id"], ["ts", "event_id"])
+    for number, part in enumerate((0, 2, 2, 1)):  # out of order, and one batch comes twice
+        t.merge(e.filter(F.col("event_id") % 3 == part), number, F.col("event_type") == "error")
+    return t.rows().select("user_id", "event_id", "event_type", "value")
+
+
+@query("incremental_recency", """SELECT file_id, commit_id, row_number() OVER (PARTITION BY file_id ORDER BY authored_at DESC, commit_id) AS recency
+ FROM file_commits JOIN commits USING (commit_id) WHERE message <> '1-URGENT'""")
+def _(v):
+    links = v.file_commits.select("file_id", "commit_id").join(v.commits.select("commit_id", "authored_at", "message"), "commit_id").select("file_id", "commit_id", "authored_at", "message")
+    t = tables.KeyedTable(
+        v.spark, scratch_path(v.spark, "links"), "file_id long, commit_id long, authored_at timestamp, at int", ["file_id", "commit_id"], ["at"], 16, ["file_id"],
+        (["file_id"], [F.desc("authored_at"), "commit_id"], "recency"),
+    )
+    dated = lambda at: links.select("file_id", "commit_id", F.col("authored_at").cast("timestamp").alias("authored_at"), F.lit(at).alias("at"), "message")
+    t.merge(dated(1).filter("commit_id % 4 > 0"), 0)
+    t.merge(dated(2).filter("message = '1-URGENT'"), 1, F.lit(True))  # some of these links come later, but are older
+    t.merge(dated(1).filter("commit_id % 4 = 0"), 2)
+    return t.rows().select("file_id", "commit_id", "recency")
+
+
+@query("incremental_index", """WITH gone AS (SELECT file_id FROM expected), kept AS (SELECT * FROM files WHERE file_id NOT IN (SELECT file_id FROM gone)),
+ l AS (SELECT file_id, commit_id, row_number() OVER (PARTITION BY file_id ORDER BY authored_at DESC, commit_id) AS recency FROM file_commits JOIN commits USING (commit_id) WHERE file_id IN (SELECT file_id FROM kept))
+ SELECT file_id, CASE WHEN file_id % 5 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash, count(commit_id) AS n_commits, min(commit_id) FILTER (WHERE recency = 1) AS newest
+ FROM kept LEFT JOIN l USING (file_id) GROUP BY ALL""")
+def _(v):
+    files = tables.KeyedTable(v.spark, scratch_path(v.spark, "files"), "file_id long, content_hash string, at int", ["file_id"], ["at"], 16)
+    links = tables.KeyedTable(
+        v.spark, scratch_path(v.spark, "links"), "file_id long, commit_id long, authored_at timestamp, at int", ["file_id", "commit_id"], ["at"], 16, ["file_id"],
+        (["file_id"], [F.desc("authored_at"), "commit_id"], "recency"),
+    )
+    rows = lambda at: v.files.select("file_id", "content_hash", F.lit(at).alias("at"))
+    dated = v.file_commits.select("file_id", "commit_id").join(v.commits.select("commit_id", F.col("authored_at").cast("timestamp").alias("authored_at")), "commit_id")
+    dated = stash(dated.select("file_id", "commit_id", "authored_at", F.lit(1).alias("at")), "dated")
+    none, gone = rows(1).limit(0).select("file_id", "at"), v.expected.select("file_id").distinct()
+    tables.update_index(files, links, rows(1), none, dated.filter("commit_id % 3 > 0"), 0)
+    changed = rows(2).filter("file_id % 5 = 0").withColumn("content_hash", F.sha2("content_hash", 256)).join(gone, "file_id", "left_anti")
+    late = dated.filter("commit_id % 3 = 0")
+    tables.update_index(files, links, changed, gone.withColumn("at", F.lit(2)), late, 1)
+    tables.update_index(files, links, changed, gone.withColumn("at", F.lit(2)), late, 1)  # again, after a failure
+    shown = links.rows().groupBy("file_id").agg(F.count("*").alias("n_commits"), F.min(F.when(F.col("recency") == 1, F.col("commit_id"))).alias("newest"))
+    return files.rows().join(shown, "file_id", "left").select("file_id", "content_hash", F.coalesce("n_commits", F.lit(0)).alias("n_commits"), "newest")
+
+
+@query("gc_by_counts", """WITH b AS (SELECT content_hash FROM blobs UNION SELECT sha256(html) FROM pages), live AS (
+  SELECT content_hash FROM files WHERE file_id NOT IN (SELECT file_id FROM expected) UNION SELECT sha256(html) FROM pages WHERE page_id IN (SELECT query_id FROM queries) AND page_id % 2 = 0)
+ SELECT content_hash FROM b WHERE content_hash NOT IN (SELECT content_hash FROM live)""")
+def _(v):
+    blobs = references.ReferenceCounts(v.spark, scratch_path(v.spark, "blob-counts"), 16)
+    packages = references.ReferenceCounts(v.spark, scratch_path(v.spark, "package-counts"), 4)
+    page = v.table("pages").select("page_id", F.sha2("html", 256).alias("name"))
+    held = page.join(v.queries.select(F.col("query_id").alias("page_id")), "page_id", "left_semi").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("package"), "name", "page_id")
+    files = v.files.select("file_id", F.col("content_hash").alias("name"))
+    blobs.apply(0, files.select("name").unionByName(held.select("name")), names=page.select("name"))
+    packages.apply(0, held.filter("page_id % 2 = 0").select(F.col("package").alias("name")), names=held.select(F.col("package").alias("name")))
+    blobs.apply(1, files.limit(0), files.join(v.expected.select("file_id").distinct(), "file_id", "left_semi"))  # some files go
+    _, gone = packages.sweep(1)  # half of the packages have no repository
+    freed = held.join(gone.select(F.col("name").alias("package")), "package", "left_semi").select("name")
+    blobs.apply(2, freed.limit(0), freed)
+    return blobs.sweep(3)[1].select(F.col("name").alias("content_hash"))

@@ -1,12 +1,10 @@
-"""Streaming jobs: rolling cost, incremental merge, telemetry sink."""
+"""Streaming jobs: rolling cost, telemetry sink."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.operators.etl import merge
-
 
 def rolling_cost(events: DataFrame, width: str = "60 minutes", slide: str = "10 minutes", late: str = "2 hours") -> DataFrame:
     """(start, repo_id, cost, n) for sliding windows; batch or streaming."""
@@ -15,30 +13,6 @@ def rolling_cost(events: DataFrame, width: str = "60 minutes", slide: str = "10
     return out.select(F.col("w.start").alias("start"), "repo_id", "cost", "n")
 
 
-def merge_sink(path: str, key: list[str]):
-    """A foreachBatch function that merges each batch into Parquet snapshots below ``path``.
-
-    Each batch writes the next snapshot, named by its number, from the newest one before it; a
-    batch that runs again after a failure overwrites its own snapshot, so nothing counts twice.
-    """
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        done = []
-        if fs.exists(root):
-            done = [int(s.getPath().getName()[9:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("snapshot=")]
-            done = [n for n in done if n < number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={n}/_SUCCESS"))]
-        new = batch.dropDuplicates(key)
-        if done:
-            old = spark.read.parquet(f"{path}/snapshot={max(done)}")
-            new = merge(old, new.select(*old.columns), key)
-        new.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
-
-    return put
-
-
 def telemetry(rows: DataFrame, path: str) -> None:
     """Appends event rows as JSON lines."""
     rows.write.mode("append").json(path)

@@ -2,10 +2,13 @@
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text as tx
+from graphquarry.functions import vectors
 from graphquarry.operators import access, etl, evaluation, filters, graph, search, skeleton
 from graphquarry.streaming import jobs, limits
 
@@ -44,28 +47,45 @@ def test_url_and_paths(spark):
     assert [r[0] for r in e.select(tx.file_extension(F.col("p"))).collect()] == [".ts", ".txt", ".gz"]
 
 
+def scored(s, exts, **raw):
+    """(parts, final scores) of files with such extensions for one query."""
+    b = pa.record_batch({"file_type": exts})
+    column = {"sim": 0.0, "commit_boost": 0.0, "folder": 0.0, "log_length": 0.0, "keyword": 0.0} | raw
+    parts = search.FileScorer.parts(b, {k: np.array(v if isinstance(v, list) else [v] * len(exts), float)[:, None] for k, v in column.items()}, s)
+    return parts, search.FileScorer.final(b, parts, s)[:, 0]
+
+
 def test_parent_boost_is_strict_and_children_need_two(spark):
     s = search.Scoring(min_score=0.3, hybrid=0.0)
-    files = spark.createDataFrame([(1, 1, "d", ".ts", "x" * 40, 1), (2, 1, "e", ".ts", "x" * 40, 1), (3, 1, "e", ".ts", "x" * 40, 1)], "file_id long, repo_id long, dir_path string, file_type string, skeleton string, vec_id long")
-    sims = spark.createDataFrame([(7, 1, 0.5)], "query_id long, vec_id long, sim double")
+    parts, final = scored(s, [".ts"] * 3, sim=0.5, folder=[0.3, 0.31, 0.31])
+    assert parts["parent_boost"][:, 0].tolist() == [0.0, pytest.approx(0.093), pytest.approx(0.093)]
     dirs = spark.createDataFrame([(7, 1, "d", 0.3), (7, 1, "e", 0.31)], "query_id long, repo_id long, dir_path string, dir_sim double")
-    none = spark.createDataFrame([], "query_id long, file_id long, commit_boost double")
-    words = spark.createDataFrame([], "query_id long, file_id long, score double")
-    out = search.file_scores(files, sims, dirs, none, words, s)
-    assert rows(out, "file_id", "parent_boost") == [(1, 0.0), (2, pytest.approx(0.093)), (3, pytest.approx(0.093))]
-    d = dict(rows(search.directory_scores(dirs, out, s), "dir_path", "dir_score"))
+    children = spark.createDataFrame([(7, 1, "d", float(final[0]), 1), (7, 1, "e", float(final[1:].mean()), 2)], "query_id long, repo_id long, dir_path string, mean double, n long")
+    d = dict(rows(search.with_children(dirs, children, s), "dir_path", "dir_score"))
     assert d["d"] == pytest.approx(0.3) and d["e"] == pytest.approx(0.31 + 0.1 * (0.5 + 0.2 * 0.093))
 
 
-def test_score_grows_with_weights(spark):
-    files = spark.createDataFrame([(1, 1, "d", ".go", "x", 1)], "file_id long, repo_id long, dir_path string, file_type string, skeleton string, vec_id long")
-    sims = spark.createDataFrame([(7, 1, 0.5)], "query_id long, vec_id long, sim double")
-    dirs = spark.createDataFrame([(7, 1, "d", 0.6)], "query_id long, repo_id long, dir_path string, dir_sim double")
-    boosts = spark.createDataFrame([(7, 1, 0.4)], "query_id long, file_id long, commit_boost double")
-    words = spark.createDataFrame([(7, 1, 2.0)], "query_id long, file_id long, score double")
-    f = lambda **k: search.file_scores(files, sims, dirs, boosts, words, search.Scoring(**k)).first()["final_score"]
+def test_score_grows_with_weights():
+    f = lambda **k: scored(search.Scoring(**k), [".go"], sim=0.5, folder=0.6, commit_boost=0.4, keyword=1.0)[1][0]
     assert f(alpha=0.1) < f(alpha=0.2) < f(alpha=0.4)
     assert f(hybrid=0.0) < f(hybrid=0.5)
+    assert f(length_weight=0.0) == f(length_weight=0.1)
+
+
+def test_a_null_or_empty_skeleton_has_no_length_penalty(spark):
+    files = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 4000), (4, "x" * 40)], "i int, skeleton string")
+    avg = search.average_tokens(files).first()["avg_tokens"]
+    got = dict(rows(files.select("i", search.length_penalty(F.col("skeleton"), F.lit(".ts"), F.lit(avg), 0.1).alias("p")), "i", "p"))
+    assert avg == pytest.approx(505) and got == {1: 0.0, 2: 0.0, 3: pytest.approx(0.1 * np.log(1000 / 505)), 4: 0.0}
+
+
+def test_a_query_set_beyond_its_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_ASKED", 3)
+    v = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    q = spark.range(4).selectExpr("id AS query_id", "1L AS vec_id")
+    with pytest.raises(ValueError, match="more than 3"):
+        vectors.ask(q, v, 1)
+    assert len(vectors.ask(q.filter("query_id < 3"), v, 1)[0].names) == 3
 
 
 def test_rerank_modes(spark):
@@ -190,14 +210,6 @@ def test_fold_equals_a_loop(spark):
     assert got == want
 
 
-def test_merge_sink_runs_again_without_doubling(spark, tmp_path):
-    put = jobs.merge_sink(str(tmp_path / "t"), ["k"])
-    put(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
-    for _ in range(2):
-        put(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "t/snapshot=1")), "k", "v") == [(1, "a"), (2, "c"), (3, "d")]
-
-
 def test_streams_equal_batches(spark, tmp_path):
     ev = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, m), float(m)) for m in range(0, 60, 7)] + [(2, datetime(2024, 1, 1, 5), 1.0)], "repo_id long, created_at timestamp, cost_usd double")
     ev.write.parquet(str(tmp_path / "in"))
