@@ -112,11 +112,13 @@ class KeywordIndex:
         meta = self._meta(terms)
         n, mean = self.corpus()
         asked = self._weighted(terms, meta, n).join(meta, ["part", "term"])
-        asked = stash(asked.withColumn("bound", F.col("idf") * self._value(F.col("max_tf"), F.col("min_dl"), mean)).drop("n", "max_tf", "min_dl"), "asked-bounds")
-        bounds = asked.groupBy("query_id", *_KEY).agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks"))
+        asked = stash(asked.withColumn("bound", F.col("idf") * self._value(F.col("max_tf"), F.col("min_dl"), mean)).drop("max_tf", "min_dl"), "asked-bounds")
+        bounds = asked.groupBy("query_id", *_KEY).agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks"), F.max("n").alias("files"))
         best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"), *_KEY)
         bounds = stash(bounds, "range-bounds")
-        first = bounds.withColumn("i", F.row_number().over(best_first)).filter(F.col("i") <= first_ranges).select("query_id", *_KEY)
+        # a range has at least as many files as its longest block: enough ranges for k scores, if there are so many
+        before = F.coalesce(F.sum("files").over(best_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = bounds.withColumn("i", F.row_number().over(best_first)).withColumn("before", before).filter((F.col("i") <= first_ranges) | (F.col("before") < k)).select("query_id", *_KEY)
         first = stash(first, "first-ranges")
         seed = stash(self._scored(asked.join(first, ["query_id", *_KEY]), mean), "first-scores")
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))

@@ -132,7 +132,7 @@ def _(v):
 
 
 @query("price_percentiles", """SELECT l_returnflag, l_linestatus, share, list_sort(list(l_extendedprice))[least(floor(count(*) * any_value(share))::BIGINT, count(*) - 1) + 1]::DOUBLE AS price, count(*) AS n
- FROM lineitem, (VALUES (0.0), (0.1), (0.5), (0.9), (0.99), (1.0)) AS s(share) GROUP BY ALL""")
+ FROM lineitem, (SELECT unnest([0.0, 0.1, 0.5, 0.9, 0.99, 1.0]::DOUBLE[]) AS share) GROUP BY ALL""")
 def _(v):
     p = st.percentiles(v.table("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.1, 0.5, 0.9, 0.99, 1.0])
     return p.select("l_returnflag", "l_linestatus", "share", F.col("value").alias("price"), "n")

@@ -87,7 +87,10 @@ def _(v):
     return s.commit_scores(v.file_commits, v.commits, asked(v), v.table("embeddings"), DIM, LOW).select("query_id", "file_id", F.round("commit_boost", 6).alias("commit_boost"))
 
 
-@query("directory_similarity", f"WITH {DIRS} SELECT query_id, repo_id, dir_path, round(dir_sim, 6) AS dir_sim FROM dirs")
+@query("directory_similarity", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), used AS (SELECT concat_vec AS vec_id FROM directories UNION SELECT summary_vec FROM directories),
+ q AS (SELECT query_id, v FROM queries JOIN e USING (vec_id)), u AS (SELECT e.* FROM e SEMI JOIN used USING (vec_id)),
+ c AS (SELECT q.query_id, u.vec_id, list_dot_product(q.v, u.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(u.v, u.v))) AS sim FROM q, u)
+ SELECT a.query_id, d.repo_id, d.dir_path, round(greatest(coalesce(a.sim, 0), coalesce(b.sim, 0)), 6) AS dir_sim FROM directories d JOIN c a ON d.concat_vec = a.vec_id LEFT JOIN c b ON d.summary_vec = b.vec_id AND a.query_id = b.query_id""")
 def _(v):
     return s.folder_sims(v.directories, asked(v), v.table("embeddings"), DIM).select("query_id", "repo_id", "dir_path", F.round("dir_sim", 6).alias("dir_sim"))
 
