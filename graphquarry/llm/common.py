@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphquarry.sources.scratch import scratch_path, shared_dir, spread, stash
 
-__all__ = ["arrow_limits", "keep_rows", "scratch_path", "settle", "shared_dir", "shuffle_parts", "small", "spread", "stash", "text_hash"]
+__all__ = ["arrow_limits", "keep_rows", "scratch_path", "settle", "shared_dir", "shuffle_parts", "small", "spread", "stash", "text_hash", "whole_row"]
 
 #: Rows per Arrow batch. Texts can be 100 KB and more, so batches stay small.
 ARROW_ROWS = 512
@@ -30,6 +30,11 @@ def settle() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def whole_row(docs: DataFrame, *without: str) -> Column:
+    """All columns of ``docs`` but some as one struct; names may hold dots and backticks."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in without])
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if, counted, it has at most ``max_rows`` rows; else as it is. For rows of bounded width."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -59,7 +64,7 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, max_broadcast: int = MAX_NAME
     agreed = verdict.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     odd = agreed.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays")
     odd = stash(odd, "verdict")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), text_hash().alias("_text"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("_doc"), text_hash().alias("_text"))
     same = lambda d: F.col("_doc").eqNullSafe(d["_id"]) & (F.col("_text") == d["_hash"])
     sent = small(odd, max_broadcast)
     out = rows.join(sent, same(sent), "left_anti").select("row.*")

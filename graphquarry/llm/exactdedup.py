@@ -5,7 +5,8 @@ batch's buckets (one row for each SHA-256 of a text without white space) and, fo
 digests, a 3-wise binary-fuse filter of 8-bit fingerprints, built once. ``screen_batch`` lets the
 digests of an incoming batch meet the filters of stored snapshots. A miss is certain: that text is
 new, and its copies are only grouped among its own batch. A hit joins the snapshot's exact bucket,
-and the two texts are compared byte for byte before the groups become one.
+and the two texts are compared byte for byte before the groups become one. A snapshot that is built with
+its texts keeps one for each bucket, so ``dedup_batch`` finishes a later batch with stored snapshots alone.
 """
 
 from __future__ import annotations
@@ -138,10 +139,19 @@ def build_filters(groups: DataFrame, shards: int) -> DataFrame:
     return groups.select(_shard(shards).alias("shard"), _key()).groupBy("shard").applyInPandas(run, "shard int, seed long, length long, count long, table binary")
 
 
-def build_snapshot(marks: DataFrame, folder: str | None = None, shard_rows: int = 500_000) -> str:
+def _bare(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
+    """(sha, carried..., bytes): the text without white space of each asked(sha, best, carried...)."""
+    named = asked.select("sha", *carried, F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    rows = docs.select(F.col(id_col).alias("_doc"), text_hash(text_col).alias("_own"), F.col(text_col).alias("_raw"))
+    rows = rows.join(named, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    return rows.select("sha", *carried, F.regexp_replace(F.coalesce("_raw", F.lit("")), WHITE, "").alias("bytes"))
+
+
+def build_snapshot(marks: DataFrame, folder: str | None = None, shard_rows: int = 500_000, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the buckets and filters of marks, a batch's ``digests``, below ``folder`` and returns it.
 
-    Without a folder: one in the shared scratch space. ``shard_rows`` bounds what one filter holds.
+    Without a folder: one in the shared scratch space. ``shard_rows`` bounds what one filter holds. ``docs``: the rows
+    that the digests are of; with them the snapshot keeps a text for each bucket, as ``dedup_batch`` needs it.
     """
     spark = marks.sparkSession
     folder = folder or scratch_path(spark, "snapshot")
@@ -149,6 +159,9 @@ def build_snapshot(marks: DataFrame, folder: str | None = None, shard_rows: int
     groups = spark.read.parquet(f"{folder}/buckets")
     shards = max(16, -(-groups.count() // shard_rows))
     build_filters(groups, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{folder}/filters")
+    if docs is not None:
+        texts = _bare(docs, groups, id_col, text_col).groupBy("sha", "bytes").agg(F.count("*").alias("n"))  # repeated rows are one
+        texts.select("sha", "bytes").write.parquet(f"{folder}/texts", compression="zstd")
     return folder
 
 
@@ -178,29 +191,53 @@ def screen(groups: DataFrame, folder: str, shard_rows: int = 500_000) -> DataFra
 
 
 def screen_batch(folders: list[str], groups: DataFrame) -> DataFrame:
-    """(sha, snapshot, best): the exact buckets of stored snapshots that digests of an incoming batch fall into.
+    """(sha, snapshot, best, n): the exact buckets of stored snapshots that digests of an incoming batch fall into.
 
-    groups: the batch's ``buckets``; snapshot: the place of the folder in the list. Bytes aren't compared yet.
+    groups: the batch's ``buckets``; snapshot: the place of the folder in the list; no folders: no rows. Bytes
+    aren't compared yet.
     """
     spark = groups.sparkSession
-    found = None
+    found = groups.select("sha", F.lit(0).alias("snapshot"), "best", "n").filter("false")
     for k, folder in enumerate(folders):
         kept = spark.read.parquet(f"{folder}/buckets")
-        one = screen(groups, folder).join(kept, "sha").select("sha", F.lit(k).alias("snapshot"), "best")
-        found = one if found is None else found.unionByName(one)
+        found = found.unionByName(screen(groups, folder).join(kept, "sha").select("sha", F.lit(k).alias("snapshot"), "best", "n"))
     return found
 
 
+def dedup_batch(folders: list[str], docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Takes a batch in by stored snapshots alone: the tables that they were built from aren't read.
+
+    Returns (doc_id, text_hash, keep_id, group_size, kept, sha), one row for each row of ``docs``, as
+    ``exact_groups`` would say over all batches together, and (sha, keep_id, was), the groups in which a row of the
+    batch takes the place of what the snapshots kept, which is ``was`` in the newest of them. The snapshots of
+    ``folders`` have to hold their texts; no folders: the batch by itself.
+    """
+    marks = stash(digests(docs, id_col, text_col), "digests")
+    groups = stash(buckets(marks), "incoming")
+    hits = stash(screen_batch(folders, groups), "hits")
+    own = _bare(docs, groups.join(hits.select("sha").distinct(), "sha", "left_semi"), id_col, text_col)
+    own = own.distinct()  # repeated rows are one
+    spark, same = docs.sparkSession, hits.filter("false")
+    for k, folder in enumerate(folders):
+        theirs = spark.read.parquet(f"{folder}/texts").join(hits.filter(F.col("snapshot") == k), "sha")
+        same = same.unionByName(theirs.join(own, ["sha", "bytes"], "left_semi").select(*hits.columns))
+    same = stash(same, "equal-texts")
+    both = groups.select("sha", "best", "n", F.lit(-1).alias("snapshot")).unionByName(same)
+    final = both.groupBy("sha").agg(F.min("best").alias("top"), F.sum("n").alias("size"), F.max_by(F.when(F.col("snapshot") >= 0, F.col("best")), "snapshot").alias("was"))
+    final = stash(final, "merged-groups")
+    out = marks.join(final, "sha")
+    kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash"))
+    told = out.select("doc_id", "text_hash", F.col("top.doc_id").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "sha")
+    moved = final.join(groups.select("sha", F.col("best").alias("top")), ["sha", "top"]).filter("was is not null and was <> top")
+    return told, moved.select("sha", F.col("top.doc_id").alias("keep_id"), F.col("was.doc_id").alias("was"))
+
+
 def _classes(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
     """(sha, batch, root): for each wanted(sha, batch, best) the first batch whose text has the same bytes.
 
     The rows are grouped by the very bytes of the text without white space, which are read once.
     """
-    asked = wanted.select("sha", "batch", F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
-    asked = small(asked, max_broadcast)
-    rows = docs.select(F.col(id_col).alias("_doc"), text_hash(text_col).alias("_own"), F.col(text_col).alias("_raw"))
-    rows = rows.join(asked, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    texts = rows.select("sha", "batch", F.regexp_replace(F.coalesce("_raw", F.lit("")), WHITE, "").alias("bytes"))
+    texts = _bare(docs, small(wanted.select("sha", "batch", "best"), max_broadcast), id_col, text_col, "batch")
     # repeated rows are one by now: the bytes of a group are an aggregation's key
     same = texts.groupBy("sha", "bytes").agg(F.collect_set("batch").alias("batches"))
     return same.select("sha", F.explode("batches").alias("batch"), F.array_min("batches").alias("root"))

@@ -3,15 +3,19 @@
 Each curve projects the unit vectors to a few random orthogonal directions, shifts them, and orders
 them along a Hilbert curve. Spark range-partitions and sorts each ordering, which gives every vector
 a rank on every curve; only keys and names travel for that. A query's candidates are what its windows
-of ranks hold on any curve. The windows are merged before anything is scored: a vector carries its
-ranks, so one test says whether some window holds it, and each pair is scored once with the true
-cosine, however many windows it is in.
-
-Vectors are dealt to blocks and queries to chunks of bounded size, and each block meets each chunk
-once. Equal vectors are one node with their smallest ids, so a vector that a third of all rows share
-is one point on each curve. The window is a share of all ranks: in 64 independent dimensions nothing
-narrower reaches the recall that is asked for at every size, and at that share the merged windows
-hold most of the table.
+of ranks hold on any curve.
+
+Narrow windows are followed along the curves: each curve is cut into ranges of ranks, a query visits the
+ranges that its window on that curve meets, and only vectors inside the window are scored, each pair once, on
+the first curve whose window holds it. The cost is that of the windows.
+
+Windows that together cover the table can't save anything that way. Then every vector meets every query once, in
+blocks and chunks of bounded size, all pairs are scored by matrix products, and the windows are a mask on the
+result. That is a whole scan; the ``search`` default needs it, as in 64 independent dimensions nothing narrower
+reaches the recall that is asked for at every size.
+
+Equal vectors are one node with their smallest ids, so a vector that a third of all rows share is one point on
+each curve.
 """
 
 from __future__ import annotations
@@ -113,24 +117,51 @@ def _nearest(x: np.ndarray, ranks: np.ndarray, low: np.ndarray, y: np.ndarray, a
     return out
 
 
+def _in_windows(
+    x: np.ndarray, ranks: np.ndarray, low: np.ndarray, y: np.ndarray, asked: np.ndarray, curve: int, half: int, take: int
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """((places in x, scores) of the ``take`` nearest for each query, pairs scored): only what lies inside the query's window on
+    ``curve``, and in none on an earlier curve, where the pair is scored already."""
+    norm, own = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+    order = np.argsort(ranks[:, curve], kind="stable")
+    line = ranks[order, curve]
+    out, pairs = [], 0
+    for i in range(len(y)):
+        on = order[np.searchsorted(line, asked[i, curve] - half) : np.searchsorted(line, asked[i, curve] + half, "right")]
+        near = on[~(np.abs(ranks[on, :curve] - asked[i, :curve]) <= half).any(axis=1)] if curve else on
+        pairs += len(near)
+        exact = (x[near] * y[i]).sum(axis=1) / (own[i] * norm[near])
+        best = np.lexsort((low[near], -exact))[:take]
+        out.append((near[best], exact[best]))
+    return out, pairs
+
+
 def search(
     rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
     curves: int = 10, share: float = 0.2, block: int = 8192, chunk: int = 16384, seed: int = 11,
 ) -> DataFrame:
+    """``find`` without the number of pairs."""
+    return find(rows, every, k, id_col, vec_col, curves, share, block, chunk, seed)[0]
+
+
+def find(
+    rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+    curves: int = 10, share: float = 0.2, block: int = 8192, chunk: int = 16384, seed: int = 11,
+) -> tuple[DataFrame, int]:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``.
 
     Nearness: cosine in double precision on the original vectors; ties: the smaller vec_id. A query's
     candidates are all rows with another id; fewer than k of them: all that the windows hold. A
     repeated row is one candidate; an id with several vectors counts at its nearest. ``share``: the
     part of all ranks that a window covers; block and chunk bound what a task holds. No usable
-    vectors: no rows. Extra columns are ignored.
+    vectors: no rows. Extra columns are ignored. With it comes how many pairs of different vectors were scored.
     """
     spark = rows.sparkSession
     arrow_limits(spark)
     good, dim = usable(rows, id_col, vec_col)
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not dim:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], out_schema), 0
     marked = stash(good.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec"), "vectors")
     key = ["h1", "h2"]
     least = marked.select("vec_id", *key).distinct().withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))).filter(F.col("r") <= k + 1)
@@ -173,33 +204,51 @@ def search(
     whole = stash(nodes.join(ranked, key).select(*key, "asks", "ids", "vec", F.col("places.rank").alias("ranks")), "ranked")
 
     half = max(k, int(np.ceil(n * share / 2)))
-    blocks, chunks = -(-n // block), max(1, -(-whole.filter("asks").count() // chunk))
-    dealt = lambda parts: F.pmod(F.col("h1"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    data = whole.select(dealt(blocks).alias("block"), each(chunks).alias("chunk"), "ids", "vec", "ranks")
-    asked = whole.filter("asks").select(each(blocks).alias("block"), dealt(chunks).alias("chunk"), *key, "vec", "ranks")
+    dealt = lambda parts: F.pmod(F.col("h1"), F.lit(parts)).cast("int")
+    narrow = curves * (2 * half + 1) < n
+    if narrow:
+        size = max(1, min(block, max(256, half)))
+        chunks = max(1, -(-(size + 2 * half) // chunk))  # at most so many queries have windows that meet a range
+        at = F.explode(F.sequence(F.lit(0), F.lit(curves - 1))).alias("curve")
+        asked = whole.filter("asks").select(at, *key, "vec", "ranks").withColumn("rank", F.get("ranks", F.col("curve")))
+        asked = asked.select("curve", F.explode(F.sequence(F.expr(f"greatest(rank - {half}, 0) div {size}"), F.expr(f"(rank + {half}) div {size}"))).alias("block"), dealt(chunks).alias("chunk"), *key, "vec", "ranks")
+        met = stash(asked.select(F.col("curve").alias("c"), F.col("block").alias("b")).distinct(), "met-ranges")
+        data = whole.select(at, "ids", "vec", "ranks").withColumn("block", F.expr(f"get(ranks, curve) div {size}"))
+        data = data.join(met, (F.col("curve") == F.col("c")) & (F.col("block") == F.col("b")), "left_semi").select("curve", "block", each(chunks).alias("chunk"), "ids", "vec", "ranks")
+    else:
+        blocks, chunks = -(-n // block), max(1, -(-whole.filter("asks").count() // chunk))
+        data = whole.select(F.lit(0).alias("curve"), dealt(blocks).alias("block"), each(chunks).alias("chunk"), "ids", "vec", "ranks")
+        asked = whole.filter("asks").select(F.lit(0).alias("curve"), each(blocks).alias("block"), dealt(chunks).alias("chunk"), *key, "vec", "ranks")
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of their own, apart from data's
 
     def nearest(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        columns = [*key, "vec_id", "score"]
+        columns = [*key, "vec_id", "score", "pairs"]
         if not len(d) or not len(q):
             return pd.DataFrame([], columns=columns)
         ids = d["ids"].tolist()
         matrix = lambda column: np.array(column.tolist(), np.float64)
         ranks = lambda column: np.array(column.tolist(), np.int64)
-        got = _nearest(matrix(d["vec"]), ranks(d["ranks"]), np.array([v[0] for v in ids]), matrix(q["vec"]), ranks(q["ranks"]), half, min(k + 1, len(d)))
-        found = [(a, b, v, s) for a, b, (near, score) in zip(q["h1"].tolist(), q["h2"].tolist(), got) for j, s in zip(near.tolist(), score.tolist()) for v in ids[j]]
-        return pd.DataFrame(found, columns=columns)
-
-    pair = ["block", "chunk"]
-    got = data.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInPandas(nearest, "h1 long, h2 long, vec_id long, score double")
+        held = (matrix(d["vec"]), ranks(d["ranks"]), np.array([v[0] for v in ids]), matrix(q["vec"]), ranks(q["ranks"]))
+        if narrow:
+            got, pairs = _in_windows(*held, int(d["curve"].iloc[0]), half, k + 1)
+        else:
+            got, pairs = _nearest(*held, half, min(k + 1, len(d))), len(d) * len(q)
+        found = [(a, b, v, s, 0) for a, b, (near, score) in zip(q["h1"].tolist(), q["h2"].tolist(), got) for j, s in zip(near.tolist(), score.tolist()) for v in ids[j]]
+        return pd.DataFrame([*found, (0, 0, None, None, pairs)], columns=columns)
+
+    group = ["curve", "block", "chunk"]
+    got = data.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(nearest, "h1 long, h2 long, vec_id long, score double, pairs long")
+    got = stash(got, "nearest-by-block")
+    pairs = got.agg(F.sum("pairs")).first()[0] or 0
+    got = got.filter("vec_id is not null").select(*key, "vec_id", "score")
     best = got.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     best = stash(best.groupBy(*key).agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "nearest")
     queries = marked.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), *key).distinct()
     asked_of = queries.join(best, key).select("query_id", F.explode("near").alias("e")).select("query_id", "e.vec_id", "e.score")
     final = asked_of.filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return final.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return final.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), int(pairs)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

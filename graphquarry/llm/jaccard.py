@@ -13,7 +13,11 @@ the one with the fewest shingles that no other set has, so a large group of near
 linear time. What is left are buckets that hold several components; pairs across these are sought by
 an exact prefix join: with a set's shingles in order of their rarity, two sets can share ``least`` of
 them only if they share one among the first ``size - least + 1`` of both. Sets that lack a link
-mostly have their own rare shingles there and meet nobody. No bucket and no pair is left out.
+mostly have their own rare shingles there and meet nobody. Sets with the same shared shingles and the
+same size, as texts that are put together from the same paragraphs have, are as similar to any third
+set as each other, so one stands for all of them there: what it is linked to, they are. A shingle that
+more than SPLIT of these sets have is split by bucket: two sets meet in it only if they share a bucket
+too, as every pair that is sought does. No bucket and no pair is left out.
 
 What is aggregated for a key is written before it is joined back: a small table can then be sent to
 every task, and a join of two plain exchanges can split a key that many sets share.
@@ -33,6 +37,8 @@ from .components import connected_components
 from .simhash import groups_for, majority, pivot_links, shingle_hashes
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
+#: A shingle that more sets have in their prefixes is split by their buckets.
+SPLIT = 32
 _rng = np.random.default_rng(42)
 _MULTIPLY = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -50,25 +56,26 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fp, size, keys): one row for each row of ``docs``; node names the set of shingles."""
+    """(doc_id, text_hash, node, check, fp, size, keys): one row for each row of ``docs``; node names the set of shingles, with check by 128 bits."""
     arrow_limits(docs.sparkSession)
     fields = [
-        ("doc_id", docs.schema["doc_id"].dataType), ("text_hash", T.LongType()), ("node", T.LongType()), ("fp", T.LongType()),
+        ("doc_id", docs.schema["doc_id"].dataType), ("text_hash", T.LongType()), ("node", T.LongType()), ("check", T.LongType()), ("fp", T.LongType()),
         ("size", T.IntegerType()), ("keys", T.ArrayType(T.LongType())),
     ]
 
     def run(batches):
         for b in batches:
-            node, fp, size, keys = [], [], [], []
+            node, check, fp, size, keys = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 every = shingle_hashes(t, SHINGLE)
                 own = np.unique(every)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
+                check.append(xxhash.xxh3_64_intdigest(own.tobytes(), 8))
                 fp.append(majority(every))
                 size.append(len(own))
                 keys.append(band_keys(own) if len(own) else [])
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            cols = [b.column(0), b.column(1), long(node), long(fp), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            cols = [b.column(0), b.column(1), long(node), long(check), long(fp), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [f for f, _ in fields])
         settle()
 
@@ -123,22 +130,44 @@ def _seeds(nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(node, size, core, at, token): the shingles by which a set can still be found, in order of their rarity.
+    """(node, size, core, h1, h2, at, token): the shingles by which a set can still be found, in order of their rarity.
 
-    core: how many of its shingles another set has too; a set with fewer than four fifths of these can't be
-    linked and has no row. at: the place in the order, in which those that no other set has come first.
+    core: how many of its shingles another set has too, and h1 and h2 name these by 128 bits; a set with fewer than four fifths
+    of its shingles there can't be linked and has no row. at: the place in the order, in which those that no other set has
+    come first.
     """
     tokens = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
     many = stash(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "shared-shingles")
     own = Window.partitionBy("node")
     placed = tokens.join(many, "token").withColumn("core", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("n", "token")))
-    placed = placed.select("node", "size", F.col("core").cast("int").alias("core"), (F.col("size") - F.col("core") + F.col("i") - 1).cast("int").alias("at"), "token")
+    placed = placed.withColumn("h1", F.bit_xor(F.xxhash64("token")).over(own)).withColumn("h2", F.bit_xor(F.xxhash64(F.lit(1), "token")).over(own))
+    placed = placed.select("node", "size", F.col("core").cast("int").alias("core"), "h1", "h2", (F.col("size") - F.col("core") + F.col("i") - 1).cast("int").alias("at"), "token")
     return placed.filter(F.expr("at <= size div 5"))
 
 
-def _across(rest: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(u, v): the pairs of rest(node, root) in different components that the prefix join leaves."""
+def _twins(alive: DataFrame) -> DataFrame:
+    """(node, rep, alike) of alive(node, size, core, h1, h2): sets that agree in all but the node, but for the smallest, which stands for
+    them; alike: whether they are linked among themselves."""
+    same = ["size", "core", "h1", "h2"]
+    reps = stash(alive.groupBy(*same).agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "like-sets")
+    return alive.join(reps, same).filter("node <> rep").select("node", "rep", F.expr("9 * core >= 8 * size").alias("alike"))
+
+
+def _heads(rest: DataFrame, buckets: DataFrame, prefixes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(node, root, size, at, token): the prefixes of rest(node, root); a token that more than ``split`` of these have is one for each
+    of a node's buckets(node, key) instead."""
     heads = stash(prefixes.join(rest, "node").select("node", "root", "size", "at", "token"), "open-prefixes")
+    many = stash(heads.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("token"), "frequent-prefixes")
+    if many.isEmpty():
+        return heads
+    few = heads.join(many, "token", "left_anti").select("node", "root", "size", "at", "token")
+    parts = heads.join(many, "token").join(buckets, "node").select("node", "root", "size", "at", F.xxhash64("token", "key").alias("token"))
+    return stash(few.unionByName(parts), "split-prefixes")
+
+
+def _across(rest: DataFrame, buckets: DataFrame, prefixes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(u, v): the pairs of rest(node, root) in different components that the prefix join leaves."""
+    heads = _heads(rest, buckets, prefixes, split)
     counts = heads.groupBy("token", "root").agg(F.count("*").alias("n"))
     major = stash(counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1"), "mixed-shingles")
     few = heads.join(major, "token").filter("root <> major")
@@ -158,8 +187,8 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     met = held.select("node").union(seeds.select("u")).union(seeds.select("v")).distinct()
     sets = stash(sets_of(docs, nodes.select("node", "rep").join(met, "node", "left_semi")), "sets")
     prefixes = stash(_prefixes(sets), "prefixes")
-    alive = prefixes.select("node", "size", "core").distinct()
-    held = stash(held.join(alive, "node"), "open-buckets")
+    alive = stash(prefixes.select("node", "size", "core", "h1", "h2").distinct(), "open-nodes")
+    held = stash(held.join(alive.select("node", "size", "core"), "node"), "open-buckets")
     order = F.struct((F.col("size") - F.col("core")) / F.col("size"), F.xxhash64("node"))
     first = stash(held.groupBy("key").agg(F.min_by(F.struct("node", "size", "core"), order).alias("c")), "centres")
     may = _may_reach(F.col("c.size"), F.col("size")) & (9 * F.least(F.col("c.core"), F.col("core")) >= 4 * (F.col("c.size") + F.col("size")))
@@ -169,19 +198,45 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rooted = held.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     mixed = stash(mixed, "mixed-buckets")
-    rest = rooted.join(mixed, "key", "left_semi").select("node", "root").distinct()
-    more = stash(_similar(_across(rest, prefixes), sets), "similar-across")
-    if more.isEmpty():
+    twins = stash(_twins(alive), "twins")
+    standing = twins.select(F.col("node").alias("_node"), "rep")
+    rest = rooted.join(mixed, "key", "left_semi").join(standing, F.col("node") == F.col("_node"), "left")
+    rest = stash(rest.select(F.coalesce("rep", "node").alias("node"), "key").distinct(), "open-sets")
+    open_nodes = rest.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    more = stash(_similar(_across(open_nodes, rest, prefixes), sets), "similar-across")
+    # sets that agree are one component if they are alike, or if any of them is linked to something else
+    linked = found.unionByName(more).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    of = twins.select("node", "rep").unionByName(twins.select(F.col("rep").alias("node"), "rep")).distinct()
+    held_by = of.join(linked, "node", "left_semi").select("rep").distinct().withColumn("linked", F.lit(True))
+    joined = stash(twins.join(held_by, "rep", "left").filter("alike or linked").select(*_pairs(F.col("node"), F.col("rep"))), "linked-twins")
+    if more.isEmpty() and joined.isEmpty():
         return roots
-    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).unionByName(joined))
+
+
+def _nodes(found: DataFrame) -> DataFrame:
+    """(node, rep, fp, size, keys, lo, hi): one row for each name of a set; lo < hi: different sets have that name."""
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    return found.groupBy("node").agg(
+        F.min(rep).alias("rep"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("check").alias("lo"), F.max("check").alias("hi")
+    )
+
+
+def _named(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``found``, as ``prints`` gives it, and its nodes, with names that no two sets share: where 64 bits agree and the other 64 don't, one set is renamed."""
+    while True:
+        nodes = stash(_nodes(found), "nodes-of-sets")
+        clash = nodes.filter("lo <> hi").select(F.col("node").alias("_node"), "lo")
+        if clash.isEmpty():
+            return found, nodes
+        both = found.join(small(clash, MAX_NAMES), F.col("node") == F.col("_node"), "left")
+        node = F.when(F.col("check") != F.col("lo"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        found = stash(both.withColumn("node", node).select(*found.columns), "shingle-prints")
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """prints(docs), and (node, best) with the row that stands for the node's component."""
-    found = stash(prints(docs), "shingle-prints")
-    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = found.groupBy("node").agg(F.min(rep).alias("rep"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = stash(nodes, "nodes-of-sets")
+    found, nodes = _named(stash(prints(docs), "shingle-prints"))
     linked = nodes.select("node", "rep").join(components(docs, nodes), "node", "left")
     linked = stash(linked.select("node", "rep", F.coalesce("root", "node").alias("root")), "set-roots")
     best = linked.groupBy("root").agg(F.min("rep").alias("best"))

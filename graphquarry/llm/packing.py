@@ -316,7 +316,9 @@ def pack(items: DataFrame, capacity: int, block: int = 4096) -> DataFrame:
 
     Row for row: repeated rows are packed each. ``block`` bounds the rows that one task holds. A round
     deals the rows of bins that are still open to fewer blocks; the last is the one with one block, or
-    the one that ends with no fewer open bins than the round before.
+    the one that ends with no fewer open bins than the round before. A bin that lacks a 512th of the capacity
+    or less (8 tokens of 4096) is closed and leaves the search; no sum of short pieces would fill it for less
+    than it costs. ``items`` has no columns named _row, _block, _fill, sequence_id or offset.
     """
     spark = items.sparkSession
     items = stash(items.withColumn("_row", F.monotonically_increasing_id()), "pieces")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, spread, stash, text_hash
+from .common import arrow_limits, spread, stash, text_hash, whole_row
 
 STATS = [
     "log_bytes", "upper", "digit", "blank", "line_end", "pipe", "bang", "symbol", "stop", "other_mark", "non_ascii",
@@ -275,7 +275,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """
     arrow_limits(docs.sparkSession)
     model = train(docs, labels)
-    rows = spread(docs, "doc_id").select(F.struct(*docs.columns).alias("row"), measured("text").alias("stats"))
+    rows = spread(docs, "doc_id").select(whole_row(docs).alias("row"), measured("text").alias("stats"))
     return rows.filter(model.score(F.col("stats")) >= threshold).select("row.*")
 
 

@@ -16,7 +16,7 @@ from re import _parser as P
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, spread, stash
+from .common import small, spread, stash, whole_row
 
 # Kind, regex (group 2, if there, is the secret itself), fewest characters of group 2 or of the match.
 RULES = [
@@ -239,7 +239,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     queries = {k: trigram_query(p) for k, p, _ in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = [F.struct(*[c for c in docs.columns if c != text_col]).alias("carried")] if carry else []
+    rest = [whole_row(docs, text_col).alias("carried")] if carry else []
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *rest), "doc_id").withColumn("row", F.xxhash64("doc_id", "text"))
     index = stash(build_index(rows, set().union(*map(trigrams, indexed.values()))), "trigrams")
     found = small(stash(search_index(index, indexed), "candidates"), max_broadcast)

@@ -361,6 +361,50 @@ def test_merged_windows_equal_brute_force(half):
         assert len(near) == len(want) and np.allclose(score, [exact[j] for j in near])
 
 
+@pytest.mark.parametrize("half", [3, 40])
+def test_windows_followed_along_the_curves_equal_the_mask(half):
+    """Each pair is scored on one curve, and the best over all curves are those of the mask."""
+    rng = np.random.default_rng(half)
+    x = rng.normal(size=(400, 8))
+    ranks = np.stack([rng.permutation(400) for _ in range(4)], axis=1)
+    y, asked, low = x[:25], ranks[:25], np.arange(400)
+    want = hilbert._nearest(x, ranks, low, y, asked, half, 6)
+    found, pairs = [[] for _ in y], 0
+    for c in range(4):
+        for at in range(0, 400, 64):  # ranges of ranks
+            on = np.flatnonzero((ranks[:, c] >= at) & (ranks[:, c] < at + 64))
+            got, n = hilbert._in_windows(x[on], ranks[on], low[on], y, asked, c, half, 6)
+            pairs += n
+            for i, (near, score) in enumerate(got):
+                found[i] += [(-round(v, 12), int(on[j])) for j, v in zip(near, score)]
+    for i, (near, _) in enumerate(want):
+        assert len(found[i]) == len(set(found[i])) and [j for _, j in sorted(found[i])[:6]] == near.tolist()
+    assert pairs == sum(int((np.abs(ranks - asked[i]) <= half).any(axis=1).sum()) for i in range(len(y)))
+
+
+def test_narrow_windows_score_few_pairs(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(60, 16))
+    x = centre[rng.integers(0, 60, 4000)] + 0.15 * rng.normal(size=(4000, 16))
+    x[500:900] = x[100]  # equal ones are one point
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out, pairs = hilbert.find(df, share=0.02, block=512)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 4000, 50):
+        cos = unit @ unit[q]
+        cos[q] = -9
+        near = sorted(got[q])
+        assert [r for r, _, _ in near] == [1, 2, 3, 4, 5] and all(abs(s - cos[v]) < 1e-12 for _, v, s in near)
+        # a neighbour counts if it is as near as the fifth: there are many equal ones
+        hit += sum(s >= np.sort(cos)[-5] - 1e-12 for _, _, s in near)
+    assert hit / 400 >= 0.9
+    assert pairs < 0.25 * 80 * 3600
+
+
 def test_hilbert_keys_walk_the_grid():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = hilbert.hilbert_keys(g, 3)
@@ -524,6 +568,29 @@ def test_a_stored_snapshot_and_an_incoming_batch(spark, corpus, tmp_path):
     assert hits == {k: v[1] for k, v in want.items()} and hits
 
 
+def test_batches_are_finished_with_stored_snapshots_alone(spark, corpus, tmp_path):
+    """Three batches, each with only the snapshots of those before it, say what grouping the whole says."""
+    extra = spark.createDataFrame([(1000, "The quick  BROWN", *["x"] * 10), (1001, "The quick BROWN", *["x"] * 10), (1002, "Thequick B R O W N", *["x"] * 10)], "doc_id long, text string, " + ", ".join(f"c{i} string" for i in range(10)))
+    rows = corpus.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    parts = [rows.filter(F.coalesce(F.col("doc_id"), F.lit(2)) % 3 == k) for k in range(3)]
+    whole = {(r["doc_id"], r["text_hash"]): (r["keep_id"], r["group_size"]) for r in exactdedup.exact_groups(rows).collect()}
+    folders = []
+    for k, part in enumerate(parts):
+        told, moved = exactdedup.dedup_batch(folders, part)
+        told, moved = told.collect(), moved.collect()
+        assert len(told) == part.count() and (moved == [] if k == 0 else True)
+        so_far = parts[0] if k == 0 else parts[0].unionByName(parts[1]) if k == 1 else rows
+        want = {(r["doc_id"], r["text_hash"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exactdedup.exact_groups(so_far).collect()}
+        for r in told:
+            assert (r["keep_id"], r["group_size"], r["kept"]) == want[r["doc_id"], r["text_hash"]]
+        folders.append(exactdedup.build_snapshot(exactdedup.digests(part), str(tmp_path / f"s{k}"), docs=part))
+    assert whole and any(r["was"] is not None for r in exactdedup.dedup_batch(folders[:1], parts[1].unionByName(parts[2]))[1].collect())
+
+
+def test_no_snapshots(spark, corpus):
+    assert exactdedup.screen_batch([], exactdedup.buckets(exactdedup.digests(corpus))).collect() == []
+
+
 def test_string_ids(spark):
     rows = spark.createDataFrame([("b", "same text"), ("a", "same  text"), ("c", "other"), (None, "other")], "doc_id string, text string")
     got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exactdedup.exact_groups(rows).collect()}

@@ -1,8 +1,11 @@
 """The pipeline's near-dedup stage on planted pairs around a similarity of 0.8, against brute force."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
+from graphquarry.llm import jaccard
+from graphquarry.llm.common import stash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,3 +73,34 @@ def test_a_large_group_and_short_texts(spark):
         texts.append(" ".join(t))
     got = run(spark, texts)
     assert set(got) == brute_kept(len(texts), brute_links([s or {"nothing"} for s in brute_sets(texts)]))
+
+
+def assembled(rng, n, paragraphs=30, of=3):
+    """Texts of some of the same paragraphs and one word of their own."""
+    stock = [" ".join(f"p{i}w{rng.integers(10**6)}" for _ in range(20)) for i in range(paragraphs)]
+    return [" ".join([*(stock[p] for p in sorted(rng.choice(paragraphs, of, replace=False))), f"own{k}"]) for k in range(n)]
+
+
+@pytest.mark.parametrize("sizes,own_words", [((120, 360), 1), ((150,), 14)])
+def test_texts_of_the_same_paragraphs(spark, monkeypatch, sizes, own_words):
+    """The pairs to verify follow the ways to combine paragraphs, not the texts; with many words of their own, texts of the same paragraphs aren't linked."""
+    counts, across = [], jaccard._across
+
+    def spy(*a):
+        out = stash(across(*a), "pairs")
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_across", spy)
+    for n in sizes:
+        texts = [t + "".join(f" and{k}x{i}" for i in range(own_words - 1)) for k, t in enumerate(assembled(np.random.default_rng(4), n, 8))]
+        assert set(run(spark, texts)) == brute_kept(len(texts), brute_links(brute_sets(texts)))
+    assert counts[-1] <= 2 * counts[0] + 60  # 56 ways
+
+
+def test_sets_that_share_a_name_are_renamed(spark):
+    rows = [(1, 1, 5, 70, 0, 3, [1]), (2, 2, 5, 71, 0, 3, [1]), (3, 3, 5, 70, 0, 3, [1]), (4, 4, 6, 72, 0, 3, [1])]
+    found = spark.createDataFrame(rows, "doc_id long, text_hash long, node long, check long, fp long, size int, keys array<long>")
+    again, nodes = jaccard._named(found)
+    names = {r["doc_id"]: r["node"] for r in again.collect()}
+    assert names[1] == names[3] == 5 and names[4] == 6 and len({5, 6, names[2]}) == 3 and nodes.count() == 3
