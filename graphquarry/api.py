@@ -6,15 +6,16 @@ batches: queries(query_id, query, vec_id), with their vectors among ``vectors``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.functions.vectors import ask, best_pairs, good_vectors
-from graphquarry.operators import access, filters, graph
+from graphquarry.operators import access, filters, graph, store
 from graphquarry.operators import search as ranking
+from graphquarry.operators.postings import KeywordIndex
 from graphquarry.operators.search import Scoring
 from graphquarry.sources.scratch import stash
 
@@ -31,6 +32,7 @@ class Index:
     cost_events: DataFrame
     vectors: DataFrame
     dim: int = 64
+    keywords: KeywordIndex | None = None  # a stored index of all files; read where no filter changes the weights
 
     @classmethod
     def of(cls, views) -> Index:
@@ -68,11 +70,12 @@ def _narrow(index: Index, o: Options) -> Index:
     if o.since is not None:
         files = filters.changed_since(files, index.file_commits, index.commits, o.since)
         commits = commits.filter(F.col("authored_at") >= F.lit(o.since))
-    return Index(index.repos, files, dirs, commits, index.file_commits, index.file_imports, index.cross_repo_edges, index.cost_events, index.vectors, index.dim)
+    whole = o.scope == "all" and o.token_repos is None and not o.languages and not o.folders and o.since is None
+    return replace(index, files=files, directories=dirs, commits=commits, keywords=index.keywords if whole else None)
 
 
 def _batches(index: Index, narrow: Index, queries: DataFrame, s: Scoring) -> ranking.FileBatches:
-    return ranking.file_batches(narrow.files, narrow.directories, index.commits, index.file_commits, queries, index.vectors, index.dim, s)
+    return ranking.file_batches(narrow.files, narrow.directories, index.commits, index.file_commits, queries, index.vectors, index.dim, s, narrow.keywords)
 
 
 def _commits(index: Index, narrow: Index, asked: list, o: Options) -> DataFrame:
@@ -139,3 +142,5 @@ resolve_imports = graph.resolve_imports
 discover_cross_repo_edges = graph.cross_repo_edges
 xref_symbol = graph.symbol_references
 trace_import_chain = graph.trace_imports
+store_files = store.store_files
+warm_packages = store.warm_packages

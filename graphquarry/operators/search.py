@@ -436,7 +436,9 @@ def rerank(results: DataFrame, file_imports: DataFrame, cross_edges: DataFrame,
     cross = neighbours(cross_edges, "source_file", "target_file").withColumnRenamed("hit", "cross_hit")
     mine = file_commits.select(F.col("file_id").alias("seed"), "commit_id")
     others = file_commits.select("file_id", "commit_id", "recency")
-    shared = top.join(mine, "seed").join(others, "commit_id").filter("seed <> file_id").groupBy("query_id", "file_id").agg(F.min("recency").alias("best"))
+    # a commit meets its files once for each query, however many seeds it has; a file needs a seed other than itself
+    seen = top.join(mine, "seed").groupBy("query_id", "commit_id").agg(F.min("seed").alias("lo"), F.max("seed").alias("hi"))
+    shared = seen.join(others, "commit_id").filter("lo <> file_id or hi <> file_id").groupBy("query_id", "file_id").agg(F.min("recency").alias("best"))
     keys = ["query_id", "file_id"]
     rows = results.join(imports, keys, "left").join(cross, keys, "left").join(shared, keys, "left")
     boost = (

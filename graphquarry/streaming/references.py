@@ -52,8 +52,7 @@ class ReferenceCounts(KeyedTable):
         mark = self._bucketed(names).groupBy("_bucket").agg(F.min("name").alias("name")).select("name", F.lit(0).cast("long").alias("refs"), F.lit(True).alias(_GONE))
         out = self._bucketed(kept.unionByName(mark))
         out.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/data/{number}")
-        said = self.spark.createDataFrame(sorted((before | {b: number for b in touched}).items()), "bucket int, batch long")
-        said.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
+        self._publish(before | {b: number for b in touched}, number)
 
 
 def collect_garbage(packages: ReferenceCounts, blobs: ReferenceCounts, package_files: DataFrame, number: int, dry_run: bool = False) -> dict[str, int]:

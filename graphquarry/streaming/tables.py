@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,10 +105,14 @@ class KeyedTable:
         merged = self._bucketed(both)
         merged.hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/data/{number}")
         after = before | {b: number for b in touched}
-        said = self.spark.createDataFrame(sorted(after.items()), "bucket int, batch long")
-        said.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
+        self._publish(after, number)
         return {"touched": len(touched), "buckets": len(after)}
 
+    def _publish(self, manifest: dict[int, int], number: int) -> None:
+        """From here on readers see the batch."""
+        said = pa.table({"bucket": pa.array(list(manifest), pa.int32()), "batch": pa.array(list(manifest.values()), pa.int64())})
+        self.spark.createDataFrame(said).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
+
     def sink(self, gone: Column | None = None):
         """A foreachBatch function."""
 

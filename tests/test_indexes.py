@@ -37,9 +37,8 @@ def keyed(spark, path, buckets=16):
     return KeyedTable(spark, str(path), "k long, at long, v string", ["k"], ["at"], buckets)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_merged_batches_equal_a_rebuild(spark, tmp_path, seed):
-    batches = random_batches(random.Random(seed))
+def test_merged_batches_equal_a_rebuild(spark, tmp_path):
+    batches = random_batches(random.Random(1))
     t = keyed(spark, tmp_path)
     assert t.rows().collect() == []
     for n, b in enumerate([batches[0], batches[2], batches[2], batches[1]]):
@@ -102,7 +101,7 @@ def words(rng, n):
 
 def test_keyword_index(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(i, words(rng, rng.choice([3, 10, 50, 200]))) for i in range(600)] + [(900, None), (901, ""), (902, "camelCase HTTPServer w1")]
+    rows = [(i, words(rng, rng.choice([3, 10, 50, 200]))) for i in range(300)] + [(900, None), (901, ""), (902, "camelCase HTTPServer w1")]
     rows += [(1000 + i, "rare w3 w3 w3") for i in range(3)] + [(2000 + i, "w1 w299 " * 12) for i in range(12)]
     files = spark.createDataFrame(rows, "file_id long, skeleton string")
     queries = spark.createDataFrame([(0, "w1 w299"), (1, "rare"), (2, "rare w5"), (3, "nothing-of_it"), (4, "camel"), (5, "w0 w0 w1 w2 w3 w4")], "query_id long, query string")
@@ -210,7 +209,7 @@ def test_reference_counts_follow_changes(spark, tmp_path):
     names = [f"h{i}" for i in range(40)]
     have = [rng.choice(names) for _ in range(60)]
     t.apply(0, frame(have), names=frame(names))
-    for n in (1, 2, 3):
+    for n in (1, 2):
         go = [have.pop(rng.randrange(len(have))) for _ in range(15)]
         come = [rng.choice(names) for _ in range(5)]
         have += come
