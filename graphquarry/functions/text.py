@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def code_tokens(text: Column) -> Column:
-    """Lower-case alphanumeric tokens, with camelCase cut in two."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case alphanumeric tokens, with camelCase cut in two. İ is an i, as one letter's lower case is one letter."""
+    humps = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.regexp_extract_all(F.lower(F.translate(humps, "\u0130", "i")), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 _HUMP, _TOKEN = re.compile("(?<=[a-z0-9])(?=[A-Z])"), re.compile("[a-z0-9]+")
@@ -18,7 +19,7 @@ _HUMP, _TOKEN = re.compile("(?<=[a-z0-9])(?=[A-Z])"), re.compile("[a-z0-9]+")
 
 def plain_tokens(text: str) -> list[str]:
     """``code_tokens`` of one text in a Python worker."""
-    return _TOKEN.findall(_HUMP.sub(" ", text).lower())
+    return _TOKEN.findall(_HUMP.sub(" ", text).replace("\u0130", "i").lower())
 
 
 def query_words(text: Column) -> Column:
@@ -44,6 +45,19 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.concat(own, F.array(F.lit(".")))).otherwise(F.array(F.lit(".")))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with so many digits after the point, rounded by its exact binary value as C's printf does; ``format_string`` rounds the
+    shortest decimal form, so it takes 0.345, which lies below its half, up. The value may have up to 2**26 / 10**digits before the point."""
+    ten = 10.0**digits
+    size = F.abs(x)
+    n = F.floor(size * ten)
+    big = size * 134217729.0  # 2**27 + 1: the upper half of the bits, so that both products below are exact
+    high = big - (big - size)
+    over = (high * (2 * ten) - (2 * n + 1)) + (size - high) * (2 * ten)
+    up = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.format_string(f"%.{digits}f", F.when(x < 0, -(up / ten)).when(F.isnan(x) | (size == float("inf")), x).otherwise(up / ten))
+
+
 def query_hash(query: Column) -> Column:
     return F.substring(F.sha2(query, 256), 1, 16)
 

@@ -108,3 +108,18 @@ def test_a_capped_repository_embeds_nothing(spark):
     fresh = spark.createDataFrame([("h1", [2.0]), ("h4", [3.0]), ("h5", [])], "content_hash string, vec array<double>")
     left = lambda cap: {r["file_path"] for r in build.embed_files(rows, fresh, F.col("cost"), cap).collect()}
     assert left(5.0) == {"c", "d"} and left(None) == {"a", "b", "c", "d", "f"}
+
+
+def test_code_tokens_without_a_token_and_with_a_dotted_capital(spark, tmp_path):
+    import duckdb
+
+    texts = ["", "é ß …", "İstanbul aBİc Kelvin", "one two One", None]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cols = ["file_id", "n_tokens", "n_terms"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLE['code_tokens']}) ORDER BY 1").fetchall()
+    assert [tuple(r[c] for c in cols) for r in registry.QUERIES["code_tokens"](spark, str(tmp_path)).orderBy("file_id").collect()] == want
+    assert [r[0] for r in want] == [2, 3]
