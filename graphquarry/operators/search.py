@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphquarry.functions.text import code_tokens, plain_tokens
+from graphquarry.functions.text import code_tokens, fixed, plain_tokens
 from graphquarry.functions.vectors import Asked, ask, best_pairs, good_vectors, matrix_of, spread_rows, unit_rows
 from graphquarry.sources.scratch import spread, stash
 
@@ -464,4 +464,5 @@ def best_entry(entries: DataFrame, words: Column, symbol: Column) -> DataFrame:
 
 
 def explain(score: Column, sim: Column, commit: Column, parent: Column, penalty: Column, keyword: Column) -> Column:
-    return F.format_string("score=%.3f sim=%.3f commit=%.3f parent=%.3f length=%.3f keyword=%.3f", score, sim, commit, parent, penalty, keyword)
+    parts = {"score": score, "sim": sim, "commit": commit, "parent": parent, "length": penalty, "keyword": keyword}
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{name}="), fixed(x, 3)) for name, x in parts.items()])

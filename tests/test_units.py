@@ -340,3 +340,10 @@ def test_limiter_as_a_stream(spark, tmp_path):
     for k, t in sorted(ev, key=lambda e: e[1]):
         want.append((k, t, state.setdefault(k, limits.SlidingLog(3, 60))(t)))
     assert rows(spark.table("limited"), "key", "t", "outcome") == sorted(want)
+
+
+def test_fixed_rounds_as_printf(spark):
+    values = [k / 1e6 for k in (*range(5000, 1000000, 10000), *range(500, 1000000, 7000))] + [0.125, 0.375, 0.0625, 2.675, 1.005, 12.345, -0.345, -0.001, -0.0004, 0.0, 0.995, 0.9995, 1.0]
+    df = spark.createDataFrame([(float(x),) for x in values], "x double")
+    for digits in (2, 3):
+        assert [r[0] for r in df.select(tx.fixed(F.col("x"), digits)).collect()] == [f"%.{digits}f" % x for x in values]
