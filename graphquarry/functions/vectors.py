@@ -130,6 +130,31 @@ def best_pairs(rows: DataFrame, asked: list[Asked], n: int, dim: int, least: flo
     return out
 
 
+def score_lists(rows: DataFrame, asked: list[Asked], dim: int) -> DataFrame:
+    """(the columns of ``rows`` but v, scores array<struct<query_id, sim>>): the cosine with every query, a row for each of ``rows`` and chunk of queries."""
+    keys = [c for c in rows.columns if c != "v"]
+    name = {pa.int64(): "bigint", pa.int32(): "int"}.get(asked[0].names.type, "string")
+    schema = ", ".join([*[f"`{c}` {dict(rows.dtypes)[c]}" for c in keys], f"scores array<struct<query_id:{name},sim:double>>"])
+
+    def run(batches, a):
+        wide = max(1, len(a.names))
+        step = max(1, (1 << 20) // wide)
+        for b in batches:
+            for at in range(0, len(b), step):
+                part = b.slice(at, step)
+                score = unit_rows(matrix_of(part.column("v"), dim)) @ a.units.T
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(a.names))
+                names = a.names.take(pa.array(np.tile(np.arange(len(a.names)), len(part))))
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([names, pa.array(score.ravel())], ["query_id", "sim"]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], lists], [*keys, "scores"])
+
+    out = None
+    for a in asked:
+        one = rows.mapInArrow(lambda batches, a=a: run(batches, a), schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def similarities(queries: DataFrame, vectors: DataFrame, dim: int, max_queries: int = 20_000) -> DataFrame:
     """(query_id, vec_id, sim): the cosine of every query with every distinct vector, each pair once.
 

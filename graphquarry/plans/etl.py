@@ -146,17 +146,15 @@ def _(v):
     return t.embed_plan(v.files, v.blobs.join(v.expected.select(F.col("file_id").alias("blob_id")), "blob_id", "left_semi"))
 
 
-@query("blob_scores_to_files", """WITH r AS (SELECT query_id, vec_id, content_hash, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, content_hash) AS rank FROM sims JOIN blobs USING (vec_id))
- SELECT f.file_id, r.query_id, round(r.sim, 6) AS sim FROM r JOIN files f USING (content_hash) WHERE rank <= 200""")
+@query("blob_scores_to_files", "SELECT f.file_id, q.query_id, round(m.sim, 6) AS sim FROM queries q JOIN sims m USING (query_id) JOIN blobs b ON b.vec_id = m.vec_id JOIN files f USING (content_hash)")
 def _(v):
     from graphquarry.functions import vectors as vx
 
-    good = vx.good_vectors(v.table("embeddings"), 64)
-    rows = vx.spread_rows(v.blobs.select("content_hash", "vec_id").join(good, "vec_id").select("content_hash", "v"))  # each unique content is scored once
-    near = vx.best_pairs(rows, vx.ask(v.queries, v.table("embeddings"), 64), 200, 64)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "content_hash")
-    best = near.withColumn("r", F.row_number().over(order)).filter("r <= 200")  # the search's own over-fetch, before the blobs fan out to files
-    return v.files.select("file_id", "content_hash").join(best, "content_hash").select("file_id", "query_id", F.round("sim", 6).alias("sim"))
+    good, asked = vx.good_vectors(v.table("embeddings"), 64), vx.ask(v.queries, v.table("embeddings"), 64)
+    # each vector is scored once, and a blob takes the scores of its vector as one list to its files
+    lists = vx.score_lists(v.blobs.select("vec_id").distinct().join(good, "vec_id"), asked, 64)
+    scored = v.files.select("file_id", "content_hash").join(v.blobs.select("content_hash", "vec_id"), "content_hash").select("file_id", "vec_id").join(lists, "vec_id")
+    return scored.select("file_id", F.explode("scores").alias("x")).select("file_id", "x.query_id", F.round("x.sim", 6).alias("sim"))
 
 
 @query("legacy_ids", "SELECT r.repo_id, r.file_path, coalesce(l.file_id, -1 - r.file_id) AS file_id FROM files r LEFT JOIN (SELECT file_id, file_path FROM files WHERE file_id IN (SELECT file_id FROM expected)) l USING (file_path)")

@@ -123,3 +123,10 @@ def test_code_tokens_without_a_token_and_with_a_dotted_capital(spark, tmp_path):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({registry.ORACLE['code_tokens']}) ORDER BY 1").fetchall()
     assert [tuple(r[c] for c in cols) for r in registry.QUERIES["code_tokens"](spark, str(tmp_path)).orderBy("file_id").collect()] == want
     assert [r[0] for r in want] == [2, 3]
+
+
+def test_blob_scores_have_every_file_and_query(spark):
+    sf = "/root/testdata/sf0.01"  # more than 200 contents
+    v = Views(spark, sf)
+    out = registry.QUERIES["blob_scores_to_files"](spark, sf)
+    assert out.count() == v.files.count() * v.queries.count() == out.select("file_id", "query_id").distinct().count()
