@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions.text import code_tokens, fixed, plain_tokens
-from graphquarry.functions.vectors import Asked, ask, best_pairs, good_vectors, matrix_of, spread_rows, unit_rows
-from graphquarry.sources.scratch import spread, stash
+from graphquarry.functions.vectors import Asked, ask, best_pairs, good_vectors, matrix_of, unit_rows
+from graphquarry.sources.scratch import small, spread, stash
 
 
 @dataclass(frozen=True)
@@ -132,8 +132,8 @@ def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float)
     def count(batches):
         for x in batches:
             sizes, terms, counts = [], [], []
-            for text in x.column(1).to_pylist():
-                tokens = plain_tokens(text)
+            for text in x.column(1):
+                tokens = plain_tokens(text.as_py())
                 sizes.append(len(tokens))
                 got = np.unique(np.array([i for t in tokens if (i := known.get(t)) is not None], np.int32), return_counts=True)
                 terms.append(got[0])
@@ -147,11 +147,11 @@ def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float)
         df[r["term"]] = r["df"]
     idf, mean, width = np.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5)), corpus["avgdl"] or 1.0, max(1, len(names))
 
+    step = max(1, (1 << 21) // width)
+
     def add_up(batches):
-        step = max(1, (1 << 21) // width)  # documents whose sums are held at once
         for x in batches:
-            for at in range(0, len(x), step):
-                part = x.slice(at, step)
+            for part in _bounded(x, n_asks, step):
                 n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False)
                 term, tf = part.column("terms").flatten().to_numpy(zero_copy_only=False), part.column("counts").flatten().to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(len(part)), n)
@@ -169,6 +169,17 @@ def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float)
     return held.filter(F.size("terms") > 0).mapInArrow(add_up, f"file_id {kind}, asks array<int>, scores array<double>")
 
 
+def _bounded(x: pa.RecordBatch, n_asks: np.ndarray, step: int, pairs: int = 1 << 20):
+    """Parts of a batch with a column ``terms``: ``step`` rows and about so many pairs of a posting and a query (n_asks by term), so the memory doesn't grow with the texts."""
+    for at in range(0, len(x), step):
+        part = x.slice(at, step)
+        ends = np.cumsum(pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False))
+        until = np.concatenate(([0], np.cumsum(n_asks[part.column("terms").flatten().to_numpy(zero_copy_only=False)])))[ends]
+        cuts = (np.flatnonzero(np.diff(until // pairs)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(part)]):
+            yield part.slice(a, b - a)
+
+
 def average_tokens(files: DataFrame) -> DataFrame:
     """One row: the mean of length / 4 over non-empty skeletons; none: 1."""
     return files.agg(F.coalesce(F.avg(F.when(F.length("skeleton") > 0, F.length("skeleton") / 4)), F.lit(1.0)).alias("avg_tokens"))
@@ -193,14 +204,20 @@ def top_n(rows: DataFrame, score: str, n: int, *ties: str) -> DataFrame:
     return ranked if n == 0 else ranked.filter(F.col("rank") <= n)
 
 
+#: Vectors of this many numbers together (200 MB) are sent to every executor; more are joined by shuffle.
+MAX_CELLS = 25_000_000
+
+
 def commit_vectors(file_commits: DataFrame, commits: DataFrame, vectors: DataFrame, dim: int, s: Scoring) -> DataFrame:
     """(file_id, boost array<double>): the decayed sum of the unit vectors of each file's recent commits.
 
     A query's commit boost of a file is the dot product of its unit vector with this sum.
     """
-    recent = file_commits.filter(F.col("recency") <= s.depth).join(commits.select("commit_id", "vec_id"), "commit_id")
-    units = vectors.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).select("vec_id", "n", "v")
-    w = recent.join(units, "vec_id").select("file_id", (F.pow(F.lit(1 - s.decay), F.col("recency") - 1) / F.col("n")).alias("w"), "v")
+    recent = file_commits.filter(F.col("recency") <= s.depth).join(commits.select("commit_id", "vec_id"), "commit_id").select("file_id", "vec_id", "recency")
+    # vectors that are sent meet links that already lie by file, so that no link carries its vector through a shuffle
+    rows = recent.repartition("file_id").join(small(vectors, MAX_CELLS // dim), "vec_id")
+    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    w = rows.select("file_id", (F.pow(F.lit(1 - s.decay), F.col("recency") - 1) / n).alias("w"), "v")
     sums = w.groupBy("file_id").agg(*[F.sum(F.col("w") * F.col("v")[i]).alias(f"c{i}") for i in range(dim)])
     return sums.select("file_id", F.array(*[f"c{i}" for i in range(dim)]).alias("boost"))
 
@@ -218,7 +235,7 @@ def commit_scores(file_commits: DataFrame, commits: DataFrame, asked: list[Asked
     kind = {pa.int64(): "bigint", pa.int32(): "int"}.get(asked[0].names.type, "string")
     out = None
     for a in asked:
-        one = spread_rows(sums).mapInArrow(lambda batches, a=a: run(batches, a), f"query_id {kind}, file_id {dict(sums.dtypes)['file_id']}, commit_boost double")
+        one = sums.mapInArrow(lambda batches, a=a: run(batches, a), f"query_id {kind}, file_id {dict(sums.dtypes)['file_id']}, commit_boost double")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -270,6 +287,13 @@ class FileScorer:
         semantic = parts["sim"] + s.alpha * parts["commit_boost"] + beta[:, None] * parts["parent_boost"] - parts["length_penalty"]
         return (1 - s.hybrid) * semantic + s.hybrid * parts["keyword"] if s.hybrid > 0 else semantic
 
+    @staticmethod
+    def weighed(raw: dict[str, np.ndarray], beta: np.ndarray, times: np.ndarray, s: Scoring) -> np.ndarray:
+        """``final`` of any raw parts with the profile values of their files."""
+        parent = np.where(raw["folder"] > s.min_score, raw["folder"] * times, 0.0)
+        semantic = raw["sim"] + s.alpha * raw["commit_boost"] + beta * parent - raw["log_length"] * s.length_weight
+        return (1 - s.hybrid) * semantic + s.hybrid * raw["keyword"] if s.hybrid > 0 else semantic
+
     def scores(self, b: pa.RecordBatch, k: int, s: Scoring) -> tuple[dict[str, np.ndarray], np.ndarray]:
         parts = self.parts(b, self.raw(b, k), s)
         return parts, self.final(b, parts, s)
@@ -293,11 +317,18 @@ class FileBatches:
         return self.scorer.asked
 
     def _map(self, run, schema: str) -> DataFrame:
-        """run(scorer, batch, chunk) over all batches and chunks of queries."""
+        """run(scorer, batch, chunk, kept) over all batches and chunks of queries; kept: what a task knows so far, a dict of its own."""
         scorer, out = self.scorer, None
         kind = {pa.int64(): "bigint", pa.int32(): "int"}.get(self.asked[0].names.type, "string")
         for k, a in enumerate(self.asked):
-            one = self.rows.mapInArrow(lambda batches, k=k, width=len(a.names): (x for b in batches for part in _slices(b, width) for x in run(scorer, part, k)), f"query_id {kind}, {schema}")
+
+            def task(batches, k=k, width=len(a.names)):
+                kept: dict = {}
+                for b in batches:
+                    for part in _slices(b, width):
+                        yield from run(scorer, part, k, kept)
+
+            one = self.rows.mapInArrow(task, f"query_id {kind}, {schema}")
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -306,9 +337,9 @@ class FileBatches:
         keys = ["file_id", "repo_id", "dir_path", "file_type"]
         kinds = dict(self.rows.dtypes)
 
-        def run(scorer, b, k):
+        def run(scorer, b, k, kept):
             parts, score = scorer.scores(b, k, s)
-            r, q = np.nonzero(_passing(score, s.min_score, n))
+            r, q = np.nonzero(_passing(score, s.min_score, n, kept, None))
             cols = [scorer.names(k, q), *[b.column(c).take(pa.array(r)) for c in keys], *[pa.array(parts[p][r, q]) for p in PARTS], pa.array(score[r, q])]
             yield pa.RecordBatch.from_arrays(cols, ["query_id", *keys, *PARTS, "final_score"])
 
@@ -317,19 +348,28 @@ class FileBatches:
     def sweep(self, configs: list[tuple[str, Scoring]], n: int = 10) -> DataFrame:
         """(config, query_id, file_id, rank): the n best of every query under each configuration, a stated list.
 
-        The raw parts are worked out once for a batch, whatever the number of configurations, and a
-        batch's n best for each leave the worker. Ties: the smaller file_id.
+        The raw parts are worked out once for a batch, whatever the number of configurations. Bounds over groups of
+        configurations leave few rows that can be among a query's best, and only those are scored for each; what can still
+        be among the n best of the task leaves the worker. Ties: the smaller file_id.
         """
         kind = dict(self.rows.dtypes)["file_id"]
         names = pa.array([c for c, _ in configs], pa.string())
 
-        def run(scorer, b, k):
-            raw = scorer.raw(b, k)
-            for i, (_, s) in enumerate(configs):
-                score = scorer.final(b, scorer.parts(b, raw, s), s)
-                r, q = np.nonzero(_passing(score, s.min_score, n))
-                cols = [scorer.names(k, q), names.take(pa.array(np.full(len(r), i))), b.column("file_id").take(pa.array(r)), pa.array(score[r, q])]
-                yield pa.RecordBatch.from_arrays(cols, ["query_id", "config", "file_id", "final_score"])
+        def run(scorer, b, k, kept):
+            raw, ext = scorer.raw(b, k), b.column("file_type").to_numpy(zero_copy_only=False)
+            values = {(j, x): profile_values(ext, j, x) for _, c in configs for j, x in ((0, c.beta), (1, c.parent_multiplier))}
+            at = np.arange(len(scorer.asked[k].names))
+            for group, rows in _contenders(raw, values, configs, n, kept):
+                pick = np.maximum(rows, 0)
+                own = {c: x[pick, at] for c, x in raw.items()}
+                for i in group:
+                    s = configs[i][1]
+                    score = scorer.weighed(own, values[0, s.beta][pick], values[1, s.parent_multiplier][pick], s)
+                    score[rows < 0] = -np.inf
+                    place, q = np.nonzero(_passing(score, s.min_score, n, kept, i))
+                    r = rows[place, q]
+                    cols = [scorer.names(k, q), names.take(pa.array(np.full(len(r), i))), b.column("file_id").take(pa.array(r)), pa.array(score[place, q])]
+                    yield pa.RecordBatch.from_arrays(cols, ["query_id", "config", "file_id", "final_score"])
 
         found = self._map(run, f"config string, file_id {kind}, final_score double")
         order = Window.partitionBy("config", "query_id").orderBy(F.desc(F.round("final_score", 6)), "file_id")
@@ -339,7 +379,7 @@ class FileBatches:
         """(query_id, repo_id, dir_path, mean, n): over the files of a folder that pass min_score, added up batch by batch."""
         kinds = dict(self.rows.dtypes)
 
-        def run(scorer, b, k):
+        def run(scorer, b, k, kept):
             _, score = scorer.scores(b, k, s)
             seen: dict = {}
             code = np.array([seen.setdefault(x, len(seen)) for x in zip(b.column("repo_id").to_pylist(), b.column("dir_path").to_pylist())], np.int64)
@@ -358,12 +398,53 @@ class FileBatches:
         return parts.groupBy("query_id", "repo_id", "dir_path").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
 
 
-def _passing(score: np.ndarray, least: float, n: int) -> np.ndarray:
-    """What is at ``least`` or above and can be among a column's n largest; scores that round alike tie."""
+def _passing(score: np.ndarray, least: float, n: int, kept: dict, key) -> np.ndarray:
+    """What is at ``least`` or above and can be among a column's n largest; scores that round alike tie.
+
+    kept[key]: for each column a score that n rows of the task are known to reach.
+    """
     keep = score >= least
     if n and len(score) > n:
-        keep &= score >= np.partition(score, len(score) - n, axis=0)[len(score) - n][None, :] - 2e-6
-    return keep
+        now = np.partition(score, len(score) - n, axis=0)[len(score) - n]
+        kept[key] = np.maximum(kept[key], now) if key in kept else now
+    return keep & (score >= kept[key][None, :] - 2e-6) if n and key in kept else keep
+
+
+def _contenders(raw: dict[str, np.ndarray], values: dict, configs: list[tuple[str, Scoring]], n: int, kept: dict):
+    """(places of configs, rows): for each group of configurations the rows that can be among a query's n best under any of them.
+
+    rows: a column for each query, filled up with -1. A group has one weight of keywords and one of lengths; the other weights
+    bound a score from below and above, and n rows reach the n-th largest lower bound under every configuration of the group.
+    """
+    groups: dict = {}
+    for i, (_, s) in enumerate(configs):
+        groups.setdefault((s.hybrid, s.length_weight), []).append(i)
+    done: dict = {}
+    for (hybrid, weight), group in groups.items():
+        own = [configs[i][1] for i in group]
+        alphas, folders = frozenset(s.alpha for s in own), frozenset((s.beta, s.parent_multiplier, s.min_score) for s in own)
+        if (alphas, folders) not in done:
+            done.clear()  # one pair of bounds at a time
+            boosts = [a * raw["commit_boost"] for a in (min(alphas), max(alphas))]
+            low, high = raw["sim"] + np.minimum(*boosts), raw["sim"] + np.maximum(*boosts)
+            least = most = None
+            for beta, times, bar in folders:
+                x = values[0, beta][:, None] * np.where(raw["folder"] > bar, raw["folder"] * values[1, times][:, None], 0.0)
+                least, most = (x, x) if least is None else (np.minimum(least, x), np.maximum(most, x))
+            done[alphas, folders] = low + least, high + most
+        rest = hybrid * raw["keyword"] - (1 - hybrid) * weight * raw["log_length"]
+        low, high = [(1 - hybrid) * x + rest for x in done[alphas, folders]][:: 1 if hybrid <= 1 else -1]
+        bar = min(s.min_score for s in own)
+        known = np.min([kept[i] for i in group], axis=0) if all(i in kept for i in group) else np.full(low.shape[1], -np.inf)
+        if not np.isfinite(known).all() and len(low) > n:
+            known = np.maximum(known, np.partition(low, len(low) - n, axis=0)[len(low) - n])
+        mask = high >= np.maximum(known - 4e-6, bar - 1e-9)[None, :]
+        counts = mask.sum(axis=0)
+        if counts.any():
+            q, r = np.nonzero(mask.T)
+            rows = np.full((counts.max(), len(counts)), -1)
+            rows[np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts), q] = r
+            yield group, rows
 
 
 def _slices(b: pa.RecordBatch, width: int, cells: int = 1 << 20) -> list[pa.RecordBatch]:
@@ -395,11 +476,13 @@ def file_batches(files: DataFrame, directories: DataFrame, commits: DataFrame, f
     base = files.crossJoin(F.broadcast(avg)).select(  # avg: one row
         "file_id", "repo_id", "dir_path", "file_type", "vec_id", length_penalty(F.col("skeleton"), F.col("file_type"), F.col("avg_tokens"), 1.0).alias("log_length")
     )
-    rows = base.join(good, "vec_id").join(commit_vectors(file_commits, commits, good, dim, s), "file_id", "left")
-    rows = rows.join(directory_vectors(directories, good), ["repo_id", "dir_path"], "left").join(words.select("file_id", renumbered.alias("asks"), "scores"), "file_id", "left")
+    # what lies by file comes together first; vectors join last, where they are few enough without a shuffle
+    rows = base.join(commit_vectors(file_commits, commits, good, dim, s), "file_id", "left").join(words.select("file_id", renumbered.alias("asks"), "scores"), "file_id", "left")
+    folders = stash(directory_vectors(directories, good), "folder-vectors")
+    rows = rows.join(small(good, MAX_CELLS // dim), "vec_id").join(small(folders, MAX_CELLS // (4 * dim)), ["repo_id", "dir_path"], "left")
     rows = rows.select("file_id", "repo_id", "dir_path", "file_type", "v", "boost", "concat", "summary", "log_length", "asks", "scores")
     cuts = np.cumsum([0, *[len(a.names) for a in asked]])
-    return FileBatches(spread_rows(stash(rows, "file-batches")), FileScorer(asked, [top[a:b] for a, b in zip(cuts, cuts[1:])], dim))
+    return FileBatches(spread(stash(rows, "file-batches")), FileScorer(asked, [top[a:b] for a, b in zip(cuts, cuts[1:])], dim))
 
 
 def folder_scores(directories: DataFrame, batches: FileBatches, vectors: DataFrame, s: Scoring) -> DataFrame:

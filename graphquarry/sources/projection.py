@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphquarry.sources.scratch import small
+
 EXTENSIONS = [".ts", ".py", ".go", ".java", ".md"]
 
 
@@ -46,7 +48,7 @@ class Views:
         d = self.table("documents")
         ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
         folder = F.concat(F.col("lang"), F.lit("/d"), (F.col("doc_id") % 10).cast("string"))
-        rows = d.join(self.repos.select("repo_id", F.col("name").alias("source")), "source")
+        rows = d.join(small(self.repos.select("repo_id", F.col("name").alias("source")), 100_000), "source")  # few names: no text is shuffled by them
         return rows.select(
             F.col("doc_id").alias("file_id"), "repo_id", folder.alias("dir_path"),
             F.concat(folder, F.lit("/doc_"), F.col("doc_id").cast("string"), ext).alias("file_path"), ext.alias("file_type"),
@@ -72,7 +74,8 @@ class Views:
 
     @cached_property
     def file_commits(self) -> DataFrame:
-        links = self.table("lineitem").select((F.col("l_partkey") % self.n_files).alias("file_id"), F.col("l_orderkey").alias("commit_id")).distinct()
+        links = self.table("lineitem").select((F.col("l_partkey") % self.n_files).alias("file_id"), F.col("l_orderkey").alias("commit_id"))
+        links = links.repartition("commit_id").distinct()  # one shuffle serves the distinct and the join
         dated = links.join(self.commits.select("commit_id", "authored_at"), "commit_id")
         order = Window.partitionBy("file_id").orderBy(F.desc("authored_at"), "commit_id")
         return dated.select("file_id", "commit_id", F.row_number().over(order).cast("long").alias("recency"))

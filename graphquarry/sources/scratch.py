@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +52,8 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *by) if len(df._jdf.inputFiles()) < cores else df
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, of rows of bounded width, marked for a broadcast if it has ``most`` rows at most; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
