@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,50 @@ def holds(text: Column, pattern: Column, fold: Column) -> Column:
     return F.when(fold, F.contains(F.lower(text), F.lower(pattern))).otherwise(F.contains(text, pattern))
 
 
+def gram_codes(text: str) -> np.ndarray:
+    """The distinct grams of a text that is in lower case, 21 bits a character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _gram_names(codes: np.ndarray) -> list[str]:
+    three = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+    text = three.tobytes().decode("utf-32-le", "surrogatepass")
+    return [text[i : i + 3] for i in range(0, len(text), 3)]
+
+
+def _gram_lists(batches, most: int, names: list[str], chars: int = 1 << 23):
+    """(gram, block, n, ids) of (id, text in lower case, as bytes): texts that follow one another are a block, ``most`` at most and about so many characters."""
+    number = TaskContext.get().partitionId() << 32
+    ids, found, size, kind = [], [], 0, None
+
+    def block():
+        every = pa.array(ids, kind)
+        row = np.repeat(np.arange(len(ids)), [len(c) for c in found])
+        codes = np.concatenate(found)
+        order = np.argsort(codes, kind="stable")
+        grams_, starts = np.unique(codes[order], return_index=True)
+        ends = np.append(starts[1:], len(codes))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)).astype(np.int32)), every.take(pa.array(row[order])))
+        cols = [pa.array(_gram_names(grams_), pa.string()), pa.array(np.full(len(grams_), number, np.int64)), pa.array((ends - starts).astype(np.int32)), lists]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    for x in batches:
+        kind = x.column(0).type
+        for at in pc.sort_indices(x.column(0)).to_pylist():
+            text = x.column(1)[at].as_py().decode("utf-8", "replace")
+            ids.append(x.column(0)[at].as_py())
+            found.append(gram_codes(text))
+            size += len(text)
+            if len(ids) >= most or size >= chars:
+                yield block()
+                number, size = number + 1, 0
+                ids.clear()
+                found.clear()
+    if ids:
+        yield block()
+
+
 @dataclass(frozen=True)
 class SubstringIndex:
     """``path/postings``, in ``part`` folders by a hash of the gram: the ids that have it, a list for each block of ids."""
@@ -45,10 +93,9 @@ class SubstringIndex:
 
     def add(self, rows: DataFrame, segment: int = 0, ids_per_block: int = 4096) -> SubstringIndex:
         """Takes rows(id, text) in, each id once over all segments; null texts hold nothing. A segment that is added again replaces itself."""
-        blocks = max(1, -(-rows.count() // ids_per_block))
-        texts = spread(rows.filter("text is not null").select("id", "text"))
-        every = texts.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(grams(F.col("text"))).alias("gram"))
-        lists = every.groupBy("gram", "block").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))  # about ids_per_block at most
+        texts = spread(rows.filter("text is not null").select("id", F.lower("text").cast("binary").alias("text")))
+        named, kind = ["gram", "block", "n", "ids"], dict(rows.dtypes)["id"]
+        lists = texts.mapInArrow(lambda batches: _gram_lists(batches, ids_per_block, named), f"gram string, block long, n int, ids array<{kind}>")
         lists = lists.withColumn("part", self._part(F.col("gram"))).hint("rebalance", "part").sortWithinPartitions("part", "gram", "block")
         lists.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
         return self

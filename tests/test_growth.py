@@ -79,3 +79,49 @@ def test_a_sweep_scores_few_pairs_and_finds_the_best(spark):
             want = [(-score[r, q], r) for r in np.argsort(-score[:, q], kind="stable")[:10] if score[r, q] >= c.min_score]
             assert sorted(found.get((i, q), []))[:10] == want
     assert scored < n * m * len(configs) / 5
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_keyword_index_shuffles_counts_and_blocks_once(spark, tmp_path):
+    from graphquarry.operators.postings import KeywordIndex
+
+    v = Views(spark, "/root/testdata/sf0.01")
+    files = v.files.select("file_id", "skeleton")
+    text = files.selectExpr("sum(octet_length(skeleton))").first()[0]
+    index = KeywordIndex(spark, str(tmp_path), parts=4)
+    assert shuffled(spark, lambda: index.add(files)) < 4 * text  # 6.2 before, with a row for each count
+    got = {(r["query_id"], r["file_id"]): r["score"] for r in index.scores(v.queries).collect()}
+    one_by_one = KeywordIndex(spark, str(tmp_path), parts=4, max_pairs=0)  # more queries than a task can hold
+    want = {(r["query_id"], r["file_id"]): r["score"] for r in one_by_one.scores(v.queries).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    best = [{(r["query_id"], r["rank"]): r["file_id"] for r in i.search(v.queries, 10)[0].collect()} for i in (index, one_by_one)]
+    assert best[0] == best[1]
+
+
+def test_grams_of_python_and_spark_agree_and_arent_shuffled_one_by_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphquarry.operators import substrings as sub
+
+    texts = ["", "ab", "abc", "ABCabc", "İé\U0001f600x\U0001f600xΣ ΑΣ", "a\0b\0c", "aaaaaa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for r in df.select("id", F.lower("text").alias("low"), sub.grams(F.col("text")).alias("g")).collect():
+        assert sorted(sub._gram_names(sub.gram_codes(r["low"]))) == sorted(r["g"]), texts[r["id"]]
+    index = sub.SubstringIndex(spark, str(tmp_path), parts=2)
+    rows = Views(spark, "/root/testdata/sf0.01").files.selectExpr("file_id AS id", "skeleton AS text")
+    assert shuffled(spark, lambda: index.add(rows, ids_per_block=100)) < 2.5 * rows.selectExpr("sum(octet_length(text))").first()[0]
+    blocks = index.postings.groupBy("gram", "block").count().filter("count > 1").count()
+    assert blocks == 0 and index.postings.filter("n <> size(ids) or n > 100").count() == 0
