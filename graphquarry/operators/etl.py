@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,19 +149,46 @@ def numbered(rows: DataFrame, key: list[str], order: list[str | Column], name: s
     """``rows`` with their place among those of their key, from 0, by ``order``.
 
     The rows are sorted into ranges of key and order together, so a key that holds a third of all rows is
-    numbered in many tasks; only the counts of (key, range) are then summed up. Rows that are equal in
+    numbered in many tasks; they are shuffled once. Of a range only its first key can go on from the range
+    before, so a number for each range is all that is summed up then. Rows that are equal in
     both take places in any order; a null key is a key like any other.
     """
-    placed = stash(rows.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    until = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*key, "_part").agg(F.count("*").alias("_m"))
-    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_part").alias("_of"), F.coalesce(F.sum("_m").over(until), F.lit(0)).alias("_since"))
-    own = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)) - 1
-    same = F.col("_part") == F.col("_of")
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = placed.withColumn("_own", own).join(counts, same)
-    return out.select(*rows.columns, (F.col("_since") + F.col("_own")).alias(name))
+    columns = rows.columns
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    sorted_ = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = stash(sorted_.mapInArrow(lambda batches: _runs(batches, key, columns), f"{kept}, _part int, _pos long, _own long"), "ranges")
+    ends = placed.groupBy("_part").agg(
+        F.min_by(F.struct(F.lit(0), *key), "_pos").alias("first"), F.max_by(F.struct(F.lit(0), *key), "_pos").alias("last"), F.max_by("_own", "_pos").alias("own"), F.max("_pos").alias("pos")
+    )
+    since, before, m = {}, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):  # a row for each range
+        since[r["_part"]] = m if repr(r["first"]) == before else 0
+        m = r["own"] + 1 + (since[r["_part"]] if r["own"] == r["pos"] else 0)
+        before = repr(r["last"])
+    more = [(p, m) for p, m in since.items() if m]
+    if not more:
+        return placed.select(*columns, F.col("_own").alias(name))
+    out = placed.join(F.broadcast(rows.sparkSession.createDataFrame(more, "_part int, _since long")), "_part", "left")
+    return out.select(*columns, (F.col("_own") + F.when(F.col("_own") == F.col("_pos"), F.coalesce("_since", F.lit(0))).otherwise(0)).cast("long").alias(name))
+
+
+def _runs(batches, key: list[str], columns: list[str]):
+    """Sorted rows with their task, their place in it and their place among those of their key in it."""
+    at, start, last = 0, 0, None
+    for b in batches:
+        if not len(b):
+            continue
+        change = np.zeros(len(b), bool)
+        change[0] = last is None
+        for j, c in enumerate(key):
+            column = b.column(c)
+            codes = (column if last is None else pa.concat_arrays([last[j], column])).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            change[len(b) - len(codes) + 1 :] |= np.diff(codes) != 0
+        pos = np.arange(at, at + len(b))
+        starts = np.maximum.accumulate(np.where(change, pos, start))
+        part = pa.array(np.full(len(b), TaskContext.get().partitionId(), np.int32))
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], part, pa.array(pos), pa.array(pos - starts)], [*columns, "_part", "_pos", "_own"])
+        at, start, last = at + len(b), int(starts[-1]), [b.column(c).slice(len(b) - 1, 1) for c in key]
 
 
 def ingest_rows(files: DataFrame, known: DataFrame, batch: int) -> DataFrame:

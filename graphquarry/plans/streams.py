@@ -69,7 +69,8 @@ def _(v):
 @query("incremental_recency", """SELECT file_id, commit_id, row_number() OVER (PARTITION BY file_id ORDER BY authored_at DESC, commit_id) AS recency
  FROM file_commits JOIN commits USING (commit_id) WHERE message <> '1-URGENT'""")
 def _(v):
-    links = v.file_commits.select("file_id", "commit_id").join(v.commits.select("commit_id", "authored_at", "message"), "commit_id").select("file_id", "commit_id", "authored_at", "message")
+    links = v.file_commits.select("file_id", "commit_id").join(v.commits.select("commit_id", "authored_at", "message"), "commit_id")
+    links = stash(links.select("file_id", "commit_id", "authored_at", "message"), "links")  # read by each batch
     t = tables.KeyedTable(
         v.spark, scratch_path(v.spark, "links"), "file_id long, commit_id long, authored_at timestamp, at int", ["file_id", "commit_id"], ["at"], 16, ["file_id"],
         (["file_id"], [F.desc("authored_at"), "commit_id"], "recency"),

@@ -100,6 +100,7 @@ class KeyedTable:
             both = both.join(until, same, "left").withColumn(_GONE, F.col(_GONE) | late).select(*columns, _GONE)
         if self.rank:
             group, order, name = self.rank
+            both = stash(both, "merged")  # sampled for the ranges, numbered, and read for the marks
             living = numbered(both.filter(f"not {_GONE}"), group, order, name).withColumn(name, F.col(name).cast("long") + 1)
             both = living.unionByName(both.filter(_GONE).withColumn(name, F.lit(None).cast("long")))
         merged = self._bucketed(both)

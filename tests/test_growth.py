@@ -81,14 +81,14 @@ def test_a_sweep_scores_few_pairs_and_finds_the_best(spark):
     assert scored < n * m * len(configs) / 5
 
 
-def shuffled(spark, run):
-    """Bytes that the stages of ``run`` shuffled."""
+def shuffled(spark, run, what="shuffleWriteBytes"):
+    """Bytes, or records, that the stages of ``run`` shuffled."""
     store = spark.sparkContext._jsc.sc().statusStore()
     none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
 
     def total():
         stages = store.stageList(None, False, False, none, None)
-        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+        return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
     before = total()
     run()
@@ -125,3 +125,12 @@ def test_grams_of_python_and_spark_agree_and_arent_shuffled_one_by_one(spark, tm
     assert shuffled(spark, lambda: index.add(rows, ids_per_block=100)) < 2.5 * rows.selectExpr("sum(octet_length(text))").first()[0]
     blocks = index.postings.groupBy("gram", "block").count().filter("count > 1").count()
     assert blocks == 0 and index.postings.filter("n <> size(ids) or n > 100").count() == 0
+
+
+def test_numbering_shuffles_a_row_once(spark, no_broadcast):
+    from graphquarry.operators import etl
+
+    df = spark.range(20_000).selectExpr("id % 500 AS k", "id AS x")
+    out = []
+    assert shuffled(spark, lambda: out.extend(etl.numbered(df, ["k"], ["x"], "n").collect()), "shuffleWriteRecords") < 1.2 * 20_000
+    assert sorted((r["k"], r["x"], r["n"]) for r in out) == [(k, k + 500 * i, i) for k in range(500) for i in range(40)]
