@@ -37,7 +37,10 @@ def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 
 def _count(batches, names: list[str]):
-    """(file_id, dl, terms, tfs) of (file_id, skeleton): a text's terms are counted where it is read."""
+    """(file_id, dl, terms, tfs) of (file_id, skeleton): a text's terms are counted where it is read.
+
+    terms: as one string with spaces between, as a list of short strings takes three times the shuffle; no term: null.
+    """
     for x in batches:
         for at in range(0, len(x), 512):
             part = x.slice(at, 512)
@@ -48,17 +51,17 @@ def _count(batches, names: list[str]):
                 for t in tokens:
                     counts[t] = counts.get(t, 0) + 1
                 sizes.append(len(tokens))
-                terms.extend(counts)
+                terms.append(" ".join(counts) or None)
                 tfs.extend(counts.values())
-                ends.append(len(terms))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), _lists(np.array(ends, np.int64), pa.array(terms, pa.string())), _lists(np.array(ends, np.int64), pa.array(tfs, pa.int32()))], names)
+                ends.append(len(tfs))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(terms, pa.string()), _lists(np.array(ends, np.int64), pa.array(tfs, pa.int32()))], names)
 
 
 def _block(part: pa.RecordBatch, number: int, names: list[str]) -> pa.RecordBatch:
     """The blocks of one range of files(file_id, dl, terms, tfs), by term."""
     part = part.take(pc.sort_indices(part.column("file_id")))
-    n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False)
-    coded = pc.list_flatten(part.column("terms")).dictionary_encode()
+    n = pc.list_value_length(part.column("tfs")).to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(pc.split_pattern(part.column("terms"), " ")).dictionary_encode()
     code, file = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(part)), n)
     order = np.argsort(code, kind="stable")  # files stay in order within a term
     counts = np.bincount(code, minlength=len(coded.dictionary))
@@ -109,18 +112,21 @@ class KeywordIndex:
     b: float = 0.75
     parts: int = 64
     max_pairs: int = 200_000
+    pairs_per_task: int = 1 << 21
 
     def add(self, files: DataFrame, segment: int = 0, files_per_range: int = 256) -> KeywordIndex:
         """Takes files(file_id, skeleton) in; null skeletons are no documents. A segment that is added again replaces itself."""
         texts = spread(files.filter("skeleton is not null").select("file_id", "skeleton"), "file_id")
         kind, size = dict(files.dtypes)["file_id"], files_per_range
         counted = ["file_id", "dl", "terms", "tfs"]
-        docs = stash(texts.mapInArrow(lambda batches: _count(batches, counted), f"file_id {kind}, dl int, terms array<string>, tfs array<int>"), "term-counts")
-        placed = docs.repartitionByRange("dl", "file_id").sortWithinPartitions("dl", "file_id")  # the one shuffle of the counts
+        docs = stash(texts.mapInArrow(lambda batches: _count(batches, counted), f"file_id {kind}, dl int, terms string, tfs array<int>"), "term-counts")
+        pairs = docs.agg(F.coalesce(F.sum(F.size("tfs")), F.lit(0))).first()[0]
+        tasks = max(1, -(-pairs // self.pairs_per_task), min(self.spark.sparkContext.defaultParallelism, pairs * 8 // self.pairs_per_task))
+        placed = docs.repartitionByRange(tasks, "dl", "file_id").sortWithinPartitions("dl", "file_id")  # the one shuffle
         named = ["term", "range", "n", "max_tf", "min_dl", "ids", "tfs", "dls"]
         blocks = placed.mapInArrow(lambda batches: _blocks(batches, size, named), f"term string, range long, n int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>")
-        blocks = blocks.withColumn("part", self._part(F.col("term")))
-        blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "range").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/segment={segment}")
+        blocks = blocks.withColumn("part", self._part(F.col("term")))  # written where they are built, a file for each task and part
+        blocks.sortWithinPartitions("part", "term", "range").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/segment={segment}")
         sizes = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
         sizes.write.mode("overwrite").parquet(f"{self.path}/sizes/segment={segment}")
         return self

@@ -111,6 +111,23 @@ def test_keyword_index_shuffles_counts_and_blocks_once(spark, tmp_path):
     assert best[0] == best[1]
 
 
+def test_keyword_index_shuffles_no_blocks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphquarry.operators.postings import KeywordIndex
+
+    v = Views(spark, "/root/testdata/sf0.01")
+    files = v.files.select("file_id", "skeleton").unionByName(spark.createDataFrame([(-1, ""), (-2, "..."), (-3, None), (-4, "a a b")], "file_id long, skeleton string"))
+    text = files.selectExpr("sum(octet_length(skeleton))").first()[0]
+    index = KeywordIndex(spark, str(tmp_path), parts=4, pairs_per_task=50_000)  # several tasks
+    assert shuffled(spark, lambda: index.add(files)) < 1.6 * text  # also the texts, as they are one file; blocks stay where they are built
+    rows = index.blocks.select("term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("term", "p.ids", "p.tfs", "p.dls")
+    tokens = files.select("file_id", s.code_tokens(F.col("skeleton")).alias("t")).select("file_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    want = tokens.groupBy("term", F.col("file_id").alias("ids"), "dl").agg(F.count("*").alias("tf")).select("term", "ids", F.col("tf").cast("int").alias("tfs"), F.col("dl").alias("dls"))
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty() and index.blocks.filter("n <> size(ids)").isEmpty()
+    assert index.corpus()[0] == files.filter("skeleton is not null").count() and index.blocks.select("range").distinct().count() > 4
+
+
 def test_grams_of_python_and_spark_agree_and_arent_shuffled_one_by_one(spark, tmp_path):
     from pyspark.sql import functions as F
 
