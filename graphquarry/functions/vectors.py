@@ -44,10 +44,11 @@ class Asked:
         return self.matrix / np.sqrt((self.matrix * self.matrix).sum(axis=1, keepdims=True))
 
 
-def good_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors of length ``dim`` that have no null and aren't all zero."""
+def good_vectors(vectors: DataFrame, dim: int, floats: bool = False) -> DataFrame:
+    """(vec_id, v array<double>) of the vectors of length ``dim`` that have no null and aren't all zero; floats: vectors of floats stay such."""
+    kind = "array<float>" if floats and dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     good = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()) & F.exists("embedding", lambda x: x != 0))
-    return good.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return good.select("vec_id", F.col("embedding").cast(kind).alias("v"))
 
 
 #: A stated query set is scored by matrices that every task holds, so it has a bound; larger sets go through ``VectorIndex.search``.

@@ -111,11 +111,72 @@ def _bm25_by_join(files: DataFrame, wanted: DataFrame, k1: float, b: float) -> D
     return scored.join(wanted, "term").groupBy("query_id", "file_id").agg(F.sum("part").alias("score"))
 
 
+@dataclass(frozen=True)
+class _Sums:
+    """What adds up the scores of counted files: idf and asks (since, n_asks) by term, the mean length, how many queries there are."""
+
+    asks: np.ndarray
+    n_asks: np.ndarray
+    since: np.ndarray
+    idf: np.ndarray
+    mean: float
+    width: int
+    k1: float
+    b: float
+
+    def total(self, part: pa.RecordBatch) -> np.ndarray:
+        """A row of scores, one for each query, for each row of part(dl, terms, counts)."""
+        n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False)
+        term, tf = part.column("terms").flatten().to_numpy(zero_copy_only=False), part.column("counts").flatten().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(part)), n)
+        dl = part.column("dl").to_numpy(zero_copy_only=False)[doc]
+        value = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self.mean))
+        m = self.n_asks[term]
+        row = np.repeat(np.arange(len(term)), m)
+        ask_ = self.asks[np.repeat(self.since[term] - np.cumsum(m) + m, m) + np.arange(len(row))] if len(row) else np.zeros(0, np.int64)
+        return np.bincount(doc[row] * self.width + ask_, value[row], minlength=self.width * len(part)).reshape(len(part), self.width)
+
+    def lists(self, part: pa.RecordBatch, moved: np.ndarray | None = None) -> list[pa.ListArray]:
+        """asks and scores of each row; moved: other numbers for the asks."""
+        row, ask_ = np.nonzero(total := self.total(part))
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(part))))).astype(np.int32))
+        own = ask_ if moved is None else moved[ask_]
+        return [pa.ListArray.from_arrays(ends, pa.array(own.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(total[row, ask_]))]
+
+    def parts(self, x: pa.RecordBatch):
+        return _bounded(x, self.n_asks, max(1, (1 << 21) // self.width))
+
+
 def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float) -> DataFrame:
-    """(file_id, asks, scores): a document's terms are counted where it is read, so nothing is shuffled but the terms' frequencies.
+    """(file_id, asks, scores): a document's scores are added up in an array."""
+    held, sums = _counted(files, pairs, names, k1, b)
+
+    def add_up(batches):
+        for x in batches:
+            for part in sums.parts(x):
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), *sums.lists(part)], ["file_id", "asks", "scores"])
+
+    return held.filter(F.size("terms") > 0).mapInArrow(add_up, f"file_id {dict(files.dtypes)['file_id']}, asks array<int>, scores array<double>")
+
+
+def _highest(held: DataFrame, sums: _Sums) -> dict[int, float]:
+    """The largest score of each ask: a task sends one row for each."""
+
+    def run(batches):
+        top = np.zeros(sums.width)
+        for x in batches:
+            for part in sums.parts(x):
+                top = np.maximum(top, sums.total(part).max(axis=0, initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(top).astype(np.int32)), pa.array(top[top > 0])], ["ask", "top"])
+
+    tops = held.select("dl", "terms", "counts").mapInArrow(run, "ask int, top double").groupBy("ask").agg(F.max("top").alias("top"))
+    return {r["ask"]: r["top"] for r in tops.collect()}  # the stated set
 
-    pairs: (query_id, term) by term; asks: places in names. The counts are written once, as the
-    frequencies and the scores both read them; a document's scores are added up in an array.
+
+def _counted(files: DataFrame, pairs: list, names: list, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, _Sums]:
+    """(file_id, dl, terms, counts) and what scores it: a document's terms are counted where it is read, so nothing is shuffled but the terms' frequencies.
+
+    pairs: (query_id, term) by term; asks: places in names. The counts are written once, as the frequencies and the scores both read them.
     """
     place = {q: i for i, q in enumerate(names)}
     known = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in pairs))}
@@ -145,28 +206,8 @@ def _bm25_lists(files: DataFrame, pairs: list, names: list, k1: float, b: float)
     df = np.zeros(len(known))
     for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # the queries' terms
         df[r["term"]] = r["df"]
-    idf, mean, width = np.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5)), corpus["avgdl"] or 1.0, max(1, len(names))
-
-    step = max(1, (1 << 21) // width)
-
-    def add_up(batches):
-        for x in batches:
-            for part in _bounded(x, n_asks, step):
-                n = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False)
-                term, tf = part.column("terms").flatten().to_numpy(zero_copy_only=False), part.column("counts").flatten().to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(part)), n)
-                dl = part.column("dl").to_numpy(zero_copy_only=False)[doc]
-                value = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
-                m = n_asks[term]
-                row = np.repeat(np.arange(len(term)), m)
-                ask_ = asks[np.repeat(since[term] - np.cumsum(m) + m, m) + np.arange(len(row))] if len(row) else np.zeros(0, np.int64)
-                total = np.bincount(doc[row] * width + ask_, value[row], minlength=width * len(part))
-                hit = np.flatnonzero(total)
-                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(hit // width, minlength=len(part))))).astype(np.int32))
-                some = [pa.ListArray.from_arrays(ends, pa.array((hit % width).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(total[hit]))]
-                yield pa.RecordBatch.from_arrays([part.column("file_id"), *some], ["file_id", "asks", "scores"])
-
-    return held.filter(F.size("terms") > 0).mapInArrow(add_up, f"file_id {kind}, asks array<int>, scores array<double>")
+    idf = np.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5))
+    return held, _Sums(asks, n_asks, since, idf, corpus["avgdl"] or 1.0, max(1, len(names)), k1, b)
 
 
 def _bounded(x: pa.RecordBatch, n_asks: np.ndarray, step: int, pairs: int = 1 << 20):
@@ -204,10 +245,15 @@ def top_n(rows: DataFrame, score: str, n: int, *ties: str) -> DataFrame:
     return ranked if n == 0 else ranked.filter(F.col("rank") <= n)
 
 
-#: Vectors of this many numbers together (200 MB) are sent to every executor; more are joined by shuffle.
+#: Vectors of this many numbers together (200 MB), or twice as many floats, are sent to every executor; more are joined by shuffle.
 MAX_CELLS = 25_000_000
 
 
+def few_vectors(rows: DataFrame, column: str, dim: int) -> DataFrame:
+    """``rows`` marked for a broadcast if their vectors are few enough; dim: numbers in a row."""
+    return small(rows, MAX_CELLS * (1 + (dict(rows.dtypes)[column] == "array<float>")) // dim)
+
+
 def commit_vectors(file_commits: DataFrame, commits: DataFrame, vectors: DataFrame, dim: int, s: Scoring) -> DataFrame:
     """(file_id, boost array<double>): the decayed sum of the unit vectors of each file's recent commits.
 
@@ -215,7 +261,7 @@ def commit_vectors(file_commits: DataFrame, commits: DataFrame, vectors: DataFra
     """
     recent = file_commits.filter(F.col("recency") <= s.depth).join(commits.select("commit_id", "vec_id"), "commit_id").select("file_id", "vec_id", "recency")
     # vectors that are sent meet links that already lie by file, so that no link carries its vector through a shuffle
-    rows = recent.repartition("file_id").join(small(vectors, MAX_CELLS // dim), "vec_id")
+    rows = recent.repartition("file_id").join(few_vectors(vectors, "v", dim), "vec_id").withColumn("v", F.col("v").cast("array<double>"))
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     w = rows.select("file_id", (F.pow(F.lit(1 - s.decay), F.col("recency") - 1) / n).alias("w"), "v")
     sums = w.groupBy("file_id").agg(*[F.sum(F.col("w") * F.col("v")[i]).alias(f"c{i}") for i in range(dim)])
@@ -251,11 +297,25 @@ PARTS = ["sim", "commit_boost", "parent_boost", "length_penalty", "keyword"]
 
 @dataclass(frozen=True)
 class FileScorer:
-    """Scores batches of files for chunks of queries; top: the largest keyword score of each query, in the order of asked."""
+    """Scores batches of files for chunks of queries; top: the largest keyword score of each query, in the order of asked.
+
+    sums: batches come with counted terms, and their keyword scores are added up here; moved: the place in asked of each query of sums.
+    """
 
     asked: list[Asked]
     top: list[np.ndarray]
     dim: int
+    sums: _Sums | None = None
+    moved: np.ndarray | None = None
+
+    def listed(self, b: pa.RecordBatch):
+        """``b``, in parts if it must be, with its keyword scores as lists asks and scores."""
+        if self.sums is None:
+            yield b
+            return
+        for part in self.sums.parts(b):
+            keep = [c for c in part.schema.names if c not in ("dl", "terms", "counts")]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *self.sums.lists(part, self.moved)], [*keep, "asks", "scores"])
 
     def raw(self, b: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
         """sim, commit_boost, folder, log_length and keyword as matrices, a row for each file of the batch and a column for each query of chunk k."""
@@ -306,7 +366,8 @@ class FileScorer:
 class FileBatches:
     """The rows that a batch search over files scores, one for each file, with all that its scores need.
 
-    rows(file_id, repo_id, dir_path, file_type, v, boost, concat, summary, log_length, asks, scores).
+    rows(file_id, repo_id, dir_path, file_type, v, boost, concat, summary, log_length) with asks and scores, or with dl, terms and
+    counts, which take less room than a score for every query, if the scorer has sums.
     """
 
     rows: DataFrame
@@ -325,8 +386,9 @@ class FileBatches:
             def task(batches, k=k, width=len(a.names)):
                 kept: dict = {}
                 for b in batches:
-                    for part in _slices(b, width):
-                        yield from run(scorer, part, k, kept)
+                    for some in _slices(b, width):
+                        for part in scorer.listed(some):
+                            yield from run(scorer, part, k, kept)
 
             one = self.rows.mapInArrow(task, f"query_id {kind}, {schema}")
             out = one if out is None else out.unionByName(one)
@@ -463,26 +525,32 @@ def file_batches(files: DataFrame, directories: DataFrame, commits: DataFrame, f
     index: a stored ``postings.KeywordIndex`` of the files; with it, no text is cut into words.
     """
     asked = ask(queries, vectors, dim)  # at most MAX_ASKED queries, so what is collected below is bounded too
-    good = good_vectors(vectors, dim)
-    words = stash(keyword_lists(files, queries) if index is None else index.lists(queries), "keyword-lists")
+    good = good_vectors(vectors, dim, floats=True)
     names = [x for a in asked for x in a.names.to_pylist()]
     place = {x: i for i, x in enumerate(names)}
     every = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set
-    peak = {r["ask"]: r["top"] for r in words.select(F.explode(F.arrays_zip(F.col("asks").alias("ask"), F.col("scores").alias("score"))).alias("x")).groupBy("x.ask").agg(F.max("x.score").alias("top")).collect()}
+    pairs = _asked_terms(queries, 200_000)[1] if index is None else None
+    if pairs is not None:
+        words, sums = _counted(files, pairs, every)
+        peak, own = _highest(words, sums), [F.coalesce("dl", F.lit(0)).alias("dl"), *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("terms", "counts")]]
+    else:
+        words, sums, own = stash(keyword_lists(files, queries) if index is None else index.lists(queries), "keyword-lists"), None, ["asks", "scores"]
+        peak = {r["ask"]: r["top"] for r in words.select(F.explode(F.arrays_zip(F.col("asks").alias("ask"), F.col("scores").alias("score"))).alias("x")).groupBy("x.ask").agg(F.max("x.score").alias("top")).collect()}
     top = np.array([peak.get(i, 1.0) for i, x in enumerate(every) if x in place])
     moved = np.array([place.get(x, -1) for x in every], np.int64)  # a query without a vector finds nothing
-    renumbered = F.transform("asks", lambda i: F.array(*map(F.lit, moved.tolist()))[i]) if (moved != np.arange(len(every))).any() else F.col("asks")
+    if sums is None and (moved != np.arange(len(every))).any():
+        words = words.withColumn("asks", F.transform("asks", lambda i: F.array(*map(F.lit, moved.tolist()))[i]))
     avg = average_tokens(files)
     base = files.crossJoin(F.broadcast(avg)).select(  # avg: one row
         "file_id", "repo_id", "dir_path", "file_type", "vec_id", length_penalty(F.col("skeleton"), F.col("file_type"), F.col("avg_tokens"), 1.0).alias("log_length")
     )
     # what lies by file comes together first; vectors join last, where they are few enough without a shuffle
-    rows = base.join(commit_vectors(file_commits, commits, good, dim, s), "file_id", "left").join(words.select("file_id", renumbered.alias("asks"), "scores"), "file_id", "left")
+    rows = base.join(commit_vectors(file_commits, commits, good, dim, s), "file_id", "left").join(words, "file_id", "left")
     folders = stash(directory_vectors(directories, good), "folder-vectors")
-    rows = rows.join(small(good, MAX_CELLS // dim), "vec_id").join(small(folders, MAX_CELLS // (4 * dim)), ["repo_id", "dir_path"], "left")
-    rows = rows.select("file_id", "repo_id", "dir_path", "file_type", "v", "boost", "concat", "summary", "log_length", "asks", "scores")
+    rows = rows.join(few_vectors(good, "v", dim), "vec_id").join(few_vectors(folders, "concat", 4 * dim), ["repo_id", "dir_path"], "left")
+    rows = rows.select("file_id", "repo_id", "dir_path", "file_type", "v", "boost", "concat", "summary", "log_length", *own)
     cuts = np.cumsum([0, *[len(a.names) for a in asked]])
-    return FileBatches(spread(stash(rows, "file-batches")), FileScorer(asked, [top[a:b] for a, b in zip(cuts, cuts[1:])], dim))
+    return FileBatches(spread(stash(rows, "file-batches")), FileScorer(asked, [top[a:b] for a, b in zip(cuts, cuts[1:])], dim, sums, moved))
 
 
 def folder_scores(directories: DataFrame, batches: FileBatches, vectors: DataFrame, s: Scoring) -> DataFrame:

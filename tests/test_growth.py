@@ -95,6 +95,26 @@ def shuffled(spark, run, what="shuffleWriteBytes"):
     return total() - before
 
 
+def test_file_batches_carry_counts_and_floats_and_score_as_lists_do(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    v = Views(spark, SF)
+    vectors, files = v.table("embeddings"), v.files.withColumn("skeleton", F.when(F.col("file_id") % 7 == 0, None).when(F.col("file_id") % 7 == 1, "").otherwise(F.col("skeleton")))
+    queries = v.queries.withColumn("vec_id", F.when(F.col("query_id") % 3 == 0, -1).otherwise(F.col("vec_id")))  # a query without a vector finds nothing
+    build = lambda: s.file_batches(files, v.directories, v.commits, v.file_commits, queries, vectors, 64, s.Scoring(min_score=0.0))
+    counted = build()
+    kinds = dict(counted.rows.dtypes)
+    assert "scores" not in kinds and kinds["terms"] == "array<int>"  # before: a score for every query and file, written and shuffled
+    assert kinds["v"] == kinds["concat"] == kinds["summary"] == "array<float>" and kinds["boost"] == "array<double>"
+    asked_terms = s._asked_terms
+    monkeypatch.setattr(s, "_asked_terms", lambda q, most: (asked_terms(q, most)[0], None))  # more terms than a task can hold
+    listed = build()
+    assert "scores" in dict(listed.rows.dtypes)
+    a, b = [{(r["query_id"], r["file_id"]): (r["keyword"], r["final_score"]) for r in x.best(s.Scoring(min_score=0.0), 0).collect()} for x in (counted, listed)]
+    assert a.keys() == b.keys() and len(a) > 1000 and not any(q % 3 == 0 for q, _ in a)
+    assert all(np.allclose(a[k], b[k], rtol=0, atol=1e-9) for k in a) and max(x[0] for x in a.values()) > 0.9
+
+
 def test_keyword_index_shuffles_counts_and_blocks_once(spark, tmp_path):
     from graphquarry.operators.postings import KeywordIndex
 
