@@ -75,7 +75,7 @@ def _(v):
 
 def _found(v, rows, *patterns):
     """(pattern_id, id) of (pattern, fold) in rows(id, text), by an index of two segments."""
-    index, rows = SubstringIndex(v.spark, scratch_path(v.spark, "grams"), parts=8), stash(rows, "searched")
+    index = SubstringIndex(v.spark, scratch_path(v.spark, "grams"), parts=8)
     for k in (0, 1):
         index.add(rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k), k)
     return index.search(rows, v.spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(patterns)], "pattern_id int, pattern string, fold boolean"))
@@ -92,7 +92,7 @@ def _(v):
 @query("substring_index_callers", same="callers")
 def _(v):
     modules = v.file_imports.select("imported_module").distinct()
-    hit = _found(v, modules.select(F.col("imported_module").alias("id"), F.col("imported_module").alias("text")), ("pkg_1", False)).select(F.col("id").alias("imported_module"))
+    hit = _found(v, stash(modules.select(F.col("imported_module").alias("id"), F.col("imported_module").alias("text")), "searched"), ("pkg_1", False)).select(F.col("id").alias("imported_module"))
     files = v.file_imports.join(hit, "imported_module").select(F.col("source_file_id").alias("file_id")).distinct()
     return v.files.join(files, "file_id").select("repo_id", "file_path", "file_id").orderBy("repo_id", "file_path").limit(100)  # the feature's own limit
 

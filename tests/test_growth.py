@@ -164,6 +164,34 @@ def test_grams_of_python_and_spark_agree_and_arent_shuffled_one_by_one(spark, tm
     assert blocks == 0 and index.postings.filter("n <> size(ids) or n > 100").count() == 0
 
 
+def test_substring_index_takes_as_much_for_each_text_of_more_texts(spark, tmp_path):
+    from graphquarry.operators.substrings import SubstringIndex
+
+    took = []
+    for n in (20_000, 200_000):
+        rows = spark.range(0, n, 1, 10).selectExpr("xxhash64(id) AS id", "substr(sha2(cast(id AS string), 256), 1, 20) AS text")
+        rows.write.parquet(f"{tmp_path}/rows-{n}")
+        rows = spark.read.parquet(f"{tmp_path}/rows-{n}")
+        index = SubstringIndex(spark, f"{tmp_path}/index-{n}", parts=2)
+        moved = shuffled(spark, lambda: index.add(rows, ids_per_block=1000))  # noqa: B023
+        took.append((moved, sum(x.stat().st_size for x in (tmp_path / f"index-{n}").rglob("*.parquet"))))
+        found = index.search(rows, spark.createDataFrame([(0, "abcd", False)], "pattern_id int, pattern string, fold boolean"))
+        assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in rows.filter("contains(text, 'abcd')").collect())
+    assert took[1][0] < 11 * took[0][0] and took[1][1] < 11 * took[0][1]  # before: ids of 8 bytes, which only a small table's dictionary shortened
+
+
+def test_substring_index_numbers_texts_within_blocks(spark, tmp_path):
+    from graphquarry.operators.substrings import SubstringIndex
+
+    rows = spark.range(0, 300_000, 1, 8).selectExpr("concat('k', id) AS id", "concat(id, ' xyz') AS text")  # more in a file than 2 bytes number, and ids that are text
+    rows.write.parquet(f"{tmp_path}/rows")
+    index = SubstringIndex(spark, f"{tmp_path}/index", parts=3).add(spark.read.parquet(f"{tmp_path}/rows"), ids_per_block=1 << 20)
+    asked = spark.createDataFrame([(0, "9999 xyz", False), (1, "777", True), (2, "zyx", False)], "pattern_id int, pattern string, fold boolean")
+    want = rows.crossJoin(asked).filter("contains(text, pattern)").select("pattern_id", "id")
+    assert sorted(map(tuple, index.search(rows, asked).collect())) == sorted(map(tuple, want.collect()))
+    assert index.postings.agg({"n": "max"}).first()[0] == 1 << 15 and index.postings.filter("n <> size(ids) or (gram = '') <> (members is not null)").isEmpty()
+
+
 def test_numbering_shuffles_a_row_once(spark, no_broadcast):
     from graphquarry.operators import etl
 
